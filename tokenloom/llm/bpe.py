@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,11 +57,24 @@ _encoders: dict[tuple[str, str], common.UnitEncoder] = {}
 _tables: dict[str, pa.Array] = {}
 
 
+def _encode_units(made, units: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the number of each unit's. Units with white space before and none behind stay apart in one text, so many go together."""
+
+    def alone(u: bytes) -> bool:
+        return u[0] > 32 or u[-1] <= 32 or (u[-1] >= 0x80 and u.decode()[-1].isspace())
+
+    texts = [b"".join(g).decode() for g in common.together(units, alone)]
+    ids = np.concatenate([np.array(e.ids, np.uint32) for e in made.encode_batch_fast(texts, add_special_tokens=False)])
+    ends = np.cumsum(pc.binary_length(_token_bytes(path)).to_numpy()[ids])
+    last = np.searchsorted(ends, np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))) + 1
+    return ids, np.diff(last, prepend=0)
+
+
 def _encoder(path: str, pattern: str) -> common.UnitEncoder:
     if (path, pattern) not in _encoders:
         common.quiet_tokenizers()
         made = build_tokenizer(read_ranks(path), pattern)
-        _encoders[path, pattern] = common.UnitEncoder(lambda texts: [e.ids for e in made.encode_batch(texts, add_special_tokens=False)])
+        _encoders[path, pattern] = common.UnitEncoder(lambda units: _encode_units(made, units, path))
     return _encoders[path, pattern]
 
 
@@ -86,7 +100,7 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
     has that character's offset, and n_split counts those. Null and empty texts have no tokens; repeated rows
     give repeated rows; other columns of df are not looked at. Texts of any length are encoded whole.
     """
-    common.importable(df.sparkSession)
+    common.prepare(df.sparkSession)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,7 +132,7 @@ def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> D
     Bytes, not text: a list of ids may begin or end inside a character. Null ids give null; an id that the
     table lacks is an error. Any columns pass through, but one named decoded is replaced.
     """
-    common.importable(df.sparkSession)
+    common.prepare(df.sparkSession)
     path = path or public_tokenizers.path(RANKS)
     df = df.drop("decoded")
 
@@ -140,7 +154,7 @@ def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> D
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(common.documents(spark, sf_dir)))
+    done = decode(encode(common.documents(spark, sf_dir)).drop("starts"))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -16,18 +16,24 @@ from pyspark.sql import functions as F
 #: Stands for a null doc_id where rows meet by id; smaller than any real id.
 NULL_ID = -(2**63)
 
+#: Rows and MB of an Arrow batch at most.
+ARROW_ROWS, ARROW_MB = 2_000, 16
+
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package, wherever the driver was started."""
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers of a local session import this package, and keep Arrow batches small enough for their memory."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = spark.sparkContext.environment
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > ARROW_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", f"{ARROW_MB}m")
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
@@ -97,26 +103,23 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """
     if not len(data):
         return np.zeros(0, np.int64)
-    space = _SPACE[data]
-    at = np.flatnonzero(space[1:] & ~space[:-1]) + 1
-    b1 = data[at - 1]
-    high = np.flatnonzero(b1 >= 0x80)
-    if len(high):
-        p = at[high]
-        c1, c2, c3 = data[p - 1], data[np.maximum(p - 2, 0)], data[np.maximum(p - 3, 0)]
+    space = np.take(_SPACE, data)
+    begins = np.zeros(len(data), bool)
+    np.greater(space[1:], space[:-1], out=begins[1:])
+    if (data >= 0x80).any():
+        at = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1
+        c1, c2, c3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
         odd = ((c2 == 0xC2) & ((c1 == 0x85) | (c1 == 0xA0))) | ((c3 == 0xE1) & (c2 == 0x9A))
         odd |= ((c3 == 0xE2) & ((c2 == 0x80) | (c2 == 0x81))) | ((c3 == 0xE3) & (c2 == 0x80))
-        keep = np.ones(len(at), bool)
-        keep[high[odd]] = False
-        at = at[keep]
-    first = offsets[:-1][offsets[1:] > offsets[:-1]]
-    return np.union1d(at, first)
+        begins[at[odd]] = False
+    begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    return np.flatnonzero(begins)
 
 
 class UnitEncoder:
-    """Token ids of many texts, by way of their distinct units; `encode` maps a list of strings to lists of ids."""
+    """Token ids of many texts, by way of their distinct units; `encode` maps a list of units to all their ids and each one's number."""
 
-    def __init__(self, encode, most: int = 200_000):
+    def __init__(self, encode, most: int = 150_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,15 +131,15 @@ class UnitEncoder:
         units = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
             self.known.clear()
-        new = [u for u in units if u not in self.known]
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for u, ids in zip(part, self.encode([u.decode() for u in part])):
-                self.known[u] = np.array(ids, np.uint32).tobytes()
+        if new := [u for u in units if u not in self.known]:
+            ids, sizes = self.encode(new)
+            at = np.concatenate(([0], np.cumsum(sizes))) * 4
+            raw = ids.astype(np.uint32).tobytes()
+            self.known.update(zip(new, map(raw.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist()))))
         found = [self.known[u] for u in units]
         flat = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        begin = np.cumsum(size, dtype=np.int32) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
         n = size[which]
         ends = np.cumsum(n)
@@ -145,6 +148,25 @@ class UnitEncoder:
         return ids, before[np.searchsorted(starts, offsets)]
 
 
+def together(units: list[bytes], alone, most: int = 32_768):
+    """Lists of units to encode as one text each: units that `alone` picks stay by themselves."""
+    group, size = [], 0
+    for u in units:
+        if alone(u):
+            if group:
+                yield group
+                group, size = [], 0
+            yield [u]
+            continue
+        group.append(u)
+        size += len(u)
+        if size > most:
+            yield group
+            group, size = [], 0
+    if group:
+        yield group
+
+
 def quiet_tokenizers() -> None:
     """One thread a worker: Spark's tasks are the parallelism."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"

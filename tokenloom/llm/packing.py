@@ -16,10 +16,29 @@ from tokenloom.llm import common
 VOCABULARY = "word_bpe_49k.json"
 CAPACITY = 4096
 END_ID = 1
+MARK = b"\x01"
 
 _encoders: dict[str, common.UnitEncoder] = {}
 
 
+def _encode_units(made, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the number of each unit's. Many units go together, a control character that none of them has between them."""
+    (mark,) = made.encode(MARK.decode(), add_special_tokens=False).ids
+    groups = list(common.together(units, lambda u: MARK in u))
+    texts = [(g[0] if len(g) == 1 else b" \x01 ".join(g)).decode() for g in groups]
+    found, sizes = [], []
+    for g, e in zip(groups, made.encode_batch_fast(texts, add_special_tokens=False)):
+        ids = np.array(e.ids, np.uint32)
+        if len(g) == 1:
+            sizes.append([len(ids)])
+        else:
+            between = ids == mark
+            sizes.append(np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1)
+            ids = ids[~between]
+        found.append(ids)
+    return np.concatenate(found), np.concatenate(sizes)
+
+
 def _encoder(path: str) -> common.UnitEncoder:
     if path not in _encoders:
         common.quiet_tokenizers()
@@ -27,7 +46,7 @@ def _encoder(path: str) -> common.UnitEncoder:
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True  # the names of special tokens are ordinary text in a document
-        _encoders[path] = common.UnitEncoder(lambda texts: [e.ids for e in made.encode_batch(texts, add_special_tokens=False)])
+        _encoders[path] = common.UnitEncoder(lambda units: _encode_units(made, units))
     return _encoders[path]
 
 
@@ -36,7 +55,7 @@ def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
 
     ids are little-endian unsigned 32-bit. A null or empty text is one piece of length 1.
     """
-    common.importable(df.sparkSession)
+    common.prepare(df.sparkSession)
     path = path or public_tokenizers.path(VOCABULARY)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +156,7 @@ def pack(made: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     (range of rows, length), so no length, however frequent, meets in one task. An empty table gives an empty one.
     """
     spark = made.sparkSession
-    common.importable(spark)
+    common.prepare(spark)
     numbered = common.stored(made.withColumn("_part", F.spark_partition_id()))
     each = numbered.groupBy("length", "_part").count()
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("count").alias("n")).collect()}
