@@ -9,6 +9,7 @@ from tokenloom.llm.sql import ORACLE
 _BY_MODULE = {
     "bpe": "op2_byte_bpe",
     "simhash": "op10_simhash",
+    "suffixes": "op6_suffix_dedup",
     "packing": "op5_best_fit_packing",
 }
 
