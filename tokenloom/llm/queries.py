@@ -10,6 +10,7 @@ _BY_MODULE = {
     "bpe": "op2_byte_bpe",
     "simhash": "op10_simhash",
     "suffixes": "op6_suffix_dedup",
+    "lines": "op4_line_dedup",
     "packing": "op5_best_fit_packing",
 }
 

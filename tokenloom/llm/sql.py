@@ -1,3 +1,20 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
-ORACLE: dict[str, str] = {}
+# A-Z alone are lower-cased: DuckDB's lower() would change other letters too
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LINE_KEY = _LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")
+
+ORACLE: dict[str, str] = {
+    "op4_line_dedup": f"""
+with lines as (
+    select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos
+    from documents),
+keyed as (select *, {_LINE_KEY} as key from lines),
+heavy as (select key, max(doc_id) as last from keyed where length(key) >= 20 group by key having count(distinct doc_id) >= 3),
+marked as (select k.*, coalesce(h.last <> k.doc_id, false) as gone from keyed k left join heavy h using (key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from marked group by doc_id
+""",
+}
