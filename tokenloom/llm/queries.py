@@ -11,6 +11,7 @@ _BY_MODULE = {
     "simhash": "op10_simhash",
     "suffixes": "op6_suffix_dedup",
     "lines": "op4_line_dedup",
+    "winnow": "op8_winnowing",
     "packing": "op5_best_fit_packing",
 }
 
