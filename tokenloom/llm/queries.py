@@ -12,6 +12,8 @@ _BY_MODULE = {
     "suffixes": "op6_suffix_dedup",
     "lines": "op4_line_dedup",
     "winnow": "op8_winnowing",
+    "urls": "op7_url_filter",
+    "media": "op9_media_columns",
     "packing": "op5_best_fit_packing",
 }
 
