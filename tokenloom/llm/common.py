@@ -93,19 +93,25 @@ def large_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER = ~_LETTER
+_OTHER[128:] = False
 
 
 def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Where the units of the texts start: at each text's start and at each ASCII white space after other characters.
+    """Where the units of the texts start: at each text's start, at each ASCII white space after other characters
+    and at each other ASCII character after an ASCII letter.
 
-    No match of the tokenizers' split patterns goes on from a non-space into white space, so units can be
-    tokenized one by one. Behind a byte that may end a Unicode space no unit starts; units only get longer by that.
+    No match of the tokenizers' split patterns goes on from a non-space into white space, or from a letter into
+    another kind of character, so units can be tokenized one by one. Behind a byte that may end a Unicode space no unit starts; units only get longer by that.
     """
     if not len(data):
         return np.zeros(0, np.int64)
     space = np.take(_SPACE, data)
     begins = np.zeros(len(data), bool)
     np.greater(space[1:], space[:-1], out=begins[1:])
+    begins[1:] |= np.take(_LETTER, data[:-1]) & np.take(_OTHER, data[1:])
     if (data >= 0x80).any():
         at = np.flatnonzero(begins[1:] & (data[:-1] >= 0x80)) + 1
         c1, c2, c3 = data[at - 1], data[np.maximum(at - 2, 0)], data[np.maximum(at - 3, 0)]
@@ -119,7 +125,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """Token ids of many texts, by way of their distinct units; `encode` maps a list of units to all their ids and each one's number."""
 
-    def __init__(self, encode, most: int = 150_000):
+    def __init__(self, encode, most: int = 400_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
