@@ -14,6 +14,7 @@ _BY_MODULE = {
     "winnow": "op8_winnowing",
     "urls": "op7_url_filter",
     "media": "op9_media_columns",
+    "licenses": "op3_license_scan",
     "packing": "op5_best_fit_packing",
 }
 
