@@ -15,6 +15,7 @@ _BY_MODULE = {
     "urls": "op7_url_filter",
     "media": "op9_media_columns",
     "licenses": "op3_license_scan",
+    "quality": "op1_quality",
     "packing": "op5_best_fit_packing",
 }
 
