@@ -365,7 +365,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return common.stored(spans)
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _cut(batches: Iterator[pa.RecordBatch], as_text: bool = False) -> Iterator[pa.RecordBatch]:
     """The texts (column 0) without their spans (column 1); the other columns follow."""
     for batch in batches:
         kept, removed, n_spans = [], [], []
@@ -391,15 +391,16 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             removed.append(len(raw) - len(rest))
             n_spans.append(runs)
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[2:], pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array(kept, pa.binary())],
+            [*batch.columns[2:], pa.array([len(k) + r for k, r in zip(kept, removed)], pa.int64()), pa.array(removed, pa.int64()), pa.array(n_spans, pa.int64()), pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())],
             [*batch.schema.names[2:], "n_bytes", "n_removed", "n_spans", "kept"],
         )
 
 
-def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(carry columns, n_bytes, n_removed, n_spans, kept binary) for each row of df.
+def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None, as_text: bool = False) -> DataFrame:
+    """(carry columns, n_bytes, n_removed, n_spans, kept) for each row of df.
 
     kept has the UTF-8 bytes that no repeated 200-byte string covers; it may begin or end inside a character.
+    With as_text it is a string, and what is left of a character that lost bytes goes too.
     Null and empty texts stay empty. A repeated row repeats all its strings. Ids may be null or shared.
     """
     carry = [id_col] if carry is None else carry
@@ -409,7 +410,8 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     spans = repeated_spans(keyed).groupBy("id", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     joined = keyed.join(spans, ["id", "digest"], "left").select(F.col("text").cast("binary").alias("text"), "spans", "row")
     fields = joined.schema["row"].dataType.simpleString()
-    made = joined.mapInArrow(_cut, f"row {fields}, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = "string" if as_text else "binary"
+    made = joined.mapInArrow(lambda batches: _cut(batches, as_text), f"row {fields}, n_bytes long, n_removed long, n_spans long, kept {kind}")
     return made.select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
