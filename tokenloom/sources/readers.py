@@ -1,0 +1,118 @@
+"""Readers of sentence files and records, and writers of results. Schemas are given, never inferred."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as t
+
+from tokenloom.functions import text as T
+
+RECORD = t.StructType(
+    [
+        t.StructField("id", t.StringType()), t.StructField("lang", t.StringType()), t.StructField("category", t.IntegerType()), t.StructField("question", t.StringType()),
+        t.StructField("cot", t.ArrayType(t.StringType())), t.StructField("answer", t.StringType()),
+        t.StructField("meta", t.StructType([t.StructField(n, t.StringType()) for n in ("source", "license", "translated_from", "difficulty")])),
+    ]
+)
+
+
+def lines(spark: SparkSession, path: str) -> DataFrame:
+    """(text) of each line that is not empty."""
+    return spark.read.text(path).select(F.trim("value").alias("text")).filter("text <> ''")
+
+
+def json_field(df: DataFrame, column: str, field: str) -> DataFrame:
+    """df with text for column: the field of a JSON object; an object without it goes, what is no JSON stays whole."""
+    parsed = F.try_parse_json(column) if hasattr(F, "try_parse_json") else F.get_json_object(column, "$")
+    value = F.get_json_object(column, f"$.{field}")
+    text = F.when(parsed.isNull(), F.col(column)).otherwise(value)
+    return df.withColumn("text", text).filter("text is not null").drop(column)
+
+
+def json_array(df: DataFrame, column: str, keys: list[str]) -> DataFrame:
+    """(keys, i, text) of a JSON array of strings, or of objects with a text field."""
+    strings = F.from_json(column, t.ArrayType(t.StringType()))
+    each = df.select(*keys, F.posexplode(strings).alias("i", "raw"))
+    own = F.when(F.col("raw").startswith("{"), F.coalesce(F.get_json_object("raw", "$.text"), F.col("raw"))).otherwise(F.col("raw"))
+    return each.select(*keys, "i", own.alias("text"))
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(RECORD).json(path)
+
+
+def question_answers(turns: DataFrame) -> DataFrame:
+    """(id, turn, question, answer): a user's turn and the assistant's next one."""
+    asked = turns.filter("role = 'user'").select(F.col("conv_id").alias("id"), "turn", F.col("text").alias("question"))
+    given = turns.filter("role = 'assistant'").select(F.col("conv_id").alias("id"), (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
+    return asked.join(given, ["id", "turn"])
+
+
+def nli_records(pairs: DataFrame) -> DataFrame:
+    """Records from premises and hypotheses (idx, premise, hypothesis, label); empty ones go, ids keep the index."""
+    asked = F.format_string("Premise: %s\nHypothesis: %s\nDoes the hypothesis follow?", F.trim("premise"), F.trim("hypothesis"))
+    kept = pairs.filter((F.trim("premise") != "") & (F.trim("hypothesis") != ""))
+    return kept.select(F.format_string("nli-%06d", "idx").alias("id"), asked.alias("question"), F.when(F.col("label") == 0, "yes").otherwise("no").alias("answer"))
+
+
+def solution_records(rows: DataFrame) -> DataFrame:
+    """Records from worked solutions (idx, question, solution)."""
+    made = rows.withColumn("s", T.answer_after_hashes(F.col("solution")))
+    return made.select(F.format_string("sol-%06d", "idx").alias("id"), "question", F.col("s.steps").alias("cot"), F.col("s.answer").alias("answer"))
+
+
+def write_examples(df: DataFrame, path: str) -> None:
+    """(ids, tokens, text) as JSON lines; null fields are left out."""
+    df.select("ids", "tokens", "text").write.mode("overwrite").json(path)
+
+
+def write_vocabulary(vocab: DataFrame, path: str) -> None:
+    vocab.select("token", "id").write.mode("overwrite").json(path)
+
+
+def write_labels(top: DataFrame, path: str) -> None:
+    """Surfaces by count with blank columns for labels by hand, as tab-separated values."""
+    top.select("surface", "n", F.lit("").alias("root"), F.lit("").alias("field")).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
+    """(lang, token, id) from any of the known layouts: {token: id}, {id: token}, {"token_to_id": ...}, [token, ...], [{token, id}, ...] or {lang: {token: id}}.
+
+    A vocabulary is one document that has to be parsed whole, on one executor. Layouts by language are merged:
+    specials first, then all tokens by name. [PAD] and [UNK] are added where they are missing.
+    """
+    import json
+
+    def parse(rows):
+        for row in rows:
+            blob = json.loads(row.value)
+            if isinstance(blob, dict) and isinstance(blob.get("token_to_id"), dict):
+                blob = blob["token_to_id"]
+            if isinstance(blob, list):
+                pairs = [(x["token"], x["id"]) if isinstance(x, dict) else (x, i) for i, x in enumerate(blob)]
+            elif all(isinstance(v, dict) for v in blob.values()):
+                merged = {tok for part in blob.values() for tok in part}
+                first = [s for s in ("[PAD]", "[UNK]", "[BOS]", "[EOS]", "[SEP]", "[Q]") if s in merged]
+                pairs = [(tok, i) for i, tok in enumerate(first + sorted(merged - set(first)))]
+            elif all(isinstance(v, str) for v in blob.values()):
+                pairs = [(v, int(k)) for k, v in blob.items()]
+            else:
+                pairs = [(k, int(v)) for k, v in blob.items()]
+            known = {tok for tok, _ in pairs}
+            top = max((i for _, i in pairs), default=-1)
+            for s in ("[PAD]", "[UNK]"):
+                if s not in known:
+                    top += 1
+                    pairs.append((s, top))
+            yield from pairs
+
+    from collections.abc import Iterator
+
+    import pandas as pd
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield pd.DataFrame(list(parse(frame.itertuples())), columns=["token", "id"])
+
+    return spark.read.text(path, wholetext=True).mapInPandas(run, "token string, id long")
