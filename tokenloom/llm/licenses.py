@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tokenloom.llm import common
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 
 # Phrases and their labels, as the contract of op3 lists them.
@@ -37,7 +38,8 @@ def lower_ascii(text: Column) -> Column:
 
 
 def words_of(lowered: Column) -> Column:
-    return F.regexp_extract_all(lowered, F.lit(WORD), F.lit(0))
+    """The words in order; splitting at what lies between is several times as fast as extracting them."""
+    return F.array_remove(F.split(lowered, BETWEEN), "")
 
 
 def phrase_places(words: Column, phrase: str) -> Column:
