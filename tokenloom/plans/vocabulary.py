@@ -1 +1,248 @@
-"""Placeholder until its queries are here."""
+"""Dictionaries, encodings, caps and word-level baselines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tokenloom import lexicon as L
+from tokenloom.functions import tokens as K
+from tokenloom.operators import baselines as B
+from tokenloom.operators import corpus as C
+from tokenloom.plans import dialect as D
+from tokenloom.plans.registry import query, read
+
+CAP = 2_000
+
+
+def _lexed(spark, sf):
+    sents = C.sentences(read(spark, sf, "documents"))
+    return sents.select("doc_id", "lang", "pos", K.lex_english(F.col("sent")).alias("tokens"))
+
+
+def _counts(spark, sf):
+    return C.token_counts(_lexed(spark, sf))
+
+
+def _vocab(spark, sf, cap=CAP):
+    """(token, id): the specials, then the most frequent tokens."""
+    return B.top_vocabulary(_counts(spark, sf), L.SPECIALS, cap)
+
+
+_LEX = f"{D.SENT}, lexed as (select doc_id, lang, pos, {D.lex_english('sent')} as tokens from sent), each as (select doc_id, lang, pos, unnest(tokens) as token, generate_subscripts(tokens, 1)::int - 1 as i from lexed)"
+_COUNT = f"{_LEX}, counts as (select token, count(*) as n from each group by token)"
+_SPECIAL = f"special as (select t as token, (row_number() over (order by i) - 1) as id from ({D.values([(t, i) for i, t in enumerate(L.SPECIALS)])}) s(t, i))"
+
+
+def _top(cap: int) -> str:
+    return f"""{_COUNT}, {_SPECIAL}, vocab as (select token, id from special union all select token, id from (
+        select token, row_number() over (order by n desc, token) + {len(L.SPECIALS) - 1} as id from counts where token not in {D.items(L.SPECIALS)}) where id < {cap})"""
+
+
+@query(f"with {_COUNT} select token, n from counts")
+def agg_token_freq(spark, sf):
+    return _counts(spark, sf)
+
+
+@query(f"with {_COUNT} select token, n, row_number() over (order by n desc, token) as rank from counts")
+def win_rank_freq(spark, sf):
+    return C.by_frequency(_counts(spark, sf)).select("token", "n", "rank")
+
+
+@query(f"with {_COUNT} select token, n from counts order by n desc, token limit 50")
+def sort_desc_freq(spark, sf):
+    return _counts(spark, sf).orderBy(F.desc("n"), "token").limit(50)
+
+
+@query(f"with {_LEX} select token, row_number() over (order by min((doc_id, pos, i))) - 1 as id from each group by token")
+def vocab_first_seen(spark, sf):
+    each = _lexed(spark, sf).select("doc_id", "pos", F.posexplode("tokens").alias("i", "token"))
+    return B.first_seen(each)
+
+
+@query(f"with {_top(CAP)} select token, id from vocab")
+def agg_vocab_top(spark, sf):
+    return _vocab(spark, sf)
+
+
+@query(f"with {_top(CAP)} select 1 - sum(case when v.token is not null then n else 0 end) / sum(n) as oov from counts left join vocab v using (token)")
+def agg_oov_fraction(spark, sf):
+    counts, vocab = _counts(spark, sf), _vocab(spark, sf)
+    joined = counts.join(vocab.select("token", F.lit(1).alias("known")), "token", "left")
+    return joined.agg((1 - F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
+
+
+@query(f"with {_top(CAP)} select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
+def encode(spark, sf):
+    return C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
+
+
+@query(f"with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1) as id from each left join vocab v using (token)) select doc_id, pos, string_agg(coalesce(v.token, '[UNK]'), ' ' order by i) as tokens from e left join vocab v using (id) group by doc_id, pos")
+def decode(spark, sf):
+    vocab = _vocab(spark, sf)
+    ids = C.encode(_lexed(spark, sf), vocab, ["doc_id", "pos"])
+    return C.decode(ids, vocab, ["doc_id", "pos"]).select("doc_id", "pos", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"with {_top(CAP)} select doc_id, pos, list(case when v.id < 500 then v.id::int else 1 end order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
+def vocab_frozen(spark, sf):
+    """Ids of a given vocabulary cut at an id; what lies above is unknown."""
+    return C.encode(_lexed(spark, sf), _vocab(spark, sf).filter("id < 500"), ["doc_id", "pos"])
+
+
+@query(f"with {_top(CAP)} select max(id) + 1 as size, count(*) as n, max(case when token = '[UNK]' then id end) as unk, max(case when token = '[BOS]' then id end) as bos from vocab")
+def vocab_export(spark, sf):
+    vocab = _vocab(spark, sf)
+    special = {n: F.max(F.when(F.col("token") == t, F.col("id"))).alias(n) for n, t in (("unk", "[UNK]"), ("bos", "[BOS]"))}
+    return vocab.agg((F.max("id") + 1).alias("size"), F.count("*").alias("n"), *special.values())
+
+
+@query(f"with {_LEX} select lang, count(distinct token) as kinds from each group by lang")
+def agg_distinct_per_lang(spark, sf):
+    return _lexed(spark, sf).select("lang", F.explode("tokens").alias("token")).groupBy("lang").agg(F.countDistinct("token").alias("kinds"))
+
+
+@query(f"with {D.SENT}, {D.REASON} select 1 - (select count(distinct t) from (select unnest(reasoning_tokens) as t from proj)) / count(distinct w) as reduction from (select unnest(string_split(lower(sent), ' ')) as w from sent)")
+def agg_vocab_reduction(spark, sf):
+    sents = C.sentences(read(spark, sf, "documents"))
+    words = sents.select(F.explode(F.split(F.lower("sent"), " ")).alias("w")).agg(F.countDistinct("w").alias("b"))
+    kept = _lexed(spark, sf).select(K.reasoning_kept(F.col("tokens"), "en").alias("k")).select(F.explode("k").alias("t")).agg(F.countDistinct("t").alias("a"))
+    return kept.join(F.broadcast(words)).select((1 - F.col("a") / F.col("b")).alias("reduction"))
+
+
+def _cap_sql(literal: str, first: list[str], by_name: bool, cap: int) -> str:
+    n = len(first)
+    special = D.values([(t, i) for i, t in enumerate(first)])
+    order = "token" if by_name else "n desc, token"
+    return f"""with {D.tokenized()}, counts as (select token, count(*) as n from (select unnest(tokens) as token from tok) group by token), special as (select * from ({special}) s(token, id)),
+    core as (select token, row_number() over (order by {order}) + {n - 1} as id from counts where not ({literal}) and token not in {D.items(first)}),
+    dyn as (select token, row_number() over (order by n desc, token) + {n - 1} + (select count(*) from core) as id from counts where {literal})
+    select token, id from special union all select token, id from core union all select token, id from dyn where id < {cap}"""
+
+
+def _semantic(spark, sf):
+    return C.token_counts(C.tokenize_english(read(spark, sf, "documents")))
+
+
+@query(_cap_sql("token like 'LIT:%'", ["<PAD>", "<UNK>"], False, 1000))
+def cap_vocab_lit(spark, sf):
+    return C.cap_vocabulary(_semantic(spark, sf), 1000, policy="literal")
+
+
+@query(_cap_sql("token like 'SURF:%'", ["<PAD>", "<UNK>"], False, 100_000_000))
+def cap_vocab_surf(spark, sf):
+    return C.cap_vocabulary(_semantic(spark, sf), 100_000_000, policy="surface")
+
+
+@query(_cap_sql("token like 'LIT:%' or token like 'FOREIGN:%' or token like 'NE:%'", L.SPECIALS, True, 1000))
+def cap_vocab_structural(spark, sf):
+    return C.cap_vocabulary(_semantic(spark, sf), 1000, policy="structural")
+
+
+@query(_cap_sql("token like 'LIT:%' or token like 'FOREIGN:%' or token like 'NE:%' or token like 'SURF:%'", [*L.SPECIALS, "REL:and", "REL:or"], True, 1000))
+def cap_vocab_frozen(spark, sf):
+    return C.cap_vocabulary(_semantic(spark, sf), 1000, policy="core", registered=[*L.SPECIALS, "REL:and", "REL:or"])
+
+
+_TS = "list_filter(string_split_regex(regexp_replace(lower(sent), '([.,!?;:])', ' \\1 ', 'g'), '[ \\t\\r\\n]+'), lambda w: w <> '')"
+
+
+@query(f"with {D.SENT}, w as (select doc_id, pos, {_TS} as ws from sent), e as (select doc_id, pos, unnest(ws) as token, generate_subscripts(ws, 1)::int - 1 as i from w where len(ws) >= 3) select token, row_number() over (order by min((doc_id, pos, i))) + 3 as id, count(*) as n from e group by token")
+def base_word_ts(spark, sf):
+    """White-space words with spaced punctuation, ids as first seen behind four specials."""
+    return B.whitespace_vocabulary(C.sentences(read(spark, sf, "documents")))
+
+
+_PY = "regexp_extract_all(lower(sent), '[A-Za-z0-9_À-ɏ؀-ۿ]+|[^A-Za-z0-9_À-ɏ؀-ۿ \\t\\r\\n]')"
+
+
+@query(f"""with {D.SENT}, c as (select token, count(*) as n from (select unnest({_PY}) as token from sent) group by token),
+    v as (select token, row_number() over (order by n desc, token) + 1 as id from c)
+    select doc_id, pos, list(coalesce(v.id, 1)::int order by i)[1:128] as ids from (select doc_id, pos, unnest({_PY}) as token, generate_subscripts({_PY}, 1) as i from sent) e left join (select * from v where id < 1000) v using (token)
+    group by doc_id, pos having count(*) >= 4""")
+def base_word_py(spark, sf):
+    """Word and punctuation ids of the most frequent 998; sentences under four are left out, long ones cut."""
+    return B.word_ids(C.sentences(read(spark, sf, "documents")), 1000, 128)
+
+
+@query()
+def base_spm(spark, sf):
+    """Pieces of a given SentencePiece model: subword counts by language."""
+    return B.piece_counts(read(spark, sf, "documents"))
+
+
+_BI = f"{_COUNT}, pair as (select doc_id, pos, token as a, lead(token) over (partition by doc_id, pos order by i) as b from each), bi as (select a, b, count(*) as nab from pair where b is not null group by a, b), uni as (select a, sum(nab) as na from bi group by a), size as (select count(*) as v from counts)"
+
+
+@query(f"with {_BI} select a, b, nab, -ln((nab + 1.0) / (na + v)) as nll from bi join uni using (a), size")
+def ngram_lm(spark, sf):
+    """Add-one bigram scores; a proxy of our own, not to be held against a neural model's figures."""
+    return B.bigrams(_lexed(spark, sf))
+
+
+@query(f"""with {_BI}, sc as (select p.doc_id, p.pos, sum(-ln((nab + 1.0) / (na + v))) as nll, count(*) as n_tokens from pair p join bi on bi.a = p.a and bi.b = p.b join uni on uni.a = p.a, size where p.b is not null group by p.doc_id, p.pos)
+    select lang, round(sum(nll), 4) as nll, sum(n_tokens)::bigint as n_tokens, sum(length(sent))::bigint as n_chars, round(sum(nll) / sum(length(sent)) / ln(2), 6) as bpc, round(exp(least(sum(nll) / sum(n_tokens), 20)), 4) as perplexity from sc join sent using (doc_id, pos) group by lang""")
+def agg_bpc(spark, sf):
+    from tokenloom.operators import stats as S
+
+    scored = B.score_sentences(_lexed(spark, sf)).join(C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", "lang", F.length("sent").alias("n_chars")), ["doc_id", "pos"])
+    made = S.bits_per_character(scored, ["lang"])
+    return made.withColumns({"nll": F.round("nll", 4), "bpc": F.round("bpc", 6), "perplexity": F.round("perplexity", 4)})
+
+
+@query(f"with {_top(CAP)}, e as (select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos) select doc_id, pos, ids || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0) as padded, list_transform(ids, lambda x: 1) || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0) as mask, list_append(ids[2:], -100) as labels from e")
+def pad_mask(spark, sf):
+    ids = C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
+    return ids.select("doc_id", "pos", K.pad(F.col("ids"), 16).alias("padded"), K.mask(F.col("ids"), 16).alias("mask"), K.shifted_labels(F.col("ids")).alias("labels"))
+
+
+@query(f"""with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1)::int as id from each left join vocab v using (token)), g as (select doc_id, pos, list(id order by i) as ids from e group by doc_id, pos),
+    lit as (select list(id) as l from vocab where token like 'LIT:%')
+    select doc_id, pos, case when len(list_filter(ids, lambda x: list_contains(l, x))) > 0 then list_filter(ids, lambda x: not list_contains(l, x)) || [{CAP} + 7, {CAP} + 8] else ids end as ids from g, lit""")
+def lit_cap_zero(spark, sf):
+    """Literal ids go; where any was there, subword ids follow, moved up by the vocabulary's size."""
+    vocab = _vocab(spark, sf)
+    ids = C.encode(_lexed(spark, sf), vocab, ["doc_id", "pos"])
+    literal = vocab.filter("token like 'LIT:%'").agg(F.collect_list(F.col("id").cast("int")).alias("l"))  # at most the cap
+    joined = ids.join(F.broadcast(literal))
+    return joined.select("doc_id", "pos", K.drop_literals(F.col("ids"), F.col("l"), F.array(F.lit(7), F.lit(8)), CAP).alias("ids"))
+
+
+@query()
+def ids_permute(spark, sf):
+    """A seeded permutation of the ids of structured tokens; literals and specials keep theirs."""
+    return B.permuted(_vocab(spark, sf), seed=11)
+
+
+@query(f"with {_top(CAP)} select case when starts_with(token, '[') then 'SPECIAL' else string_split(token, ':')[1] end as bucket, count(*) as n from vocab group by bucket")
+def vocab_buckets(spark, sf):
+    bucket = F.when(F.col("token").startswith("["), "SPECIAL").otherwise(F.substring_index("token", ":", 1))
+    return _vocab(spark, sf).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query(f"""with {D.SENT}, {D.NORM}, {D.WORD}, {D.DISTINCT}, {D.LEMMA}, {D.AFFIX}, {D.DECOMPOSED}, {D.FIELD}, {D.emitted(True)}, o as (select word, array_to_string(em.tokens, ' ') as t, count(*) as n from word join em using (word) group by word, t)
+    select word, arg_max(t, n) as tokens, sum(n)::bigint as n from o group by word""")
+def agg_lookup_w2t(spark, sf):
+    """The most common token sequence of each word."""
+    words = C.words(C.sentences(read(spark, sf, "documents")))
+    lexicon = C.emit(C.analyse(words.select("word").distinct(), C.lemma_table(spark), C.field_table(spark)), atomic=True)
+    each = words.groupBy("word").agg(F.count("*").alias("n")).join(lexicon.select("word", F.array_join("tokens", " ").alias("tokens")), "word")
+    return each.groupBy("word").agg(F.max_by("tokens", "n").alias("tokens"), F.sum("n").alias("n"))
+
+
+@query(f"""with {D.tokenized(True)}, c as (select doc_id, pos, i, len(em.tokens) as c from word join em using (word)) select doc_id, pos, i, c::int as c, coalesce(sum(c) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from c""")
+def win_cumulative_cursor(spark, sf):
+    """Where each word's tokens start in its sentence: a running sum of the counts before."""
+    words = C.words(C.sentences(read(spark, sf, "documents")))
+    lexicon = C.emit(C.analyse(words.select("word").distinct(), C.lemma_table(spark), C.field_table(spark)), atomic=True)
+    counted = words.join(lexicon.select("word", F.size("tokens").alias("c")), "word")
+    before = Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    return counted.select("doc_id", "pos", "i", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+
+
+@query(f"""with {D.SENT}, {D.NORM}, {D.WORD} select word, coalesce(t, case when length(word) > 3 then 'SURF:' || word else '[UNK]' end) as token, count(*) as n from word left join ({D.values(L.RELATIONS.items())}) r(word, t) using (word) group by word, t""")
+def demo_encode(spark, sf):
+    words = C.words(C.sentences(read(spark, sf, "documents"))).groupBy("word").agg(F.count("*").alias("n"))
+    table = C.table(spark, list(L.RELATIONS.items()), "word string, t string")
+    token = F.coalesce("t", F.when(F.length("word") > 3, F.concat(F.lit("SURF:"), "word")).otherwise("[UNK]"))
+    return words.join(F.broadcast(table), "word", "left").select("word", token.alias("token"), "n")
