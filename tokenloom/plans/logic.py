@@ -1 +1,282 @@
-"""Placeholder until its queries are here."""
+"""Logic tokens, the formal lexer, small parsers, and the Arabic tokenizer over fixtures."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tokenloom import lexicon as L
+from tokenloom import lexicon_ar as A
+from tokenloom.functions import text as T
+from tokenloom.functions import tokens as K
+from tokenloom.operators import arabic as R
+from tokenloom.operators import corpus as C
+from tokenloom.operators import reasoning as G
+from tokenloom.plans import dialect as D
+from tokenloom.plans.registry import query, read
+
+FORMULAS = [
+    "2*x + 3 = 7", "(p ∧ q) → r", "x >= 0 and y != 1", "p <-> q", "∀x. P(x) → Q(x)", "not (p or q) => r", "x^2 - 42 < 1000", "∃y y ≤ 1", "solve 3x + 2 = 11", "all men are mortal ∴ qed", "a && b || !c", "", "¬¬p & & q",
+]
+
+
+@query(f"with f as (select i, {D.lex_formal('x')} as toks from ({D.values(list(enumerate(FORMULAS)))}) v(i, x)) select i, array_to_string({D.logic_collapse('toks')}, ' ') as tokens from f")
+def logic_formal(spark, sf):
+    rows = C.table(spark, list(enumerate(FORMULAS)), "i int, x string").withColumn("t", K.lex_formal(F.col("x")))
+    return rows.select("i", F.array_join(K.logic_collapse(F.col("t")), " ").alias("tokens"))
+
+
+@query(f"with {D.SENT}, f as (select doc_id, pos, {D.lex_formal('sent')} as toks from sent) select doc_id, pos, array_to_string({D.logic_collapse('toks')}, ' ') as tokens from f")
+def logic_formal_corpus(spark, sf):
+    rows = C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", K.lex_formal(F.col("sent")).alias("t"))
+    return rows.select("doc_id", "pos", F.array_join(K.logic_collapse(F.col("t")), " ").alias("tokens"))
+
+
+@query(f"with {D.tokenized()}, p as (select doc_id, pos, {D.logic_parts('tokens')} as p from tok) select doc_id, pos, array_to_string({D.logic_collapse('p')}, ' ') as tokens from p")
+def proj_logic(spark, sf):
+    rows = C.tokenize_english(read(spark, sf, "documents")).select("doc_id", "pos", K.logic_parts(F.col("tokens")).alias("p"))
+    return rows.select("doc_id", "pos", F.array_join(K.logic_collapse(F.col("p")), " ").alias("tokens"))
+
+
+@query(f"with {D.tokenized(True)}, p as (select {D.logic_parts('tokens')} as p from tok), t as (select unnest({D.logic_collapse('p')}) as t from p) select case when starts_with(t, '[') then 'SPECIAL' else string_split(t, ':')[1] end as bucket, count(*) as n from t group by bucket")
+def agg_logic_bucket(spark, sf):
+    rows = C.tokenize_english(read(spark, sf, "documents"), atomic=True).select(K.logic_parts(F.col("tokens")).alias("p"))
+    each = rows.select(F.explode(K.logic_collapse(F.col("p"))).alias("t"))
+    return each.groupBy(F.when(F.col("t").startswith("["), "SPECIAL").otherwise(F.substring_index("t", ":", 1)).alias("bucket")).agg(F.count("*").alias("n"))
+
+
+@query("with t as (select (doc_id % 300 - 50)::int as n from documents) select n, count(*) as c, case when n = 0 then 'N:ZERO' when n = 1 then 'N:ONE' when n < 0 then 'N:NEG' when n <= 100 then 'N:SMALL' else 'N:LARGE' end as bucket from t group by n")
+def logic_int_bucket(spark, sf):
+    numbers = read(spark, sf, "documents").select((F.col("doc_id") % 300 - 50).cast("int").alias("n"))
+    return numbers.groupBy("n").agg(F.count("*").alias("c")).withColumn("bucket", K.integer_bucket(F.col("n")))
+
+
+_BUCKETS = [(b, i, t, j) for i, (b, ts) in enumerate(L.LOGIC_BUCKETS.items()) for j, t in enumerate(ts)]
+
+
+@query(f"select token, bucket, row_number() over (order by b, case when b = 0 then j else 0 end, token) - 1 as id from ({D.values(_BUCKETS)}) v(bucket, b, token, j)")
+def vocab_closed(spark, sf):
+    return G.closed_vocabulary(spark)
+
+
+@query("select doc_id, pos, array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ') as words from (select doc_id, pos, string_split(sent, ' ') as w from (with " + D.SENT + " select * from sent))")
+def collapse_adjacent(spark, sf):
+    words = C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", F.split("sent", " ").alias("w"))
+    return words.select("doc_id", "pos", F.array_join(K.collapse(F.col("w"), lambda t: F.lit(True)), " ").alias("words"))
+
+
+ANSWERS = ["yes", " No ", "TRUE", "invalid", "maybe", "نعم", "لا", "", "Valid"]
+
+
+@query(f"select a, case when lower(trim(a)) in ('yes', 'نعم', 'valid', 'true') then 'yes' when lower(trim(a)) in ('no', 'لا', 'invalid', 'false') then 'no' end as label from ({D.values([(a,) for a in ANSWERS])}) v(a)")
+def gold_label(spark, sf):
+    return C.table(spark, [(a,) for a in ANSWERS], "a string").select("a", T.gold_label(F.col("a")).alias("label"))
+
+
+QUESTIONS = ["Premise: all men walk\nHypothesis: some men walk\nyes?", "no marks", "المقدمة: كل\nالفرضية: بعض\n"]
+
+
+@query(f"select q, regexp_extract(q, '(?:Premise|المقدمة): *([^\\n]*)\\n(?:Hypothesis|الفرضية): *([^\\n]*)', 1) as premise, regexp_extract(q, '(?:Premise|المقدمة): *([^\\n]*)\\n(?:Hypothesis|الفرضية): *([^\\n]*)', 2) as hypothesis from ({D.values([(q,) for q in QUESTIONS])}) v(q)")
+def nli_parse(spark, sf):
+    return C.table(spark, [(q,) for q in QUESTIONS], "q string").withColumn("x", T.nli(F.col("q"))).select("q", "x.premise", "x.hypothesis")
+
+
+@query("""with t as (select conv_id, string_agg(text, chr(10) order by turn) || ' #### ' || count(*) as s from conversations group by conv_id)
+    select conv_id, trim(regexp_extract(s, '(?s)^(.*)####(.*)$', 2)) as answer, len(list_filter(list_transform(string_split(regexp_extract(s, '(?s)^(.*)####(.*)$', 1), chr(10)), lambda x: trim(x)), lambda x: x <> ''))::int as steps from t""")
+def gsm8k_split(spark, sf):
+    turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("n"))
+    solution = F.concat(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(" #### "), F.col("n"))
+    made = turns.select("conv_id", T.answer_after_hashes(solution).alias("s"))
+    return made.select("conv_id", F.col("s.answer").alias("answer"), F.size("s.steps").alias("steps"))
+
+
+POLYNOMIALS = [("2x + x - 3x", 0), ("x", 1), ("-x + 4x", 3), ("10x-x", 9), ("7", 0)]
+
+
+@query(f"select * from ({D.values(POLYNOMIALS)}) v(p, sum_x)")
+def poly_simplify(spark, sf):
+    return C.table(spark, [(p,) for p, _ in POLYNOMIALS], "p string").select("p", T.sum_of_terms(F.col("p")).alias("sum_x"))
+
+
+PROPOSITIONS = [("All men are mortal.", "A", "men", "mortal"), ("therefore, no cats are dogs", "E", "cats", "dogs"), ("Some birds are not black", "O", "birds", "black"), ("some cats are black", "I", "cats", "black"), ("cats purr", None, None, None)]
+
+
+@query(f"select * from ({D.values(PROPOSITIONS)}) v(s, form, subject, predicate)")
+def parse_categorical(spark, sf):
+    return C.table(spark, [(p[0],) for p in PROPOSITIONS], "s string").withColumn("c", T.categorical(F.col("s"))).select("s", "c.form", "c.subject", "c.predicate")
+
+
+@query(f"select s, case form when 'A' then 'Q:ALL C:CONCEPT R:IS C:CONCEPT' when 'E' then 'Q:NO C:CONCEPT R:IS C:CONCEPT' when 'I' then 'Q:SOME C:CONCEPT R:IS C:CONCEPT' when 'O' then 'Q:SOME C:CONCEPT R:IS L:NOT C:CONCEPT' end as tokens from ({D.values(PROPOSITIONS)}) v(s, form, subject, predicate)")
+def cat_to_logic(spark, sf):
+    rows = C.table(spark, [(p[0],) for p in PROPOSITIONS], "s string").withColumn("c", T.categorical(F.col("s")))
+    return rows.select("s", F.array_join(T.categorical_logic(F.col("c.form")), " ").alias("tokens"))
+
+
+ASSIGNED = [("p=true, q = f then p and q", "p", True), ("p=1; p=0; p", "p", False), ("x = t", "x", True)]
+
+
+@query(f"select * from ({D.values(ASSIGNED)}) v(s, name, value)")
+def parse_assignments(spark, sf):
+    rows = C.table(spark, ASSIGNED, "s string, name string, w boolean").withColumn("m", T.assignments(F.col("s")))
+    return rows.select("s", "name", F.try_element_at("m", F.col("name")).alias("value"))
+
+
+@query()
+def eval_prop(spark, sf):
+    """Formulas under assignments, by a parser in Arrow batches; an unknown variable makes the value unknown."""
+    rows = [("p=true; q=false; p ∧ q",), ("p=true; q=false; p ∨ q → r",), ("p=1; ¬p",), ("p=t; q=t; (p ↔ q) ∧ ¬false",), ("p=f; p → q",)]
+    return G.evaluate(C.table(spark, rows, "s string"))
+
+
+@query()
+def solve_algebra(spark, sf):
+    rows = [("solve 3x + 2 = 11",), ("solve 2*y - 4 = 7",), ("solve 0x + 1 = 2",), ("simplify 2x + x",)]
+    return G.solve(C.table(spark, rows, "s string"))
+
+
+_FORMS = "(values ('A'), ('E'), ('I'), ('O'))"
+
+
+def _holds(form: str, a: int, b: int) -> str:
+    """SQL for whether a form holds of two sets in a population; bits of a region: 1 subject, 2 middle, 4 predicate."""
+    inside = [r for r in range(1, 8) if r & a and r & b]
+    outside = [r for r in range(1, 8) if r & a and not r & b]
+
+    def any_(rs):
+        return "(" + " or ".join(f"pop & {1 << (r - 1)} <> 0" for r in rs) + ")"
+
+    return f"case {form} when 'A' then not {any_(outside)} when 'E' then not {any_(inside)} when 'I' then {any_(inside)} else {any_(outside)} end"
+
+
+def _figure(f: int) -> tuple[tuple[int, int], tuple[int, int]]:
+    major, minor = ((2, 4), (1, 2))
+    return {1: (major, minor), 2: (major[::-1], minor), 3: (major, minor[::-1]), 4: (major[::-1], minor[::-1])}[f]
+
+
+_SYLLOGISM = " union all ".join(
+    f"select {f} as figure, a.f as major, b.f as minor, c.f as conclusion, bool_and(not (({_holds('a.f', *_figure(f)[0])}) and ({_holds('b.f', *_figure(f)[1])})) or ({_holds('c.f', 1, 4)})) as valid from {_FORMS} a(f), {_FORMS} b(f), {_FORMS} c(f), range(128) p(pop) group by a.f, b.f, c.f"
+    for f in (1, 2, 3, 4)
+)
+
+
+@query(_SYLLOGISM)
+def judge_syllogism(spark, sf):
+    """All 256 moods and figures against all populations of the seven regions: fixed in size."""
+    return G.syllogism_table(spark)
+
+
+@query("select array_to_string(t, ' ') as tokens, case when list_contains(t, 'L:TRUE') then 'true' when list_contains(t, 'L:FALSE') then 'false' else array_to_string(t, ' ') end as answer from (values (['L:TRUE']), (['V:P', 'L:FALSE']), (['N:ONE', 'A:PLUS'])) v(t)")
+def format_answer(spark, sf):
+    rows = C.table(spark, [(["L:TRUE"],), (["V:P", "L:FALSE"],), (["N:ONE", "A:PLUS"],)], "t array<string>")
+    return rows.select(F.array_join("t", " ").alias("tokens"), T.format_answer(F.col("t")).alias("answer"))
+
+
+@query("select * from (values ('(p and q) implies r'), ('all concept is concept')) v(phrase)")
+def humanize(spark, sf):
+    rows = C.table(spark, [("L:LPAREN V:P L:AND V:Q L:RPAREN L:IMPL V:R".split(),), ("Q:ALL C:CONCEPT R:IS C:CONCEPT".split(),)], "t array<string>")
+    return rows.select(T.humanize(F.col("t")).alias("phrase"))
+
+
+SENTENCES_AR = [(1, "هل كتب الطالب الكتاب في 1995؟"), (2, "لم يذهب محمد إلى المكتبة"), (3, "وبكتابه قال: إن 50% من 5000 صغير!"), (4, "كتب Ali-Baba في يناير 3.5"), (5, "ما ذلك؟"), (6, "")]
+
+
+def _a(**x):
+    return tuple(x.get(f) for f in A.FIELDS)
+
+
+ANALYSES_AR = [
+    ("كتب", [_a(root="ك.ت.ب", pattern="1َ2َ3", pos="verb", lex="katab", asp="p", per="3", gen="m", num="s")]),
+    ("الطالب", [_a(root="ط.ل.ب", pattern="1ا2ِ3", pos="noun", lex="TAlib", prc0="Al_det", gen="m", num="s")]),
+    ("الكتاب", [_a(root="ك.ت.ب", pattern="1ِ2ا3", pos="noun", lex="kitAb", prc0="Al_det")]),
+    ("يذهب", [_a(root="ذ.ه.ب", pos="verb", lex="*ahab", asp="i", per="3", gen="m", num="s")]),
+    ("محمد", [_a(root="ح.م.د", pos="noun_prop", lex="muHam~ad")]),
+    ("المكتبة", [_a(root="ك.ت.ب", pattern="مَ1ْ2َ3َة", pos="noun", lex="maktabap", prc0="Al_det", gen="f"), _a(root="NTWS", pos="noun_prop", lex="maktabap")]),
+    ("وبكتابه", [_a(root="ك.ت.ب", pattern="1ِ2ا3", pos="noun", lex="kitAb", prc2="wa_conj", prc1="bi_prep", enc0="3ms_poss")]),
+    ("قال", [_a(root="ق.#.ل", pos="verb", lex="qAl", asp="p", per="3", gen="m", num="s")]),
+    ("صغير", [_a(root="ص.غ.ر", pattern="1َ2ي3", pos="adj", lex="Sagiyr")]),
+    ("ما", [_a(root="NTWS", pos="part_neg", lex="mA")]),
+]
+
+
+def _arabic(spark):
+    return C.table(spark, SENTENCES_AR, "id int, text string"), spark.createDataFrame(ANALYSES_AR, R.ANALYSES), R.root_table(spark)
+
+
+@query(f"select id, array_to_string(regexp_extract_all(text, {D.quote(R.SPLIT)}), '|') as words from ({D.values(SENTENCES_AR)}) v(id, text)")
+def ar_split(spark, sf):
+    return _arabic(spark)[0].select("id", F.array_join(R.split(F.col("text")), "|").alias("words"))
+
+
+VOWELLED = ["كِتَابٌ", "مُعَلِّم،", "ـكتـب", "ذلك؟"]
+
+
+@query(f"select w, regexp_replace(w, '[ً-ٰٟـ،؍؛؞؟٪-٭۔۝۞]', '', 'g') as bare from ({D.values([(w,) for w in VOWELLED])}) v(w)")
+def ar_strip(spark, sf):
+    return C.table(spark, [(w,) for w in VOWELLED], "w string").select("w", T.strip_arabic(F.col("w")).alias("bare"))
+
+
+NUMBERS = [("1995", "NUM:year"), ("12", "NUM:small"), ("5000", "NUM:measure"), ("3.5", "NUM:decimal"), ("50%", "NUM:percent"), ("2020.", None), ("١٩٩٥", "NUM:year"), ("99999999999", "NUM:measure"), ("٥٠٪", "NUM:percent"), ("0007", "NUM:small")]
+
+
+@query(f"select * from ({D.values(NUMBERS)}) v(raw, kind)")
+def ar_num_class(spark, sf):
+    return C.table(spark, [(n,) for n, _ in NUMBERS], "raw string").select("raw", T.number_class(F.col("raw")).alias("kind"))
+
+
+@query(f"select * from ({D.values([(1, 'STR:question'), (2, 'STR:neg:past'), (3, 'STR:emphasis'), (4, ''), (5, 'STR:question'), (6, '')])}) v(id, marks)")
+def ar_str_markers(spark, sf):
+    return _arabic(spark)[0].select("id", F.array_join(R.marks(F.col("text")), " ").alias("marks"))
+
+
+@query(f"select * from ({D.values([(w, None if w in ('محمد',) else a[0][0]) for w, a in ANALYSES_AR if w not in ('محمد', 'ما')] + [('محمد', 'ح.م.د'), ('ما', None)])}) v(word, root)")
+def ar_best_analysis(spark, sf):
+    return _arabic(spark)[1].select("word", R.best(F.col("analyses")).alias("a")).select("word", "a.root")
+
+
+@query(f"select * from ({D.values([('كتب', None), ('الطالب', 'agent'), ('الكتاب', 'instance'), ('يذهب', None), ('محمد', None), ('المكتبة', 'place'), ('وبكتابه', 'instance'), ('قال', None), ('صغير', 'quality'), ('ما', None)])}) v(word, role)")
+def ar_role(spark, sf):
+    return _arabic(spark)[1].select("word", R.best(F.col("analyses")).alias("a")).select("word", R.role(F.col("a")).alias("role"))
+
+
+@query(f"select * from ({D.values([('وبكتابه', 'REL:and REL:with', 'FEAT:pron:3ms', None), ('كتب', '', '', '3ms'), ('الطالب', '', '', None)])}) v(word, clitics, enclitic, person)")
+def ar_clitics(spark, sf):
+    rows = _arabic(spark)[1].filter(F.col("word").isin("وبكتابه", "كتب", "الطالب")).select("word", R.best(F.col("analyses")).alias("a"))
+    return rows.select("word", F.array_join(R.clitics(F.col("a")), " ").alias("clitics"), F.array_join(R.enclitic(F.col("a")), " ").alias("enclitic"), R.person(F.col("a")).alias("person"))
+
+
+@query(f"select * from ({D.values([('ق.#.ل', 'speak', 'ق.و.ل'), ('ك.ت.ب', 'write', 'ك.ت.ب'), ('#.ق.ت', 'time', 'و.ق.ت')])}) v(root, field, canonical)")
+def ar_weak_root(spark, sf):
+    wanted = C.table(spark, [("ق.#.ل",), ("ك.ت.ب",), ("#.ق.ت",)], "root string")
+    return wanted.join(R.root_closure(R.root_table(spark)), "root").select("root", "field", R.canonical_root(F.col("root")).alias("canonical"))
+
+
+TOKENS_AR = [
+    (1, "[BOS] STR:question ROOT:write FEAT:asp:p FEAT:3ms ROOT:want ROLE:agent ROOT:write ROLE:instance REL:in NUM:year [EOS]"),
+    (2, "[BOS] STR:neg:past ROOT:move FEAT:asp:i FEAT:3ms NE:محمد REL:to ROOT:write ROLE:place [EOS]"),
+    (3, "[BOS] STR:emphasis REL:and REL:with ROOT:write ROLE:instance FEAT:pron:3ms ROOT:speak FEAT:asp:p FEAT:3ms LIT:إن NUM:percent REL:from NUM:measure ROOT:ص.غ.ر [EOS]"),
+    (4, "[BOS] ROOT:write FEAT:asp:p FEAT:3ms FOREIGN:ali-baba REL:in TIME:month:jan NUM:decimal [EOS]"),
+    (5, "[BOS] STR:question REL:what REL:those [EOS]"),
+    (6, "[BOS] [EOS]"),
+]
+
+
+@query(f"select * from ({D.values(TOKENS_AR)}) v(id, tokens)")
+def ar_tokenize(spark, sf):
+    return R.tokenize(*_arabic(spark)).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"select id, true as aligned from ({D.values(TOKENS_AR)}) v(id, tokens)")
+def ar_alignment(spark, sf):
+    made = R.tokenize(*_arabic(spark), space=True)
+    total = F.aggregate("word_token_counts", F.lit(0), lambda a, b: a + b)
+    return made.select("id", (F.size("tokens") == 2 + F.col("prefix_count") + total).alias("aligned"))
+
+
+@query()
+def ar_root_pattern(spark, sf):
+    return R.tokenize(*_arabic(spark), root_pattern=True).select("id", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query()
+def ar_legacy_tokenize(spark, sf):
+    sents, analyses, roots = _arabic(spark)
+    return R.legacy_tokens(sents.select(F.explode(R.split(F.col("text"))).alias("word")), analyses, roots)
