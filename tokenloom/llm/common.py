@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import sys
 import tempfile
@@ -22,6 +23,9 @@ ARROW_ROWS, ARROW_MB = 2_000, 16
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
 STEP_BYTES = 4 << 20
 
+#: The same for steps that hold many numbers for each byte.
+SMALL_STEP_BYTES = 1 << 20
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -85,6 +89,20 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         a = b
 
 
+def lean(run):
+    """run, an iterator over batches, that gives its memory back at the end: workers are used again by other operators."""
+
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # another C library has no such call
+            pass
+
+    return wrapped
+
+
 def large_binary(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(
         pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]

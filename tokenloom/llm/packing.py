@@ -82,7 +82,7 @@ def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                 )
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, piece int, start long, length long, ids binary")
+    return narrow.mapInArrow(common.lean(run), "id long, piece int, start long, length long, ids binary")
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

@@ -211,11 +211,11 @@ def _map(df: DataFrame, text_col: str, carry: list[str], column: str, make) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = common.flat_text(batch.column(0))
-            for a, b in common.steps(offsets):
+            for a, b in common.steps(offsets, common.SMALL_STEP_BYTES):
                 x = text_features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), make(x)], ["row", name])
 
-    return narrow.mapInArrow(run, f"row {narrow.schema['row'].dataType.simpleString()}, {column}").select("row.*", name)
+    return narrow.mapInArrow(common.lean(run), f"row {narrow.schema['row'].dataType.simpleString()}, {column}").select("row.*", name)
 
 
 def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:

@@ -73,7 +73,7 @@ def fingerprints(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(found, np.uint64).view(np.int64))], ["id", "fp"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, fp long").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(common.lean(run), "id long, fp long").withColumnRenamed("id", id_col)
 
 
 def _chain_holds(diff: np.ndarray, max_bits: int) -> np.ndarray:
@@ -242,7 +242,7 @@ def near_links(distinct: DataFrame, *, max_bits: int = MAX_BITS) -> DataFrame:
     keys = F.array(*(F.xxhash64(F.lit(n), F.col("fp").bitwiseAND(F.lit(m))) for n, m in enumerate(masks)))
     keyed = distinct.select(F.explode(keys).alias("key"), "fp")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = common.stored(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_candidates(max_bits), _LINKS))
+    found = common.stored(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(common.lean(_candidates(max_bits)), _LINKS))
     blocks = found.filter("members is not null").select("key", "block", "members")
     other = blocks.select(F.col("key").alias("k2"), F.col("block").alias("b2"), F.col("members").alias("m2"))
     pairs = blocks.join(other, (F.col("key") == F.col("k2")) & (F.col("block") <= F.col("b2"))).select("members", "m2").repartition(parts)

@@ -95,7 +95,7 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(anchor, n, least and largest context hash) for some MB of text at a time."""
     for batch in batches:
         data, offsets = common.flat_text(batch.column(2))
-        for a, b in common.steps(offsets):
+        for a, b in common.steps(offsets, common.SMALL_STEP_BYTES):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             _, first, count, place, h = anchors(part, off)
             if not len(h):
@@ -111,7 +111,7 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = common.flat_text(batch.column(2))
-        for a, b in common.steps(offsets):
+        for a, b in common.steps(offsets, common.SMALL_STEP_BYTES):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             row, first, count, place, h = anchors(part, off)
             at = pa.array(row)
@@ -341,10 +341,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     common.prepare(spark)
     docs = docs.select("id", "digest", "text")
-    counts = docs.mapInArrow(_anchor_counts, "anchor long, n long, low long, high long")
+    counts = docs.mapInArrow(common.lean(_anchor_counts), "anchor long, n long, low long, high long")
     found = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1")
     kind = F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= HOT, 1).otherwise(2)
-    hits = docs.mapInArrow(_occurrences, "id long, digest long, anchor long, first long, count smallint, shift smallint").join(found.select("anchor", kind.alias("kind")), "anchor")
+    hits = docs.mapInArrow(common.lean(_occurrences), "id long, digest long, anchor long, first long, count smallint, shift smallint").join(found.select("anchor", kind.alias("kind")), "anchor")
     hits = common.stored(hits)
     spans = hits.filter("kind = 0").select("id", "digest", F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + WINDOW).alias("hi"))
     sizes = {r["kind"]: r["count"] for r in hits.groupBy("kind").count().collect()}
@@ -356,7 +356,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
 
     if sizes.get(1):
         buckets = -(-sizes[1] // BUCKET)
-        runs = contexts(1).mapInArrow(_runs(buckets), _RUN)
+        runs = contexts(1).mapInArrow(common.lean(_runs(buckets)), _RUN)
         spans = spans.union(runs.groupBy("bucket").applyInArrow(_merge, _SPANS))
     if sizes.get(2):
         each = common.stored(contexts(2).mapInArrow(_window_rows, "id long, digest long, lo long, h1 long, h2 long"))
@@ -411,7 +411,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     joined = keyed.join(spans, ["id", "digest"], "left").select(F.col("text").cast("binary").alias("text"), "spans", "row")
     fields = joined.schema["row"].dataType.simpleString()
     kind = "string" if as_text else "binary"
-    made = joined.mapInArrow(lambda batches: _cut(batches, as_text), f"row {fields}, n_bytes long, n_removed long, n_spans long, kept {kind}")
+    made = joined.mapInArrow(common.lean(lambda batches: _cut(batches, as_text)), f"row {fields}, n_bytes long, n_removed long, n_spans long, kept {kind}")
     return made.select("row.*", "n_bytes", "n_removed", "n_spans", "kept")
 
 
