@@ -1 +1,201 @@
-"""Placeholder until its queries are here."""
+"""Metrics, gates, significance, parity and scores."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tokenloom.functions import tokens as K
+from tokenloom.operators import corpus as C
+from tokenloom.operators import stats as S
+from tokenloom.plans import dialect as D
+from tokenloom.plans.registry import query, read
+
+
+def _predicted(spark, sf):
+    """(doc_id, lang, source, pred, gold): a rule's guess of each label."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", "source", (F.col("n_chars") > 1000).cast("int").alias("pred"))
+    return docs.join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("gold")), "doc_id")
+
+
+_PRED = "pred as (select doc_id, lang, source, (n_chars > 1000)::int as pred, quality as gold from documents join labels using (doc_id))"
+_METRICS = """count(*) as n, count(*) filter (where pred = 1 and gold = 1) as tp, count(*) filter (where pred = 1 and gold = 0) as fp, count(*) filter (where pred = 0 and gold = 0) as tn, count(*) filter (where pred = 0 and gold = 1) as fn"""
+
+
+@query(f"""with {_PRED}, m as (select lang, {_METRICS} from pred group by lang), r as (select *, tp / greatest(1, tp + fp) as p, tp / greatest(1, tp + fn) as rc from m)
+    select lang, n, tp, fp, tn, fn, round((tp + tn) / greatest(1, n), 4) as accuracy, round(p, 4) as precision, round(rc, 4) as recall, round(2 * p * rc / greatest(1e-12, p + rc), 4) as f1 from r""")
+def agg_binary_metrics(spark, sf):
+    return S.binary_metrics(_predicted(spark, sf), "pred", "gold", ["lang"])
+
+
+@query(f"with {_PRED} select lang, gold, grouping_id(lang, gold) as level, count(*) as n, avg((pred = gold)::int) as accuracy from pred group by grouping sets ((), (lang), (gold))")
+def agg_grouped_accuracy(spark, sf):
+    return S.grouped_accuracy(_predicted(spark, sf).withColumn("right", F.col("pred") == F.col("gold")), ["lang", "gold"])
+
+
+@query(f"with {_PRED}, c as (select lang, gold, count(*) as n from pred group by lang, gold) select lang, arg_max(gold, (n, -gold)) as majority, max(n) / sum(n) as share from c group by lang")
+def agg_majority(spark, sf):
+    """The most frequent label of each language; of equal ones the smaller."""
+    counts = _predicted(spark, sf).groupBy("lang", "gold").agg(F.count("*").alias("n"))
+    return counts.groupBy("lang").agg(F.max_by("gold", F.struct("n", -F.col("gold"))).alias("majority"), (F.max("n") / F.sum("n")).alias("share"))
+
+
+@query("""with t as (select lang, quality, unnest(string_split(lower(text), ' ')) as token from documents join labels using (doc_id)), c as (select lang, quality, token, count(*) as n from t group by all)
+    select lang, quality, token, n from (select *, row_number() over (partition by lang, quality order by n desc, token) as r from c) where r <= 5""")
+def agg_top5_answer_tokens(spark, sf):
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split(F.lower("text"), " ").alias("t")).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    counts = docs.select("lang", "quality", F.explode("t").alias("token")).groupBy("lang", "quality", "token").agg(F.count("*").alias("n"))
+    best = Window.partitionBy("lang", "quality").orderBy(F.desc("n"), "token")
+    return counts.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+
+
+_DIST = """d as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations), e as (select role, levenshtein(regexp_replace(text, '[^ -~]', '', 'g'), regexp_replace(nxt, '[^ -~]', '', 'g')) as dist from d where nxt is not null)"""
+
+
+@query(f"with {_DIST} select role, count(*) as n, avg(dist) as mean, median(dist) as median, coalesce(stddev_samp(dist), 0) as std from e group by role")
+def agg_edit_distance_by_label(spark, sf):
+    """Edit distance between turns and their next ones, by role, over their ASCII characters."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    following = turns.withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nxt is not null")
+    dist = following.select("role", F.levenshtein(F.regexp_replace("text", "[^ -~]", ""), F.regexp_replace("nxt", "[^ -~]", "")).alias("dist"))
+    return dist.groupBy("role").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.median("dist").alias("median"), F.coalesce(F.stddev_samp("dist"), F.lit(0.0)).alias("std"))
+
+
+@query("select source, count(*) as n, avg(n_chars) as mean, coalesce(stddev_samp(n_chars), 0) as std from documents group by source")
+def agg_mean_std(spark, sf):
+    return S.mean_std(read(spark, sf, "documents").select("source", "n_chars"), ["source"], "n_chars")
+
+
+@query("""with s as (select lang, count(*) as n, avg(n_chars) as m, coalesce(stddev_samp(n_chars), 0) ** 2 as v from documents group by lang)
+    select a.lang as a, b.lang as b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) as t, (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) as dof from s a join s b on a.lang < b.lang""")
+def agg_welch_t(spark, sf):
+    return S.welch(S.mean_std(read(spark, sf, "documents").select("lang", "n_chars"), ["lang"], "n_chars"), "lang")
+
+
+@query(f"""with {D.SENT}, {D.REASON}, p as (select array_to_string(default_tokens, ' ') = array_to_string(reasoning_tokens, ' ') as exact, list_sort(list_distinct(default_tokens)) = list_sort(list_distinct(reasoning_tokens)) as same_set,
+        list_sort(list_transform(default_tokens, lambda t: string_split(t, ':')[1])) = list_sort(list_transform(reasoning_tokens, lambda t: string_split(t, ':')[1])) as same_types from proj)
+    select count(*) as n, avg(exact::int) as exact, avg(same_set::int) as same_set, avg(same_types::int) as same_types from p""")
+def agg_parity(spark, sf):
+    """How many rows of two tokenizations agree exactly, as sets, and by types."""
+    lexed = C.sentences(read(spark, sf, "documents")).select(K.lex_english(F.col("sent")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en")).withColumn("r", K.reasoning_collapse(F.col("k")))
+
+    def kinds(c):
+        return F.array_sort(F.transform(c, lambda t: F.substring_index(t, ":", 1)))
+
+    made = lexed.select(
+        (F.array_join("d", " ") == F.array_join("r", " ")).cast("int").alias("e"), (F.array_sort(F.array_distinct("d")) == F.array_sort(F.array_distinct("r"))).cast("int").alias("s"), (kinds("d") == kinds("r")).cast("int").alias("t"),
+    )
+    return made.agg(F.count("*").alias("n"), F.avg("e").alias("exact"), F.avg("s").alias("same_set"), F.avg("t").alias("same_types"))
+
+
+_SCORES = "scores as (select event_id, 0.5 + (event_id % 7) / 14.0 as p_full, 0.4 + (event_id % 5) / 10.0 as p_qonly, 0.3 + (event_id % 3) / 10.0 as p_shuf from events)"
+_GATE = """g as (select count(*) as n, avg(p_full) as mean_full, avg(p_qonly) as mean_qonly, avg(p_shuf) as mean_shuf, avg((p_full > p_qonly)::int) as wins_qonly, avg((p_full > p_shuf)::int) as wins_shuf from scores)"""
+
+
+def _scores(spark, sf):
+    e = F.col("event_id")
+    return read(spark, sf, "events").select("event_id", (0.5 + e % 7 / 14.0).alias("p_full"), (0.4 + e % 5 / 10.0).alias("p_qonly"), (0.3 + e % 3 / 10.0).alias("p_shuf"))
+
+
+@query(f"""with {_SCORES.replace('14.0', '14.0::double').replace('10.0', '10.0::double').replace('0.5 +', '0.5::double +').replace('0.4 +', '0.4::double +').replace('0.3 +', '0.3::double +')}, {_GATE}
+    select n, round(mean_full, 6) as mean_full, round(mean_full - mean_qonly, 6) as gap_qonly, round(mean_full - mean_shuf, 6) as gap_shuf, wins_qonly, wins_shuf,
+        mean_full >= 0.6 and mean_full - mean_qonly >= 0.03 and mean_full - mean_shuf >= 0.03 and wins_qonly >= 0.6 and wins_shuf >= 0.6 as passed from g""")
+def agg_signal_gate(spark, sf):
+    made = S.signal_gate(_scores(spark, sf))
+    return made.select("n", *(F.round(c, 6).alias(c) for c in ("mean_full", "gap_qonly", "gap_shuf")), "wins_qonly", "wins_shuf", "passed")
+
+
+@query(f"""with {_PRED}, m as (select avg((pred = gold)::int) filter (where source in ('src0', 'src1', 'src2')) as acc_full, avg((pred = gold)::int) filter (where source in ('src3', 'src4')) as acc_control, max(s) as majority from pred,
+        (select max(n) / sum(n) as s from (select count(*) as n from pred group by gold)))
+    select acc_full, acc_control, acc_full - acc_control as gap, majority, list_filter([case when not acc_full >= 0.6 then 'accuracy' end, case when not acc_full - acc_control >= 0.05 then 'gap' end, case when not acc_full > majority then 'majority' end], lambda x: x is not null) as failed from m""")
+def agg_hard_logic_gate(spark, sf):
+    """Accuracy by mode, the gap, and which criteria fail."""
+    own = _predicted(spark, sf)
+    right = (F.col("pred") == F.col("gold")).cast("int")
+    full = F.avg(F.when(F.col("source").isin("src0", "src1", "src2"), right))
+    control = F.avg(F.when(F.col("source").isin("src3", "src4"), right))
+    share = own.groupBy("gold").count().agg((F.max("count") / F.sum("count")).alias("majority"))
+    made = own.agg(full.alias("acc_full"), control.alias("acc_control")).join(F.broadcast(share)).withColumn("gap", F.col("acc_full") - F.col("acc_control"))
+    checks = [(F.col("acc_full") >= 0.6, "accuracy"), (F.col("gap") >= 0.05, "gap"), (F.col("acc_full") > F.col("majority"), "majority")]
+    return made.select("acc_full", "acc_control", "gap", "majority", F.array_compact(F.array(*(F.when(~c, F.lit(n)) for c, n in checks))).alias("failed"))
+
+
+_GATES = [(a, b, c) for a in (True, False) for b in (True, False) for c in (True, False)]
+
+
+@query(f"""select *, case when own_pass and (not base_pass or stronger) then 'advantage_supported' when own_pass then 'inconclusive_both_pass' when base_pass then 'disadvantage_baseline_wins'
+    when stronger then 'better_but_not_ready' else 'no_evidence_of_advantage' end as verdict from ({D.values(_GATES)}) v(own_pass, base_pass, stronger)""")
+def agg_verdict(spark, sf):
+    return S.verdict(C.table(spark, _GATES, "own_pass boolean, base_pass boolean, stronger boolean"))
+
+
+@query(f"with {_PRED} select a.lang, a.acc - b.acc as delta, a.n = b.n as same_n from (select lang, avg((pred = gold)::int) as acc, count(*) as n from pred group by lang) a join (select lang, avg((1 = gold)::int) as acc, count(*) as n from pred group by lang) b using (lang)")
+def agg_paired_delta(spark, sf):
+    own = _predicted(spark, sf)
+
+    def accuracy(right):
+        return own.groupBy("lang").agg(F.avg(right.cast("int")).alias("acc"), F.count("*").alias("n"))
+
+    a, b = accuracy(F.col("pred") == F.col("gold")).alias("a"), accuracy(F.col("gold") == 1).alias("b")
+    return a.join(b, "lang").select("lang", (F.col("a.acc") - F.col("b.acc")).alias("delta"), (F.col("a.n") == F.col("b.n")).alias("same_n"))
+
+
+RUNS = [("en_8k", 1.13, 1.75), ("en_32k", 1.23, 1.65), ("ar_8k", 1.15, 2.12), ("tie", 1.5, 1.5)]
+
+
+@query(f"select run, own::double as own, base::double as base, round((own - base)::double, 4) as delta, round((100 * (own - base) / base)::double, 2) as pct, case when own < base then 'own' when own > base then 'base' else 'tie' end as winner from ({D.values(RUNS)}) v(run, own, base)")
+def agg_compare_bpc(spark, sf):
+    made = C.table(spark, RUNS, "run string, own double, base double").withColumn("d", F.col("own") - F.col("base"))
+    winner = F.when(F.col("own") < F.col("base"), "own").when(F.col("own") > F.col("base"), "base").otherwise("tie")
+    return made.select("run", "own", "base", F.round("d", 4).alias("delta"), F.round(100 * F.col("d") / F.col("base"), 2).alias("pct"), winner.alias("winner"))
+
+
+@query("""with g as (select source, avg(n_chars) filter (where lang = 'en') as en, avg(n_chars) filter (where lang = 'fr') as fr from documents group by source)
+    select source, en, fr, case when en < fr then 'en' when en > fr then 'fr' when en = fr then 'tie' end as winner from g""")
+def agg_group_compare(spark, sf):
+    """Two groups side by side for each run: a pivot of a fixed list, so one pass."""
+    made = read(spark, sf, "documents").groupBy("source").agg(*(F.avg(F.when(F.col("lang") == x, F.col("n_chars"))).alias(x) for x in ("en", "fr")))
+    return made.withColumn("winner", F.when(F.col("en") < F.col("fr"), "en").when(F.col("en") > F.col("fr"), "fr").when(F.col("en") == F.col("fr"), "tie"))
+
+
+@query("select a.conv_id, a.turn, length(a.text) as own, length(b.text) as other from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
+def join_zip_position(spark, sf):
+    """Rows paired by position: an equi-join on explicit numbers."""
+    turns = read(spark, sf, "conversations")
+    own = turns.select("conv_id", "turn", F.length("text").alias("own"))
+    return own.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.length("text").alias("other")), ["conv_id", "turn"])
+
+
+@query("""with s as (select vec_id, label, list_transform(embedding[1:5], lambda x: x::double) as l from embeddings), m as (select *, list_max(l) as mx from s), z as (select *, mx + ln(list_sum(list_transform(l, lambda x: exp(x - mx)))) as lse from m)
+    select vec_id, (list_position(l, mx) - 1)::int as best, round(mx - lse, 6) as logp from z""")
+def score_candidates(spark, sf):
+    """Log-softmax of some scores and the best of them; of equal ones the first."""
+    scores = read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("l")).withColumn("m", F.array_max("l"))
+    total = F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda a, b: a + b)
+    return scores.select("vec_id", (F.array_position("l", F.col("m")) - 1).cast("int").alias("best"), F.round(-F.log(total), 6).alias("logp"))
+
+
+@query("""with s as (select vec_id, list_reverse_sort(list_transform(embedding, lambda x: x::double))[1:4] as l from embeddings), e as (select vec_id, list_transform(l, lambda x: exp((x - l[1]) / 0.8)) as e from s)
+    select vec_id, round(e[1] / list_sum(e), 6) as p1, round(list_sum(e[1:2]) / list_sum(e), 6) as p12 from e""")
+def topk_sampling(spark, sf):
+    """The probabilities of the two best of the top four scores at temperature 0.8."""
+    top = read(spark, sf, "embeddings").select("vec_id", F.slice(F.reverse(F.array_sort(F.transform("embedding", lambda x: x.cast("double")))), 1, 4).alias("l"))
+    e = top.select("vec_id", F.transform("l", lambda x: F.exp((x - F.get("l", F.lit(0))) / 0.8)).alias("e"))
+
+    def total(c):
+        return F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
+
+    return e.select("vec_id", F.round(F.get("e", F.lit(0)) / total("e"), 6).alias("p1"), F.round(total(F.slice("e", 1, 2)) / total("e"), 6).alias("p12"))
+
+
+@query("""with e as (select user_id % 20 as bucket, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2) select bucket, count(*) as hours, max(n) as most from e group by bucket""")
+def stream_windowed_coverage(spark, sf):
+    """An extension of this engine: events by hour; the streaming form is in tokenloom.streaming."""
+    hours = read(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("bucket"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
+    return hours.groupBy("bucket").agg(F.count("*").alias("hours"), F.max("n").alias("most"))
+
+
+@query("""with q as (select conv_id, turn, text, row_number() over (order by conv_id, turn) as r from conversations) select count(*) as n, sum(case when length(text) > 0 then 1 else 0 end)::bigint as kept, avg(length(text)) as mean from q""")
+def downstream_prep(spark, sf):
+    """Rows for a downstream task: empty parts are left out and counted."""
+    return read(spark, sf, "conversations").agg(F.count("*").alias("n"), F.sum(F.when(F.length("text") > 0, 1).otherwise(0)).alias("kept"), F.avg(F.length("text")).alias("mean"))

@@ -1 +1,121 @@
-"""Placeholder until its queries are here."""
+"""Generated data, verifier examples and joins between rows of a language."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tokenloom.functions import tokens as K
+from tokenloom.operators import corpus as C
+from tokenloom.operators import datagen as G
+from tokenloom.plans import dialect as D
+from tokenloom.plans.registry import query, read
+from tokenloom.sources import readers
+
+
+def _rows(spark, sf):
+    """(id, lang, label_name, q, cot, a): documents as records; the first four words ask, the last four answer, the rest is a step."""
+    labels = read(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("label_name"))
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("w")).join(labels, "doc_id")
+    return docs.select(F.format_string("d-%010d", "doc_id").alias("id"), "lang", "label_name", F.slice("w", 1, 4).alias("q"), F.array(F.slice("w", F.lit(5), F.greatest(F.size("w") - 8, F.lit(0)))).alias("cot"), F.slice("w", F.greatest(F.size("w") - 3, F.lit(1)), F.lit(4)).alias("a"))
+
+
+_ROWS = """rows as (select printf('d-%010d', d.doc_id) as id, lang, case when quality = 1 then 'yes' else 'no' end as label_name, w[1:4] as q, w[5:len(w) - 4] as c, w[greatest(len(w) - 3, 1):len(w)] as a
+    from (select doc_id, lang, string_split(text, ' ') as w from documents) d join labels using (doc_id))"""
+_OTHER = """other as (select *, coalesce(lead(c) over (partition by lang order by id), first_value(c) over (partition by lang order by id)) as c2 from rows),
+    pool as (select lang, case label_name when 'yes' then 'no' else 'yes' end as label_name, min(a) as flip from rows group by lang, rows.label_name), both_ as (select * from other left join pool using (lang, label_name))"""
+
+
+@query(f"with {_ROWS}, {_OTHER} select id, lang, array_to_string(c2, ' ') as other from other")
+def join_rotate(spark, sf):
+    made = G.next_of_language(_rows(spark, sf).withColumn("c", F.col("cot")[0]), "c")
+    return made.select("id", "lang", F.array_join("other", " ").alias("other"))
+
+
+@query(f"""with {_ROWS}, {_OTHER}, x as (
+    select id || ':pos' as id, id as source_id, lang, label_name, 'positive' as variant, 1 as label, list_concat(list_concat(q, c), a) as t from both_ union all
+    select id || ':neg_qonly:0', id, lang, label_name, 'neg_question_only', 0, list_concat(q, a) from both_ union all
+    select id || ':neg_shuf:0', id, lang, label_name, 'neg_shuffled_cot', 0, list_concat(list_concat(q, c2), a) from both_ union all
+    select id || ':neg_flip:0', id, lang, label_name, 'neg_answer_flip', 0, list_concat(list_concat(q, c), flip) from both_ where flip is not null union all
+    select id || ':neg_both:0', id, lang, label_name, 'neg_shuffled_and_flip', 0, list_concat(list_concat(q, c2), flip) from both_ where flip is not null)
+    select id, source_id, lang, label_name as answer_label, variant, label, array_to_string(t, ' ') as input_tokens from x""")
+def gen_verifier_dataset(spark, sf):
+    return G.verifier_examples(_rows(spark, sf)).withColumn("input_tokens", F.array_join("input_tokens", " "))
+
+
+@query(f"""with {_ROWS}, {_OTHER} select id as source_id, variant, array_to_string(list_concat(list_concat(q, c), a), ' ') as positive, array_to_string(n, ' ') as negative from (
+    select *, 'neg_question_only' as variant, list_concat(q, a) as n from both_ union all select *, 'neg_shuffled_cot', list_concat(list_concat(q, c2), a) from both_)""")
+def join_source_group(spark, sf):
+    pairs = G.pairwise(G.verifier_examples(_rows(spark, sf)), ["neg_question_only", "neg_shuffled_cot"])
+    return pairs.select("source_id", "variant", F.array_join("positive", " ").alias("positive"), F.array_join("negative", " ").alias("negative"))
+
+
+@query(f"with {_ROWS} select lang, case label_name when 'yes' then 'no' else 'yes' end as label_name, array_to_string(min(a), ' ') as flip, count(*) as n from rows group by lang, rows.label_name")
+def join_by_lang_pool(spark, sf):
+    pool = _rows(spark, sf).groupBy("lang", "label_name").agg(F.min("a").alias("flip"), F.count("*").alias("n"))
+    return pool.select("lang", F.when(F.col("label_name") == "yes", "no").otherwise("yes").alias("label_name"), F.array_join("flip", " ").alias("flip"), "n")
+
+
+@query(f"with {_ROWS} select id, array_to_string(list_concat(list_concat(q, c), a), ' ') as tokens from rows")
+def compose_tokens(spark, sf):
+    return _rows(spark, sf).select("id", F.array_join(K.compose(F.col("q"), F.col("cot"), F.col("a")), " ").alias("tokens"))
+
+
+@query(f"with {_ROWS} select id, array_to_string(case when len(c) > 0 then c else q end, ' ') as tokens from rows")
+def view_fallback(spark, sf):
+    """The default view, or the reasoning one where that is empty."""
+    first = F.col("cot")[0]
+    return _rows(spark, sf).select("id", F.array_join(F.when(F.size(first) > 0, first).otherwise(F.col("q")), " ").alias("tokens"))
+
+
+@query(f"with {_ROWS} select id, array_to_string(case when label_name = 'yes' and len(a) > 0 then a else c end, ' ') as tokens from rows")
+def cst_override(spark, sf):
+    """Precomputed tokens in the place of derived ones; an empty list counts as missing."""
+    given = F.when(F.col("label_name") == "yes", F.col("a"))
+    return _rows(spark, sf).select("id", F.array_join(F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(F.col("cot")[0]), " ").alias("tokens"))
+
+
+@query("select split, count(*) as n from (select case when quality = 1 then 'yes' else 'no' end as split from labels) group by split")
+def record_schema(spark, sf):
+    """The kind of each record by which fields it has."""
+    labels = read(spark, sf, "labels")
+    return labels.groupBy(F.when(F.col("quality") == 1, "yes").otherwise("no").alias("split")).agg(F.count("*").alias("n"))
+
+
+@query()
+def gen_prop_logic(spark, sf):
+    return G.prop_logic(spark, 200, 7)
+
+
+@query()
+def gen_holdout_prop(spark, sf):
+    """Deeper formulas than in training."""
+    return G.prop_logic(spark, 50, 11, depths=(5, 6, 7))
+
+
+@query()
+def gen_syllogism(spark, sf):
+    return G.syllogisms(spark, 300, 5)
+
+
+@query()
+def gen_holdout_syllogism(spark, sf):
+    """Moods as they fall, so few are valid."""
+    return G.syllogisms(spark, 100, 13, balanced=False)
+
+
+@query()
+def gen_holdout_algebra(spark, sf):
+    return G.algebra(spark, 100, 3)
+
+
+@query("""select printf('nli-%06d', conv_id) as id, case when turn % 3 = 0 then 'yes' else 'no' end as answer, 'Premise: ' || trim(text) || chr(10) || 'Hypothesis: ' || trim(role) || chr(10) || 'Does the hypothesis follow?' as question
+    from conversations where trim(text) <> '' and trim(role) <> ''""")
+def gen_xnli_record(spark, sf):
+    pairs = read(spark, sf, "conversations").select(F.col("conv_id").alias("idx"), F.col("text").alias("premise"), F.col("role").alias("hypothesis"), F.pmod("turn", F.lit(3)).alias("label"))
+    return readers.nli_records(pairs)
+
+
+@query(f"with {D.SENT} select lang, count(*) as n, count(distinct sent) as kinds from sent where length(sent) > 20 group by lang")
+def sentence_pool(spark, sf):
+    sents = C.sentences(read(spark, sf, "documents")).filter(F.length("sent") > 20)
+    return sents.groupBy("lang").agg(F.count("*").alias("n"), F.countDistinct("sent").alias("kinds"))
