@@ -37,6 +37,7 @@ LABELLED = [
     (0, "https://blog.pottery.example.com/en/5179?page=2&ref=x"), (0, "https://m.station.example.com/fr/12"), (0, "https://nation.example.com/en/33822?utm_source=feed"), (0, "https://blog.thunder.example.com/es/9/"),
     (0, "http://www.meadow.example.com/en/4.html"), (0, "https://m.northern.example.org/de/8#top"), (0, "https://mention.example.net/en/3"), (0, "http://tradition.example.com/en/77?page=2"),
     (0, "https://blog.lighthouse.example.com/en/34/"), (0, "https://m.botany.example.com/es/6120.html"), (0, "http://blog.other-thoughts.example.com/en/871#top"), (0, "https://therapy.example.com/en/15/"),
+    (0, "https://blog.museum.example.org/fr/31?utm_source=feed"), (0, "https://kitchen.example.net/fr/9"), (0, "http://m.harbour.example.net/fr/208.html"), (0, "https://www.stamps.example.com/es/44/"),
     (0, "https://www.university.edu/research/papers"), (0, "https://news.daily-press.com/en/2021/05/story.html"), (0, "https://blog.gardening.net/en/412"), (0, "https://m.recipes.org/fr/77"),
     (0, "https://en.encyclopedia.org/wiki/Water"), (0, "http://docs.library.net/manual/index.html"), (0, "https://museum.example.net/en/7809.html"), (0, "https://www.theatre.example.com/de/310/"),
     (0, "https://city-council.gov/services?page=2"), (0, "https://blog.astronomy.com/es/5179?page=2"), (0, "http://history.example.org/en/46808/"), (0, "https://m.weather.net/en/9001#top"),
