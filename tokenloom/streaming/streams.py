@@ -29,13 +29,18 @@ def token_counts(stream: DataFrame) -> DataFrame:
     return tokenized(stream).select(F.explode("tokens").alias("token")).groupBy("token").count()
 
 
+def _timed(stream: DataFrame, time_col: str) -> DataFrame:
+    """Watermarks want instants: times without a zone are read in the session's."""
+    return stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
+
+
 def deduplicated(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
     """Equal texts within the delay once; the watermark bounds the state."""
-    return stream.withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["text"])
+    return _timed(stream, time_col).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["text"])
 
 
 def windowed_counts(stream: DataFrame, time_col: str, width: str, delay: str) -> DataFrame:
-    return stream.withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    return _timed(stream, time_col).withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
 def run_once(spark: SparkSession, made: DataFrame, mode: str = "append") -> DataFrame:
