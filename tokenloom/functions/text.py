@@ -28,6 +28,12 @@ def any_of(pairs: list[tuple[Column, Column | str | None]], default: Column) ->
     return made
 
 
+def lookup(mapping: dict[str, str], key: Column, default: Column) -> Column:
+    """The value of a key in a closed table: a hashed membership test first, so that only hits walk the map."""
+    table = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
+    return F.when(key.isin(list(mapping)), F.try_element_at(table, key)).otherwise(default)
+
+
 def normalize(text: Column) -> Column:
     """Lower case, straight quotes, single spaces, none at the ends."""
     straight = F.regexp_replace(F.regexp_replace(F.lower(text), "[‘’‚‹›]", "'"), "[“”„«»]", '"')

@@ -2,37 +2,41 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon as L
-from tokenloom.functions.text import any_of
+from tokenloom.functions.text import any_of, lookup
 
 LEXER = r"[A-Za-z][A-Za-z'\-]*|[0-9]+|[.?!;,]"
 
 
+# every word of the closed classes with its token; of a word in two classes the later line here counts
+_CLOSED = {
+    **{w: f"AUX:{w}" for w in L.AUXILIARIES},
+    **{w: f"REL:{w}" for w in L.PREPOSITIONS},
+    **L.QUANTIFIERS,
+    **{w: "REL:neg" for w in L.NEGATIONS},
+    **L.CONNECTIVES,
+    **{w: f"DET:{w}" for w in L.DETERMINERS},
+    "?": "STR:question",
+    ".": "STR:clause_end",
+    ";": "STR:clause_end",
+}
+
+
 def lex_english(sentence: Column) -> Column:
     """Surface tokens by ordered rules, between [BOS] and [EOS]; needs no language model."""
+    # only A-Z change: other letters are no part of tokens and must not become ASCII
+    low = F.translate(sentence, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-    def one(raw: Column) -> Column:
-        low = F.lower(raw)
-        named = {**L.CONNECTIVES, **{w: "REL:neg" for w in L.NEGATIONS}}
-        return any_of(
-            [
-                (low.isin(L.DETERMINERS), F.concat(F.lit("DET:"), low)),
-                *((low == w, t) for w, t in L.CONNECTIVES.items()),
-                (low.isin([w for w in L.NEGATIONS if w in named]), "REL:neg"),
-                *((low == w, t) for w, t in L.QUANTIFIERS.items()),
-                (low.isin(L.PREPOSITIONS), F.concat(F.lit("REL:"), low)),
-                (low.isin(L.AUXILIARIES), F.concat(F.lit("AUX:"), low)),
-                (low == "?", "STR:question"),
-                (low.isin(".", ";"), "STR:clause_end"),
-                (raw.rlike("^[0-9]+$"), F.concat(F.lit("LIT:"), raw)),
-            ],
-            F.concat(F.lit("ROOT:"), low),
-        )
+    def one(word: Column) -> Column:
+        kind = F.when(F.substring(word, 1, 1).between("0", "9"), F.lit("LIT:")).otherwise(F.lit("ROOT:"))
+        return lookup(_CLOSED, word, F.concat(kind, word))
 
-    return wrap(F.transform(F.regexp_extract_all(sentence, F.lit(LEXER), F.lit(0)), one))
+    return wrap(F.transform(F.regexp_extract_all(low, F.lit(LEXER), F.lit(0)), one))
 
 
 def wrap(tokens: Column) -> Column:
@@ -74,7 +78,7 @@ def project_reasoning(tokens: Column, lang: str) -> Column:
 
 
 def concept_of(field: Column) -> Column:
-    return any_of([(field == f, c) for f, c in L.FIELD_CONCEPTS.items()], F.lit("C:CONCEPT"))
+    return lookup(L.FIELD_CONCEPTS, field, F.lit("C:CONCEPT"))
 
 
 def logic_parts(tokens: Column, roots: dict[str, str] | None = None) -> Column:
@@ -87,15 +91,14 @@ def logic_parts(tokens: Column, roots: dict[str, str] | None = None) -> Column:
     def one(t: Column) -> Column:
         rest = F.substring_index(t, ":", -1)
         root = F.regexp_replace(t, "^[A-Z]+:", "")
-        role = any_of([(rest == r, F.array(F.lit(x))) for r, x in L.ROLE_LOGIC.items()], none())
-        mapped = any_of([(t == a, F.array(F.lit(b))) for a, b in L.LOGIC_TOKENS.items()], none())
+        role = F.when(rest.isin(list(L.ROLE_LOGIC)), F.array(lookup(L.ROLE_LOGIC, rest, F.lit(None).cast("string")))).otherwise(none())
         parts = F.split(t, ":")
         composed = F.when(F.size(parts) == 3, F.concat(F.array(concept_of(F.get(parts, F.lit(1)))), role)).otherwise(F.array(F.lit("C:CONCEPT")))
-        field = any_of([(root == r, f) for r, f in (roots or {}).items()], root)
+        field = lookup(roots, root, root) if roots else root
         return any_of(
             [
                 (t.isin("[BOS]", "[EOS]", "[PAD]", "[UNK]", "[SEP]"), F.array(t)),
-                (t.isin(list(L.LOGIC_TOKENS)), mapped),
+                (t.isin(list(L.LOGIC_TOKENS)), F.array(lookup(L.LOGIC_TOKENS, t, t))),
                 (t.isin(L.LOGIC_DROPPED) | t.startswith("FEAT:") | t.startswith("PAT:"), none()),
                 (t.startswith("NUM:"), F.array(F.lit("N:INT"))),
                 (t.startswith("ROLE:"), role),
@@ -116,6 +119,8 @@ def logic_collapse(tokens: Column) -> Column:
     return collapse(tokens, lambda t: t.isin(L.LOGIC_COLLAPSE))
 
 
+# the symbols that the patterns stand for: each is an alternative without its escapes
+_SYMBOLS = {re.sub(r"\\(.)", r"\1", x): t for p, t in L.FORMAL_SYMBOLS for x in re.split(r"(?<!\\)\|", p)}
 FORMAL = "|".join(p for p, _ in L.FORMAL_SYMBOLS) + r"|[0-9]+|[A-Za-z_][A-Za-z0-9_]*"
 
 
@@ -132,10 +137,8 @@ def lex_formal(text: Column) -> Column:
         digits = F.regexp_replace(raw, "^0+([0-9])", "$1")
         number = F.when(F.length(digits) > 9, F.lit("N:LARGE")).otherwise(integer_bucket(digits.cast("long")))
         variable = F.when(first.isin(slots), F.concat(F.lit("V:"), first)).otherwise(F.lit("C:CONCEPT"))
-        return any_of(
-            [*((raw.rlike(f"^(?:{p})$"), t) for p, t in L.FORMAL_SYMBOLS), (raw.rlike("^[0-9]+$"), number), *((low == k, t) for k, t in L.FORMAL_KEYWORDS.items())],
-            variable,
-        )
+        word = F.when(raw.rlike("^[0-9]"), number).otherwise(lookup(L.FORMAL_KEYWORDS, low, variable))
+        return lookup(_SYMBOLS, raw, word)
 
     return F.transform(F.regexp_extract_all(text, F.lit(FORMAL), F.lit(0)), one)
 

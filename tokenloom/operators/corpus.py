@@ -72,7 +72,7 @@ def emit(analysed: DataFrame, *, atomic: bool = False) -> DataFrame:
     w, role, field = F.col("word"), F.col("role"), F.col("field")
     if atomic:
         role = T.any_of([(F.col("lemma") == k, v) for k, v in L.ROLE_OVERRIDES.items()] + [(w == k, v) for k, v in L.ROLE_OVERRIDES.items()], role)
-    relation = T.any_of([(w == k, v) for k, v in L.RELATIONS.items()], F.lit(None).cast("string"))
+    relation = T.lookup(L.RELATIONS, w, F.lit(None).cast("string"))
     number, function = w.rlike("^[0-9]+$"), w.isin(L.FUNCTION_WORDS)
     composed = F.array(F.concat(F.lit("ROOT:"), field), F.concat(F.lit("ROLE:"), role)) if atomic else F.array(F.concat(F.lit("CMP:"), field, F.lit(":"), role))
     literal = F.array(F.concat(F.lit("LIT:"), w))
