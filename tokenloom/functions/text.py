@@ -81,11 +81,15 @@ def suffix_role(word: Column, lemma: Column) -> Column:
     return made
 
 
+def root_of(word: Column, lemma: Column, prefix: Column, suffix: Column) -> Column:
+    """The stem behind a prefix; else, with a suffix, the lemma if it differs or the stem; else the lemma."""
+    return F.when(prefix.isNotNull(), prefix["stem"]).when(suffix.isNotNull(), F.when(lemma != word, lemma).otherwise(suffix["stem"])).otherwise(lemma)
+
+
 def decompose(word: Column, lemma: Column) -> Column:
     """struct(root, role): a prefix first, else a suffix, else the lemma alone."""
     p, s = prefix_role(word), suffix_role(word, lemma)
-    root = F.when(p.isNotNull(), p["stem"]).when(s.isNotNull(), F.when(lemma != word, lemma).otherwise(s["stem"])).otherwise(lemma)
-    return F.struct(root.alias("root"), F.coalesce(p["role"], s["role"]).alias("role"))
+    return F.struct(root_of(word, lemma, p, s).alias("root"), F.coalesce(p["role"], s["role"]).alias("role"))
 
 
 def field_candidates(root: Column, lemma: Column) -> Column:

@@ -61,7 +61,9 @@ def field_table(spark: SparkSession) -> DataFrame:
 def analyse(distinct: DataFrame, lemmas: DataFrame, fields: DataFrame) -> DataFrame:
     """(word, lemma, root, role, field) for each distinct word: look-ups run once a word, not once a token."""
     own = distinct.join(F.broadcast(lemmas), "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
-    own = own.withColumn("d", T.decompose(F.col("word"), F.col("lemma"))).select("word", "lemma", "d.root", "d.role")
+    # the affixes are columns of their own, as each is looked at several times
+    own = own.select("word", "lemma", T.prefix_role(F.col("word")).alias("p"), T.suffix_role(F.col("word"), F.col("lemma")).alias("s"))
+    own = own.select("word", "lemma", T.root_of(F.col("word"), F.col("lemma"), F.col("p"), F.col("s")).alias("root"), F.coalesce("p.role", "s.role").alias("role"))
     spelled = own.select("word", F.posexplode(T.field_candidates(F.col("root"), F.col("lemma"))).alias("prio", "spelling")).filter("spelling is not null")
     found = spelled.join(F.broadcast(fields), "spelling").groupBy("word").agg(F.min_by("field", "prio").alias("field"))
     return own.join(found, "word", "left")
@@ -131,6 +133,7 @@ def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registe
     their order, other core tokens by name, then the rest by count; a cap below the core is an error.
     """
     spark = counts.sparkSession
+    counts = counts.persist()  # read for the core, its size and the rest
     token = F.col("token")
     dynamic_prefix = {"literal": ["LIT:"], "surface": ["SURF:"], "structural": ["LIT:", "FOREIGN:", "NE:"], "core": ["LIT:", "FOREIGN:", "NE:", "SURF:"]}.get(policy)
     if dynamic_prefix is None:
