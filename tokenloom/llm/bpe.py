@@ -55,6 +55,7 @@ def build_tokenizer(ranks: dict[bytes, int], pattern: str):
 
 _encoders: dict[tuple[str, str], common.UnitEncoder] = {}
 _tables: dict[str, pa.Array] = {}
+common.CACHES += [_encoders, _tables]
 
 
 def _encode_units(made, units: list[bytes], path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -93,15 +94,8 @@ def _joined(table: pa.Array, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return common.flat_text(table.take(pa.array(ids)))
 
 
-def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """(id_col, ids array<int>, starts array<int>, n_split int) for each row of df.
-
-    starts has the character offset of each token; a token that begins inside a character (a split character)
-    has that character's offset, and n_split counts those. Null and empty texts have no tokens; repeated rows
-    give repeated rows; other columns of df are not looked at. Texts of any length are encoded whole.
-    """
-    common.prepare(df.sparkSession)
-    path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
+def _encode_batches(path: str, pattern: str):
+    """Batches (id, text) to batches (id, ids, starts, n_split)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, table = _encoder(path, pattern), _token_bytes(path)
@@ -122,39 +116,70 @@ def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", pat
                 out += [pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(x.astype(np.int32))) for x in (ids, starts)]
                 yield pa.RecordBatch.from_arrays([*out, pa.array(n_split.astype(np.int32))], ["id", "ids", "starts", "n_split"])
 
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, ids array<int>, starts array<int>, n_split int").withColumnRenamed("id", id_col)
+    return run
 
 
-def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """df with one more column, `decoded` (binary): the bytes of the ids through the reversed byte table.
-
-    Bytes, not text: a list of ids may begin or end inside a character. Null ids give null; an id that the
-    table lacks is an error. Any columns pass through, but one named decoded is replaced.
-    """
-    common.prepare(df.sparkSession)
-    path = path or public_tokenizers.path(RANKS)
-    df = df.drop("decoded")
+def _decode_batches(path: str, ids_col: str):
+    """Batches with one more column, decoded."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _token_bytes(path)
         for batch in batches:
             column = batch.column(ids_col)
-            # some thousand rows at a time: a batch of Spark's may hold hundreds of MB of ids
-            for i in range(0, len(column), 1000):
-                part = column.slice(i, 1000)
+            # some rows at a time: a batch of Spark's may hold many MB of ids
+            for i in range(0, len(column), 500):
+                part = column.slice(i, 500)
                 flat, at = _joined(table, part.flatten().to_numpy(zero_copy_only=False))
                 sizes = part.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 texts = common.large_binary(flat, at[np.concatenate(([0], np.cumsum(sizes)))]).cast(pa.binary())
                 if part.null_count:
                     texts = pa.array([None if null else x for x, null in zip(texts.to_pylist(), part.is_null().to_pylist())], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(c.slice(i, 1000) for c in batch.columns), texts], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, 500) for c in batch.columns), texts], [*batch.schema.names, "decoded"])
+
+    return run
+
+
+_ENCODED = "id long, ids array<int>, starts array<int>, n_split int"
+
+
+def _narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
 
-    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded binary")
+def encode(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id_col, ids array<int>, starts array<int>, n_split int) for each row of df.
+
+    starts has the character offset of each token; a token that begins inside a character (a split character)
+    has that character's offset, and n_split counts those. Null and empty texts have no tokens; repeated rows
+    give repeated rows; other columns of df are not looked at. Texts of any length are encoded whole.
+    """
+    common.prepare(df.sparkSession)
+    run = _encode_batches(path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN)
+    return _narrow(df, id_col, text_col).mapInArrow(common.lean(run), _ENCODED).withColumnRenamed("id", id_col)
+
+
+def decode(df: DataFrame, *, ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """df with one more column, `decoded` (binary): the bytes of the ids through the reversed byte table.
+
+    Bytes, not text: a list of ids may begin or end inside a character. Null ids give null; an id that the
+    table lacks is an error. Any columns pass through, but one named decoded is replaced.
+    """
+    common.prepare(df.sparkSession)
+    df = df.drop("decoded")
+    run = _decode_batches(path or public_tokenizers.path(RANKS), ids_col)
+    return df.mapInArrow(common.lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", decoded binary")
+
+
+def round_trip(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, pattern: str | None = None) -> DataFrame:
+    """(id_col, ids, starts, n_split, decoded): encode and then decode, both in one worker for each task."""
+    common.prepare(df.sparkSession)
+    path = path or public_tokenizers.path(RANKS)
+    there, back = _encode_batches(path, pattern or public_tokenizers.PATTERN), _decode_batches(path, "ids")
+    return _narrow(df, id_col, text_col).mapInArrow(common.lean(lambda batches: back(there(batches))), _ENCODED + ", decoded binary").withColumnRenamed("id", id_col)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = decode(encode(common.documents(spark, sf_dir)).drop("starts"))
+    done = round_trip(common.documents(spark, sf_dir))
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -18,10 +19,10 @@ from pyspark.sql import functions as F
 NULL_ID = -(2**63)
 
 #: Rows and MB of an Arrow batch at most.
-ARROW_ROWS, ARROW_MB = 2_000, 16
+ARROW_ROWS, ARROW_MB = 1_000, 8
 
 #: Bytes of text that one vectorised step handles; a longer text is a step of its own.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
 
 #: The same for steps that hold many numbers for each byte.
 SMALL_STEP_BYTES = 1 << 20
@@ -89,16 +90,40 @@ def steps(offsets: np.ndarray, most: int = STEP_BYTES):
         a = b
 
 
+#: What workers keep from task to task, such as tokenizers, and which module's tasks ran last.
+CACHES: list[dict] = []
+_last_user: list[str] = [""]
+
+
+def _trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library has no such call
+        pass
+
+
+def _enter(user: str) -> None:
+    if _last_user[0] != user:
+        for cache in CACHES:
+            cache.clear()
+        _last_user[0] = user
+        _trim()
+
+
 def lean(run):
-    """run, an iterator over batches, that gives its memory back at the end: workers are used again by other operators."""
+    """run, an iterator over batches, with memory given back: workers are used again by other operators.
+
+    A worker that comes to another module's task drops its caches first; at each task's end free memory goes back.
+    """
+    user = run.__module__
 
     def wrapped(batches):
+        # functions of this module, which workers import: the closure itself would carry copies of the caches
+        _enter(user)
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # another C library has no such call
-            pass
+        _trim()
 
     return wrapped
 
@@ -143,7 +168,7 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class UnitEncoder:
     """Token ids of many texts, by way of their distinct units; `encode` maps a list of units to all their ids and each one's number."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 300_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -137,7 +137,7 @@ def line_references(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataF
                 [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), batch.column(0).take(at), batch.column(1).take(at)], ["k1", "k2", "id", "digest"]
             )
 
-    return docs.select("id", "digest", "text").mapInArrow(run, "k1 long, k2 long, id long, digest long")
+    return docs.select("id", "digest", "text").mapInArrow(common.lean(run), "k1 long, k2 long, id long, digest long")
 
 
 @dataclass
@@ -239,7 +239,7 @@ def dropped_lines(state: LineState) -> DataFrame:
     probes = state.references.select((_shard(state.shards) * SALTS + salt).alias("shard"), F.lit(None).cast("binary").alias("filter"), *names)
     filters = state.filters.select(F.explode(F.sequence(F.col("shard") * SALTS, F.col("shard") * SALTS + SALTS - 1)).alias("shard"), "filter", *(F.lit(None).cast("long").alias(n) for n in names))
     rows = filters.unionByName(probes).repartition(parts, "shard").sortWithinPartitions("shard", F.col("filter").isNull())
-    maybe = rows.mapInArrow(_probe, "k1 long, k2 long, id long, digest long")
+    maybe = rows.mapInArrow(common.lean(_probe), "k1 long, k2 long, id long, digest long")
     heavy = state.counts.filter(F.col("n") >= state.least_docs).select("k1", "k2", "last")
     sure = maybe.join(heavy, ["k1", "k2"]).filter("id < last")
     return sure.groupBy("id", "digest").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
@@ -284,7 +284,7 @@ def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     state = build(keyed, least_chars=least_chars, least_docs=least_docs)
     gone = dropped_lines(state)
     joined = keyed.join(gone, ["id", "digest"], "left").select("text", "keys", "row")
-    made = joined.mapInArrow(_drop(least_chars), f"row {joined.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept binary")
+    made = joined.mapInArrow(common.lean(_drop(least_chars)), f"row {joined.schema['row'].dataType.simpleString()}, n_lines long, n_dropped long, kept binary")
     return made.select("row.*", "n_lines", "n_dropped", "kept")
 
 

@@ -112,7 +112,7 @@ def interleave(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(items, kind)], ["id", "items"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).cast("string").alias("html"))
-    return narrow.mapInArrow(run, f"id long, items {_ITEMS}").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(common.lean(run), f"id long, items {_ITEMS}").withColumnRenamed("id", id_col)
 
 
 def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str = "page_id") -> DataFrame:
@@ -194,7 +194,7 @@ def store(df: DataFrame, *, id_col: str = "doc_id", raw_col: str = "raw") -> Dat
                     out = []
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(raw_col).cast("binary").alias("raw"))
-    return narrow.mapInArrow(run, "id long, digest string, n_bytes long, media binary").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(common.lean(run), "id long, digest string, n_bytes long, media binary").withColumnRenamed("id", id_col)
 
 
 def read_back(media: DataFrame) -> DataFrame:
@@ -214,7 +214,7 @@ def read_back(media: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array(c) for c in zip(*out))], ["digest", "n_bytes", *names])
 
     return media.select("digest", "n_bytes", "media").mapInArrow(
-        run, "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+        common.lean(run), "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     )
 
 

@@ -22,18 +22,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 _encoders: dict[str, common.UnitEncoder] = {}
+common.CACHES.append(_encoders)
 
 
-def _encode_units(made, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """All ids and the number of each unit's. Many units go together, a control character that none of them has between them."""
+def _between_marks(made, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and numbers of any units. Many go together, a control character that none of them has between them."""
     (mark,) = made.encode(MARK.decode(), add_special_tokens=False).ids
     groups = list(common.together(units, lambda u: MARK in u))
     texts = [(g[0] if len(g) == 1 else b" \x01 ".join(g)).decode() for g in groups]
-    found, sizes = [], []
+    found, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
     for g, e in zip(groups, made.encode_batch_fast(texts, add_special_tokens=False)):
         ids = np.array(e.ids, np.uint32)
         if len(g) == 1:
-            sizes.append([len(ids)])
+            sizes.append(np.array([len(ids)]))
         else:
             between = ids == mark
             sizes.append(np.diff(np.flatnonzero(between), prepend=-1, append=len(ids)) - 1)
@@ -42,6 +43,27 @@ def _encode_units(made, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(found), np.concatenate(sizes)
 
 
+def _by_word_ends(made, last: np.ndarray, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for words of ASCII letters: each is one word to the tokenizer, whose last token is marked as such."""
+    texts = [b"\n".join(words[i : i + 4096]).decode() for i in range(0, len(words), 4096)]
+    ids = np.concatenate([np.zeros(0, np.uint32), *(np.array(e.ids, np.uint32) for e in made.encode_batch_fast(texts, add_special_tokens=False))])
+    return ids, np.diff(np.flatnonzero(last[ids]), prepend=-1)
+
+
+def _encode_units(made, last: np.ndarray, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids and the number of each unit's; last says of each id whether it ends a word."""
+    bare = [u.strip(b" \t\n\r\x0b\x0c") for u in units]
+    plain = np.fromiter((u.isalpha() for u in bare), bool, len(bare))
+    first, second = np.flatnonzero(plain), np.flatnonzero(~plain)
+    one = _by_word_ends(made, last, [bare[i] for i in first.tolist()])
+    two = _between_marks(made, [bare[i] for i in second.tolist()])
+    flat, sizes, begin = np.concatenate([one[0], two[0]]), np.empty(len(units), np.int64), np.empty(len(units), np.int64)
+    sizes[first], sizes[second] = one[1], two[1]
+    begin[first], begin[second] = np.cumsum(one[1]) - one[1], len(one[0]) + np.cumsum(two[1]) - two[1]
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
+
+
 def _encoder(path: str) -> common.UnitEncoder:
     if path not in _encoders:
         common.quiet_tokenizers()
@@ -49,17 +71,14 @@ def _encoder(path: str) -> common.UnitEncoder:
 
         made = Tokenizer.from_file(path)
         made.encode_special_tokens = True  # the names of special tokens are ordinary text in a document
-        _encoders[path] = common.UnitEncoder(lambda units: _encode_units(made, units))
+        last = np.zeros(made.get_vocab_size(), bool)
+        last[[i for token, i in made.get_vocab().items() if token.endswith("</w>")]] = True
+        _encoders[path] = common.UnitEncoder(lambda units: _encode_units(made, last, units))
     return _encoders[path]
 
 
-def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
-    """(id, piece, start, length, ids binary): the tokens of each text and end_id, cut only where they exceed capacity.
-
-    ids are little-endian unsigned 32-bit. A null or empty text is one piece of length 1.
-    """
-    common.prepare(df.sparkSession)
-    path = path or public_tokenizers.path(VOCABULARY)
+def _cut(path: str, capacity: int, end_id: int):
+    """Batches (id, text) to batches (id, piece, start, length, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
@@ -81,8 +100,21 @@ def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", cap
                     ["id", "piece", "start", "length", "ids"],
                 )
 
-    narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(common.lean(run), "id long, piece int, start long, length long, ids binary")
+    return run
+
+
+def _narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
+    """(id, piece, start, length, ids binary): the tokens of each text and end_id, cut only where they exceed capacity.
+
+    ids are little-endian unsigned 32-bit. A null or empty text is one piece of length 1.
+    """
+    common.prepare(df.sparkSession)
+    run = _cut(path or public_tokenizers.path(VOCABULARY), capacity, end_id)
+    return _narrow(df, id_col, text_col).mapInArrow(common.lean(run), "id long, piece int, start long, length long, ids binary")
 
 
 def minimum_bin_slack(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:
@@ -200,7 +232,10 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def packed_digests(docs: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     """docs packed, with a checksum of each piece's ids in the place of the ids."""
-    light = pieces(docs, capacity=capacity).mapInArrow(_digests, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    common.prepare(docs.sparkSession)
+    run = _cut(public_tokenizers.path(VOCABULARY), capacity, END_ID)
+    # both steps in one worker: chained maps would hold two for each task
+    light = _narrow(docs).mapInArrow(common.lean(lambda batches: _digests(run(batches))), "doc_id long, piece int, start long, length long, ids_crc32 long")
     return pack(light, capacity=capacity)
 
 

@@ -88,7 +88,7 @@ def fingerprint(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), places, hashes], ["id", "places", "hashes"])
 
     narrow = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return narrow.mapInArrow(run, "id long, places array<int>, hashes array<long>").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(common.lean(run), "id long, places array<int>, hashes array<long>").withColumnRenamed("id", id_col)
 
 
 def _compare(gram: int, window: int):
@@ -167,7 +167,7 @@ def edited_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     dealt = rows.mapInArrow(deal, "part int, lent boolean, id long, order long, text binary")
     dealt = dealt.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "lent", F.desc("id"), F.desc("order"))
-    made = dealt.select("part", "lent", "id", "text").mapInArrow(_compare(gram, window), _ROW)
+    made = dealt.select("part", "lent", "id", "text").mapInArrow(common.lean(_compare(gram, window)), _ROW)
     return made.withColumn("id", F.when(F.col("id") != common.NULL_ID, F.col("id"))).withColumnRenamed("id", id_col)
 
 
