@@ -30,4 +30,4 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg_compression"](spark, sf_dir)
 
 
-from tokenloom.plans import english, evaluation, generation, logic, sources, vocabulary  # noqa: E402, F401
+from tokenloom.plans import english, evaluation, facade, generation, logic, sources, vocabulary  # noqa: E402, F401

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
+from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 
 RECORD = t.StructType(
@@ -76,6 +77,36 @@ def write_labels(top: DataFrame, path: str) -> None:
     top.select("surface", "n", F.lit("").alias("root"), F.lit("").alias("field")).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+def markdown_row(*columns: str):
+    """A line of a Markdown table from columns."""
+    return F.concat(F.lit("| "), F.concat_ws(" | ", *(F.col(c).cast("string") for c in columns)), F.lit(" |"))
+
+
+def cached(spark: SparkSession, path: str, make) -> DataFrame:
+    """The table at path if it is there, else what make() gives, written there first."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+        make().write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def dependency_tokens(parsed: DataFrame) -> DataFrame:
+    """(sent, tokens) of parsed sentences (sent, i, text, lemma, pos, dep): content words carry the role of their dependency."""
+    low = F.lower("lemma")
+    content = F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV", "PROPN", "PRON")
+    role = T.lookup(L.DEPENDENCY_ROLES, F.col("dep"), F.lit(None).cast("string"))
+    relations = {**{p: f"REL:{p}" for p in L.PREPOSITIONS}, **L.QUANTIFIERS, **{n: "REL:neg" for n in L.NEGATIONS}, **L.CONNECTIVES}
+    token = (
+        F.when(low.isin(L.DETERMINERS), F.concat(F.lit("DET:"), low)).when(F.col("pos") == "AUX", F.concat(F.lit("AUX:"), low)).when(low.isin(list(relations)), T.lookup(relations, low, low))
+        .when(F.col("text") == "?", "STR:question").when(F.col("text").isin(".", ";"), "STR:clause_end").when(F.col("pos") == "NUM", F.concat(F.lit("LIT:"), "text"))
+        .when(content & role.isNotNull(), F.concat(F.lit("CMP:"), low, F.lit(":"), role)).when(content, F.concat(F.lit("ROOT:"), low))
+    )
+    each = parsed.select("sent", F.struct("i", token.alias("t")).alias("x")).filter("x.t is not null")
+    ordered = each.groupBy("sent").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    return ordered.select("sent", F.concat(F.array(F.lit("[BOS]")), F.transform("xs", lambda x: x["t"]), F.array(F.lit("[EOS]"))).alias("tokens"))
+
+
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(lang, token, id) from any of the known layouts: {token: id}, {id: token}, {"token_to_id": ...}, [token, ...], [{token, id}, ...] or {lang: {token: id}}.
 
