@@ -43,6 +43,9 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
@@ -50,8 +53,9 @@ def shared_dir(spark: SparkSession) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tokenloom-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not _own_dir:
+            _own_dir.append(tempfile.mkdtemp(prefix="tokenloom-"))
+        base = _own_dir[0]
     return f"{base.rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
 
 

@@ -1,10 +1,54 @@
 """DuckDB SQL for the queries that SQL can express over whole tables."""
 
+from tokenloom.llm import licenses
+
 # A-Z alone are lower-cased: DuckDB's lower() would change other letters too
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LINE_KEY = _LOWER.format(r"regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g')")
 
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
+
+
+_TEMPLATES = _values([(label, len(ws), w) for label, text in licenses.TEMPLATES for ws in [licenses.template_words(text)] for w in ws])
+_PHRASES = " union all ".join(
+    f"select doc_id, '{label}' as label, i - 1 as place from placed where "
+    + " and ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
+    for phrase, label in licenses.PHRASES.items()
+)
+
 ORACLE: dict[str, str] = {
+    "op3_license_scan": f"""
+with low as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from documents),
+words as (select doc_id, t, regexp_extract_all(t, '{licenses.WORD}') as ws from low),
+placed as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from words where list_contains(ws, 'license')),
+base as ({_PHRASES}),
+base_doc as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list(distinct label)) as labels from base group by doc_id),
+block as (select doc_id, line, list_distinct(regexp_extract_all(line, '{licenses.WORD}')) as own from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
+word as (select doc_id, b, unnest(own) as w from (select doc_id, own, row_number() over () as b from block)),
+found as (select doc_id, label, count(*) / any_value(n) as c from word join (values {_TEMPLATES}) tw(label, n, w) using (w) group by doc_id, b, label having count(*) >= ceil({licenses.THRESHOLD} * any_value(n) - 1e-9)),
+more as (select doc_id, list(distinct label) as labels, max(c) as score from found group by doc_id)
+select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,
+       case when b.doc_id is not null then 1.0 else coalesce(m.score, 0.0) end as score
+from words w left join base_doc b on b.doc_id = w.doc_id left join more m on m.doc_id = w.doc_id
+""",
+    "op6_suffix_dedup": """
+with d as (select doc_id, encode(coalesce(text, '')) as b from documents),
+w as (select doc_id, s, md5_number(b[s + 1 : s + 200]) as h from (select doc_id, b, unnest(range(0, octet_length(b) - 199)) as s from d where octet_length(b) >= 200)),
+again as (select doc_id, s from w where h in (select h from w group by h having count(*) > 1)),
+edge as (select *, coalesce(s - lag(s) over (partition by doc_id order by s) > 200, true) as new from again),
+island as (select *, sum(new::int) over (partition by doc_id order by s) as k from edge),
+span as (select doc_id, k, min(s) as lo, max(s) + 200 as hi from island group by doc_id, k),
+piece as (select doc_id, lo, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as after from span
+          union all select d.doc_id, octet_length(b), coalesce(max(hi), 0) from d left join span on span.doc_id = d.doc_id group by d.doc_id, b),
+kept as (select doc_id, string_agg(case when lo > after then hex(b[after + 1 : lo]) else '' end, '' order by lo, after) as x from piece join d using (doc_id) group by doc_id),
+total as (select doc_id, sum(hi - lo)::bigint as n_removed, count(*) as n_spans from span group by doc_id)
+select doc_id, octet_length(b)::bigint as n_bytes, coalesce(n_removed, 0) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(x)) as kept_sha256
+from d join kept using (doc_id) left join total using (doc_id)
+""",
     "op4_line_dedup": f"""
 with lines as (
     select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
