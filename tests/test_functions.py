@@ -191,3 +191,33 @@ def test_streams(spark, sf, tmp_path):
     q = counts.writeStream.outputMode("complete").format("memory").queryName("counts").trigger(availableNow=True).option("checkpointLocation", f"file://{tmp_path}/c").start()
     q.awaitTermination()
     assert spark.table("counts").filter("token = '[BOS]'").first()["count"] == docs.count()
+
+
+@pytest.mark.parametrize(("pos", "want"), [("part_neg", "STR:neg:general"), ("pron_interrog", "REL:what"), ("pron_rel", "REL:which"), ("noun", "REL:what")])
+def test_arabic_ma_by_part_of_speech(spark, pos, want):
+    from tokenloom import lexicon_ar as A
+    from tokenloom.operators import arabic as R
+
+    reading = tuple({"root": "م.ا.#", "pos": pos}.get(f) for f in A.FIELDS)
+    analyses = spark.createDataFrame([("ما", [reading])], R.ANALYSES)
+    made = R.word_tokens(spark.createDataFrame([("ما",)], "word string"), analyses, R.root_table(spark)).first()
+    assert made["tokens"] == [want]
+
+
+def test_facade(spark):
+    from tokenloom import api
+
+    df = spark.createDataFrame([(1, "All men are not free."), (2, "")], "id int, text string")
+    standard = api.tokenize(df, "en")
+    vocab = spark.createDataFrame([("[PAD]", 0), ("[UNK]", 1), ("[BOS]", 2), ("[EOS]", 3), ("REL:quant:all", 4)], "token string, id int")
+    ids = {r["id"]: r["ids"] for r in api.encode(standard.select("id", "tokens"), vocab).collect()}
+    assert ids == {1: [2, 4, 1, 1, 1, 1, 1, 3], 2: [2, 3]}
+    back = api.decode(spark.createDataFrame(list(ids.items()), "id int, ids array<int>"), vocab).filter("id = 1").first()
+    assert back["tokens"][:3] == ["[BOS]", "REL:quant:all", "[UNK]"]
+    logic = {r["id"]: r["tokens"] for r in api.tokenize(df, "en", "logic", add_bos_eos=False).collect()}
+    assert logic[1][0] == "Q:ALL" and "L:NOT" in logic[1] and logic[2] == []
+    for bad in (("ru", "standard"), ("en", "other")):
+        with pytest.raises(ValueError):
+            api.tokenize(df, *bad)
+    with pytest.raises(ValueError):
+        api.encode(standard.select("id", "tokens"), vocab.filter("id > 1"))

@@ -172,3 +172,88 @@ def cross_lingual_table(spark, sf):
     other = means.select(F.col("lang").alias("other"), F.col("d").alias("d2"), F.col("r").alias("r2"))
     return means.join(other, F.col("lang") < F.col("other")).select("lang", "other", (F.col("d") / F.col("d2")).alias("ratio_default"), (F.col("r") / F.col("r2")).alias("ratio_reasoning"))
 
+
+
+def _cut_sql(x: str) -> str:
+    return f"with {_LEXED} select doc_id, pos, array_to_string({x}, ' ') as tokens from lexed"
+
+
+def _cut(spark, sf, f):
+    return _sents(spark, sf).select("id.*", K.lex_english(F.col("text")).alias("t")).select("doc_id", "pos", F.array_join(f(F.col("t")), " ").alias("tokens"))
+
+
+@query(_cut_sql("toks[1:6]"))
+def truncate_head(spark, sf):
+    return _cut(spark, sf, lambda t: K.head(t, 6))
+
+
+@query(_cut_sql("case when len(toks) > 6 then toks[len(toks) - 5:len(toks)] else toks end"))
+def truncate_tail(spark, sf):
+    return _cut(spark, sf, lambda t: K.tail(t, 6))
+
+
+@query(_cut_sql("case when len(toks) > 7 then list_concat(toks[1:3], toks[len(toks) - 3:len(toks)]) else toks end"))
+def truncate_head_tail(spark, sf):
+    return _cut(spark, sf, lambda t: K.head_tail(t, 7))
+
+
+@query(f"select * from ({D.values([('كتب', '3ms', None), ('وبكتابه', None, 'FEAT:pron:3ms'), ('يذهب', '3ms', None), ('الطالب', None, None)])}) v(word, pgn, enclitic)")
+def ar_pgn(spark, sf):
+    rows = logic._arabic(spark)[1].filter(F.col("word").isin("كتب", "وبكتابه", "يذهب", "الطالب")).select("word", R.best(F.col("analyses")).alias("a"))
+    return rows.select("word", R.person(F.col("a")).alias("pgn"), F.get(R.enclitic(F.col("a")), F.lit(0)).alias("enclitic"))
+
+
+@query(f"select * from ({D.values([('الطالب', '1ا23'), ('الكتاب', '12ا3'), ('المكتبة', 'م123ة'), ('صغير', '12ي3')])}) v(word, pattern)")
+def ar_pattern(spark, sf):
+    rows = logic._arabic(spark)[1].filter(F.col("word").isin("الطالب", "الكتاب", "المكتبة", "صغير"))
+    return rows.select("word", R.best(F.col("analyses")).alias("a")).select("word", R.pattern(F.col("a")).alias("pattern"))
+
+
+@query(f"select r, replace(r, '#', 'و') as canonical from ({D.values([('ك.#.ن',), ('#.#.ل',), ('ك.ت.ب',)])}) v(r)")
+def ar_canonical_root(spark, sf):
+    return C.table(spark, [("ك.#.ن",), ("#.#.ل",), ("ك.ت.ب",)], "r string").select("r", R.canonical_root(F.col("r")).alias("canonical"))
+
+
+FAST = [("لا", ""), ("يناير", "TIME:month:jan"), ("ما", "REL:what"), ("في", "REL:in"), ("هو", "LIT:هو"), ("عشرة", "ROOT:size"), ("زززز", "FOREIGN:زززز"), ("كتب", "ROOT:write FEAT:asp:p FEAT:3ms"), ("محمد", "NE:محمد")]
+
+
+@query(f"select * from ({D.values(FAST)}) v(word, tokens)")
+def ar_word_tokens(spark, sf):
+    """Fixed words before morphology, then analyses, then what has none."""
+    _, analyses, roots = logic._arabic(spark)
+    return R.word_tokens(C.table(spark, [(w,) for w, _ in FAST], "word string"), analyses, roots).select("word", F.array_join("tokens", " ").alias("tokens"))
+
+
+@query(f"with {D.SENT}, {D.NORM}, {D.WORD}, {D.DISTINCT}, {D.LEMMA}, {D.AFFIX}, {D.DECOMPOSED}, {D.FIELD}, {D.emitted(True)}, o as (select em.tokens[1] as token, word, count(*) as n from word join em using (word) group by all), r as (select *, row_number() over (partition by token order by n desc, word) as k from o) select token, word, n from r where k = 1")
+def snk_lookup_tables(spark, sf):
+    """The most common word of each first token, of equal ones the first by name: the reverse of agg_lookup_w2t."""
+    words = C.words(C.sentences(read(spark, sf, "documents"))).groupBy("word").agg(F.count("*").alias("n"))
+    lexicon = C.emit(C.analyse(words.select("word"), C.lemma_table(spark), C.field_table(spark)), atomic=True)
+    each = words.join(lexicon.select("word", F.get("tokens", F.lit(0)).alias("token")), "word")
+    best = each.groupBy("token").agg(F.min(F.struct((-F.col("n")).alias("m"), "word")).alias("x"))
+    return best.select("token", "x.word", (-F.col("x.m")).alias("n"))
+
+
+@query("select count(*) as n, sum(n_chars)::bigint as chars from documents")
+def src_cached_file(spark, sf):
+    """A table is made once and then read."""
+    docs = read(spark, sf, "documents").select("doc_id", "n_chars")
+    path = _folder(spark)
+    for _ in range(2):
+        kept = readers.cached(spark, path, lambda: docs)
+    return kept.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("with v as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('a', 2), ('b', 3)) t(token, id)) select token, id::bigint as id from v")
+def vocab_polymorphic_load(spark, sf):
+    """A vocabulary by languages, merged with the specials first, then by name."""
+    path = _folder(spark)
+    C.table(spark, [('{"en": {"b": 0, "[PAD]": 1}, "ar": {"a": 0, "[UNK]": 1}}',)], "value string").write.text(path)
+    return readers.read_vocabulary(spark, path)
+
+
+#: Operators that are the same as another one, under their own names.
+SAME = {
+    "agg_manifest": "snk_manifest", "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "join_sample_other": "join_rotate", "gen_pairwise": "join_source_group", "src_gsm8k": "gsm8k_split",
+    "src_xnli": "gen_xnli_record", "src_algebra": "gen_holdout_algebra", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
+}
