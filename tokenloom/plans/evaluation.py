@@ -52,24 +52,25 @@ def agg_top5_answer_tokens(spark, sf):
 _DIST = """d as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations), e as (select role, levenshtein(regexp_replace(text, '[^ -~]', '', 'g'), regexp_replace(nxt, '[^ -~]', '', 'g')) as dist from d where nxt is not null)"""
 
 
-@query(f"with {_DIST} select role, count(*) as n, avg(dist) as mean, median(dist) as median, coalesce(stddev_samp(dist), 0) as std from e group by role")
+@query(f"with {_DIST} select role, count(*) as n, avg(dist) as mean, median(dist) as median, round(coalesce(stddev_samp(dist), 0), 6) as std from e group by role")
 def agg_edit_distance_by_label(spark, sf):
     """Edit distance between turns and their next ones, by role, over their ASCII characters."""
     turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
     following = turns.withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nxt is not null")
     dist = following.select("role", F.levenshtein(F.regexp_replace("text", "[^ -~]", ""), F.regexp_replace("nxt", "[^ -~]", "")).alias("dist"))
-    return dist.groupBy("role").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.median("dist").alias("median"), F.coalesce(F.stddev_samp("dist"), F.lit(0.0)).alias("std"))
+    return dist.groupBy("role").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.median("dist").alias("median"), F.round(F.coalesce(F.stddev_samp("dist"), F.lit(0.0)), 6).alias("std"))
 
 
-@query("select source, count(*) as n, avg(n_chars) as mean, coalesce(stddev_samp(n_chars), 0) as std from documents group by source")
+@query("select source, count(*) as n, avg(n_chars) as mean, round(coalesce(stddev_samp(n_chars), 0), 6) as std from documents group by source")
 def agg_mean_std(spark, sf):
-    return S.mean_std(read(spark, sf, "documents").select("source", "n_chars"), ["source"], "n_chars")
+    return S.mean_std(read(spark, sf, "documents").select("source", "n_chars"), ["source"], "n_chars").withColumn("std", F.round("std", 6))
 
 
 @query("""with s as (select lang, count(*) as n, avg(n_chars) as m, coalesce(stddev_samp(n_chars), 0) ** 2 as v from documents group by lang)
-    select a.lang as a, b.lang as b, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) as t, (a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)) as dof from s a join s b on a.lang < b.lang""")
+    select a.lang as a, b.lang as b, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 6) as t, round((a.v / a.n + b.v / b.n) ** 2 / ((a.v / a.n) ** 2 / (a.n - 1) + (b.v / b.n) ** 2 / (b.n - 1)), 6) as dof from s a join s b on a.lang < b.lang""")
 def agg_welch_t(spark, sf):
-    return S.welch(S.mean_std(read(spark, sf, "documents").select("lang", "n_chars"), ["lang"], "n_chars"), "lang")
+    made = S.welch(S.mean_std(read(spark, sf, "documents").select("lang", "n_chars"), ["lang"], "n_chars"), "lang")
+    return made.withColumns({"t": F.round("t", 6), "dof": F.round("dof", 6)})
 
 
 @query(f"""with {D.SENT}, {D.REASON}, p as (select array_to_string(default_tokens, ' ') = array_to_string(reasoning_tokens, ' ') as exact, list_sort(list_distinct(default_tokens)) = list_sort(list_distinct(reasoning_tokens)) as same_set,
@@ -107,7 +108,7 @@ def agg_signal_gate(spark, sf):
 
 @query(f"""with {_PRED}, m as (select avg((pred = gold)::int) filter (where source in ('src0', 'src1', 'src2')) as acc_full, avg((pred = gold)::int) filter (where source in ('src3', 'src4')) as acc_control, max(s) as majority from pred,
         (select max(n) / sum(n) as s from (select count(*) as n from pred group by gold)))
-    select acc_full, acc_control, acc_full - acc_control as gap, majority, list_filter([case when not acc_full >= 0.6 then 'accuracy' end, case when not acc_full - acc_control >= 0.05 then 'gap' end, case when not acc_full > majority then 'majority' end], lambda x: x is not null) as failed from m""")
+    select acc_full, acc_control, acc_full - acc_control as gap, majority, array_to_string(list_filter([case when not acc_full >= 0.6 then 'accuracy' end, case when not acc_full - acc_control >= 0.05 then 'gap' end, case when not acc_full > majority then 'majority' end], lambda x: x is not null), ' ') as failed from m""")
 def agg_hard_logic_gate(spark, sf):
     """Accuracy by mode, the gap, and which criteria fail."""
     own = _predicted(spark, sf)
@@ -117,7 +118,7 @@ def agg_hard_logic_gate(spark, sf):
     share = own.groupBy("gold").count().agg((F.max("count") / F.sum("count")).alias("majority"))
     made = own.agg(full.alias("acc_full"), control.alias("acc_control")).join(F.broadcast(share)).withColumn("gap", F.col("acc_full") - F.col("acc_control"))
     checks = [(F.col("acc_full") >= 0.6, "accuracy"), (F.col("gap") >= 0.05, "gap"), (F.col("acc_full") > F.col("majority"), "majority")]
-    return made.select("acc_full", "acc_control", "gap", "majority", F.array_compact(F.array(*(F.when(~c, F.lit(n)) for c, n in checks))).alias("failed"))
+    return made.select("acc_full", "acc_control", "gap", "majority", F.array_join(F.array_compact(F.array(*(F.when(~c, F.lit(n)) for c, n in checks))), " ").alias("failed"))
 
 
 _GATES = [(a, b, c) for a in (True, False) for b in (True, False) for c in (True, False)]

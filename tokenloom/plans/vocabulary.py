@@ -20,6 +20,11 @@ def _lexed(spark, sf):
     return sents.select("doc_id", "lang", "pos", K.lex_english(F.col("sent")).alias("tokens"))
 
 
+def _shown(df, *columns):
+    """Array columns as texts of numbers."""
+    return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in columns or ("ids",)})
+
+
 def _counts(spark, sf):
     return C.token_counts(_lexed(spark, sf))
 
@@ -72,9 +77,9 @@ def agg_oov_fraction(spark, sf):
     return joined.agg((1 - F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
 
 
-@query(f"with {_top(CAP)} select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
+@query(f"with {_top(CAP)} select doc_id, pos, string_agg(coalesce(v.id, 1)::varchar, ' ' order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
 def encode(spark, sf):
-    return C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
+    return _shown(C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"]))
 
 
 @query(f"with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1) as id from each left join vocab v using (token)) select doc_id, pos, string_agg(coalesce(v.token, '[UNK]'), ' ' order by i) as tokens from e left join vocab v using (id) group by doc_id, pos")
@@ -84,10 +89,10 @@ def decode(spark, sf):
     return C.decode(ids, vocab, ["doc_id", "pos"]).select("doc_id", "pos", F.array_join("tokens", " ").alias("tokens"))
 
 
-@query(f"with {_top(CAP)} select doc_id, pos, list(case when v.id < 500 then v.id::int else 1 end order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
+@query(f"with {_top(CAP)} select doc_id, pos, string_agg((case when v.id < 500 then v.id else 1 end)::varchar, ' ' order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
 def vocab_frozen(spark, sf):
     """Ids of a given vocabulary cut at an id; what lies above is unknown."""
-    return C.encode(_lexed(spark, sf), _vocab(spark, sf).filter("id < 500"), ["doc_id", "pos"])
+    return _shown(C.encode(_lexed(spark, sf), _vocab(spark, sf).filter("id < 500"), ["doc_id", "pos"]))
 
 
 @query(f"with {_top(CAP)} select max(id) + 1 as size, count(*) as n, max(case when token = '[UNK]' then id end) as unk, max(case when token = '[BOS]' then id end) as bos from vocab")
@@ -158,11 +163,11 @@ _PY = "regexp_extract_all(lower(sent), '[A-Za-z0-9_À-ɏ؀-ۿ]+|[^A-Za-z0-9_À-
 
 @query(f"""with {D.SENT}, c as (select token, count(*) as n from (select unnest({_PY}) as token from sent) group by token),
     v as (select token, row_number() over (order by n desc, token) + 1 as id from c)
-    select doc_id, pos, list(coalesce(v.id, 1)::int order by i)[1:128] as ids from (select doc_id, pos, unnest({_PY}) as token, generate_subscripts({_PY}, 1) as i from sent) e left join (select * from v where id < 1000) v using (token)
+    select doc_id, pos, array_to_string(list(coalesce(v.id, 1)::int order by i)[1:128], ' ') as ids from (select doc_id, pos, unnest({_PY}) as token, generate_subscripts({_PY}, 1) as i from sent) e left join (select * from v where id < 1000) v using (token)
     group by doc_id, pos having count(*) >= 4""")
 def base_word_py(spark, sf):
     """Word and punctuation ids of the most frequent 998; sentences under four are left out, long ones cut."""
-    return B.word_ids(C.sentences(read(spark, sf, "documents")), 1000, 128)
+    return _shown(B.word_ids(C.sentences(read(spark, sf, "documents")), 1000, 128))
 
 
 @query()
@@ -174,10 +179,10 @@ def base_spm(spark, sf):
 _BI = f"{_COUNT}, pair as (select doc_id, pos, token as a, lead(token) over (partition by doc_id, pos order by i) as b from each), bi as (select a, b, count(*) as nab from pair where b is not null group by a, b), uni as (select a, sum(nab) as na from bi group by a), size as (select count(*) as v from counts)"
 
 
-@query(f"with {_BI} select a, b, nab, -ln((nab + 1.0) / (na + v)) as nll from bi join uni using (a), size")
+@query(f"with {_BI} select a, b, nab, round(-ln((nab + 1.0) / (na + v)), 9) as nll from bi join uni using (a), size")
 def ngram_lm(spark, sf):
     """Add-one bigram scores; a proxy of our own, not to be held against a neural model's figures."""
-    return B.bigrams(_lexed(spark, sf))
+    return B.bigrams(_lexed(spark, sf)).withColumn("nll", F.round("nll", 9))
 
 
 @query(f"""with {_BI}, sc as (select p.doc_id, p.pos, sum(-ln((nab + 1.0) / (na + v))) as nll, count(*) as n_tokens from pair p join bi on bi.a = p.a and bi.b = p.b join uni on uni.a = p.a, size where p.b is not null group by p.doc_id, p.pos)
@@ -190,22 +195,23 @@ def agg_bpc(spark, sf):
     return made.withColumns({"nll": F.round("nll", 4), "bpc": F.round("bpc", 6), "perplexity": F.round("perplexity", 4)})
 
 
-@query(f"with {_top(CAP)}, e as (select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos) select doc_id, pos, ids || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0) as padded, list_transform(ids, lambda x: 1) || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0) as mask, list_append(ids[2:], -100) as labels from e")
+@query(f"with {_top(CAP)}, e as (select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos) select doc_id, pos, array_to_string(ids || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0), ' ') as padded, array_to_string(list_transform(ids, lambda x: 1) || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0), ' ') as mask, array_to_string(list_append(ids[2:], -100), ' ') as labels from e")
 def pad_mask(spark, sf):
     ids = C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
-    return ids.select("doc_id", "pos", K.pad(F.col("ids"), 16).alias("padded"), K.mask(F.col("ids"), 16).alias("mask"), K.shifted_labels(F.col("ids")).alias("labels"))
+    made = ids.select("doc_id", "pos", K.pad(F.col("ids"), 16).alias("padded"), K.mask(F.col("ids"), 16).alias("mask"), K.shifted_labels(F.col("ids")).alias("labels"))
+    return _shown(made, "padded", "mask", "labels")
 
 
 @query(f"""with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1)::int as id from each left join vocab v using (token)), g as (select doc_id, pos, list(id order by i) as ids from e group by doc_id, pos),
     lit as (select list(id) as l from vocab where token like 'LIT:%')
-    select doc_id, pos, case when len(list_filter(ids, lambda x: list_contains(l, x))) > 0 then list_filter(ids, lambda x: not list_contains(l, x)) || [{CAP} + 7, {CAP} + 8] else ids end as ids from g, lit""")
+    select doc_id, pos, array_to_string(case when len(list_filter(ids, lambda x: list_contains(l, x))) > 0 then list_filter(ids, lambda x: not list_contains(l, x)) || [{CAP} + 7, {CAP} + 8] else ids end, ' ') as ids from g, lit""")
 def lit_cap_zero(spark, sf):
     """Literal ids go; where any was there, subword ids follow, moved up by the vocabulary's size."""
     vocab = _vocab(spark, sf)
     ids = C.encode(_lexed(spark, sf), vocab, ["doc_id", "pos"])
     literal = vocab.filter("token like 'LIT:%'").agg(F.collect_list(F.col("id").cast("int")).alias("l"))  # at most the cap
     joined = ids.join(F.broadcast(literal))
-    return joined.select("doc_id", "pos", K.drop_literals(F.col("ids"), F.col("l"), F.array(F.lit(7), F.lit(8)), CAP).alias("ids"))
+    return _shown(joined.select("doc_id", "pos", K.drop_literals(F.col("ids"), F.col("l"), F.array(F.lit(7), F.lit(8)), CAP).alias("ids")))
 
 
 @query()
