@@ -109,16 +109,46 @@ def _anchor_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The anchors of each text; of contexts that a text has twice, one row that counts and a known row for each place.
+
+    Known rows are spans already. Touching ones are one row, and a key of their own spreads them over the tasks.
+    """
+    names = ["id", "digest", "anchor", "first", "count", "shift", "known"]
     for batch in batches:
         data, offsets = common.flat_text(batch.column(2))
         for a, b in common.steps(offsets, common.SMALL_STEP_BYTES):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             row, first, count, place, h = anchors(part, off)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a).take(at), batch.column(1).slice(a, b - a).take(at), _signed(h), pa.array(first - off[row]), pa.array(count.astype(np.int16)), pa.array((place - first).astype(np.int16))],
-                ["id", "digest", "anchor", "first", "count", "shift"],
-            )
+            if not len(h):
+                continue
+            # equal anchors in one text are few but in periodic texts: only there contexts are looked at
+            order = np.lexsort((h, row))
+            same = (h[order[1:]] == h[order[:-1]]) & (row[order[1:]] == row[order[:-1]])
+            again = np.zeros(len(h), bool)
+            again[order[1:][same]] = True
+            again[order[:-1][same]] = True
+            keep, known = np.ones(len(h), bool), np.zeros(0, np.int64)
+            if again.any():
+                at = np.flatnonzero(again)
+                c = context_hashes(part, first[at], count[at], place[at])
+                _, rep, which, times = np.unique(np.stack([row[at].astype(np.uint64), h[at], c], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+                many = times[which.ravel()] > 1
+                known = at[many]
+                keep[known] = False
+                keep[at[rep]] = True
+            own = np.flatnonzero(keep)
+            # known contexts of a text that touch: places are in order
+            end = first[known] + count[known] - 1 + WINDOW
+            cut = np.flatnonzero(np.concatenate((np.ones(min(1, len(known)), bool), (row[known][1:] != row[known][:-1]) | (first[known][1:] > end[:-1]))))
+            lo, hi, lr = first[known][cut], np.append(end[cut[1:] - 1], end[-1:])[: len(cut)], row[known][cut]
+            with np.errstate(over="ignore"):
+                spread = (lo.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ (h[known][cut] * np.uint64(0xBF58476D1CE4E5B9))
+            at = pa.array(np.concatenate([row[own], lr]))
+            columns = [
+                np.concatenate([h[own], spread]).view(np.int64), np.concatenate([first[own] - off[row[own]], lo - off[lr]]), np.concatenate([count[own], hi - lo - WINDOW + 1]),
+                np.concatenate([(place - first)[own], np.zeros(len(lo), np.int64)]), np.concatenate([np.zeros(len(own), bool), np.ones(len(lo), bool)]),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a).take(at), batch.column(1).slice(a, b - a).take(at), *(pa.array(x) for x in columns)], names)
 
 
 def common_prefix(x: bytes, y: bytes, known: int = 0) -> int:
@@ -321,19 +351,32 @@ def _merge(table: pa.Table) -> pa.Table:
     return pa.table({"id": items["id"], "digest": items["digest"], "lo": lo.astype(np.int64), "hi": hi.astype(np.int64)})
 
 
+_WINDOWS = "id long, digest long, lo long, hi long, h1 long, h2 long, weight int"
+
+
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For anchors that occur very often: two hashes of each window, counted by Spark."""
+    """For anchors that occur very often: two hashes of each window, for Spark to count.
+
+    Windows that a text has twice are spans already, joined where they touch, and only one row stands for them, with
+    weight 2: periodic texts would give as many equal rows as they have bytes.
+    """
+    kinds = [pa.int64()] * 6 + [pa.int32()]
     for batch in batches:
         for i in range(batch.num_rows):
             text = bytes(memoryview(batch.column(2)[i].as_buffer()))
-            at = [a for h in batch.column(3)[i].as_py() for a in range(h["first"], h["first"] + h["count"])]
-            both = [xxhash.xxh3_128_digest(text[a : a + WINDOW]) for a in at]
-            pair = np.frombuffer(b"".join(both), "<i8").reshape(-1, 2)
-            n = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([batch.column(0)[i].as_py()] * n, pa.int64()), pa.array([batch.column(1)[i].as_py()] * n, pa.int64()), pa.array(at, pa.int64()), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())],
-                ["id", "digest", "lo", "h1", "h2"],
-            )
+            at = np.unique(np.concatenate([np.arange(h["first"], h["first"] + h["count"]) for h in batch.column(3)[i].as_py()]))
+            both = np.frombuffer(b"".join([xxhash.xxh3_128_digest(text[a : a + WINDOW]) for a in at.tolist()]), "<i8").reshape(-1, 2)
+            _, first, which, times = np.unique(both, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            again = np.sort(at[times[which.ravel()] > 1])
+            cut = np.flatnonzero(np.diff(again, prepend=-2 * WINDOW) > WINDOW)
+            lo, hi = again[cut], np.append(again[cut[1:] - 1], again[-1:])[: len(cut)] + WINDOW
+            n, m = len(lo), len(first)
+            none = [None] * n
+            columns = [
+                [batch.column(0)[i].as_py()] * (n + m), [batch.column(1)[i].as_py()] * (n + m), [*lo.tolist(), *at[first].tolist()], [*hi.tolist(), *(at[first] + WINDOW).tolist()],
+                [*none, *both[first, 0].tolist()], [*none, *both[first, 1].tolist()], [*[0] * n, *np.minimum(times, 2).tolist()],
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["id", "digest", "lo", "hi", "h1", "h2", "weight"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -344,8 +387,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counts = docs.mapInArrow(common.lean(_anchor_counts), "anchor long, n long, low long, high long")
     found = counts.groupBy("anchor").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).filter("n > 1")
     kind = F.when(F.col("low") == F.col("high"), 0).when(F.col("n") <= HOT, 1).otherwise(2)
-    hits = docs.mapInArrow(common.lean(_occurrences), "id long, digest long, anchor long, first long, count smallint, shift smallint").join(found.select("anchor", kind.alias("kind")), "anchor")
-    hits = common.stored(hits)
+    found = common.stored(found.select("anchor", kind.alias("kind")))  # so that adaptive execution may split a frequent anchor
+    each = docs.mapInArrow(common.lean(_occurrences), "id long, digest long, anchor long, first long, count long, shift long, known boolean").join(found, "anchor", "left")
+    hits = common.stored(each.withColumn("kind", F.when(F.col("known"), 0).otherwise(F.col("kind"))).filter("kind is not null").drop("known"))
     spans = hits.filter("kind = 0").select("id", "digest", F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + WINDOW).alias("hi"))
     sizes = {r["kind"]: r["count"] for r in hits.groupBy("kind").count().collect()}
 
@@ -359,9 +403,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         runs = contexts(1).mapInArrow(common.lean(_runs(buckets)), _RUN)
         spans = spans.union(runs.groupBy("bucket").applyInArrow(_merge, _SPANS))
     if sizes.get(2):
-        each = common.stored(contexts(2).mapInArrow(_window_rows, "id long, digest long, lo long, h1 long, h2 long"))
-        twice = each.groupBy("h1", "h2").count().filter("count > 1").select("h1", "h2")
-        spans = spans.union(each.join(twice, ["h1", "h2"]).select("id", "digest", "lo", (F.col("lo") + WINDOW).alias("hi")))
+        each = common.stored(contexts(2).mapInArrow(common.lean(_window_rows), _WINDOWS))
+        own = each.filter("h1 is not null")
+        twice = common.stored(own.groupBy("h1", "h2").agg(F.sum("weight").alias("n")).filter("n > 1").select("h1", "h2"))
+        met = own.filter("weight = 1").join(twice, ["h1", "h2"])
+        spans = spans.union(each.filter("h1 is null").select("id", "digest", "lo", "hi")).union(met.select("id", "digest", "lo", "hi"))
     return common.stored(spans)
 
 
