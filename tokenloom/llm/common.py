@@ -11,7 +11,6 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -226,9 +225,4 @@ def quiet_tokenizers() -> None:
     os.environ["RAYON_RS_NUM_CPUS"] = "1"
 
 
-def local_rows(column: pa.Array) -> np.ndarray:
-    """Ids as integers, null as NULL_ID."""
-    return pc.fill_null(column.cast(pa.int64()), NULL_ID).to_numpy(zero_copy_only=False)
-
-
 assert sys.byteorder == "little"

@@ -19,8 +19,6 @@ SEGMENTS, WIDTH, CHAIN = 8, 8, 5
 #: Members of an index key that one task compares with each other; larger groups go in pairs of blocks.
 BLOCK = 2048
 
-_ALL = (1 << 64) - 1
-
 
 def chain_masks(max_bits: int = MAX_BITS, segments: int = SEGMENTS, chain: int = CHAIN) -> list[int]:
     """Bit masks such that fingerprints within max_bits agree on all bits of one of them at least.
