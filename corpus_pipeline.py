@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import common, lines, packing, quality, simhash, suffixes
+from tokenloom.llm import common, lines, packing, quality, shingles, suffixes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Near-duplicates: words of a shingle, and bits that may differ of 64 (a likeness of 0.9 of the fingerprints).
-SHINGLE, MAX_BITS = 5, 6
+#: Near-duplicates: words of a shingle, and the Jaccard likeness from which two texts are linked.
+SHINGLE, LIKENESS = 5, 0.8
+
+#: Bits of the fingerprints that tests hold the stage against; the stage itself compares shingles.
+MAX_BITS = 6
 
 
 def _with_text(made: DataFrame) -> DataFrame:
@@ -31,11 +34,11 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near or equal fingerprints the one with the smallest id stays; of a repeated row, one."""
-    made = common.stored(simhash.fingerprints(docs, size=SHINGLE))
-    stay = simhash.groups(made, max_bits=MAX_BITS).filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.select(*COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    if made.groupBy("doc_id").count().filter("count > 1").isEmpty():
+    """Of documents with near or equal texts (Jaccard likeness of their shingles) the one with the smallest id stays; of a repeated row, one."""
+    made = common.stored(shingles.groups(docs, size=SHINGLE, likeness=LIKENESS))
+    stay = made.groupBy("root").agg(F.min("id").alias("_id")).select("_id").distinct()
+    kept = docs.select(*COLUMNS).join(stay, F.coalesce("doc_id", F.lit(common.NULL_ID)) == F.col("_id"), "left_semi")
+    if made.groupBy("id").count().filter("count > 1").isEmpty():
         return kept
     return kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
 

@@ -66,3 +66,41 @@ def test_stages_take_odd_rows(spark, sf):
         for _, stage in pipeline.STAGES[1:]:
             made = common.stored(stage(spark, made, sf))
         assert (made.count() > 0) == (not table.isEmpty())
+
+
+def test_near_stage_links_by_likeness_of_texts(spark, sf):
+    """Texts of a likeness of 0.8 or more are linked however far their fingerprints are, and no others."""
+
+    def pair(letter, n, edits):
+        words = [f"{letter}{k}" for k in range(n)]
+        own = list(words)
+        for k in range(edits):
+            own[(9 + n // 10 * k) % n] = f"new{edits}x{k}"
+        x, y = ({tuple(w[i : i + 5]) for i in range(n - 4)} for w in (words, own))
+        texts = [" ".join(words), " ".join(own)]
+        a, b = (simhash.fingerprint(t.encode(), pipeline.SHINGLE) for t in texts)
+        return texts, len(x & y) / len(x | y), (a ^ b).bit_count()
+
+    near, far = pair("y", 100, 2), pair("w", 400, 10)
+    assert near[1] >= 0.8 and near[2] > pipeline.MAX_BITS
+    assert far[1] < 0.8 and far[2] <= pipeline.MAX_BITS
+    docs = spark.createDataFrame([(n, t, "en", "s", len(t)) for n, t in enumerate(near[0] + far[0])], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r["doc_id"] for r in pipeline.stage_near(spark, common.stored(docs), sf).collect()} == {0, 2, 3}
+
+
+def test_near_stage_against_brute_force(spark, sf):
+    docs = common.documents(spark, sf)
+    for _, stage in pipeline.STAGES[:2]:
+        docs = common.stored(stage(spark, docs, sf))
+    sets = {}
+    for r in docs.select("doc_id", "text").collect():
+        w = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    root = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if j < i and root[i] != root[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = {k: new if r == old else r for k, r in root.items()}
+    got = {r["doc_id"] for r in pipeline.stage_near(spark, docs, sf).collect()}
+    assert got == set(root.values()) and len(got) < len(sets)

@@ -1,0 +1,221 @@
+"""Near-duplicates by the exact Jaccard likeness of word shingles: a prefix-filtered set join, all links confirmed."""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tokenloom.llm import common, simhash
+
+SHINGLE, LIKENESS, SEED = 5, 0.8, 42
+
+#: Texts sampled to find frequent shingles, the sampled texts one must be in, and how many the driver gets at most.
+SAMPLE, FREQUENT, MOST = 20_000, 4, 100_000
+
+#: Rows held before candidates come out, and pairs compared at once.
+HELD, STRIPE = 1 << 17, 1 << 20
+
+
+def shingle_set(text: bytes, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """The distinct XXH64 of all word shingles of a text, ascending; fewer words than a shingle has are one."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(words) - size + 1)
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(joined[x:y], seed) for x, y in zip(starts[:n].tolist(), ends[min(size, len(words)) - 1 :].tolist())), np.uint64, n))
+
+
+def least_overlap(n, m, likeness: float):
+    """How many elements sets of n and m elements must share to be alike."""
+    return np.ceil(likeness / (1 + likeness) * (n + m) - 1e-9)
+
+
+def alike(a: np.ndarray, b: np.ndarray, likeness: float = LIKENESS) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least_overlap(len(a), len(b), likeness)
+
+
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Bytes of a bit map, at least two bits an element: each bit is the parity of the elements that fall on it."""
+    bits = 64
+    while bits < 2 * len(hashes):
+        bits *= 2
+    return np.packbits((np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(bool), bitorder="little")
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, n: int, m: int, likeness: float = LIKENESS) -> bool:
+    """Whether parities of sets of n and m elements allow them to be alike: they differ in no more bits than the sets in elements."""
+    size = min(len(a), len(b))
+    a, b = (np.bitwise_xor.reduce(x.reshape(-1, size), axis=0) for x in (a, b))
+    return int(np.bitwise_count(a ^ b).sum()) <= n + m - 2 * least_overlap(n, m, likeness)
+
+
+def _frequent(keyed: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes ascending, their ranks from 1): shingles that many sampled texts have, the most frequent one last."""
+    share = min(1.0, SAMPLE / max(1, keyed.count()))
+    sample = keyed.filter(F.pmod("digest", F.lit(1 << 20)) < F.lit(math.ceil(share * (1 << 20)))).dropDuplicates(["digest"]).select("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text.as_py(), size).view(np.int64))], ["h"])
+
+    counts = sample.mapInArrow(common.lean(run), "h long").groupBy("h").count().filter(F.col("count") >= FREQUENT)
+    found = counts.orderBy(F.desc("count"), "h").limit(MOST).collect()
+    hashes = np.array([r["h"] for r in found], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], (len(found) - np.arange(len(found)))[order]
+
+
+def prefix(hashes: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], likeness: float = LIKENESS) -> np.ndarray:
+    """The first elements in the common order, frequent ones last: alike sets share one of them at least."""
+    n = len(hashes)
+    rank = np.zeros(n, np.int64)
+    known, ranks = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        rank = np.where(known[at] == hashes, ranks[at], 0)
+    return hashes[np.lexsort((hashes, rank))[: n - math.ceil(likeness * n - 1e-9) + 1 if n else 0]]
+
+
+def _pairs_in_runs(h: np.ndarray, node: np.ndarray, n: np.ndarray, pos: np.ndarray, likeness: float, small: int = 48):
+    """Pairs of nodes of equal h (sorted by h) that may be alike by their sizes and places, some at a time."""
+
+    def keep(i, j):
+        most = np.minimum(pos[i], pos[j]) + 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
+        ok = (most >= least_overlap(n[i], n[j], likeness)) & (node[i] != node[j])
+        return np.minimum(node[i[ok]], node[j[ok]]), np.maximum(node[i[ok]], node[j[ok]])
+
+    edge = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1], [True])))
+    size = np.diff(edge)
+    per = np.repeat(size, size)
+    few = (per > 1) & (per <= small)
+    for lag in range(1, int(per[few].max()) if few.any() else 0):
+        i = np.flatnonzero(few[:-lag] & (h[lag:] == h[:-lag]))
+        yield keep(i, i + lag)
+    for k in np.flatnonzero(size > small):
+        lo, hi = int(edge[k]), int(edge[k + 1])
+        stripe = max(1, STRIPE // (hi - lo))
+        for i in range(lo, hi, stripe):
+            x, y = np.meshgrid(np.arange(i, min(i + stripe, hi)), np.arange(i, hi), indexing="ij")
+            below = x < y
+            yield keep(x[below], y[below])
+
+
+def _candidates(likeness: float):
+    """Pairs (a, b) from rows (h, node, n, pos) that come sorted by h."""
+
+    def out(pairs):
+        pairs = np.unique(pairs, axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def flush(columns):
+        made, held = [], 0
+        for a, b in _pairs_in_runs(*columns, likeness):
+            if len(a):
+                made.append(np.stack([a, b], axis=1))
+                held += len(a)
+            if held > STRIPE:
+                yield out(np.concatenate(made))
+                made, held = [], 0
+        if made:
+            yield out(np.concatenate(made))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held, limit = [], 0, HELD
+        for batch in batches:
+            parts.append([c.to_numpy() for c in batch.columns])
+            held += batch.num_rows
+            if held >= limit:
+                columns = [np.concatenate(c) for c in zip(*parts)]
+                cut = int(np.searchsorted(columns[0], columns[0][-1]))  # the last key may go on
+                if cut:
+                    yield from flush([c[:cut] for c in columns])
+                parts, held = [[c[cut:] for c in columns]], len(columns[0]) - cut
+                limit = max(HELD, 2 * held)
+        if held:
+            yield from flush([np.concatenate(c) for c in zip(*parts)])
+
+    return run
+
+
+def _possible(likeness: float):
+    """The pairs (a, b) of rows (a, b, n, m, x, y) whose parities x and y let them be alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = ((np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)) for x, y in zip(batch.column(4), batch.column(5)))
+            sizes = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            ok = pa.array([may_be_alike(x, y, n, m, likeness) for (x, y), (n, m) in zip(maps, sizes)], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    return run
+
+
+def _confirmed(likeness: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3)))
+            ok = pa.array([alike(x, y, likeness) for x, y in sets], pa.bool_())
+            yield batch.select([0, 1]).filter(ok)
+
+    return run
+
+
+def groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
+    """(id, digest, root) for each row of df (stored): rows have one root if links of alike shingle sets connect them.
+
+    id and digest are those of common.key_columns. Two sets in the same order share an element of their first
+    n - ceil(likeness * n) + 1 elements if they are alike, so no link is missed (but for hash collisions); shingles
+    that a sample shows to be frequent come last, which keeps the groups small. Bit maps of parities tell most
+    unlike pairs apart without loss, so few whole sets are joined and compared. Equal sets are one node.
+    Texts without words are alike.
+    """
+    spark = df.sparkSession
+    common.prepare(spark)
+    id_, digest = common.key_columns(id_col, text_col)
+    keyed = df.select(id_.alias("id"), digest.alias("digest"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
+    frequent = _frequent(keyed, size)
+
+    def signed(h: np.ndarray) -> int:
+        return xxhash.xxh64_intdigest(h.tobytes(), SEED) - (1 << 63)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_set(x.as_py(), size) for x in batch.column(2)]
+            first = [prefix(s, frequent, likeness).view(np.int64) for s in sets]
+            columns = [pa.array([signed(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(first, pa.list_(pa.int64())), pa.array([parities(s).tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["id", "digest", "node", "n", "prefix", "map"])
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = pa.array([shingle_set(x.as_py(), size).tobytes() for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), made], ["node", "hashes"])
+
+    rows = common.stored(keyed.mapInArrow(common.lean(run), "id long, digest long, node long, n int, prefix array<long>, map binary"))
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = nodes.select("node", "n", F.posexplode("prefix").alias("pos", "h")).select("h", "node", "n", "pos")
+    found = places.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(common.lean(_candidates(likeness)), "a long, b long")
+    pairs = common.stored(found.distinct())
+    maps = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("map").alias("map"))
+    mapped = pairs.join(maps.toDF("a", "n", "x"), "a").join(maps.toDF("b", "m", "y"), "b").select("a", "b", "n", "m", "x", "y")
+    pairs = common.stored(mapped.mapInArrow(common.lean(_possible(likeness)), "a long, b long"))
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    chosen = rows.join(needed, "node", "left_semi").groupBy("node").agg(F.min("digest").alias("digest"))
+    texts = keyed.join(chosen, "digest").dropDuplicates(["node"]).select("node", "text")
+    sets = common.stored(texts.mapInArrow(common.lean(whole), "node long, hashes binary"))
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    links = both.select("a", "b", "x", "y").mapInArrow(common.lean(_confirmed(likeness)), "a long, b long")
+    roots = simhash.components(links)
+    return rows.select("id", "digest", "node").join(roots, "node", "left").select("id", "digest", F.coalesce("root", "node").alias("root"))
