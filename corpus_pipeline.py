@@ -34,13 +34,17 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near or equal texts (Jaccard likeness of their shingles) the one with the smallest id stays; of a repeated row, one."""
+    """Of documents with near or equal texts (Jaccard likeness of their shingles) one stays: the smallest id, then text digest.
+
+    Rows are told apart by id and text, so rows that share an id, or have none, are only dropped for their texts.
+    """
     made = common.stored(shingles.groups(docs, size=SHINGLE, likeness=LIKENESS))
-    stay = made.groupBy("root").agg(F.min("id").alias("_id")).select("_id").distinct()
-    kept = docs.select(*COLUMNS).join(stay, F.coalesce("doc_id", F.lit(common.NULL_ID)) == F.col("_id"), "left_semi")
-    if made.groupBy("id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("row")).select("doc_id", "row.*")
+    least = made.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("row")).select("row.*")
+    id_, digest = common.key_columns()
+    kept = docs.select(*COLUMNS, id_.alias("id"), digest.alias("digest")).join(least, ["id", "digest"], "left_semi")
+    if made.groupBy("id", "digest").count().filter("count > 1").isEmpty():
+        return kept.select(*COLUMNS)
+    return kept.groupBy("id", "digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,3 +104,17 @@ def test_near_stage_against_brute_force(spark, sf):
                 root = {k: new if r == old else r for k, r in root.items()}
     got = {r["doc_id"] for r in pipeline.stage_near(spark, docs, sf).collect()}
     assert got == set(root.values()) and len(got) < len(sets)
+
+
+def test_near_stage_tells_rows_apart(spark, sf):
+    """Rows with equal or no ids go only if their texts are near others, and then the copy, not the clean one."""
+    unlike = [" ".join(f"{c}{n}" for n in range(50)) for c in "abcdef"]
+    rows_ = [
+        (None, unlike[0]), (None, unlike[1]),  # no id, unlike texts
+        (7, unlike[2]), (7, unlike[3]),  # one id, unlike texts
+        (7, unlike[2]),  # a repeated row
+        (3, unlike[4]), (9, unlike[4]), (9, unlike[5]),  # a copy shares its id with a clean text
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows_], "doc_id long, text string, lang string, source string, n_chars long")
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in pipeline.stage_near(spark, common.stored(docs), sf).collect())
+    assert got == sorted([(0, unlike[0]), (0, unlike[1]), (7, unlike[2]), (7, unlike[3]), (3, unlike[4]), (9, unlike[5])])
