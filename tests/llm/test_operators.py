@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +384,19 @@ def test_simhash_groups(spark, monkeypatch, block, bits):
     assert simhash.groups(df.limit(0)).count() == 0
 
 
+def test_simhash_key_goes_on_after_whole_blocks(monkeypatch):
+    """A key that fills the buffer with whole blocks and goes on is dealt out to its end."""
+    monkeypatch.setattr(simhash, "BLOCK", 16)
+    monkeypatch.setattr(simhash, "HELD", 512)
+    fps = np.arange(1, 1035, dtype=np.int64) << 20
+    for sizes in ((512, 512, 10), (512, 522)):
+        at = np.cumsum((0, *sizes))
+        batches = [pa.RecordBatch.from_arrays([pa.array([5] * (b - a), pa.int64()), pa.array(fps[a:b])], ["key", "fp"]) for a, b in zip(at, at[1:])]
+        made = [r for b in simhash._candidates(4)(iter(batches)) for r in b.to_pylist() if r["members"] is not None]
+        assert sorted(r["block"] for r in made) == list(range(len(made)))
+        assert sorted(x for r in made for x in np.frombuffer(r["members"], np.int64).tolist()) == fps.tolist()
+
+
 def test_chain_masks_catch_every_near_pair():
     rng = random.Random(3)
     for bits in (4, 5, 6):

@@ -19,6 +19,9 @@ SEGMENTS, WIDTH, CHAIN = 8, 8, 5
 #: Members of an index key that one task compares with each other; larger groups go in pairs of blocks.
 BLOCK = 2048
 
+#: Rows that are held before links come out.
+HELD = 1 << 17
+
 
 def chain_masks(max_bits: int = MAX_BITS, segments: int = SEGMENTS, chain: int = CHAIN) -> list[int]:
     """Bit masks such that fingerprints within max_bits agree on all bits of one of them at least.
@@ -197,7 +200,8 @@ def _candidates(max_bits: int):
                 hot = own + [h for h in hot if h[0] != hot_key]
                 hot = [(k, hot_block + i if k == hot_key else j, m) for i, (k, j, m) in enumerate(hot)]
                 hot_block += len(own)
-            if not last and len(keys[0]) and keys[0][0] == key[cut - 1]:
+            # nothing is left over only after a cut inside one key, which may go on
+            if not last and (not len(keys[0]) or keys[0][0] == key[cut - 1]):
                 if hot_key != key[cut - 1]:
                     hot_key, hot_block = key[cut - 1], sum(h[0] == key[cut - 1] for h in hot)
             else:
@@ -208,7 +212,7 @@ def _candidates(max_bits: int):
             keys.append(batch.column(0).to_numpy())
             fps.append(batch.column(1).to_numpy().view(np.uint64))
             held += batch.num_rows
-            if held >= 1 << 17 and (made := flush(False)) is not None:
+            if held >= HELD and (made := flush(False)) is not None:
                 yield made
         if held and (made := flush(True)) is not None:
             yield made
