@@ -392,18 +392,85 @@ def test_simhash_key_goes_on_after_whole_blocks(monkeypatch):
     for sizes in ((512, 512, 10), (512, 522)):
         at = np.cumsum((0, *sizes))
         batches = [pa.RecordBatch.from_arrays([pa.array([5] * (b - a), pa.int64()), pa.array(fps[a:b])], ["key", "fp"]) for a, b in zip(at, at[1:])]
-        made = [r for b in simhash._candidates(4)(iter(batches)) for r in b.to_pylist() if r["members"] is not None]
+        made = [r for b in simhash._candidates(simhash.Ring(4))(iter(batches)) for r in b.to_pylist() if r["members"] is not None]
         assert sorted(r["block"] for r in made) == list(range(len(made)))
         assert sorted(x for r in made for x in np.frombuffer(r["members"], np.int64).tolist()) == fps.tolist()
 
 
-def test_chain_masks_catch_every_near_pair():
+@pytest.mark.parametrize("kwargs", [{"max_bits": 4}, {"max_bits": 6}, {"max_bits": 4, "chain": 8}, {"max_bits": 9, "words": 2, "segments": 16}])
+def test_ring_finds_every_near_pair(kwargs):
+    """Of any two fingerprints within the radius, a key that both have keeps to the budgets of its chain."""
     rng = random.Random(3)
-    for bits in (4, 5, 6):
-        masks = simhash.chain_masks(bits)
-        for _ in range(3000):
-            diff = sum(1 << b for b in rng.sample(range(64), rng.randint(0, bits)))
-            assert any(not diff & m for m in masks)
+    ring = simhash.Ring(**kwargs)
+    bits = 64 * ring.words
+    for _ in range(2000):
+        diff = sum(1 << b for b in rng.sample(range(bits), rng.randint(0, kwargs["max_bits"])))
+        met = [n for n, m in enumerate(ring.masks) if not diff & m]
+        rows = np.array([ring.split(diff)] * len(met), np.uint64).reshape(len(met), ring.words)
+        assert len(ring.near(rows, np.zeros_like(rows), np.array(met, np.int64)))
+    far = np.array([ring.split((1 << bits) - 1)], np.uint64)
+    assert not len(ring.near(far, np.zeros_like(far), np.array([0])))
+
+
+def test_alike_pairs():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**64, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 60 - k, replace=False), rng.integers(0, 2**64, k, dtype=np.uint64)))) for k in (0, 1, 2, 5, 6, 7, 12, 30)]
+    sets += [base[:48], base[:47], np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+
+    def like(a, b):
+        return 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+
+    want = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if like(sets[i], sets[j])]
+    assert list(zip(*(x.tolist() for x in simhash.alike_pairs(sets, None, 0.8)))) == want and want
+    across = [(i, j) for i in range(5) for j in range(7) if like(sets[i], sets[5 + j])]
+    assert list(zip(*(x.tolist() for x in simhash.alike_pairs(sets[:5], sets[5:], 0.8)))) == across
+
+
+@pytest.mark.parametrize(("sets", "block"), [(512, 2048), (4, 4)])
+def test_alike_groups(spark, docs, empty, monkeypatch, sets, block):
+    """One large group of near copies, unlike texts, copies and odd rows: all links of a group are exact, in one block or many."""
+    monkeypatch.setattr(simhash, "SETS", sets)
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(4000)}" for _ in range(150)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for _ in range(rng.randint(0, 8)):
+            own[rng.randrange(150)] = f"new{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    texts += [" ".join(f"x{rng.randrange(4000)}" for _ in range(40)) for _ in range(30)] + ["", None, " \n", "one", "one", texts[0].upper()]
+    rows = [*enumerate(texts), (None, texts[3]), (None, None), (5, "some other text"), (5, texts[5])]
+    plain = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for _, t in rows]
+    up = list(range(len(rows)))
+
+    def root(a):
+        while up[a] != a:
+            a = up[a]
+        return a
+
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if 5 * len(plain[i] & plain[j]) >= 4 * len(plain[i] | plain[j])]
+    for i, j in pairs:
+        a, b = root(i), root(j)
+        up[max(a, b)] = min(a, b)
+    table = common.stored(spark.createDataFrame(rows, "doc_id long, text string").withColumn("root", F.lit("x")).withColumn("node", F.lit(1)))
+    key = {(common.NULL_ID if r["doc_id"] is None else r["doc_id"], r["d"]): r["text"] for r in table.select("doc_id", "text", common.key_columns()[1].alias("d")).collect()}
+    got: dict = {}
+    for r in simhash.alike_groups(table).collect():
+        i = r["id"]
+        got.setdefault(r["root"], []).append((None if i == common.NULL_ID else i, key[i, r["digest"]]))
+    want: dict = {}
+    for n, row in enumerate(rows):
+        want.setdefault(root(n), []).append(row)
+    assert sorted(sorted(map(repr, g)) for g in got.values()) == sorted(sorted(map(repr, g)) for g in want.values())
+    assert simhash.alike_groups(empty).count() == 0
+
+
+def test_simhash_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a", 5, 6, 7)], "doc_id long, text string, fp long, root long, best long")
+    made = common.stored(simhash.fingerprints(df))
+    assert simhash.groups(made.withColumns({"best": F.lit(1), "rank_id": F.lit(1), "least": F.lit(2)})).columns == ["doc_id", "fp", "component_id"]
 
 
 def test_components_of_a_long_chain(spark):
