@@ -5,17 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tokenloom.llm import common, lines, packing, quality, shingles, suffixes
+from tokenloom.llm import common, lines, packing, quality, simhash, suffixes
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-#: Near-duplicates: words of a shingle, and the Jaccard likeness from which two texts are linked.
-SHINGLE, LIKENESS = 5, 0.8
-
-#: Bits of the fingerprints that tests hold the stage against; the stage itself compares shingles.
-MAX_BITS = 6
-
-
 def _with_text(made: DataFrame) -> DataFrame:
     """The columns of documents with what was kept as text; a null text stays null."""
     kept = F.when(F.col("text").isNotNull(), F.col("kept").cast("string"))
@@ -34,17 +27,26 @@ def stage_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def stage_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents with near or equal texts (Jaccard likeness of their shingles) one stays: the smallest id, then text digest.
+    """Of documents that links of near texts connect (Jaccard likeness of five-word shingles 0.8 or more) one stays.
 
-    Rows are told apart by id and text, so rows that share an id, or have none, are only dropped for their texts.
+    That is the one with the smallest id, then text digest. Rows are told apart by id and text: rows that share an id,
+    or have none, only go for their texts. Of a repeated row, one stays at most.
     """
-    made = common.stored(shingles.groups(docs, size=SHINGLE, likeness=LIKENESS))
-    least = made.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("row")).select("row.*")
+    made = common.stored(simhash.alike_groups(docs))
+    best = made.groupBy("root").agg(F.min(F.struct("id", "digest")).alias("row")).select("row.*")
+    times = made.groupBy("id", "digest").count()
+    again = best.join(times, ["id", "digest"]).filter("count > 1").select("id", "digest")
+    # all that must not pass as it is: rows that are not the first of their group, and rows that occur more than once
+    held = times.join(best, ["id", "digest"], "left_anti").select("id", "digest").union(again)
     id_, digest = common.key_columns()
-    kept = docs.select(*COLUMNS, id_.alias("id"), digest.alias("digest")).join(least, ["id", "digest"], "left_semi")
-    if made.groupBy("id", "digest").count().filter("count > 1").isEmpty():
-        return kept.select(*COLUMNS)
-    return kept.groupBy("id", "digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    keyed = docs.select(*COLUMNS, id_.alias("_id"), digest.alias("_digest"))
+
+    def on(other: DataFrame):
+        return (keyed["_id"] == other["id"]) & (keyed["_digest"] == other["digest"])
+
+    passed = keyed.join(held, on(held), "left_anti").select(*COLUMNS)
+    one = keyed.join(again, on(again), "left_semi").groupBy("_id", "_digest").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return passed.unionByName(one)
 
 
 def stage_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
