@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
 import os
+import shutil
 import sys
 import tempfile
 import uuid
@@ -43,19 +45,25 @@ def prepare(spark: SparkSession) -> None:
 
 
 _own_dir: list[str] = []
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below spark.checkpoint.dir, which driver and executors share.
 
-    Only a session without that setting (a local test) gets a temporary folder.
+    Where that is unset, a local session (a test) gets a temporary folder that goes with the process; on a cluster it is
+    an error, as no machine's own folder would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="tokenloom-"))
-        base = _own_dir[0]
-    return f"{base.rstrip('/')}/tokenloom-{uuid.uuid4().hex}"
+            atexit.register(shutil.rmtree, _own_dir[0], ignore_errors=True)
+        base = f"file://{_own_dir[0]}"
+    _made.append(f"{base.rstrip('/')}/tokenloom-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame) -> DataFrame:
@@ -65,6 +73,16 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sweep(spark: SparkSession, keep: DataFrame) -> None:
+    """Remove the folders made so far, but what keep is read from: only for tables that nothing will read again."""
+    held = {os.path.dirname(f.split("://", 1)[-1].removeprefix("file:")) for f in keep.inputFiles()}
+    for path in list(_made):
+        if path.split("://", 1)[-1].removeprefix("file:") not in held:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            _made.remove(path)
+
+
 def key_columns(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:
     """(id, text digest): what tells rows apart; equal ids with equal texts are one document."""
     return (
@@ -73,6 +91,13 @@ def key_columns(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column,
     )
 
 
+def free_names(given: list[str], made: list[str]) -> None:
+    """Columns that pass through must not have a result's name: that is an error, whatever their values."""
+    results = {m.lower() for m in made}
+    if clash := sorted(g for g in given if g.lower() in results):
+        raise ValueError(f"columns {clash} have the names of results; rename them first")
+
+
 def flat_text(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of an Arrow string column (null: empty) and the n + 1 offsets of its rows."""
     if isinstance(column, pa.ChunkedArray):
@@ -145,9 +170,9 @@ _OTHER = ~_LETTER
 _OTHER[128:] = False
 
 
-def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+def unit_starts(data: np.ndarray, offsets: np.ndarray, whole: list[tuple[int, int]] = ()) -> np.ndarray:
     """Where the units of the texts start: at each text's start, at each ASCII white space after other characters
-    and at each other ASCII character after an ASCII letter.
+    and at each other ASCII character after an ASCII letter. Each range in whole is a unit of its own.
 
     No match of the tokenizers' split patterns goes on from a non-space into white space, or from a letter into
     another kind of character, so units can be tokenized one by one. Behind a byte that may end a Unicode space no unit starts; units only get longer by that.
@@ -165,39 +190,48 @@ def unit_starts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         odd |= ((c3 == 0xE2) & ((c2 == 0x80) | (c2 == 0x81))) | ((c3 == 0xE3) & (c2 == 0x80))
         begins[at[odd]] = False
     begins[offsets[:-1][offsets[1:] > offsets[:-1]]] = True
+    for a, b in whole:
+        begins[a:b] = False
+        begins[a] = True
+        if b < len(data):
+            begins[b] = True
     return np.flatnonzero(begins)
 
 
 class UnitEncoder:
-    """Token ids of many texts, by way of their distinct units; `encode` maps a list of units to all their ids and each one's number."""
+    """Tokens of many texts, by way of their distinct units; `encode` maps a list of units to all their tokens and each one's number.
+
+    A token is a row of `width` numbers, its id first.
+    """
 
-    def __init__(self, encode, most: int = 300_000):
-        self.encode, self.most, self.known = encode, most, {}
+    def __init__(self, encode, width: int = 1, most: int = 300_000):
+        self.encode, self.width, self.most, self.known = encode, width, most, {}
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the n + 1 offsets of the texts in them."""
-        starts = unit_starts(data, offsets)
+    def __call__(self, data: np.ndarray, offsets: np.ndarray, whole: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(tokens, unit's start of each, the n + 1 offsets of the texts in them) of all texts in a row; ranges in whole are units."""
+        starts = unit_starts(data, offsets, whole)
         if not len(starts):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
+            return np.zeros((0, self.width), np.uint32), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
         coded = large_binary(data, np.append(starts, len(data))).dictionary_encode()
         units = coded.dictionary.to_pylist()
         if len(self.known) > self.most:
             self.known.clear()
+        size = 4 * self.width
         if new := [u for u in units if u not in self.known]:
-            ids, sizes = self.encode(new)
-            at = np.concatenate(([0], np.cumsum(sizes))) * 4
-            raw = ids.astype(np.uint32).tobytes()
+            tokens, sizes = self.encode(new)
+            at = np.concatenate(([0], np.cumsum(sizes))) * size
+            raw = tokens.astype(np.uint32).tobytes()
             self.known.update(zip(new, map(raw.__getitem__, map(slice, at[:-1].tolist(), at[1:].tolist()))))
         found = [self.known[u] for u in units]
-        flat = np.frombuffer(b"".join(found), np.uint32)
-        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), np.uint32).reshape(-1, self.width)
+        size = np.fromiter(map(len, found), np.int32, len(found)) // size
         begin = np.cumsum(size, dtype=np.int32) - size
         which = coded.indices.to_numpy(zero_copy_only=False)
         n = size[which]
         ends = np.cumsum(n)
-        ids = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1])]
+        tokens = flat[np.repeat(begin[which] - (ends - n), n) + np.arange(ends[-1])]
         before = np.concatenate(([0], ends))
-        return ids, before[np.searchsorted(starts, offsets)]
+        return tokens, np.repeat(starts, n), before[np.searchsorted(starts, offsets)]
 
 
 def together(units: list[bytes], alone, most: int = 32_768):

@@ -41,6 +41,11 @@ class CuckooFilter:
         self.table = np.zeros((buckets, self.SLOTS), np.uint16)
         self.stash: list[int] = []
 
+    @property
+    def room(self) -> int:
+        """Keys from which a larger filter is due."""
+        return int(self.table.size * 0.85)
+
     @staticmethod
     def _mix(x):
         with np.errstate(over="ignore"):
@@ -142,7 +147,7 @@ def line_references(docs: DataFrame, *, least_chars: int = LEAST_CHARS) -> DataF
 
 @dataclass
 class LineState:
-    """Stored tables: references (k1, k2, id, digest), counts (k1, k2, n, last) and filters (shard, filter)."""
+    """Stored tables: references (k1, k2, id, digest), counts (k1, k2, n, last) and filters (shard, room, filter)."""
 
     references: DataFrame
     counts: DataFrame
@@ -155,14 +160,26 @@ def _shard(shards: int) -> Column:
     return F.pmod("k2", F.lit(shards)).cast("int")
 
 
-def _filters(counts: DataFrame, shards: int, least_docs: int) -> DataFrame:
+_FILTER = "shard int, room long, filter binary"
+
+
+def _filter_row(shard: int, made: CuckooFilter) -> pa.Table:
+    return pa.table({"shard": pa.array([shard], pa.int32()), "room": pa.array([made.room], pa.int64()), "filter": pa.array([made.to_bytes()], pa.binary())})
+
+
+def _heavy(counts: DataFrame, shards: int, least_docs: int) -> DataFrame:
+    return counts.filter(F.col("n") >= least_docs).select(_shard(shards).alias("shard"), "k1")
+
+
+def _filters(heavy: DataFrame) -> DataFrame:
+    """A filter for each shard of heavy (shard, k1), with room for an eighth more."""
+
     def build(table: pa.Table) -> pa.Table:
-        made = CuckooFilter(len(table) + 64)
+        made = CuckooFilter(len(table) + len(table) // 8 + 64)
         made.insert(table.column("k1").to_numpy().view(np.uint64))
-        return pa.table({"shard": table.column("shard").slice(0, 1).cast(pa.int32()), "filter": pa.array([made.to_bytes()], pa.binary())})
+        return _filter_row(table.column("shard")[0].as_py(), made)
 
-    heavy = counts.filter(F.col("n") >= least_docs).select(_shard(shards).alias("shard"), "k1")
-    return heavy.groupBy("shard").applyInArrow(build, "shard int, filter binary")
+    return heavy.groupBy("shard").applyInArrow(build, _FILTER)
 
 
 def build(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int = LEAST_DOCS) -> LineState:
@@ -171,25 +188,28 @@ def build(docs: DataFrame, *, least_chars: int = LEAST_CHARS, least_docs: int =
     counts = common.stored(references.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("last")))
     heavy = counts.filter(F.col("n") >= least_docs).count()
     shards = max(1, -(-heavy // SHARD_LINES))
-    return LineState(references, counts, common.stored(_filters(counts, shards, least_docs)), shards, least_docs)
+    return LineState(references, counts, common.stored(_filters(_heavy(counts, shards, least_docs))), shards, least_docs)
 
 
 def _changed(state: LineState, references: DataFrame, counts: DataFrame) -> LineState:
-    """Filters follow the lines whose count crossed the threshold; all others stay as they are."""
+    """Filters follow the lines whose count crossed the threshold; those that would be too full are made anew from the counts."""
     least = state.least_docs
     before = state.counts.select("k1", "k2", F.col("n").alias("was"))
     crossed = counts.join(before, ["k1", "k2"], "full").select("k1", "k2", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("was", F.lit(0)).alias("was"))
     crossed = crossed.filter((F.col("n") >= least) != (F.col("was") >= least)).select(_shard(state.shards).alias("shard"), "k1", (F.col("n") >= least).alias("now"))
+    heavy = _heavy(counts, state.shards, least)
+    sizes = heavy.groupBy("shard").agg(F.count("*").alias("size"))
+    full = common.stored(sizes.join(state.filters.select("shard", "room"), "shard", "left").filter("room is null or size > room").select("shard"))
 
     def change(old: pa.Table, new: pa.Table) -> pa.Table:
-        keys, now = new.column("k1").to_numpy().view(np.uint64), new.column("now").to_numpy()
-        made = CuckooFilter.from_bytes(old.column("filter")[0].as_py()) if len(old) else CuckooFilter(SHARD_LINES)
+        made, keys, now = CuckooFilter.from_bytes(old.column("filter")[0].as_py()), new.column("k1").to_numpy().view(np.uint64), new.column("now").to_numpy()
         made.delete(keys[~now])
         made.insert(keys[now])
-        shard = (old if len(old) else new).column("shard").slice(0, 1).cast(pa.int32())
-        return pa.table({"shard": shard, "filter": pa.array([made.to_bytes()], pa.binary())})
+        return _filter_row(old.column("shard")[0].as_py(), made)
 
-    filters = state.filters.groupBy("shard").cogroup(crossed.groupBy("shard")).applyInArrow(change, "shard int, filter binary")
+    kept = state.filters.join(full, "shard", "left_anti")
+    changed = kept.groupBy("shard").cogroup(crossed.join(full, "shard", "left_anti").groupBy("shard")).applyInArrow(change, _FILTER)
+    filters = changed.unionByName(_filters(heavy.join(full, "shard", "left_semi")))
     return LineState(references, counts, common.stored(filters), state.shards, least)
 
 
@@ -205,9 +225,12 @@ def delete(state: LineState, docs: DataFrame, *, least_chars: int = LEAST_CHARS)
     """The state without these documents, all rows of which were inserted before: as if they never had been."""
     gone = common.stored(line_references(docs, least_chars=least_chars))
     rows = ["k1", "k2", "id", "digest"]
-    references = common.stored(state.references.exceptAll(gone.select(*rows)))
-    touched = gone.select("k1", "k2").distinct()
-    fresh = references.join(touched, ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
+    # only lines that the documents hold are looked at row by row, as often as each row goes
+    touched = common.stored(gone.select("k1", "k2").distinct())
+    among = state.references.join(touched, ["k1", "k2"], "left_semi").select(*rows)
+    left = common.stored(among.exceptAll(gone.select(*rows)))
+    references = common.stored(state.references.join(touched, ["k1", "k2"], "left_anti").select(*rows).unionByName(left))
+    fresh = left.groupBy("k1", "k2").agg(F.count("*").alias("n"), F.max("id").alias("last"))
     counts = state.counts.join(touched, ["k1", "k2"], "left_anti").unionByName(fresh)
     return _changed(state, references, common.stored(counts))
 
@@ -274,10 +297,12 @@ def drop_repeated_lines(df: DataFrame, *, id_col: str = "doc_id", text_col: str
     """(carry columns, n_lines, n_dropped, kept binary) for each row of df.
 
     A null or empty text is one empty line. Each row is a document: a repeated row counts again, and rows that
-    share the largest id of a line all keep it. A null id is smaller than any other.
+    share the largest id of a line all keep it. A null id is smaller than any other. Long texts are taken whole; an
+    empty table gives an empty one. A carried column named like a result is an error.
     """
     common.prepare(df.sparkSession)
     carry = [id_col] if carry is None else carry
+    common.free_names(carry, ["n_lines", "n_dropped", "kept"])
     id_, digest = common.key_columns(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")
     keyed = df.select(id_.alias("id"), digest.alias("digest"), text.alias("text"), F.struct(*(F.col(c) for c in carry)).alias("row"))

@@ -10,7 +10,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.llm import common
@@ -102,8 +102,13 @@ def parse(html: str | None) -> list[dict]:
 
 
 def interleave(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """(id_col, items) for each page: ordered texts and media references with position, digest and caption."""
+    """(id_col, items) for each page: ordered texts and media references with position, digest and caption.
+
+    Null and empty pages have no items; repeated rows give repeated rows; ids may be null or shared; pages of any length
+    are parsed whole. Other columns of df are not looked at; an id_col named items is an error.
+    """
     common.prepare(df.sparkSession)
+    common.free_names([id_col], ["items"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -115,13 +120,21 @@ def interleave(df: DataFrame, *, id_col: str = "page_id", html_col: str = "html"
     return narrow.mapInArrow(common.lean(run), f"id long, items {_ITEMS}").withColumnRenamed("id", id_col)
 
 
-def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str = "page_id") -> DataFrame:
-    """One row for each item, in order of position within a page, with the columns of media by digest; nulls where none fits.
+def resolve(sequences: DataFrame, media: DataFrame, *, id_col: str = "page_id", media_only: bool = False) -> DataFrame:
+    """(id_col, position, kind, text, digest, caption, columns of media) for each item of sequences (id_col, items).
 
-    Of media rows with equal digests, which have equal payloads, one is used.
+    Media rows are found by digest, nulls stand where none fits. Each row has its position in its page: rows come in no
+    order of their own. Of media rows with equal digests, which have equal payloads, one is used; they are stored once,
+    so that a digest that very many items share may be split. A repeated page gives its items again. A column of media
+    with the name of an item's is an error. With media_only texts are left out, positions stay.
     """
-    items = sequences.select(id_col, F.explode("items").alias("item")).select(id_col, "item.*")
-    return items.join(media.dropDuplicates(["digest"]), "digest", "left")
+    names = ["position", "kind", "text", "digest", "caption"]
+    common.free_names([id_col, *(c for c in media.columns if c != "digest")], names)
+    common.free_names([c for c in media.columns if c != "digest"], [id_col])
+    own = F.filter("items", lambda x: x["kind"] != "text") if media_only else F.col("items")
+    items = sequences.select(F.col(id_col), F.explode(own).alias("_item")).select(id_col, *(F.col(f"_item.{n}").alias(n) for n in names))
+    once = common.stored(media.dropDuplicates(["digest"]))
+    return items.join(once, "digest", "left").select(id_col, *names, *(c for c in media.columns if c != "digest"))
 
 
 def pad(raw: bytes) -> bytes:
@@ -178,8 +191,13 @@ def feature(samples: np.ndarray) -> str:
 
 
 def store(df: DataFrame, *, id_col: str = "doc_id", raw_col: str = "raw") -> DataFrame:
-    """(id_col, digest, n_bytes, media): each row's bytes (null: none) as a stored image, named by the SHA-256 of the bytes."""
+    """(id_col, digest, n_bytes, media): each row's bytes (null: none) as a stored image, named by the SHA-256 of the bytes.
+
+    Repeated rows give repeated rows, equal bytes equal images; ids may be null or shared. Other columns of df are not
+    looked at; an id_col named like a result is an error.
+    """
     common.prepare(df.sparkSession)
+    common.free_names([id_col], ["digest", "n_bytes", "media"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,11 +216,17 @@ def store(df: DataFrame, *, id_col: str = "doc_id", raw_col: str = "raw") -> Dat
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """(digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored images."""
+    """(digest, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature) of stored images.
+
+    A digest that a task meets again is left out there: copies are read back once a task, and come out as often.
+    """
     common.prepare(media.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
         for batch in batches:
+            new = [i for i, d in enumerate(batch.column(0).to_pylist()) if not (d in seen or seen.add(d))]
+            batch = batch.take(pa.array(new, pa.int64()))
             out = []
             for x in batch.column(2):
                 stored = x.as_py()
@@ -218,13 +242,30 @@ def read_back(media: DataFrame) -> DataFrame:
     )
 
 
+def page_of(text: Column, digest: Column, caption: Column) -> Column:
+    """An HTML page of a text's lines as paragraphs, with a figure behind the first."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.concat(F.lit("<p>"), x, F.lit("</p>")))
+    figure = F.concat(F.lit('<figure><img data-digest="'), digest, F.lit('"><figcaption>'), caption, F.lit("</figcaption></figure>"))
+    return F.concat(F.lit("<article>"), F.get(lines, F.lit(0)), figure, F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), ""), F.lit("</article>"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document is a page with one figure, whose payload is the document's text as a stored image."""
-    docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    media = common.stored(store(docs))
-    page = F.concat(F.lit('<article><figure><img data-digest="'), F.col("digest"), F.lit('"><figcaption>'), F.col("n_bytes"), F.lit(" bytes</figcaption></figure></article>"))
-    pages = media.select("doc_id", page.alias("html"))
-    found = resolve(interleave(pages, id_col="doc_id"), read_back(media), id_col="doc_id")
+    """Each document is a page of its lines with one figure among them, whose payload is the document's text as a stored image."""
+    docs = common.documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("own"))
+    raw = F.col("own").cast("binary")
+    media = common.stored(store(docs.select("doc_id", raw.alias("raw"))))
+    pages = docs.select("doc_id", page_of(F.col("own"), F.sha2(raw, 256), F.concat(F.octet_length("own").cast("string"), F.lit(" bytes"))).alias("html"))
+    found = resolve(interleave(pages, id_col="doc_id"), read_back(media), id_col="doc_id", media_only=True)
     return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "position", "caption")
 
 
+def media_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's HTML as an ordered sequence: how many texts and media references, the characters, and a digest of all texts in order."""
+    items = interleave(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    texts = F.transform(F.filter("items", lambda x: x["kind"] == "text"), lambda x: x["text"])
+    return items.select(
+        "page_id", F.size(texts).cast("long").alias("n_texts"), (F.size("items") - F.size(texts)).cast("long").alias("n_media"), F.length(F.array_join(texts, "")).cast("long").alias("n_chars"),
+        F.sha2(F.array_join(texts, "\n").cast("binary"), 256).alias("texts_sha256"),
+    )

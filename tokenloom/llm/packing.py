@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -21,7 +22,7 @@ MARK = b"\x01"
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_encoders: dict[str, common.UnitEncoder] = {}
+_encoders: dict[str, tuple[common.UnitEncoder, re.Pattern]] = {}
 common.CACHES.append(_encoders)
 
 
@@ -64,39 +65,60 @@ def _encode_units(made, last: np.ndarray, units: list[bytes]) -> tuple[np.ndarra
     return flat[np.repeat(begin - (ends - sizes), sizes) + np.arange(ends[-1])], sizes
 
 
-def _encoder(path: str) -> common.UnitEncoder:
+def _encoder(path: str) -> tuple[common.UnitEncoder, re.Pattern]:
+    """The file's tokenizer over units, and what finds the added tokens, which it takes whole wherever a text has them."""
     if path not in _encoders:
         common.quiet_tokenizers()
         from tokenizers import Tokenizer
 
         made = Tokenizer.from_file(path)
-        made.encode_special_tokens = True  # the names of special tokens are ordinary text in a document
         last = np.zeros(made.get_vocab_size(), bool)
         last[[i for token, i in made.get_vocab().items() if token.endswith("</w>")]] = True
-        _encoders[path] = common.UnitEncoder(lambda units: _encode_units(made, last, units))
+        added = made.get_added_tokens_decoder().values()
+        if any(t.single_word or t.lstrip or t.rstrip or t.normalized for t in added):
+            raise ValueError("added tokens that depend on what is around them aren't supported")
+        names = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        found = re.compile(b"(?=(" + b"|".join(map(re.escape, names)) + b"))" if names else b"(?!)()")
+        _encoders[path] = (common.UnitEncoder(lambda units: _encode_units(made, last, units)), found)
     return _encoders[path]
 
 
+def _added(found: re.Pattern, data: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+    """Where the texts have added tokens: the leftmost first, none across two texts."""
+    spans, end = [], 0
+    for m in found.finditer(memoryview(np.ascontiguousarray(data))):
+        a, b = m.span(1)
+        if a >= end and offsets[np.searchsorted(offsets, a, side="right")] >= b:
+            spans.append((a, b))
+            end = b
+    return spans
+
+
 def _cut(path: str, capacity: int, end_id: int):
     """Batches (id, text) to batches (id, piece, start, length, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder, added = _encoder(path)
         for batch in batches:
             data, offsets = common.flat_text(batch.column(1))
-            data = np.take(_LOWER, data)  # the tokenizer lower-cases anyway; this way fewer units differ
             for a, b in common.steps(offsets):
-                ids, bounds = encoder(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                ids = np.insert(ids, bounds[1:], np.uint32(end_id)).astype("<u4")
+                part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                whole = _added(added, part, off)
+                # the tokenizer lower-cases anyway; this way fewer units differ. Added tokens stay as they are
+                lowered = np.take(_LOWER, part)
+                for x, y in whole:
+                    lowered[x:y] = part[x:y]
+                tokens, _, bounds = encoder(lowered, off, whole)
+                ids = np.insert(tokens[:, 0], bounds[1:], np.uint32(end_id)).astype("<u4")
                 bounds = bounds + np.arange(len(bounds))
                 count = -(-np.diff(bounds) // capacity)
                 row = np.repeat(np.arange(b - a), count)
                 piece = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
                 begin = bounds[:-1][row] + piece * capacity
                 end = np.minimum(begin + capacity, bounds[1:][row])
-                whole = common.large_binary(ids.view(np.uint8), np.append(begin, bounds[-1]) * 4).cast(pa.binary())
+                pieces_ = common.large_binary(ids.view(np.uint8), np.append(begin, bounds[-1]) * 4).cast(pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(end - begin), whole],
+                    [batch.column(0).slice(a, b - a).take(pa.array(row)), pa.array(piece.astype(np.int32)), pa.array(piece * capacity), pa.array(end - begin), pieces_],
                     ["id", "piece", "start", "length", "ids"],
                 )
 
@@ -110,7 +132,9 @@ def _narrow(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 def pieces(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """(id, piece, start, length, ids binary): the tokens of each text and end_id, cut only where they exceed capacity.
 
-    ids are little-endian unsigned 32-bit. A null or empty text is one piece of length 1.
+    ids are little-endian unsigned 32-bit, those of the file's tokenizer for the whole text: the names of its added
+    tokens are those tokens. A null or empty text is one piece of length 1. Ids may be null or shared: a repeated row
+    gives its pieces again. Other columns of df are not looked at.
     """
     common.prepare(df.sparkSession)
     run = _cut(path or public_tokenizers.path(VOCABULARY), capacity, end_id)
@@ -190,9 +214,11 @@ def pack(made: DataFrame, *, capacity: int = CAPACITY) -> DataFrame:
     made must be stored: it is read twice and has to be the same both times. The driver gets one count for each
     length, at most `capacity` numbers whatever the input. Ranks within a length come from counts by
     (range of rows, length), so no length, however frequent, meets in one task. An empty table gives an empty one.
+    Equal rows get places of their own. Columns of made pass through; one with the name of a result is an error.
     """
     spark = made.sparkSession
     common.prepare(spark)
+    common.free_names(made.columns, ["sequence_id", "offset", "_part", "_rank", "_before"])
     numbered = common.stored(made.withColumn("_part", F.spark_partition_id()))
     each = numbered.groupBy("length", "_part").count()
     counts = {r["length"]: r["n"] for r in each.groupBy("length").agg(F.sum("count").alias("n")).collect()}

@@ -199,13 +199,14 @@ def held_out(id_: Column) -> Column:
 
 
 def features(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(carry columns, x array<float>) for each row of df."""
+    """(carry columns, x array<float>) for each row of df; a carried column named x is an error."""
     return _map(df, text_col, [id_col] if carry is None else carry, "x array<float>", lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(NAMES)).cast(pa.list_(pa.float32())))
 
 
 def _map(df: DataFrame, text_col: str, carry: list[str], column: str, make) -> DataFrame:
     common.prepare(df.sparkSession)
     name = column.split()[0]
+    common.free_names(carry, [name])
     narrow = df.select(F.col(text_col).cast("string").alias("text"), F.struct(*(F.col(c) for c in carry)).alias("row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,20 +219,29 @@ def _map(df: DataFrame, text_col: str, carry: list[str], column: str, make) -> D
     return narrow.mapInArrow(common.lean(run), f"row {narrow.schema['row'].dataType.simpleString()}, {column}").select("row.*", name)
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality", sample: int = SAMPLE) -> Model:
-    """A model from at most `sample` labelled rows that are not held out; rows without a label or a document don't count."""
-    spark = docs.sparkSession
+def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+    """A model from at most `sample` labelled rows that are not held out, those with the smallest hashes of their ids.
+
+    Rows without a label or a document don't count, nor labels but 0 and 1; of several labels of an id the least counts.
+    Rows that share an id are examples each. Without examples, the model gives one score to all.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # `sample` rows of two numbers: the bound is what makes the broadcast safe
-    found = docs.select(F.col(id_col).alias("_id"), F.col("text")).join(F.broadcast(known), "_id")
-    rows = features(found, carry=["_id", "_y"]).select("_id", "_y", "x").toPandas().sort_values("_id")
+    found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
+    rows = features(found, carry=["_id", "_y"]).select("_id", "_y", "x").toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(NAMES))
-    return fit(x, rows["_y"].to_numpy(float))
+    # one order, also of rows that share an id: sums come out the same
+    order = np.lexsort((*x.T, rows["_id"].to_numpy()))
+    return fit(x[order], rows["_y"].to_numpy(float)[order])
 
 
 def score(df: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """(carry columns, score) for each row of df, empty and null texts too; equal texts have equal scores."""
+    """(carry columns, score) for each row of df, empty and null texts too; equal texts have equal scores.
+
+    Texts of any length are read whole, by themselves in a step if they are long. Repeated rows give repeated rows; ids
+    may be null or shared. A carried column named score is an error.
+    """
     return _map(df, text_col, [id_col] if carry is None else carry, "score double", lambda x: pa.array(model.score(x)))
 
 

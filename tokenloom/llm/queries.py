@@ -25,4 +25,5 @@ def _load(module: str, name: str):
 
 
 QUERIES = {name: _load(module, name) for module, name in _BY_MODULE.items()}
+QUERIES["media_pages"] = _load("media", "media_pages")  # op9's parser over the real pages, which refer to no media
 ORACLE_SQL = {name: sql for name, sql in ORACLE.items() if name in QUERIES or name == "pipeline"}

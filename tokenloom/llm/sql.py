@@ -12,7 +12,14 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x) for x in r) + ")" for r in rows)
 
 
-_TEMPLATES = _values([(label, len(ws), w) for label, text in licenses.TEMPLATES for ws in [licenses.template_words(text)] for w in ws])
+def _list(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]::varchar[]"
+
+
+_KNOWN = licenses.templates()
+_WORDS = _values([(n, w) for n, t in enumerate(_KNOWN) for w in t.words])
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.step}, {len(t.words)}, {t.least}, {_list(t.must)}, {_list(t.must_not)})" for n, t in enumerate(_KNOWN))
+_STEPS = ", ".join(f"({s})" for s in licenses.STEPS)
 _PHRASES = " union all ".join(
     f"select doc_id, '{label}' as label, i - 1 as place from placed where "
     + " and ".join(f"ws[i + {k}] = '{w}'" for k, w in enumerate(phrase.split()))
@@ -26,9 +33,13 @@ words as (select doc_id, t, regexp_extract_all(t, '{licenses.WORD}') as ws from
 placed as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from words where list_contains(ws, 'license')),
 base as ({_PHRASES}),
 base_doc as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list(distinct label)) as labels from base group by doc_id),
-block as (select doc_id, line, list_distinct(regexp_extract_all(line, '{licenses.WORD}')) as own from (select doc_id, unnest(string_split(t, chr(10))) as line from low)),
-word as (select doc_id, b, unnest(own) as w from (select doc_id, own, row_number() over () as b from block)),
-found as (select doc_id, label, count(*) / any_value(n) as c from word join (values {_TEMPLATES}) tw(label, n, w) using (w) group by doc_id, b, label having count(*) >= ceil({licenses.THRESHOLD} * any_value(n) - 1e-9)),
+template(template, label, step, n, least, must, must_not) as (values {_TEMPLATES}),
+template_word(template, w) as (values {_WORDS}),
+start as (select doc_id, ws, step, unnest(range(0, greatest(ceil(len(ws) / step) - 2, 0)::bigint + 1)) as k from words, (values {_STEPS}) s(step)),
+block as materialized (select row_number() over () as b, doc_id, step, list_distinct(ws[k * step + 1 : k * step + 2 * step]) as own from start),
+word as materialized (select b, doc_id, step, unnest(own) as w from block),
+hit as (select doc_id, b, template, count(*) as c from word join template_word using (w) join template using (template, step) group by doc_id, b, template having count(*) >= any_value(least)),
+found as (select doc_id, label, c / n as c from hit join template using (template) join block using (doc_id, b) where list_has_all(own, must) and not list_has_any(own, must_not)),
 more as (select doc_id, list(distinct label) as labels, max(c) as score from found group by doc_id)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,

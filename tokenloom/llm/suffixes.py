@@ -447,9 +447,11 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 
     kept has the UTF-8 bytes that no repeated 200-byte string covers; it may begin or end inside a character.
     With as_text it is a string, and what is left of a character that lost bytes goes too.
-    Null and empty texts stay empty. A repeated row repeats all its strings. Ids may be null or shared.
+    Null and empty texts stay empty. A repeated row repeats all its strings. Ids may be null or shared. An empty table
+    gives an empty one. A carried column named like a result is an error.
     """
     carry = [id_col] if carry is None else carry
+    common.free_names(carry, ["n_bytes", "n_removed", "n_spans", "kept"])
     id_, digest = common.key_columns(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(id_.alias("id"), digest.alias("digest"), text.alias("text"), F.struct(*(F.col(c) for c in carry)).alias("row"))

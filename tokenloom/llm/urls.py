@@ -62,9 +62,12 @@ def path(url: Column) -> Column:
 
 
 def rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]] = RULES) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule whose host is the URL's or above it and whose path starts the URL's; else nulls."""
+    """(rule, verdict) of the longest rule whose host is the URL's or above it and whose path starts the URL's; else nulls.
+
+    Of equally long rules the first in the list counts.
+    """
     name, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for decision, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+    for decision, h, p in sorted(reversed(rules), key=lambda r: len(r[1] + r[2])):
         fits = ((host_ == h) | host_.endswith("." + h)) & path_.startswith(p)
         name, verdict = F.when(fits, h + p).otherwise(name), F.when(fits, decision).otherwise(verdict)
     return name, verdict
@@ -72,7 +75,7 @@ def rule(host_: Column, path_: Column, rules: list[tuple[str, str, str]] = RULES
 
 def features(hosts: list[str], paths: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(row, slot) of every n-gram of ^host$ and of its path, digits as one sign; host and path have hashes of their own."""
-    rows, slots = [], []
+    rows, slots = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     digit = np.arange(256, dtype=np.uint64)
     digit[48:58] = 48
     for seed, strings, frame in ((1, hosts, b"^%b$"), (2, paths, b"%b$")):
@@ -123,8 +126,12 @@ def train() -> tuple[np.ndarray, float]:
 
 
 def score(df: DataFrame, *, host_col: str = "host", path_col: str = "path") -> DataFrame:
-    """df with one more column, `risk`: the model's probability that the URL is one to block. Nulls count as empty."""
+    """df with one more column, `risk`: the model's probability that the URL is one to block. Nulls count as empty.
+
+    Equal URLs have equal risks, up to the last place of a double. Columns of df pass through; one named risk is an error.
+    """
     common.prepare(df.sparkSession)
+    common.free_names(df.columns, ["risk"])
     weights, bias = train()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,14 +143,16 @@ def score(df: DataFrame, *, host_col: str = "host", path_col: str = "path") -> D
                 risk = 1 / (1 + np.exp(-(np.bincount(rows, weights[slots] * value, n) + bias)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(risk)], [*batch.schema.names, "risk"])
 
-    return df.drop("risk").mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.drop("risk").schema.fields) + ", risk double")
+    return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + ", risk double")
 
 
 def judge(df: DataFrame, *, id_col: str = "page_id", url_col: str = "url", threshold: float = 0.5) -> DataFrame:
     """(id_col, host, path, rule, verdict, risk) for each row: the longest rule's verdict, else the model's.
 
-    A null URL or one without :// has empty host and path, which no rule fits. Repeated rows give repeated rows.
+    A null URL or one without :// has empty host and path, which no rule fits: the model judges it. Repeated rows give
+    repeated rows; ids may be null or shared; other columns of df are not looked at. An id_col named like a result is an error.
     """
+    common.free_names([id_col], ["host", "path", "rule", "verdict", "risk"])
     parts = df.select(F.col(id_col), host(F.col(url_col).cast("string")).alias("host"), path(F.col(url_col).cast("string")).alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"))
     ruled = score(parts).withColumns({"rule": name, "verdict": verdict})
