@@ -323,10 +323,10 @@ def _hot_pairs(ring: Ring):
     return run
 
 
-def _block_pairs(blocks: DataFrame, count: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """blocks (keys, block, columns) dealt to all pairs (i <= j) of the blocks of a key, count having `n` blocks of each."""
+def _block_pairs(blocks: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """blocks (keys, n, block, columns) dealt to all pairs (i <= j) of the n blocks of a key."""
     spark = blocks.sparkSession
-    each = blocks.join(count, keys).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     dealt = each.select(*keys, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), *columns)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(parts, *keys, "i", "j").sortWithinPartitions(*keys, "i", "j")
@@ -345,7 +345,8 @@ def near_links(distinct: DataFrame, ring: Ring, *, columns: list[str]) -> DataFr
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = common.stored(keyed.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(common.lean(_candidates(ring)), _LINKS))
     blocks = found.filter("members is not null").select("key", "block", "members")
-    dealt = _block_pairs(blocks, blocks.groupBy("key").agg((F.max("block") + 1).alias("n")), ["key"], ["members"])
+    count = common.stored(blocks.groupBy("key").agg((F.max("block") + 1).alias("n")))
+    dealt = _block_pairs(blocks.join(count, "key"), ["key"], ["members"])
     return found.filter("a is not null").select("a", "b").union(dealt.mapInArrow(common.lean(_hot_pairs(ring)), "a long, b long"))
 
 
@@ -420,8 +421,9 @@ def alike_pairs(left: list[np.ndarray], right: list[np.ndarray] | None, likeness
     code, owner = code[order], owner[order]
     m = len(left)
     overlap = np.zeros((m, m if right is None else len(right)), np.float64)
-    step = max(64, (1 << 22) // max(1, len(sets)))
-    for lo in range(0, int((times > 1).sum()), step):
+    n = int((times > 1).sum())
+    step = min(max(64, (1 << 22) // max(1, len(sets))), n)
+    for lo in range(0, n, max(1, step)):
         a, b = np.searchsorted(code, (lo, lo + step))
         table = np.zeros((len(sets), step), np.float32)
         table[owner[a:b], code[a:b] - lo] = 1
@@ -468,19 +470,19 @@ def alike_groups(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     nodes = rows.groupBy("node").agg(F.first("mark").alias("mark"), F.first("n").alias("n"), F.min(F.struct("id", "digest")).alias("row"))
     nodes = common.stored(nodes.join(roots, "mark", "left").select(F.coalesce("root", "mark").alias("root"), "node", "n", "row.id", "row.digest"))
     blocks = F.greatest(F.ceil(F.count("*") / SETS), F.ceil(F.sum("n") * 8 / SET_BYTES)).cast("int")
-    some = nodes.groupBy("root").agg(F.count("*").alias("nodes"), blocks.alias("n")).filter("nodes > 1").drop("nodes")
-    wanted = nodes.drop("n").join(some, "root").drop("n")
+    # stored, so that adaptive execution may split a large group's nodes
+    some = common.stored(nodes.groupBy("root").agg(F.count("*").alias("nodes"), blocks.alias("blocks")).filter("nodes > 1").drop("nodes"))
+    wanted = nodes.drop("n").join(some, "root").withColumnRenamed("blocks", "n")
     # a repeated row would bring its text more than once
-    texts = keyed.join(wanted, ["id", "digest"]).groupBy("node").agg(F.first("root").alias("root"), F.first("text").alias("text"))
+    texts = keyed.join(wanted, ["id", "digest"]).groupBy("node").agg(F.first("root").alias("root"), F.first("n").alias("n"), F.first("text").alias("text"))
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = pa.array([shingle_set((x.as_py() or "").encode(), size).tobytes() for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], made], ["root", "node", "hashes"])
+            made = pa.array([shingle_set((x.as_py() or "").encode(), size).tobytes() for x in batch.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], made], ["root", "node", "n", "hashes"])
 
-    sets = texts.select("root", "node", "text").mapInArrow(common.lean(whole), "root long, node long, hashes binary")
-    placed = sets.join(some, "root").select("root", "node", "hashes", F.pmod(F.xxhash64("node"), F.col("n")).cast("int").alias("block"))
-    dealt = _block_pairs(placed, some, ["root"], ["block", "node", "hashes"])
+    sets = texts.select("root", "node", "n", "text").mapInArrow(common.lean(whole), "root long, node long, n int, hashes binary")
+    dealt = _block_pairs(sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")), ["root"], ["block", "node", "hashes"])
     same = components(dealt.mapInArrow(common.lean(_alike(likeness)), "a long, b long")).toDF("node", "same")
     return rows.select("id", "digest", "node").join(same, "node", "left").select("id", "digest", F.coalesce("same", "node").alias("root"))
 
