@@ -18,34 +18,46 @@ def _checked(lang: str, level: str) -> None:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
 
 
-def _standard(df: DataFrame, lang: str, analyses: DataFrame | None, roots: DataFrame | None) -> DataFrame:
+def _standard(df: DataFrame, lang: str, level: str, analyses: DataFrame | None, roots: DataFrame | None, lexicon: corpus.Lexicon | None) -> DataFrame:
+    """(id, tokens) between [BOS] and [EOS]. The reasoning level of English has a lexer of its own; all else starts from the tokenizer."""
     if lang == "ar":
         if analyses is None:
             raise ValueError("Arabic needs a table of analyses")
         return arabic.tokenize(df.select("id", "text"), analyses, arabic.root_table(df.sparkSession) if roots is None else roots).select("id", "tokens")
-    return df.select("id", K.lex_english(F.col("text")).alias("tokens"))
+    if level == "reasoning":
+        return df.select("id", K.lex_english(F.col("text")).alias("tokens"))
+    return corpus.tokenize_texts(df, atomic=True, lexicon=lexicon).select("id", K.wrap(F.col("tokens")).alias("tokens"))
 
 
 def project(df: DataFrame, level: str, lang: str = "en") -> DataFrame:
     """df (id, tokens) at another level; [BOS] and [EOS] are left out by the logic level."""
     _checked(lang, level)
+    rest = [c for c in df.columns if c != "tokens"]
     if level == "reasoning":
-        return df.withColumn("_k", K.reasoning_kept(F.col("tokens"), lang)).select("id", K.reasoning_collapse(F.col("_k")).alias("tokens"))
+        return df.withColumn("_k", K.reasoning_kept(F.col("tokens"), lang)).select(*rest, K.reasoning_collapse(F.col("_k")).alias("tokens"))
     if level == "logic":
-        return df.withColumn("_p", K.logic_parts(K.unmark(F.col("tokens")))).select("id", K.logic_collapse(F.col("_p")).alias("tokens"))
-    return df.select("id", "tokens")
+        return df.withColumn("_p", K.logic_parts(K.unmark(F.col("tokens")))).select(*rest, K.logic_collapse(F.col("_p")).alias("tokens"))
+    return df
+
 
+def tokenize(
+    df: DataFrame, lang: str, level: str = "standard", *, add_bos_eos: bool = True, analyses: DataFrame | None = None, roots: DataFrame | None = None, lexicon: corpus.Lexicon | None = None, vocab: DataFrame | None = None
+) -> DataFrame:
+    """(id, lang, level, tokens, ids, meta) of sentences (id, text), a row for each; ids are null without a vocabulary (token, id).
 
-def tokenize(df: DataFrame, lang: str, level: str = "standard", *, add_bos_eos: bool = True, analyses: DataFrame | None = None, roots: DataFrame | None = None) -> DataFrame:
-    """(id, lang, level, tokens, meta) of sentences; meta has the numbers of tokens before and after projection."""
+    meta has the numbers of tokens before and after projection. Rows may share ids.
+    """
     _checked(lang, level)
-    standard = _standard(df, lang, analyses, roots)
+    standard = _standard(df, lang, level, analyses, roots, lexicon).withColumn("n_standard", F.size("tokens"))
     made = project(standard, level, lang).withColumn("tokens", K.unmark(F.col("tokens")))
     if add_bos_eos:
         made = made.withColumn("tokens", K.wrap(F.col("tokens")))
-    sizes = standard.select("id", F.size("tokens").alias("n_standard"))
+    if vocab is None:
+        made = made.withColumn("ids", F.lit(None).cast("array<int>"))
+    else:
+        made = corpus.with_ids(made, vocab, unknown=_unknown(vocab))
     meta = F.struct("n_standard", F.size("tokens").alias("n_tokens")).alias("meta")
-    return made.join(sizes, "id").select("id", F.lit(lang).alias("lang"), F.lit(level).alias("level"), "tokens", meta)
+    return made.select("id", F.lit(lang).alias("lang"), F.lit(level).alias("level"), "tokens", "ids", meta)
 
 
 def tokenize_formal(df: DataFrame, *, add_bos_eos: bool = False) -> DataFrame:
@@ -53,12 +65,16 @@ def tokenize_formal(df: DataFrame, *, add_bos_eos: bool = False) -> DataFrame:
     return made.withColumn("tokens", K.wrap(F.col("tokens"))) if add_bos_eos else made
 
 
-def encode(df: DataFrame, vocab: DataFrame) -> DataFrame:
-    """(id, ids); a vocabulary without [UNK] is an error."""
+def _unknown(vocab: DataFrame) -> int:
     unknown = vocab.filter("token = '[UNK]'").select("id").first()
     if unknown is None:
         raise ValueError("the vocabulary has no [UNK]")
-    return corpus.encode(df.withColumnRenamed("id", "row"), vocab, ["row"], unknown=unknown["id"]).withColumnRenamed("row", "id")
+    return unknown["id"]
+
+
+def encode(df: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(id, ids); a vocabulary without [UNK] is an error."""
+    return corpus.encode(df.withColumnRenamed("id", "row"), vocab, ["row"], unknown=_unknown(vocab)).withColumnRenamed("row", "id")
 
 
 def decode(df: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -5,6 +5,10 @@ Character classes are spelled out, so that every engine means the same by them.
 
 from __future__ import annotations
 
+import json
+import zlib
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,7 +17,7 @@ from tokenloom import lexicon as L
 #: What counts as white space.
 SPACE = r"[ \t\r\n\x0B\f\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
 PUNCTUATION = r".,!?;:'\"()\-"
-_EDGE_A, _EDGE_Z = r"(^|[^A-Za-z0-9_])", r"([^A-Za-z0-9_]|$)"
+_EDGE_A, _EDGE_Z = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 
 
 def _literals(words: list[str]) -> Column:
@@ -28,23 +32,55 @@ def any_of(pairs: list[tuple[Column, Column | str | None]], default: Column) ->
     return made
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is worked out once: as a lambda's variable it is never put in its places as a whole expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def hashed(mapping: dict, kind: str = "string") -> Callable[[Column], Column]:
+    """A look-up of string keys in a bounded table: null where there is none.
+
+    The table is one literal, an array of small maps by a checksum of the key, so a look-up takes a few steps whatever the
+    table's size, needs no join and stays inside array expressions. kind is the type of the values.
+    """
+    n = 1
+    while n < len(mapping) / 2:
+        n *= 2
+    buckets: list[dict] = [{} for _ in range(n)]
+    for k, v in mapping.items():
+        buckets[zlib.crc32(k.encode()) % n][k] = v
+    table = F.from_json(F.lit(json.dumps(buckets, ensure_ascii=False)), f"array<map<string,{kind}>>")
+
+    def find(key: Column) -> Column:
+        return F.try_element_at(F.get(table, F.pmod(F.crc32(key.cast("binary")), F.lit(n)).cast("int")), key)
+
+    return find
+
+
 def lookup(mapping: dict[str, str], key: Column, default: Column) -> Column:
-    """The value of a key in a closed table: a hashed membership test first, so that only hits walk the map."""
-    table = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-    return F.when(key.isin(list(mapping)), F.try_element_at(table, key)).otherwise(default)
+    """The value of a key in a closed table, or the default."""
+    return F.coalesce(hashed(mapping)(key), default)
+
+
+#: All that counts as white space, and quotes with the straight ones that stand for them.
+_SPACES = "\t\r\n\x0b\x0c\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
+_SINGLE, _DOUBLE = "‘’‚‹›", "“”„«»"
 
 
 def normalize(text: Column) -> Column:
     """Lower case, straight quotes, single spaces, none at the ends."""
-    straight = F.regexp_replace(F.regexp_replace(F.lower(text), "[‘’‚‹›]", "'"), "[“”„«»]", '"')
-    return F.trim(F.regexp_replace(straight, SPACE + "+", " "))
+    plain = F.translate(F.lower(text), _SINGLE + _DOUBLE + _SPACES, "'" * len(_SINGLE) + '"' * len(_DOUBLE) + " " * len(_SPACES))
+    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain))
 
 
 def structure(normal: Column) -> Column:
-    """The sentence's markers, each once, in fixed order."""
+    """The sentence's markers, each once, in fixed order. Words are sought plainly before their borders are looked at."""
     marks = [F.when(normal.endswith("?"), F.lit("STR:question"))]
     for name, words in L.STRUCTURE_WORDS.items():
-        marks.append(F.when(normal.rlike(_EDGE_A + "(" + "|".join(words) + ")" + _EDGE_Z), F.lit(name)))
+        there = F.lit(False)
+        for w in words:
+            there = there | normal.contains(w)
+        marks.append(F.when(there & normal.rlike(_EDGE_A + "(?:" + "|".join(words) + ")" + _EDGE_Z), F.lit(name)))
     marks.append(F.when(normal.endswith("!"), F.lit("STR:emphasis")))
     return F.array_compact(F.array(*marks))
 
@@ -59,22 +95,35 @@ def skipped(word: Column) -> Column:
     return word.rlike("^[.,!?;:'\"()\\-–—…/]+$") | word.isin(L.FRAGMENTS)
 
 
-def prefix_role(word: Column) -> Column:
+def default_lemma(word: Column) -> Column:
+    """A word without its plural or third-person ending, where no table knows better."""
+    n = F.length(word)
+
+    def but(k: int) -> Column:
+        return F.substr(word, F.lit(1), n - k)
+
+    return (
+        F.when(word.endswith("ies") & (n > 4), F.concat(but(3), F.lit("y"))).when(word.rlike("(ss|sh|ch|x)es$") & (n > 4), but(2))
+        .when(word.endswith("s") & ~word.rlike("(ss|us|is)$") & (n > 3), but(1)).otherwise(word)
+    )
+
+
+def prefix_role(word: Column, prefixes: list[tuple[str, str]] = L.PREFIXES) -> Column:
     """struct(prefix, role, stem) of the first prefix that leaves three letters; null without one."""
     made = F.lit(None)
-    for p, role in reversed(L.PREFIXES):
+    for p, role in reversed(prefixes):
         hit = F.struct(F.lit(p).alias("affix"), F.lit(role).alias("role"), F.substr(word, F.lit(len(p) + 1)).alias("stem"))
         made = F.when(word.startswith(p) & (F.length(word) > len(p) + 2), hit).otherwise(made)
     return made
 
 
-def suffix_role(word: Column, lemma: Column) -> Column:
+def suffix_role(word: Column, lemma: Column, suffixes: list[tuple[str, str]] = L.SUFFIXES) -> Column:
     """struct(suffix, role, stem) of the first suffix that leaves three letters; inflections only where the lemma differs."""
     made = F.lit(None)
     for s, role in [("es", "plural"), ("s", "plural")]:
         hit = F.struct(F.lit(s).alias("affix"), F.lit(role).alias("role"), F.substr(word, F.lit(1), F.length(word) - len(s)).alias("stem"))
         made = F.when((word != lemma) & (word == F.concat(lemma, F.lit(s))), hit).otherwise(made)
-    for s, role in reversed(L.SUFFIXES):
+    for s, role in reversed(suffixes):
         hit = F.struct(F.lit(s).alias("affix"), F.lit(role).alias("role"), F.substr(word, F.lit(1), F.length(word) - len(s)).alias("stem"))
         fits = word.endswith(s) & (F.length(word) > len(s) + 2)
         made = F.when(fits & (word != lemma) if s in L.INFLECTIONS else fits, hit).otherwise(made)
@@ -102,11 +151,24 @@ def field_candidates(root: Column, lemma: Column) -> Column:
     return F.array(*made)
 
 
-SENTENCE_END = "[.؟!\\n][ \\t\\r\\n]*"
+def resolve_field(root: Column, lemma: Column, find: Callable[[Column], Column]) -> Column:
+    """The field of the first of the candidates that find knows; the stems are only looked at where a suffix fits."""
+    made = [find(root), find(F.concat(root, F.lit("e"))), find(lemma), find(F.concat(lemma, F.lit("e")))]
+    for s in L.FIELD_SUFFIXES:
+        stem = F.substr(root, F.lit(1), F.length(root) - len(s))
+        made.append(F.when(root.endswith(s) & (F.length(root) > len(s) + 2), F.coalesce(find(stem), find(F.concat(stem, F.lit("e"))))))
+    return F.coalesce(*made)
+
 
+#: Arabic articles are cut at marks and lines, which go; elsewhere behind marks that white space follows, and at lines.
+ARABIC_END = "[.؟!\\n][ \\t\\r\\n]*"
+SENTENCE_END = "([.!?؟]+[\"'”’»)\\]]*)[ \\t\\r\\n]+"
 
-def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, SENTENCE_END), lambda s: F.trim(s)), lambda s: s != "")
+
+def sentences(text: Column, lang: Column) -> Column:
+    """The sentences of a text, trimmed. Marks stay with their sentence, and one inside a number or a name ends none."""
+    parts = F.when(lang == "ar", F.split(text, ARABIC_END)).otherwise(F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n"))
+    return F.filter(F.transform(parts, lambda s: F.trim(s)), lambda s: s != "")
 
 
 def share_in(text: Column, characters: str) -> Column:
@@ -165,11 +227,14 @@ def nli(question: Column) -> Column:
     return F.struct(F.regexp_extract(question, pattern, 1).alias("premise"), F.regexp_extract(question, pattern, 2).alias("hypothesis"))
 
 
+STEP_END = "([.?!])[ \\t\\r\\n]+"
+
+
 def answer_after_hashes(solution: Column) -> Column:
-    """struct(steps, answer): the answer stands behind the last ####, the steps are its lines before."""
+    """struct(steps, answer): the answer stands behind the last ####, the steps before end at sentence marks and lines."""
     body, answer = F.regexp_extract(solution, "(?s)^(.*)####(.*)$", 1), F.regexp_extract(solution, "(?s)^(.*)####(.*)$", 2)
     body = F.when(solution.contains("####"), body).otherwise(solution)
-    steps = F.filter(F.transform(F.split(body, "\\n"), lambda s: F.trim(s)), lambda s: s != "")
+    steps = F.filter(F.transform(F.split(F.regexp_replace(body, STEP_END, "$1\n"), "\n"), lambda s: F.trim(s)), lambda s: s != "")
     return F.struct(steps.alias("steps"), F.trim(answer).alias("answer"))
 
 
@@ -217,7 +282,29 @@ def humanize(tokens: Column) -> Column:
 
 
 def format_answer(tokens: Column) -> Column:
+    """true or false, yes or no, as the answer's tokens say; else the tokens themselves."""
     return (
         F.when(F.array_contains(tokens, "L:TRUE"), F.lit("true")).when(F.array_contains(tokens, "L:FALSE"), F.lit("false"))
-        .when(F.array_contains(tokens, "REL:yes"), F.lit("yes")).when(F.array_contains(tokens, "REL:no"), F.lit("no")).otherwise(F.array_join(tokens, " "))
+        .when(F.array_contains(tokens, "REL:yes") | F.array_contains(tokens, "V:Y"), F.lit("yes")).when(F.array_contains(tokens, "REL:no") | F.array_contains(tokens, "V:N"), F.lit("no"))
+        .otherwise(F.array_join(tokens, " "))
     )
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two token arrays: each token of the pair is one character of its own, and strings are compared whole.
+
+    Characters skip the surrogates, so a pair may have some 63,000 different tokens; with more the result is null.
+    """
+
+    def measured(both: Column) -> Column:
+        def text(tokens: Column) -> Column:
+            def char(t: Column) -> Column:
+                place = F.array_position(both, t) + 255
+                place = F.when(place >= 0xD800, place + 0x800).otherwise(place)
+                return F.decode(F.unhex(F.lpad(F.hex(place), 4, "0")), "UTF-16BE")
+
+            return F.array_join(F.transform(tokens, char), "")
+
+        return F.when(F.size(both) < 63_000, F.levenshtein(text(a), text(b)))
+
+    return let(F.array_distinct(F.concat(a, b)), measured)

@@ -97,6 +97,7 @@ def logic_parts(tokens: Column, roots: dict[str, str] | None = None) -> Column:
         field = lookup(roots, root, root) if roots else root
         return any_of(
             [
+                (t.startswith("LIT:"), F.array(F.lit("[UNK]"))),  # most tokens of running text
                 (t.isin("[BOS]", "[EOS]", "[PAD]", "[UNK]", "[SEP]"), F.array(t)),
                 (t.isin(list(L.LOGIC_TOKENS)), F.array(lookup(L.LOGIC_TOKENS, t, t))),
                 (t.isin(L.LOGIC_DROPPED) | t.startswith("FEAT:") | t.startswith("PAT:"), none()),

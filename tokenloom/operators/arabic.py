@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tokenloom import lexicon_ar as A
 from tokenloom.functions import text as T
+from tokenloom.operators import shared
 
 ANALYSES = "word string, analyses array<struct<" + ", ".join(f"{f}: string" for f in A.FIELDS) + ">>"
 SPLIT = "([؀-ۿݐ-ݿ]+|[A-Za-z][A-Za-z\\-']*|[0-9٠-٩۰-۹][0-9٠-٩۰-۹.,٫]*[%٪]?)"
@@ -122,7 +123,7 @@ def word_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, *, atom
     joined = words.select("word").distinct().join(analyses, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(analyses.schema["analyses"].dataType)))
     picked = joined.withColumn("a", best(F.col("analyses"))).withColumn("lost", rootless(F.col("analyses"))).drop("analyses")
     closure = root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"})
-    picked = picked.join(F.broadcast(closure), F.col("a.root") == F.col("_root"), "left")
+    picked = picked.join(shared.broadcastable(closure), F.col("a.root") == F.col("_root"), "left")
     w, a, r, field = F.col("word"), F.col("a"), F.col("a.root"), F.col("_field")
     own_role, shape = role(a), pattern(a)
     has_root = F.coalesce(r, F.lit("")) != ""
@@ -188,7 +189,7 @@ def legacy_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame) -> Da
     tries = F.array(F.struct(F.lit(0).alias("prio"), F.col("word").alias("stem")), *(F.struct(F.lit(i + 1).alias("prio"), F.when(F.col("word").startswith(p) & (F.length("word") > len(p) + 1), F.substr("word", F.lit(len(p) + 1))).alias("stem")) for i, p in enumerate(proclitics)))
     each = words.select("word").distinct().select("word", F.explode(tries).alias("t")).select("word", "t.prio", "t.stem").filter("stem is not null")
     found = each.join(analyses.withColumnRenamed("word", "stem"), "stem").withColumn("a", best(F.col("analyses")))
-    named = found.join(F.broadcast(root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"})), F.col("a.root") == F.col("_root"))
+    named = found.join(shared.broadcastable(root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"})), F.col("a.root") == F.col("_root"))
     first = named.groupBy("word").agg(F.min_by("_field", "prio").alias("field"))
     function = F.col("word").isin([*A.RELATIONS, *A.MARKS, *A.LITERALS])
     return words.select("word").distinct().join(first, "word", "left").select(

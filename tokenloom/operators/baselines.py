@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.operators import corpus as C
+from tokenloom.operators import shared
 
 
 def top_vocabulary(counts: DataFrame, specials: list[str], cap: int) -> DataFrame:
@@ -24,7 +25,7 @@ def top_vocabulary(counts: DataFrame, specials: list[str], cap: int) -> DataFram
 def first_seen(each: DataFrame, offset: int = 0) -> DataFrame:
     """(token, id, n) in the order in which tokens of (doc_id, pos, i, token) appear first."""
     first = each.groupBy("token").agg(F.min(F.struct("doc_id", "pos", "i")).alias("at"), F.count("*").alias("n"))
-    ranked = C.ranked(first.select("token", "n", "at.*"), [F.col("doc_id")], [F.col("pos"), F.col("i")], "id")
+    ranked = shared.ranked(first.select("token", "n", "at.*"), [F.col("doc_id"), F.col("pos"), F.col("i")], "id")
     return ranked.select("token", (F.col("id") - 1 + offset).alias("id")) if not offset else ranked.select("token", (F.col("id") - 1 + offset).alias("id"), "n")
 
 
@@ -63,25 +64,41 @@ def piece_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
     return each.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("pieces"), F.sum("chars").alias("chars"))
 
 
-def _pairs(lexed: DataFrame) -> DataFrame:
-    """(doc_id, pos, a, b): neighbours inside each array, so nothing is shuffled to find them."""
+def _pairs(lexed: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, a, b): neighbours inside each array, so nothing is shuffled to find them."""
     t = F.col("tokens")
-    zipped = F.transform(F.sequence(F.lit(0), F.size(t) - 2), lambda i: F.struct(F.get(t, i).alias("a"), F.get(t, i + 1).alias("b")))
-    return lexed.filter(F.size(t) >= 2).select("doc_id", "pos", F.explode(zipped).alias("p")).select("doc_id", "pos", "p.a", "p.b")
+    zipped = F.arrays_zip(F.slice(t, F.lit(1), F.size(t) - 1).alias("a"), F.slice(t, F.lit(2), F.size(t) - 1).alias("b"))
+    return lexed.filter(F.size(t) >= 2).select(*keys, F.explode(zipped).alias("p")).select(*keys, "p.a", "p.b")
 
 
-def bigrams(lexed: DataFrame) -> DataFrame:
-    """(a, b, nab, nll) with add-one smoothing over the tokens seen."""
-    pairs = _pairs(lexed).groupBy("a", "b").agg(F.count("*").alias("nab"))
+def bigrams(lexed: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
+    """(a, b, nab, nll) with add-one smoothing over the tokens seen; pairs (a, b, n) may be counted already."""
+    pairs = _pairs(lexed, []).groupBy("a", "b").agg(F.count("*").alias("nab")) if pairs is None else pairs.groupBy("a", "b").agg(F.sum("n").alias("nab"))
     firsts = pairs.groupBy("a").agg(F.sum("nab").alias("na"))
     size = C.token_counts(lexed).agg(F.count("*").alias("v"))
     return pairs.join(firsts, "a").join(F.broadcast(size)).select("a", "b", "nab", (-F.log((F.col("nab") + 1.0) / (F.col("na") + F.col("v")))).alias("nll"))
 
 
-def score_sentences(lexed: DataFrame) -> DataFrame:
-    """(doc_id, pos, nll, n_tokens) under the bigram model of the same sentences."""
-    joined = _pairs(lexed).join(bigrams(lexed).select("a", "b", "nll"), ["a", "b"])
-    return joined.groupBy("doc_id", "pos").agg(F.sum("nll").alias("nll"), F.count("*").alias("n_tokens"))
+def score_languages(lexed: DataFrame) -> DataFrame:
+    """(lang, nll, n_tokens) under the bigram model of the same sentences (lang, tokens): a pair is scored once a language."""
+    counted = shared.stored(_pairs(lexed, ["lang"]).groupBy("lang", "a", "b").agg(F.count("*").alias("n")))
+    scored = counted.join(bigrams(lexed, counted).select("a", "b", "nll"), ["a", "b"])
+    return scored.groupBy("lang").agg(F.sum(F.col("n") * F.col("nll")).alias("nll"), F.sum("n").alias("n_tokens"))
+
+
+def word_sequences(aligned: DataFrame) -> DataFrame:
+    """(word, tokens, n): each word's most common token sequence, of equal ones the first by name.
+
+    A word's slice begins behind the marks and the tokens of the words before it.
+    """
+    counts = F.col("counts")
+    slices = F.transform(
+        "words", lambda w, i: F.struct(w.alias("word"), F.slice("tokens", F.col("n_marks") + F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0), lambda a, b: a + b) + 1, F.get(counts, i)).alias("t"))
+    )
+    each = aligned.select(F.explode(slices).alias("x")).select("x.word", F.array_join("x.t", " ").alias("tokens"))
+    counted = each.groupBy("word", "tokens").agg(F.count("*").alias("n"))
+    best = counted.groupBy("word").agg(F.min(F.struct((-F.col("n")).alias("m"), "tokens")).alias("x"))
+    return best.select("word", "x.tokens", (-F.col("x.m")).alias("n"))
 
 
 def permuted(vocab: DataFrame, seed: int) -> DataFrame:

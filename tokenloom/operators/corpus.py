@@ -2,38 +2,50 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon as L
 from tokenloom.functions import text as T
-
-#: Rows that a small table may have to be broadcast by hand; larger ones are left to Spark.
-BROADCAST_ROWS = 10_000
+from tokenloom.operators import shared
 
 
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def small(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it is known to have few rows."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+@dataclass
+class Lexicon:
+    """What the English tokenizer knows. Closed tables are Python values, larger ones DataFrames; None takes the small own one.
+
+    lemmas (word, lemma), fields (spelling, field) and entities (word, lower-cased) may be of any size.
+    """
+
+    relations: dict[str, str] = field(default_factory=lambda: L.RELATIONS)
+    functions: list[str] = field(default_factory=lambda: L.FUNCTION_WORDS)
+    overrides: dict[str, str] = field(default_factory=lambda: L.ROLE_OVERRIDES)
+    prefixes: list[tuple[str, str]] = field(default_factory=lambda: L.PREFIXES)
+    suffixes: list[tuple[str, str]] = field(default_factory=lambda: L.SUFFIXES)
+    lemmas: DataFrame | None = None
+    fields: DataFrame | None = None
+    entities: DataFrame | None = None
 
 
 def sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, pos, sent): no shuffle, only the columns needed are read."""
-    return docs.select("doc_id", "lang", "source", F.posexplode(T.sentences(F.col("text"))).alias("pos", "sent"))
+    return docs.select("doc_id", "lang", "source", F.posexplode(T.sentences(F.col("text"), F.col("lang"))).alias("pos", "sent"))
 
 
 def words(sents: DataFrame) -> DataFrame:
-    """(doc_id, pos, i, word): the words of each normalised sentence that are not skipped."""
+    """(doc_id, lang, pos, i, word): the words of each normalised sentence that are not skipped."""
     split = sents.select("doc_id", "lang", "pos", F.posexplode(T.words(T.normalize(F.col("sent")))).alias("i", "word"))
     return split.filter(~T.skipped(F.col("word")))
 
 
 def ranked(df: DataFrame, buckets: list[Column], inside: list[Column], name: str) -> DataFrame:
-    """df with ranks from 1 in the order of buckets and then inside, without all rows in one task.
+    """df with ranks from 1 in the order of buckets and then inside, for few buckets that are known to be small or even.
 
     Only a count for each bucket goes through one window; rows are numbered within their bucket.
     """
@@ -46,8 +58,8 @@ def ranked(df: DataFrame, buckets: list[Column], inside: list[Column], name: str
 
 
 def by_frequency(counts: DataFrame, name: str = "rank") -> DataFrame:
-    """counts (token, n) ranked by n descending, then token; the long tail of rare tokens is split by first letters."""
-    return ranked(counts, [-F.col("n"), F.substring("token", 1, 2)], [F.col("token")], name)
+    """counts (token, n) ranked by n descending, then token."""
+    return shared.ranked(counts, [-F.col("n"), F.col("token")], name)
 
 
 def lemma_table(spark: SparkSession) -> DataFrame:
@@ -58,53 +70,145 @@ def field_table(spark: SparkSession) -> DataFrame:
     return table(spark, list(L.FIELDS.items()), "spelling string, field string")
 
 
-def analyse(distinct: DataFrame, lemmas: DataFrame, fields: DataFrame) -> DataFrame:
-    """(word, lemma, root, role, field) for each distinct word: look-ups run once a word, not once a token."""
-    own = distinct.join(F.broadcast(lemmas), "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
-    # the affixes are columns of their own, as each is looked at several times
-    own = own.select("word", "lemma", T.prefix_role(F.col("word")).alias("p"), T.suffix_role(F.col("word"), F.col("lemma")).alias("s"))
-    own = own.select("word", "lemma", T.root_of(F.col("word"), F.col("lemma"), F.col("p"), F.col("s")).alias("root"), F.coalesce("p.role", "s.role").alias("role"))
-    spelled = own.select("word", F.posexplode(T.field_candidates(F.col("root"), F.col("lemma"))).alias("prio", "spelling")).filter("spelling is not null")
-    found = spelled.join(F.broadcast(fields), "spelling").groupBy("word").agg(F.min_by("field", "prio").alias("field"))
-    return own.join(found, "word", "left")
+def entity_table(spark: SparkSession) -> DataFrame:
+    return table(spark, [(w,) for w in L.ENTITIES], "word string")
 
 
-def emit(analysed: DataFrame, *, atomic: bool = False) -> DataFrame:
-    """analysed with type, tokens (array<string>) and confidence by the cascade of the emitter."""
-    w, role, field = F.col("word"), F.col("role"), F.col("field")
+def _joined(df: DataFrame, key: str, table_: DataFrame | None, own: dict, value: str) -> DataFrame:
+    """df with `value` of its key column: from a literal where the table (key, value) is small, else by a join."""
+    if table_ is not None:
+        rows = shared.few(table_)
+        if rows is None:
+            return df.join(table_.toDF(key, value), key, "left")
+        own = {r[0]: r[1] for r in rows}
+    return df.withColumn(value, T.hashed(own)(F.col(key)))
+
+
+def analyse(distinct: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """(word, lemma, root, role, field, entity) for each distinct word: look-ups run once a word, not once a token.
+
+    Small tables are literals, so that nothing is shuffled; larger ones are joined.
+    """
+    lex = lexicon or Lexicon()
+    entities = None if lex.entities is None else lex.entities.select("word", F.lit("x").alias("entity")).distinct()
+    own = _joined(distinct, "word", lex.lemmas, L.LEMMAS, "lemma")
+    own = _joined(own, "word", entities, {w: "x" for w in L.ENTITIES}, "entity")
+    rows = list(L.FIELDS.items()) if lex.fields is None else shared.few(lex.fields.select("spelling", "field"))
+    find = T.hashed({r[0]: r[1] for r in rows}) if rows is not None else lambda x: F.lit(None).cast("string")
+    w = F.col("word")
+
+    def parts(lemma: Column, affixes: Column) -> Column:
+        def whole(root: Column) -> Column:
+            return F.struct(lemma.alias("lemma"), root.alias("root"), F.coalesce(affixes["p"]["role"], affixes["s"]["role"]).alias("role"), T.resolve_field(root, lemma, find).alias("field"))
+
+        return T.let(T.root_of(w, lemma, affixes["p"], affixes["s"]), whole)
+
+    def affixed(lemma: Column) -> Column:
+        return T.let(F.struct(T.prefix_role(w, lex.prefixes).alias("p"), T.suffix_role(w, lemma, lex.suffixes).alias("s")), lambda affixes: parts(lemma, affixes))
+
+    made = own.select("word", F.col("entity").isNotNull().alias("entity"), T.let(F.coalesce("lemma", T.default_lemma(w)), affixed).alias("x")).select("word", "entity", "x.*")
+    if rows is not None:
+        return made
+    spelled = made.select("word", F.posexplode(T.field_candidates(F.col("root"), F.col("lemma"))).alias("prio", "spelling")).filter("spelling is not null")
+    found = spelled.join(lex.fields, "spelling").groupBy("word").agg(F.min_by(lex.fields["field"], "prio").alias("field"))
+    return made.drop("field").join(found, "word", "left")
+
+
+def emit(analysed: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """analysed with type, tokens (array<string>) and confidence by the cascade of the emitter: names come first."""
+    lex = lexicon or Lexicon()
+    w, role, found, entity = F.col("word"), F.col("role"), F.col("field"), F.col("entity")
     if atomic:
-        role = T.any_of([(F.col("lemma") == k, v) for k, v in L.ROLE_OVERRIDES.items()] + [(w == k, v) for k, v in L.ROLE_OVERRIDES.items()], role)
-    relation = T.lookup(L.RELATIONS, w, F.lit(None).cast("string"))
-    number, function = w.rlike("^[0-9]+$"), w.isin(L.FUNCTION_WORDS)
-    composed = F.array(F.concat(F.lit("ROOT:"), field), F.concat(F.lit("ROLE:"), role)) if atomic else F.array(F.concat(F.lit("CMP:"), field, F.lit(":"), role))
+        own = T.hashed(lex.overrides)
+        role = F.coalesce(own(F.col("lemma")), own(w), role)
+    relation = T.hashed(lex.relations)(w)
+    number, function = w.rlike("^[0-9]+$"), w.isin(lex.functions)
+    composed = F.array(F.concat(F.lit("ROOT:"), found), F.concat(F.lit("ROLE:"), role)) if atomic else F.array(F.concat(F.lit("CMP:"), found, F.lit(":"), role))
     literal = F.array(F.concat(F.lit("LIT:"), w))
 
-    def cascade(num, rel, fun, cmp_, root, rest):
-        return F.when(number, num).when(relation.isNotNull(), rel).when(function, fun).when(field.isNotNull() & role.isNotNull(), cmp_).when(field.isNotNull(), root).otherwise(rest)
+    def cascade(name, num, rel, fun, cmp_, root, rest):
+        return F.when(entity, name).when(number, num).when(relation.isNotNull(), rel).when(function, fun).when(found.isNotNull() & role.isNotNull(), cmp_).when(found.isNotNull(), root).otherwise(rest)
 
     lit = F.lit
     return analysed.withColumns(
         {
-            "type": cascade(lit("ROOT"), lit("REL"), lit("LIT"), lit("ROOT" if atomic else "CMP"), lit("ROOT"), lit("LIT")),
-            "tokens": cascade(F.array(lit("ROOT:size")), F.array(relation), literal, composed, F.array(F.concat(lit("ROOT:"), field)), literal),
-            "confidence": cascade(lit(0.9), lit(1.0), lit(0.9), lit(0.9), lit(0.8), lit(0.5)),
+            "type": cascade(lit("LIT"), lit("ROOT"), lit("REL"), lit("LIT"), lit("ROOT" if atomic else "CMP"), lit("ROOT"), lit("LIT")),
+            "tokens": cascade(literal, F.array(lit("ROOT:size")), F.array(relation), literal, composed, F.array(F.concat(lit("ROOT:"), found)), literal),
+            "confidence": cascade(lit(1.0), lit(0.9), lit(1.0), lit(0.9), lit(0.9), lit(0.8), lit(0.5)),
         }
     )
 
 
-def tokenize_english(docs: DataFrame, *, atomic: bool = False, lemmas: DataFrame | None = None, fields: DataFrame | None = None) -> DataFrame:
-    """(doc_id, lang, pos, tokens): sentence marks, then the tokens of the words in order."""
-    spark = docs.sparkSession
-    sents = sentences(docs)
-    own = words(sents)
-    lexicon = emit(analyse(own.select("word").distinct(), lemmas or lemma_table(spark), fields or field_table(spark)), atomic=atomic)
-    joined = own.join(lexicon.select("word", "tokens"), "word")
-    ordered = joined.groupBy("doc_id", "pos").agg(F.array_sort(F.collect_list(F.struct("i", "tokens"))).alias("ws"))
-    marks = sents.select("doc_id", "lang", "pos", T.structure(T.normalize(F.col("sent"))).alias("marks"))
+def _own_tokens(w: Column) -> Column:
+    """What a word gives that no table knows: a number's size or itself."""
+    return F.when(w.rlike("^[0-9]+$"), F.array(F.lit("ROOT:size"))).otherwise(F.array(F.concat(F.lit("LIT:"), w)))
+
+
+def known_words(distinct: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """(word, tokens) of the distinct words whose tokens are not their own: the lexicon bounds how many there can be."""
+    made = emit(analyse(distinct, lexicon), atomic=atomic, lexicon=lexicon)
+    # through a generator: a filter would be worked into all that stands below
+    each = made.select(F.explode(F.array(F.struct("word", "tokens"))).alias("x")).select("x.word", "x.tokens")
+    return each.filter(F.array_join("tokens", " ") != F.array_join(_own_tokens(F.col("word")), " "))
+
+
+def _tokenized(norm: DataFrame, atomic: bool, lexicon: Lexicon | None) -> DataFrame:
+    """norm (with normalised sentences in norm) with tokens in its place: sentence marks, then the tokens of the words in order.
+
+    The distinct words are analysed first. What the lexicon knows of them is held as a literal if it is small, so
+    sentences are tokenized where they are read, without a shuffle; else their words meet it in a join.
+    """
+    rest = [c for c in norm.columns if c != "norm"]
+    own = F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w))
+    known = known_words(norm.select(F.explode(own).alias("word")).distinct(), atomic=atomic, lexicon=lexicon)
+    rows = shared.few(known)
+    if rows is not None:
+        find = T.hashed({r["word"]: r["tokens"] for r in rows}, "array<string>")
+        return norm.select(*rest, F.concat(T.structure(F.col("norm")), F.flatten(F.transform(own, lambda w: F.coalesce(find(w), _own_tokens(w))))).alias("tokens"))
+    # rows are told apart by numbers of their own: nothing else has to be a key
+    numbered = shared.stored(norm.withColumn("_row", F.monotonically_increasing_id()))
+    each = numbered.select("_row", F.posexplode(own).alias("i", "word")).join(known, "word", "left").withColumn("tokens", F.coalesce("tokens", _own_tokens(F.col("word"))))
+    ordered = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "tokens"))).alias("ws"))
     none = F.array().cast("array<string>")
-    return marks.join(ordered, ["doc_id", "pos"], "left").select(
-        "doc_id", "lang", "pos", F.concat("marks", F.coalesce(F.flatten(F.transform("ws", lambda w: w["tokens"])), none)).alias("tokens")
-    )
+    found = numbered.join(ordered, "_row", "left")
+    return found.select(*rest, F.concat(T.structure(F.col("norm")), F.coalesce(F.flatten(F.transform("ws", lambda w: w["tokens"])), none)).alias("tokens"))
+
+
+def tokenize_english(docs: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """(doc_id, lang, pos, tokens) of the documents' sentences."""
+    return _tokenized(sentences(docs).select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm")), atomic, lexicon)
+
+
+def tokenize_texts(df: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """(id, tokens) of sentences (id, text), a row for each; ids may be shared."""
+    return _tokenized(df.select("id", T.normalize(F.coalesce("text", F.lit(""))).alias("norm")), atomic, lexicon)
+
+
+def aligned(docs: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """(doc_id, lang, pos, tokens, words, counts, n_marks): tokens are n_marks marks and then counts[i] tokens of words[i]."""
+    sents = sentences(docs)
+    rows = shared.few(known_words(words(sents).select("word").distinct(), atomic=atomic, lexicon=lexicon))
+    if rows is None:
+        raise ValueError("the lexicon's known words don't fit a literal; join known_words instead")
+    find = T.hashed({r["word"]: r["tokens"] for r in rows}, "array<string>")
+    norm = sents.select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm"))
+    own = norm.select("doc_id", "lang", "pos", T.structure(F.col("norm")).alias("marks"), F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w)).alias("words"))
+    own = own.withColumn("parts", F.transform("words", lambda w: F.coalesce(find(w), _own_tokens(w))))
+    return own.select("doc_id", "lang", "pos", F.concat("marks", F.flatten("parts")).alias("tokens"), "words", F.transform("parts", lambda x: F.size(x)).alias("counts"), F.size("marks").alias("n_marks"))
+
+
+def token_weights(docs: DataFrame, *, keys: list[str] | None = None, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
+    """(keys, token, n) over all tokens of docs, where their order doesn't count.
+
+    Words are counted first, each distinct word is analysed once, and its tokens have its count: tokens are never shuffled.
+    """
+    keys = keys or []
+    sents = sentences(docs)
+    counted = shared.stored(words(sents).groupBy(*keys, "word").agg(F.count("*").alias("n")))
+    known = known_words(counted.select("word").distinct(), atomic=atomic, lexicon=lexicon)
+    each = counted.join(known, "word", "left").select(*keys, F.explode(F.coalesce("tokens", _own_tokens(F.col("word")))).alias("token"), "n")
+    marks = sents.select(*keys, F.explode(T.structure(T.normalize(F.col("sent")))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
+    return each.unionByName(marks).groupBy(*keys, "token").agg(F.sum("n").alias("n"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:
@@ -113,16 +217,41 @@ def token_counts(tokens: DataFrame) -> DataFrame:
 
 
 def encode(df: DataFrame, vocab: DataFrame, keys: list[str], *, unknown: int = 1) -> DataFrame:
-    """(keys, ids): each token's id by a join with vocab (token, id), in order; unknown ones get `unknown`."""
-    each = df.select(*keys, F.posexplode("tokens").alias("i", "token")).join(vocab.select("token", "id"), "token", "left")
+    """(keys, ids): each token's id in vocab (token, id), in order; unknown ones get `unknown`.
+
+    A vocabulary of some thousand tokens is looked up where the arrays are; a larger one is joined.
+    """
+    vocab = vocab.select("token", F.col("id").cast("long").alias("id"))
+    rows = shared.few(vocab)
+    if rows is not None:
+        find = T.hashed({r["token"]: r["id"] for r in rows}, "bigint")
+        return df.select(*keys, F.transform("tokens", lambda t: F.coalesce(find(t), F.lit(unknown)).cast("int")).alias("ids"))
+    each = df.select(*keys, F.posexplode_outer("tokens").alias("i", "token")).join(vocab, "token", "left")
     each = each.withColumn("id", F.coalesce("id", F.lit(unknown)).cast("int"))
-    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "id"))).alias("x")).select(*keys, F.transform("x", lambda x: x["id"]).alias("ids"))
+    held = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "id")))).alias("x"))
+    return held.select(*keys, F.transform("x", lambda x: x["id"]).alias("ids"))
+
+
+def with_ids(df: DataFrame, vocab: DataFrame, *, unknown: int = 1) -> DataFrame:
+    """df with ids of its tokens, for a vocabulary that fits a literal."""
+    rows = shared.few(vocab.select("token", F.col("id").cast("long").alias("id")))
+    if rows is None:
+        raise ValueError("the vocabulary doesn't fit a literal; use encode")
+    find = T.hashed({r["token"]: r["id"] for r in rows}, "bigint")
+    return df.withColumn("ids", F.transform("tokens", lambda t: F.coalesce(find(t), F.lit(unknown)).cast("int")))
 
 
 def decode(df: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
-    each = df.select(*keys, F.posexplode("ids").alias("i", "id")).join(vocab.select("token", "id"), "id", "left")
+    """(keys, tokens): each id's token in order, [UNK] for what the vocabulary lacks."""
+    vocab = vocab.select("token", F.col("id").cast("long").alias("id"))
+    rows = shared.few(vocab)
+    if rows is not None:
+        find = T.hashed({str(r["id"]): r["token"] for r in rows})
+        return df.select(*keys, F.transform("ids", lambda x: F.coalesce(find(x.cast("string")), F.lit("[UNK]"))).alias("tokens"))
+    each = df.select(*keys, F.posexplode_outer("ids").alias("i", "id")).join(vocab, "id", "left")
     each = each.withColumn("token", F.coalesce("token", F.lit("[UNK]")))
-    return each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "token"))).alias("x")).select(*keys, F.transform("x", lambda x: x["token"]).alias("tokens"))
+    held = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "token")))).alias("x"))
+    return held.select(*keys, F.transform("x", lambda x: x["token"]).alias("tokens"))
 
 
 def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registered: list[str] | None = None) -> DataFrame:
@@ -133,7 +262,7 @@ def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registe
     their order, other core tokens by name, then the rest by count; a cap below the core is an error.
     """
     spark = counts.sparkSession
-    counts = counts.persist()  # read for the core, its size and the rest
+    counts = shared.stored(counts)  # read for the core, its size and the rest
     token = F.col("token")
     dynamic_prefix = {"literal": ["LIT:"], "surface": ["SURF:"], "structural": ["LIT:", "FOREIGN:", "NE:"], "core": ["LIT:", "FOREIGN:", "NE:", "SURF:"]}.get(policy)
     if dynamic_prefix is None:
@@ -149,7 +278,7 @@ def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registe
     if budget < 0:
         raise ValueError(f"the cap {cap} is below the {len(first) + n_core} tokens that always stay")
     by_name = policy in ("structural", "core")
-    core = ranked(core, [F.substring("token", 1, 6)], [token], "r") if by_name else by_frequency(core, "r")
+    core = shared.ranked(core, [token], "r") if by_name else by_frequency(core, "r")
     head = table(spark, [(t, i) for i, t in enumerate(first)], "token string, id long")
     tail = by_frequency(rest.filter(dynamic), "r").filter(F.col("r") <= budget)
     return (

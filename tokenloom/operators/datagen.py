@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
 from tokenloom.operators import reasoning as G
+from tokenloom.operators import shared
 
 MIX = (0.5, 0.3, 0.2)
 TERMS = [
@@ -86,19 +87,22 @@ def algebra(spark: SparkSession, n: int, seed: int) -> DataFrame:
     )
 
 
-def next_of_language(rows: DataFrame, column: str) -> DataFrame:
-    """rows (id, lang, ...) with `other`: column of the next id in the language, of the first after the last, its own if alone.
+def next_of_language(rows: DataFrame, column: str, *, fallback: bool = False) -> DataFrame:
+    """rows (id, lang, ...; ids each once) with `other`: column of the next id in the language, of the first after the last.
 
-    Neighbours are found in buckets of ids; a bucket's last row takes the first of the next one.
+    A row that is alone in its language has its own, or with fallback that of the next row of any language.
+    Ranks over (lang, id) are made in ranges and only ids are paired by them; the columns are joined last, so that no
+    language is in one task.
     """
-    bucket = F.substring("id", 1, 12)
-    held = rows.withColumn("_b", bucket)
-    inside = Window.partitionBy("lang", "_b").orderBy("id")
-    firsts = held.groupBy("lang", "_b").agg(F.min_by(column, "id").alias("_first"))
-    over = Window.partitionBy("lang").orderBy("_b")
-    following = firsts.withColumn("_next", F.coalesce(F.lead("_first").over(over), F.first("_first").over(over))).drop("_first")
-    made = held.withColumn("_o", F.lead(column).over(inside)).join(following, ["lang", "_b"])
-    return made.withColumn("other", F.coalesce("_o", "_next")).drop("_b", "_o", "_next")
+    ranks = shared.stored(shared.ranked(rows.select("lang", "id"), [F.col("lang"), F.col("id")], "r"))
+    bounds = ranks.groupBy("lang").agg(F.min("r").alias("first"), F.max("r").alias("last"))  # a row for each language
+    after = F.when(F.col("r") < F.col("last"), F.col("r") + 1).otherwise(F.col("first"))
+    if fallback:
+        total = bounds.agg(F.max("last").alias("all"))
+        bounds = bounds.join(F.broadcast(total))
+        after = F.when(F.col("first") < F.col("last"), after).when(F.col("r") < F.col("all"), F.col("r") + 1).otherwise(F.lit(1))
+    paired = ranks.join(F.broadcast(bounds), "lang").select("id", after.alias("r")).join(ranks.select("r", F.col("id").alias("_other")), "r").select("id", "_other")
+    return rows.join(paired, "id").join(rows.select(F.col("id").alias("_other"), F.col(column).alias("other")), "_other").drop("_other")
 
 
 def verifier_examples(rows: DataFrame) -> DataFrame:
@@ -129,3 +133,9 @@ def pairwise(examples: DataFrame, variants: list[str]) -> DataFrame:
     good = examples.filter("label = 1").select("source_id", F.col("input_tokens").alias("positive"))
     bad = examples.filter(F.col("variant").isin(variants)).select("source_id", "variant", F.col("input_tokens").alias("negative"))
     return good.join(bad, "source_id")
+
+
+def verifier_summary(examples: DataFrame) -> DataFrame:
+    """Examples by variant, label and language, with totals, in one pass."""
+    sets = [["variant", "label"], ["lang"], []]
+    return examples.groupingSets(sets, "variant", "label", "lang").agg(F.grouping_id("variant", "label", "lang").alias("level"), F.count("*").alias("n"), F.countDistinct("source_id").alias("sources"))

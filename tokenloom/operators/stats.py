@@ -12,20 +12,22 @@ from tokenloom.functions import text as T
 STRUCTURED = ["CMP", "ROOT", "STR", "REL"]
 
 
-def coverage(tokens: DataFrame, keys: list[str], gate: float = 0.55) -> DataFrame:
-    """Tokens by type and the structured share; counted inside each row, so only sums are shuffled."""
+def coverage(weights: DataFrame, keys: list[str], gate: float = 0.55) -> DataFrame:
+    """Tokens by type and the structured share, from counts (keys, token, n)."""
+    kind = F.substring_index("token", ":", 1)
 
     def count(kinds: list[str]) -> Column:
-        return F.sum(F.size(F.filter("tokens", lambda t: F.substring_index(t, ":", 1).isin(kinds))).cast("long"))
+        return F.sum(F.when(kind.isin(kinds), F.col("n")).otherwise(0))
 
     kinds = {k.lower(): count([k]) for k in ("CMP", "ROOT", "STR", "REL", "LIT")}
-    made = tokens.groupBy(*keys).agg(F.sum(F.size("tokens").cast("long")).alias("total"), *(c.alias(k) for k, c in kinds.items()), count(STRUCTURED).alias("structured"))
+    made = weights.groupBy(*keys).agg(F.sum("n").alias("total"), *(c.alias(k) for k, c in kinds.items()), count(STRUCTURED).alias("structured"))
     return made.withColumn("ratio", F.col("structured") / F.col("total")).withColumn("gate", F.col("ratio") >= gate)
 
 
-def top(tokens: DataFrame, keep: Callable[[Column], Column], key: Callable[[Column], Column], n: int) -> DataFrame:
-    each = tokens.select(F.explode("tokens").alias("t")).filter(keep(F.col("t")))
-    return each.groupBy(key(F.col("t")).alias("key")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "key").limit(n)
+def top(weights: DataFrame, keep: Callable[[Column], Column], key: Callable[[Column], Column], n: int) -> DataFrame:
+    """The n most frequent keys of the tokens (token, n) that keep picks; of equal ones the first by name."""
+    each = weights.filter(keep(F.col("token")))
+    return each.groupBy(key(F.col("token")).alias("key")).agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "key").limit(n)
 
 
 def literal_buckets(counts: DataFrame) -> DataFrame:
@@ -92,14 +94,69 @@ def signal_gate(scores: DataFrame, *, full: float = 0.6, gap: float = 0.03, wins
     return made.withColumn("passed", (F.col("mean_full") >= full) & (F.col("gap_qonly") >= gap) & (F.col("gap_shuf") >= gap) & (F.col("wins_qonly") >= wins) & (F.col("wins_shuf") >= wins))
 
 
-def verdict(gates: DataFrame) -> DataFrame:
-    """The six-way decision from two gates in a row (own_pass, base_pass, stronger)."""
-    own, base, stronger = F.col("own_pass"), F.col("base_pass"), F.col("stronger")
-    return gates.withColumn(
-        "verdict",
-        F.when(own & ~base, "advantage_supported").when(own & base & stronger, "advantage_supported").when(own & base, "inconclusive_both_pass")
-        .when(~own & base, "disadvantage_baseline_wins").when(stronger, "better_but_not_ready").otherwise("no_evidence_of_advantage"),
+ARCHITECTURE = ["max_len", "d_model", "n_heads", "n_layers", "d_ff", "dropout"]
+SIZES = ["train", "val", "test"]
+
+
+def verdict(runs: DataFrame, *, full: float = 0.03, gap_qonly: float = 0.02, gap_shuffled: float = 0.02) -> DataFrame:
+    """The six-way decision from two evaluations in a row: structs own and base of (passed, full, gap_q, gap_s, config, sizes).
+
+    Deltas are rounded to four places before they meet the thresholds. The comparison is fair if architectures and split
+    sizes agree; without both configs it is not, and is said to be partial.
+    """
+    own, base = F.col("own"), F.col("base")
+    deltas = {f"delta_{n}": F.round(own[c] - base[c], 4) for n, c in (("full", "full"), ("gap_q", "gap_q"), ("gap_s", "gap_s"))}
+    both = own["config"].isNotNull() & base["config"].isNotNull()
+    same = F.lit(True)
+    for k in ARCHITECTURE:
+        same = same & own["config"][k].eqNullSafe(base["config"][k])
+    sized = {k: own["sizes"][k].eqNullSafe(base["sizes"][k]) for k in SIZES}
+    warnings = [F.when(~both, "partial"), F.when(both & ~same, "architecture"), *(F.when(both & ~c, k) for k, c in sized.items())]
+    made = runs.withColumns(deltas).withColumn("stronger", (F.col("delta_full") >= full) & (F.col("delta_gap_q") >= gap_qonly) & (F.col("delta_gap_s") >= gap_shuffled))
+    made = made.withColumn("warnings", F.array_compact(F.array(*warnings))).withColumn("fair", F.size("warnings") == 0)
+    o, b, stronger = own["passed"], base["passed"], F.col("stronger")
+    said = (
+        F.when(o & ~b, "advantage_supported").when(o & b & stronger, "advantage_supported").when(o & b, "inconclusive_both_pass")
+        .when(~o & b, "disadvantage_baseline_wins").when(stronger, "better_but_not_ready").otherwise("no_evidence_of_advantage")
     )
+    return made.withColumn("verdict", said)
+
+
+def hard_logic_gate(rows: DataFrame, *, examples: int = 1000, full: float = 0.6, majority: float = 0.1, question: float = 0.05, shuffled: float = 0.05) -> DataFrame:
+    """Accuracy in three modes from rows (gold, full, question_only, shuffled: predictions), gaps, and which of five criteria fail.
+
+    Rows without a gold label don't count for the majority, whose share is over the rows with one.
+    """
+    modes = ["full", "question_only", "shuffled"]
+    counted = rows.filter("gold is not null").groupBy("gold").agg(F.count("*").alias("n"), *(F.sum((F.col(m) == F.col("gold")).cast("long")).alias(m) for m in modes))
+    made = counted.agg(F.sum("n").alias("n"), (F.max("n") / F.sum("n")).alias("majority"), *((F.sum(m) / F.sum("n")).alias(f"acc_{m}") for m in modes))
+    gaps = {"gap_majority": "majority", "gap_question": "acc_question_only", "gap_shuffled": "acc_shuffled"}
+    made = made.withColumns({g: F.round(F.col("acc_full") - F.col(c), 4) for g, c in gaps.items()})
+    checks = [("enough_examples", F.col("n") >= examples), ("full_acc", F.col("acc_full") >= full), ("gap_majority", F.col("gap_majority") >= majority), ("gap_question", F.col("gap_question") >= question), ("gap_shuffled", F.col("gap_shuffled") >= shuffled)]
+    failed = F.array_compact(F.array(*(F.when(~c, F.lit(n)) for n, c in checks)))
+    return made.withColumn("failed", F.array_join(failed, " ")).withColumn("passed", F.size(failed) == 0)
+
+
+def parity(pairs: DataFrame, left: str, right: str) -> DataFrame:
+    """How far two tokenizations (arrays left and right of the same rows) agree.
+
+    A row with kind `rows` has the numbers of rows that agree exactly, as sorted tokens and as sorted types; each other
+    row has a type's tokens on both sides and their difference in percent of the larger.
+    """
+
+    def types(c):
+        return F.transform(c, lambda t: F.substring_index(t, ":", 1))
+
+    def same(f):
+        return F.sum((f(F.col(left)) == f(F.col(right))).cast("long"))
+
+    none = F.lit(None).cast("long")
+    totals = pairs.agg(F.count("*").alias("n"), same(lambda c: F.array_join(c, " ")).alias("exact"), same(lambda c: F.array_join(F.array_sort(c), " ")).alias("same_set"), same(lambda c: F.array_join(F.array_sort(types(c)), " ")).alias("same_types"))
+    totals = totals.select(F.lit("rows").alias("kind"), F.lit("").alias("type"), "n", "exact", "same_set", "same_types", none.alias("left"), none.alias("right"), F.lit(None).cast("double").alias("diff_pct"))
+    sides = [pairs.select(F.explode(types(F.col(c))).alias("type"), F.lit(int(c == left)).alias("l")) for c in (left, right)]
+    by = sides[0].unionByName(sides[1]).groupBy("type").agg(F.sum("l").alias("left"), F.sum(1 - F.col("l")).alias("right"))
+    by = by.withColumn("diff_pct", F.round(100 * F.abs(F.col("left") - F.col("right")) / F.greatest("left", "right", F.lit(1)), 4))
+    return totals.unionByName(by.select(F.lit("type").alias("kind"), "type", *(none.alias(c) for c in ("n", "exact", "same_set", "same_types")), "left", "right", "diff_pct"))
 
 
 def bits_per_character(scored: DataFrame, keys: list[str]) -> DataFrame:

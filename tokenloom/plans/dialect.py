@@ -34,8 +34,9 @@ def raw(x: str) -> _Raw:
 
 
 SENT = f"""sent as (select doc_id, lang, source, (row_number() over (partition by doc_id order by p) - 1)::int as pos, sent from (
-    select doc_id, lang, source, trim(unnest(string_split_regex(text, {quote(T.SENTENCE_END)}))) as sent,
-           generate_subscripts(string_split_regex(text, {quote(T.SENTENCE_END)}), 1) as p from documents) where sent <> '')"""
+    select doc_id, lang, source, trim(unnest(parts)) as sent, generate_subscripts(parts, 1) as p from (
+        select doc_id, lang, source, case when lang = 'ar' then string_split_regex(text, {quote(T.ARABIC_END)})
+            else string_split(regexp_replace(text, {quote(T.SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10)) end as parts from documents)) where sent <> '')"""
 
 
 def normalize(x: str) -> str:
@@ -63,8 +64,11 @@ def skipped(w: str) -> str:
 NORM = f"norm as (select doc_id, lang, pos, {normalize('sent')} as n from sent)"
 WORD = f"""word as (select * from (select doc_id, lang, pos, unnest({words('n')}) as word, generate_subscripts({words('n')}, 1)::int - 1 as i from norm)
     where not {skipped('word')})"""
-DISTINCT = "dw as (select distinct word from word)"
-LEMMA = f"lem as (select dw.word, coalesce(t.lemma, dw.word) as lemma from dw left join ({values(L.LEMMAS.items())}) t(word, lemma) on t.word = dw.word)"
+DISTINCT = "dw as materialized (select distinct word from word)"
+_PLAIN = """case when word like '%ies' and length(word) > 4 then substr(word, 1, length(word) - 3) || 'y' when regexp_matches(word, '(ss|sh|ch|x)es$') and length(word) > 4 then substr(word, 1, length(word) - 2)
+    when word like '%s' and not regexp_matches(word, '(ss|us|is)$') and length(word) > 3 then substr(word, 1, length(word) - 1) else word end"""
+LEMMAS = f"({values(L.LEMMAS.items())}) t(w, lemma)"
+LEMMA = f"lem as materialized (select word, coalesce(t.lemma, {_PLAIN}) as lemma from dw left join {LEMMAS} on t.w = word)"
 
 
 def _prefix(part: str) -> str:
@@ -83,8 +87,8 @@ def _suffix(part: str) -> str:
     return "case " + " ".join(made) + " end"
 
 
-AFFIX = "aff as (select word, lemma, " + ", ".join(f"{f(part)} as {n}_{part}" for n, f in (("p", _prefix), ("s", _suffix)) for part in ("affix", "role", "stem")) + " from lem)"
-DECOMPOSED = """dec as (select word, lemma, case when p_affix is not null then p_stem when s_affix is not null then case when lemma <> word then lemma else s_stem end else lemma end as root,
+AFFIX = "aff as materialized (select word, lemma, " + ", ".join(f"{f(part)} as {n}_{part}" for n, f in (("p", _prefix), ("s", _suffix)) for part in ("affix", "role", "stem")) + " from lem)"
+DECOMPOSED = """dec as materialized (select word, lemma, case when p_affix is not null then p_stem when s_affix is not null then case when lemma <> word then lemma else s_stem end else lemma end as root,
     coalesce(p_role, s_role) as role from aff)"""
 
 
@@ -96,9 +100,9 @@ def _candidates() -> str:
     return "[" + ", ".join(made) + "]"
 
 
-FIELD = f"""cand as (select word, unnest({_candidates()}) as spelling, generate_subscripts({_candidates()}, 1) as prio from dec),
-fld as (select word, arg_min(field, prio) as field from cand join ({values(L.FIELDS.items())}) f(spelling, field) using (spelling) group by word),
-ana as (select dec.*, fld.field from dec left join fld using (word))"""
+FIELD = f"""cand as materialized (select word, unnest({_candidates()}) as spelling, generate_subscripts({_candidates()}, 1) as prio from dec),
+fld as materialized (select word, arg_min(field, prio) as field from cand join ({values(L.FIELDS.items())}) f(spelling, field) using (spelling) group by word),
+ana as materialized (select dec.*, fld.field from dec left join fld using (word))"""
 
 
 def emitted(atomic: bool = False) -> str:
@@ -108,22 +112,27 @@ def emitted(atomic: bool = False) -> str:
     rel = case("word", L.RELATIONS, "null")
     cmp_ = f"['ROOT:' || field, 'ROLE:' || {role}]" if atomic else f"['CMP:' || field || ':' || {role}]"
 
-    def cascade(num, r, fun, c, root, rest):
-        return f"""case when regexp_full_match(word, '[0-9]+') then {num} when {rel} is not null then {r} when word in {items(L.FUNCTION_WORDS)} then {fun}
+    def cascade(name, num, r, fun, c, root, rest):
+        return f"""case when word in {items(L.ENTITIES)} then {name} when regexp_full_match(word, '[0-9]+') then {num} when {rel} is not null then {r} when word in {items(L.FUNCTION_WORDS)} then {fun}
             when field is not null and {role} is not null then {c} when field is not null then {root} else {rest} end"""
 
-    return f"""em as (select word, {cascade("'ROOT'", "'REL'", "'LIT'", quote("ROOT" if atomic else "CMP"), "'ROOT'", "'LIT'")} as type,
-        {cascade("['ROOT:size']", f"[{rel}]", "['LIT:' || word]", cmp_, "['ROOT:' || field]", "['LIT:' || word]")} as tokens,
-        {cascade("0.9", "1.0", "0.9", "0.9", "0.8", "0.5")}::double as confidence, lemma, root, role, field from ana)"""
+    return f"""em as materialized (select word, {cascade("'LIT'", "'ROOT'", "'REL'", "'LIT'", quote("ROOT" if atomic else "CMP"), "'ROOT'", "'LIT'")} as type,
+        {cascade("['LIT:' || word]", "['ROOT:size']", f"[{rel}]", "['LIT:' || word]", cmp_, "['ROOT:' || field]", "['LIT:' || word]")} as tokens,
+        {cascade("1.0", "0.9", "1.0", "0.9", "0.9", "0.8", "0.5")}::double as confidence, lemma, root, role, field from ana)"""
 
 
 EN = ", ".join([SENT, NORM, WORD, DISTINCT, LEMMA, AFFIX, DECOMPOSED, FIELD])
 
 
+def token_parts(atomic: bool = False, suffix: str = "") -> str:
+    em, tok = f"em{suffix}", f"tok{suffix}"
+    return f"""{emitted(atomic).replace("em as", em + " as", 1)},
+{tok} as (select n.doc_id, n.lang, n.pos, list_concat({structure('n.n')}, coalesce(w.tokens, [])) as tokens from norm n left join (
+    select doc_id, pos, flatten(list({em}.tokens order by i)) as tokens from word join {em} using (word) group by doc_id, pos) w on w.doc_id = n.doc_id and w.pos = n.pos)"""
+
+
 def tokenized(atomic: bool = False) -> str:
-    return f"""{EN}, {emitted(atomic)},
-tok as (select n.doc_id, n.lang, n.pos, list_concat({structure('n.n')}, coalesce(w.tokens, [])) as tokens from norm n left join (
-    select doc_id, pos, flatten(list(em.tokens order by i)) as tokens from word join em using (word) group by doc_id, pos) w on w.doc_id = n.doc_id and w.pos = n.pos)"""
+    return f"{EN}, {token_parts(atomic)}"
 
 
 def lex_english(x: str) -> str:
@@ -159,7 +168,7 @@ def logic_parts(x: str) -> str:
     last = "string_split(t, ':')[-1]"
     role = f"case when {last} in {items(L.ROLE_LOGIC)} then [{case(last, L.ROLE_LOGIC, 'null')}] else [] end"
     field = case("string_split(t, ':')[2]", L.FIELD_CONCEPTS, "'C:CONCEPT'")
-    rules = f"""case when t in ('[BOS]', '[EOS]', '[PAD]', '[UNK]', '[SEP]') then [t]
+    rules = f"""case when starts_with(t, 'LIT:') then ['[UNK]'] when t in ('[BOS]', '[EOS]', '[PAD]', '[UNK]', '[SEP]') then [t]
         when t in {items(L.LOGIC_TOKENS)} then [{case('t', L.LOGIC_TOKENS, 'null')}]
         when t in {items(L.LOGIC_DROPPED)} or starts_with(t, 'FEAT:') or starts_with(t, 'PAT:') then []
         when starts_with(t, 'NUM:') then ['N:INT'] when starts_with(t, 'ROLE:') then {role} when starts_with(t, 'TIME:') then ['C:TIME_POINT']

@@ -19,13 +19,15 @@ def _sents(spark, sf):
 
 def _distinct(spark, sf):
     """(word, lemma) of each distinct word."""
-    own = C.words(_sents(spark, sf)).select("word").distinct().join(F.broadcast(C.lemma_table(spark)), "word", "left")
-    return own.select("word", F.coalesce("lemma", "word").alias("lemma"))
+    return C.analyse(C.words(_sents(spark, sf)).select("word").distinct()).select("word", "lemma")
 
 
 def _analysed(spark, sf):
-    words = C.words(_sents(spark, sf)).select("word").distinct()
-    return C.analyse(words, C.lemma_table(spark), C.field_table(spark))
+    return C.analyse(C.words(_sents(spark, sf)).select("word").distinct())
+
+
+def _weights(spark, sf, **options):
+    return C.token_weights(read(spark, sf, "documents"), **options)
 
 
 def _lexed(spark, sf):
@@ -98,9 +100,19 @@ def en_emit_atomic(spark, sf):
     return C.emit(_analysed(spark, sf), atomic=True).select("word", "type", F.array_join("tokens", " ").alias("tokens"), "confidence")
 
 
-@query(f"with r as ({D.values(L.ROLE_OVERRIDES.items())}) select * from r t(word, role)")
+_OVER = D.case("lemma", L.ROLE_OVERRIDES, D.case("word", L.ROLE_OVERRIDES, "null"))
+#: Real words beside the corpus's own, so that overrides meet some: (sentence, text).
+SCHOOL = [(1, "The teacher wrote to the students."), (2, "A student went to the hospital!"), (3, "Teachers know hospitals.")]
+
+
+@query(f"""with own as (select distinct word from (select unnest({D.words(D.normalize('x'))}) as word from ({D.values(SCHOOL)}) v(i, x)) where not {D.skipped('word')}), dw as (select word from own), {D.LEMMA}
+    select word, lemma, {_OVER} as override from lem""")
 def en_role_override(spark, sf):
-    return C.table(spark, list(L.ROLE_OVERRIDES.items()), "word string, role string")
+    """Roles that single words have whatever their affixes say: the lemma's before the word's own."""
+    sents = C.table(spark, [(i, "en", 0, x) for i, x in SCHOOL], "doc_id int, lang string, pos int, sent string")
+    own = C.analyse(C.words(sents).select("word").distinct())
+    find = T.hashed(L.ROLE_OVERRIDES)
+    return own.select("word", "lemma", F.coalesce(find(F.col("lemma")), find(F.col("word"))).alias("override"))
 
 
 @query(f"with {D.tokenized()} select doc_id, pos, array_to_string(tokens, ' ') as tokens from tok")
@@ -128,12 +140,12 @@ def _coverage_sql(keys: str) -> str:
 
 @query(_coverage_sql("lang"))
 def en_coverage(spark, sf):
-    return S.coverage(C.tokenize_english(read(spark, sf, "documents")), ["lang"])
+    return S.coverage(_weights(spark, sf, keys=["lang"]), ["lang"])
 
 
 @query(_coverage_sql(""))
 def agg_corpus_coverage(spark, sf):
-    return S.coverage(C.tokenize_english(read(spark, sf, "documents")), [])
+    return S.coverage(_weights(spark, sf), [])
 
 
 def _top_sql(where: str, key: str, n: int) -> str:
@@ -142,32 +154,31 @@ def _top_sql(where: str, key: str, n: int) -> str:
 
 @query(_top_sql("t like 'CMP:%' or (t like 'ROOT:%' and t <> 'ROOT:size')", "string_split(t, ':')[2]", 20))
 def agg_top_fields(spark, sf):
-    return S.top(C.tokenize_english(read(spark, sf, "documents")), lambda t: t.startswith("CMP:") | (t.startswith("ROOT:") & (t != "ROOT:size")), lambda t: F.get(F.split(t, ":"), F.lit(1)), 20)
+    return S.top(_weights(spark, sf), lambda t: t.startswith("CMP:") | (t.startswith("ROOT:") & (t != "ROOT:size")), lambda t: F.get(F.split(t, ":"), F.lit(1)), 20)
 
 
 @query(_top_sql("t like 'CMP:%'", "string_split(t, ':')[3]", 15))
 def agg_top_roles(spark, sf):
-    return S.top(C.tokenize_english(read(spark, sf, "documents")), lambda t: t.startswith("CMP:"), lambda t: F.get(F.split(t, ":"), F.lit(2)), 15)
+    return S.top(_weights(spark, sf), lambda t: t.startswith("CMP:"), lambda t: F.get(F.split(t, ":"), F.lit(2)), 15)
 
 
 @query(_top_sql("t like 'LIT:%'", "substr(t, 5)", 30))
 def agg_top_literals(spark, sf):
-    return S.top(C.tokenize_english(read(spark, sf, "documents")), lambda t: t.startswith("LIT:"), lambda t: F.substr(t, F.lit(5)), 30)
+    return S.top(_weights(spark, sf), lambda t: t.startswith("LIT:"), lambda t: F.substr(t, F.lit(5)), 30)
 
 
 @query(_top_sql(f"t like 'LIT:%' and substr(t, 5) not in {D.items(L.FUNCTION_WORDS)} and not regexp_matches(substr(t, 5), '^[0-9]')", "substr(t, 5)", 50))
 def agg_missed_words(spark, sf):
     """The most frequent literals that are no function words: what a lexicon should learn next."""
     return S.top(
-        C.tokenize_english(read(spark, sf, "documents")),
+        _weights(spark, sf),
         lambda t: t.startswith("LIT:") & ~F.substr(t, F.lit(5)).isin(L.FUNCTION_WORDS) & ~F.substr(t, F.lit(5)).rlike("^[0-9]"), lambda t: F.substr(t, F.lit(5)), 50,
     )
 
 
 @query(f"with {D.tokenized()}, t as (select unnest(tokens) as t from tok) select {_KIND} as type, count(*) as n, count(distinct t) as kinds from t group by type")
 def agg_type_counts(spark, sf):
-    counts = C.token_counts(C.tokenize_english(read(spark, sf, "documents")))
-    return counts.groupBy(F.substring_index("token", ":", 1).alias("type")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
+    return _weights(spark, sf).groupBy(F.substring_index("token", ":", 1).alias("type")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
 
 
 _BARE = "regexp_replace(s, '[ً-ٰٟـ]', '', 'g')"
@@ -179,7 +190,7 @@ _BARE = "regexp_replace(s, '[ً-ٰٟـ]', '', 'g')"
         when not regexp_matches({_BARE}, '[A-Za-zء-يÀ-ɏ]') then 'punct_only' when length({_BARE}) <= 1 then 'single_char' when length({_BARE}) <= 3 then 'short_arabic' else 'arabic_4plus' end as bucket from c)
     select bucket, count(*) as kinds, sum(n)::bigint as n, round(100.0 * count(*) / sum(count(*)) over (), 2) as kinds_pct, round(100.0 * sum(n) / sum(sum(n)) over (), 2) as n_pct from b group by bucket""")
 def agg_lit_buckets(spark, sf):
-    return S.literal_buckets(C.token_counts(C.tokenize_english(read(spark, sf, "documents"))))
+    return S.literal_buckets(_weights(spark, sf))
 
 
 @query(f"with {D.SENT}, {D.REASON} select doc_id, pos, array_to_string(default_tokens, ' ') as tokens from proj")
@@ -239,17 +250,24 @@ def strip_bos_eos(spark, sf):
     return _lexed(spark, sf).select("doc_id", "pos", F.array_join(K.unwrap(F.col("reasoning_tokens")), " ").alias("inner_tokens"))
 
 
-@query(f"select word, token, class from ({D.values([(w, t) for w, t in L.RELATIONS.items()])}) r(word, token) join ({D.values(L.RELATION_CLASSES.items())}) c(rel, class) on rel = token")
+_CLASSES = [(f"REL:{r}", c) for c, rs in L.RELATION_CLASSES.items() for r in rs]
+
+
+@query(f"""with {D.SENT}, {D.NORM}, {D.WORD} select class, count(distinct word.word) as words, count(distinct r.token) as kinds, count(*) as n from word join ({D.values(L.RELATIONS.items())}) r(word, token) on r.word = word.word
+    left join ({D.values(_CLASSES)}) c(token, class) on c.token = r.token group by class""")
 def rel_category(spark, sf):
-    relations = C.table(spark, list(L.RELATIONS.items()), "word string, token string")
-    return relations.join(F.broadcast(C.table(spark, list(L.RELATION_CLASSES.items()), "token string, class string")), "token").select("word", "token", "class")
+    """Relation words of the corpus by their class; a relation without one has none."""
+    counts = C.words(_sents(spark, sf)).groupBy("word").agg(F.count("*").alias("n"))
+    known = counts.withColumn("token", T.hashed(L.RELATIONS)(F.col("word"))).filter("token is not null")
+    own = known.withColumn("class", T.hashed(dict(_CLASSES))(F.col("token")))
+    return own.groupBy("class").agg(F.count("*").alias("words"), F.countDistinct("token").alias("kinds"), F.sum("n").alias("n"))
 
 
 @query(f"""with {D.tokenized()}, t as (select distinct unnest(tokens) as t from tok) select t as token from t where (t like 'REL:%' or t like 'STR:%')
     and t not in {D.items(L.LOGIC_TOKENS)} and t not in {D.items(L.LOGIC_DROPPED)}""")
 def join_anti_coverage(spark, sf):
     """Relations and marks that the logic projection does not know."""
-    emitted = C.tokenize_english(read(spark, sf, "documents")).select(F.explode("tokens").alias("token")).filter("token like 'REL:%' or token like 'STR:%'").distinct()
+    emitted = _weights(spark, sf).select("token").filter("token like 'REL:%' or token like 'STR:%'")
     known = C.table(spark, [(t,) for t in [*L.LOGIC_TOKENS, *L.LOGIC_DROPPED]], "token string")
     return emitted.join(F.broadcast(known), "token", "left_anti")
 

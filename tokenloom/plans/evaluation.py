@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
+from tokenloom.operators import downstream as W
 from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
+from tokenloom.plans.vocabulary import CAP, _shown, _top, _vocab
 
 
 def _predicted(spark, sf):
@@ -49,16 +52,21 @@ def agg_top5_answer_tokens(spark, sf):
     return counts.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
 
 
-_DIST = """d as (select conv_id, turn, role, text, lead(text) over (partition by conv_id order by turn) as nxt from conversations), e as (select role, levenshtein(regexp_replace(text, '[^ -~]', '', 'g'), regexp_replace(nxt, '[^ -~]', '', 'g')) as dist from d where nxt is not null)"""
-
-
-@query(f"with {_DIST} select role, count(*) as n, avg(dist) as mean, median(dist) as median, round(coalesce(stddev_samp(dist), 0), 6) as std from e group by role")
+@query()
 def agg_edit_distance_by_label(spark, sf):
-    """Edit distance between turns and their next ones, by role, over their ASCII characters."""
-    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    following = turns.withColumn("nxt", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).filter("nxt is not null")
-    dist = following.select("role", F.levenshtein(F.regexp_replace("text", "[^ -~]", ""), F.regexp_replace("nxt", "[^ -~]", "")).alias("dist"))
-    return dist.groupBy("role").agg(F.count("*").alias("n"), F.avg("dist").alias("mean"), F.median("dist").alias("median"), F.round(F.coalesce(F.stddev_samp("dist"), F.lit(0.0)), 6).alias("std"))
+    """Edit distance of the reasoning tokens of a turn and the next one by label, and the tokens that the projection keeps of 1000.
+
+    No SQL: the other engine's distance counts bytes. A test holds it against brute force.
+    """
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", K.lex_english(F.col("text")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en"))
+    turns = turns.select("conv_id", "turn", F.size("d").alias("size"), K.reasoning_collapse(F.col("k")).alias("r"))
+    after = turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("r").alias("r2"), F.col("size").alias("size2"))
+    pairs = turns.join(after, ["conv_id", "turn"]).withColumn("label", F.element_at(F.array(F.lit("entails"), F.lit("neutral"), F.lit("contradicts")), F.pmod("turn", F.lit(3)).cast("int") + 1))
+    distance = pairs.select(F.lit("distance").alias("kind"), "label", T.edit_distance(F.col("r"), F.col("r2")).cast("long").alias("x"))
+    sides = pairs.select(F.explode(F.array(F.struct(F.col("r").alias("r"), F.col("size").alias("size")), F.struct(F.col("r2").alias("r"), F.col("size2").alias("size")))).alias("s")).filter("s.size > 0")
+    kept = sides.select(F.lit("kept_of_1000").alias("kind"), F.lit("").alias("label"), (F.size("s.r") / F.col("s.size") * 1000).cast("long").alias("x"))
+    std = F.round(F.coalesce(F.stddev_samp("x"), F.lit(0.0)), 3)
+    return distance.unionByName(kept).groupBy("kind", "label").agg(F.count("*").alias("n"), F.round(F.avg("x"), 3).alias("mean"), F.median("x").alias("median"), std.alias("std"))
 
 
 @query("select source, count(*) as n, avg(n_chars) as mean, round(coalesce(stddev_samp(n_chars), 0), 6) as std from documents group by source")
@@ -73,20 +81,20 @@ def agg_welch_t(spark, sf):
     return made.withColumns({"t": F.round("t", 6), "dof": F.round("dof", 6)})
 
 
-@query(f"""with {D.SENT}, {D.REASON}, p as (select array_to_string(default_tokens, ' ') = array_to_string(reasoning_tokens, ' ') as exact, list_sort(list_distinct(default_tokens)) = list_sort(list_distinct(reasoning_tokens)) as same_set,
-        list_sort(list_transform(default_tokens, lambda t: string_split(t, ':')[1])) = list_sort(list_transform(reasoning_tokens, lambda t: string_split(t, ':')[1])) as same_types from proj)
-    select count(*) as n, avg(exact::int) as exact, avg(same_set::int) as same_set, avg(same_types::int) as same_types from p""")
-def agg_parity(spark, sf):
-    """How many rows of two tokenizations agree exactly, as sets, and by types."""
-    lexed = C.sentences(read(spark, sf, "documents")).select(K.lex_english(F.col("sent")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en")).withColumn("r", K.reasoning_collapse(F.col("k")))
+_TYPES = "list_transform({}, lambda t: string_split(t, ':')[1])"
 
-    def kinds(c):
-        return F.array_sort(F.transform(c, lambda t: F.substring_index(t, ":", 1)))
 
-    made = lexed.select(
-        (F.array_join("d", " ") == F.array_join("r", " ")).cast("int").alias("e"), (F.array_sort(F.array_distinct("d")) == F.array_sort(F.array_distinct("r"))).cast("int").alias("s"), (kinds("d") == kinds("r")).cast("int").alias("t"),
-    )
-    return made.agg(F.count("*").alias("n"), F.avg("e").alias("exact"), F.avg("s").alias("same_set"), F.avg("t").alias("same_types"))
+@query(f"""with {D.tokenized()}, {D.token_parts(True, "2")}, p as (select tok.tokens as a, tok2.tokens as b from tok join tok2 using (doc_id, pos)),
+    t as (select unnest({_TYPES.format('a')}) as type, 1 as l from p union all select unnest({_TYPES.format('b')}), 0 from p), c as (select type, sum(l)::bigint as l, sum(1 - l)::bigint as r from t group by type)
+    select 'rows' as kind, '' as type, count(*) as n, count(*) filter (where a = b) as exact, count(*) filter (where list_sort(a) = list_sort(b)) as same_set, count(*) filter (where list_sort({_TYPES.format('a')}) = list_sort({_TYPES.format('b')})) as same_types,
+        null::bigint as "left", null::bigint as "right", null::double as diff_pct from p
+    union all select 'type', type, null, null, null, null, l, r, round(100 * abs(l - r) / greatest(l, r, 1), 4) from c""")
+def agg_parity(spark, sf):
+    """How far the fused and the atomic tokenizer agree: rows paired by their ids, and tokens of each type on both sides."""
+    docs = read(spark, sf, "documents")
+    a = C.tokenize_english(docs).select("doc_id", "pos", F.col("tokens").alias("a"))
+    b = C.tokenize_english(docs, atomic=True).select("doc_id", "pos", F.col("tokens").alias("b"))
+    return S.parity(a.join(b, ["doc_id", "pos"]), "a", "b")
 
 
 _SCORES = "scores as (select event_id, 0.5 + (event_id % 7) / 14.0 as p_full, 0.4 + (event_id % 5) / 10.0 as p_qonly, 0.3 + (event_id % 3) / 10.0 as p_shuf from events)"
@@ -106,28 +114,44 @@ def agg_signal_gate(spark, sf):
     return made.select("n", *(F.round(c, 6).alias(c) for c in ("mean_full", "gap_qonly", "gap_shuf")), "wins_qonly", "wins_shuf", "passed")
 
 
-@query(f"""with {_PRED}, m as (select avg((pred = gold)::int) filter (where source in ('src0', 'src1', 'src2')) as acc_full, avg((pred = gold)::int) filter (where source in ('src3', 'src4')) as acc_control, max(s) as majority from pred,
-        (select max(n) / sum(n) as s from (select count(*) as n from pred group by gold)))
-    select acc_full, acc_control, acc_full - acc_control as gap, majority, array_to_string(list_filter([case when not acc_full >= 0.6 then 'accuracy' end, case when not acc_full - acc_control >= 0.05 then 'gap' end, case when not acc_full > majority then 'majority' end], lambda x: x is not null), ' ') as failed from m""")
+_MODES = """modes as (select case when event_id % 50 <> 0 then event_id % 2 end as gold, case when event_id % 5 < 4 then event_id % 2 else 1 - event_id % 2 end as f, (event_id % 3 = 0)::int as q, (event_id % 7 < 3)::int as s from events)"""
+
+
+@query(f"""with {_MODES}, c as (select gold, count(*) as n, sum((f = gold)::int) as f, sum((q = gold)::int) as q, sum((s = gold)::int) as s from modes where gold is not null group by gold),
+    m as (select sum(n)::bigint as n, max(n) / sum(n) as majority, sum(f) / sum(n) as acc_full, sum(q) / sum(n) as acc_question_only, sum(s) / sum(n) as acc_shuffled from c),
+    g as (select *, round(acc_full - majority, 4) as gap_majority, round(acc_full - acc_question_only, 4) as gap_question, round(acc_full - acc_shuffled, 4) as gap_shuffled from m),
+    x as (select *, list_filter([case when not n >= 1000 then 'enough_examples' end, case when not acc_full >= 0.6 then 'full_acc' end, case when not gap_majority >= 0.1 then 'gap_majority' end, case when not gap_question >= 0.05 then 'gap_question' end,
+        case when not gap_shuffled >= 0.05 then 'gap_shuffled' end], lambda f: f is not null) as l from g)
+    select * exclude (l), array_to_string(l, ' ') as failed, len(l) = 0 as passed from x""")
 def agg_hard_logic_gate(spark, sf):
-    """Accuracy by mode, the gap, and which criteria fail."""
-    own = _predicted(spark, sf)
-    right = (F.col("pred") == F.col("gold")).cast("int")
-    full = F.avg(F.when(F.col("source").isin("src0", "src1", "src2"), right))
-    control = F.avg(F.when(F.col("source").isin("src3", "src4"), right))
-    share = own.groupBy("gold").count().agg((F.max("count") / F.sum("count")).alias("majority"))
-    made = own.agg(full.alias("acc_full"), control.alias("acc_control")).join(F.broadcast(share)).withColumn("gap", F.col("acc_full") - F.col("acc_control"))
-    checks = [(F.col("acc_full") >= 0.6, "accuracy"), (F.col("gap") >= 0.05, "gap"), (F.col("acc_full") > F.col("majority"), "majority")]
-    return made.select("acc_full", "acc_control", "gap", "majority", F.array_join(F.array_compact(F.array(*(F.when(~c, F.lit(n)) for c, n in checks))), " ").alias("failed"))
+    """Accuracy with everything, with the question only and with other rows' steps; gaps, and which of the five criteria fail."""
+    e = F.col("event_id")
+    rows = read(spark, sf, "events").select(
+        F.when(e % 50 != 0, e % 2).alias("gold"), F.when(e % 5 < 4, e % 2).otherwise(1 - e % 2).alias("full"), (e % 3 == 0).cast("long").alias("question_only"), (e % 7 < 3).cast("long").alias("shuffled"),
+    )
+    return S.hard_logic_gate(rows)
 
 
-_GATES = [(a, b, c) for a in (True, False) for b in (True, False) for c in (True, False)]
+#: case; of own and base: passed, accuracy, two gaps, width of the model (null: no summary), training rows
+_RUNS = [
+    ("supported", True, 0.81, 0.12, 0.2, "256", 1000, False, 0.7, 0.05, 0.1, "256", 1000), ("both, stronger", True, 0.81, 0.12, 0.2, "256", 1000, True, 0.7, 0.05, 0.1, "256", 1000),
+    ("both, alike", True, 0.71, 0.06, 0.11, "256", 1000, True, 0.7, 0.05, 0.1, "512", 1000), ("loses", False, 0.5, 0.0, 0.0, "256", 900, True, 0.7, 0.05, 0.1, "256", 1000),
+    ("better, not ready", False, 0.6, 0.08, 0.13, None, None, False, 0.55, 0.05, 0.1, "256", 1000), ("nothing", False, 0.5, 0.01, 0.1, "256", 900, False, 0.5, 0.0, 0.1, "512", 1000),
+    ("on the edge", False, 0.53, 0.02, 0.02, "256", 1000, False, 0.5, 0.0, 0.0, "256", 1000),
+]
 
 
-@query(f"""select *, case when own_pass and (not base_pass or stronger) then 'advantage_supported' when own_pass then 'inconclusive_both_pass' when base_pass then 'disadvantage_baseline_wins'
-    when stronger then 'better_but_not_ready' else 'no_evidence_of_advantage' end as verdict from ({D.values(_GATES)}) v(own_pass, base_pass, stronger)""")
+@query(f"""with v as (select * from ({D.values(_RUNS)}) v(run, op, of_, oq, os, oc, ot, bp, bf, bq, bs, bc, bt)),
+    d as (select *, round((of_ - bf)::double, 4) as delta_full, round((oq - bq)::double, 4) as delta_gap_q, round((os - bs)::double, 4) as delta_gap_s, oc is not null and bc is not null as both_ from v),
+    x as (select *, delta_full >= 0.03 and delta_gap_q >= 0.02 and delta_gap_s >= 0.02 as stronger, list_filter([case when not both_ then 'partial' end, case when both_ and oc <> bc then 'architecture' end, case when both_ and ot <> bt then 'train' end], lambda w: w is not null) as w from d)
+    select run, delta_full, delta_gap_q, delta_gap_s, stronger, array_to_string(w, ' ') as warnings, len(w) = 0 as fair, case when op and not bp then 'advantage_supported' when op and stronger then 'advantage_supported' when op then 'inconclusive_both_pass'
+        when bp then 'disadvantage_baseline_wins' when stronger then 'better_but_not_ready' else 'no_evidence_of_advantage' end as verdict from x""")
 def agg_verdict(spark, sf):
-    return S.verdict(C.table(spark, _GATES, "own_pass boolean, base_pass boolean, stronger boolean"))
+    """Decisions from pairs of evaluations: thresholded deltas, and whether the comparison was fair."""
+    side = "struct<passed: boolean, full: double, gap_q: double, gap_s: double, config: map<string, string>, sizes: map<string, int>>"
+    rows = [(r[0], *((p, f, q, s, None if c is None else {"d_model": c}, None if c is None else {"train": t}) for p, f, q, s, c, t in (r[1:7], r[7:]))) for r in _RUNS]
+    made = S.verdict(C.table(spark, rows, f"run string, own {side}, base {side}"))
+    return made.select("run", "delta_full", "delta_gap_q", "delta_gap_s", "stronger", F.array_join("warnings", " ").alias("warnings"), "fair", "verdict")
 
 
 @query(f"with {_PRED} select a.lang, a.acc - b.acc as delta, a.n = b.n as same_n from (select lang, avg((pred = gold)::int) as acc, count(*) as n from pred group by lang) a join (select lang, avg((1 = gold)::int) as acc, count(*) as n from pred group by lang) b using (lang)")
@@ -196,7 +220,51 @@ def stream_windowed_coverage(spark, sf):
     return hours.groupBy("bucket").agg(F.count("*").alias("hours"), F.max("n").alias("most"))
 
 
-@query("""with q as (select conv_id, turn, text, row_number() over (order by conv_id, turn) as r from conversations) select count(*) as n, sum(case when length(text) > 0 then 1 else 0 end)::bigint as kept, avg(length(text)) as mean from q""")
+_LABELLED = f"labelled as (select doc_id as id, list_filter({D.lex_english('text')}, lambda t: t not in ('[BOS]', '[EOS]')) as toks, quality as label from documents join labels using (doc_id))"
+
+
+def _labelled(spark, sf):
+    tokens = K.unmark(K.lex_english(F.col("text"))).alias("tokens")
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("id"), tokens).join(read(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), "id")
+
+
+_PART = "list_filter({}, lambda t: t not in ('[BOS]', '[EOS]'))"
+_SCORED = f"""turns as (select conv_id, turn, {_PART.format(D.lex_english('text'))} as toks from conversations), asked as (select q.conv_id * 1000 + q.turn as id, q.toks as context, case when q.turn % 4 = 0 then [a.toks, q.toks] else [q.toks, a.toks] end as candidates, (q.turn % 4 <> 0)::int as gold
+    from turns q join turns a on a.conv_id = q.conv_id and a.turn = q.turn + 1), part as (select id, 0 as part, context as toks from asked union all select id, 1, candidates[1] from asked union all select id, 2, candidates[2] from asked),
+    whole as (select id from part group by id having min(len(toks)) > 0), pid as (select id, part, string_agg(coalesce(v.id2, 1)::varchar, ' ' order by i) as ids from (select id, part, unnest(toks) as token, generate_subscripts(toks, 1) as i from part semi join whole using (id)) e
+    left join (select token, id as id2 from vocab) v using (token) group by id, part)"""
+
+
+def _asked(spark, sf):
+    """Turns as contexts; the next turn and the turn itself are the candidates."""
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", K.unmark(K.lex_english(F.col("text"))).alias("toks"))
+    pairs = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("toks").alias("after")), ["conv_id", "turn"])
+    first = F.col("turn") % 4 == 0
+    return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("toks").alias("context"), F.when(first, F.array("after", "toks")).otherwise(F.array("toks", "after")).alias("candidates"), F.when(first, 0).otherwise(1).alias("gold"))
+
+
+@query(f"""with {_top(CAP)}, {_LABELLED}, e as (select id, label, unnest(toks) as token, generate_subscripts(toks, 1) as i from labelled)
+    select e.id as id, label, string_agg(coalesce(v.id, 1)::varchar, ' ' order by i) as ids from e left join vocab v using (token) group by e.id, label""")
 def downstream_prep(spark, sf):
-    """Rows for a downstream task: empty parts are left out and counted."""
-    return read(spark, sf, "conversations").agg(F.count("*").alias("n"), F.sum(F.when(F.length("text") > 0, 1).otherwise(0)).alias("kept"), F.avg(F.length("text")).alias("mean"))
+    """Labelled documents as ids and labels; those without tokens are left out."""
+    return _shown(W.classification(_labelled(spark, sf), _vocab(spark, sf)))
+
+
+@query(f"""with {_top(CAP)}, {_SCORED} select a.id, c.ids as context_ids, x.ids as first, y.ids as second, gold from asked a join pid c on c.id = a.id and c.part = 0 join pid x on x.id = a.id and x.part = 1 join pid y on y.id = a.id and y.part = 2""")
+def downstream_lm_scoring(spark, sf):
+    """Contexts with two candidates and the place of the right one; rows with an empty part are left out."""
+    made = W.lm_scoring(_asked(spark, sf), _vocab(spark, sf))
+    shown = made.select("id", "context_ids", F.get("candidates", F.lit(0)).alias("first"), F.get("candidates", F.lit(1)).alias("second"), "gold")
+    return _shown(shown, "context_ids", "first", "second")
+
+
+@query(f"""with {_top(CAP)}, {_LABELLED}, e as (select id, label, coalesce(v.id2, 1) as x from (select id, label, unnest(toks) as token from labelled) left join (select token, id as id2 from vocab) v using (token)), {_SCORED},
+    f as (select id, coalesce(v.id2, 1) as x from (select id, unnest(toks) as token from part semi join whole using (id)) left join (select token, id as id2 from vocab) v using (token))
+    select 'classification' as task, count(distinct id) as n, round(count(*) filter (where x = 1) / count(*), 9) as unk_rate, (select string_agg(label || ':' || n, ' ' order by label) from (select label, count(distinct id) as n from e group by label)) as labels from e
+    union all select 'lm_scoring', count(distinct id), round(count(*) filter (where x = 1) / count(*), 9), null from f""")
+def downstream_summary(spark, sf):
+    """Rows, unknown rates and label counts of both tasks."""
+    vocab = _vocab(spark, sf)
+    both = W.summary(W.classification(_labelled(spark, sf), vocab)).unionByName(W.summary(W.lm_scoring(_asked(spark, sf), vocab)))
+    labels = F.array_join(F.transform(F.map_entries("label_counts"), lambda x: F.concat(x["key"].cast("string"), F.lit(":"), x["value"].cast("string"))), " ")
+    return both.select("task", "n", F.round("unk_rate", 9).alias("unk_rate"), labels.alias("labels"))

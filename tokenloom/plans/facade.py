@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tokenloom import api
@@ -15,6 +12,7 @@ from tokenloom.functions import tokens as K
 from tokenloom.operators import arabic as R
 from tokenloom.operators import baselines as B
 from tokenloom.operators import corpus as C
+from tokenloom.operators import shared
 from tokenloom.plans import dialect as D
 from tokenloom.plans import logic
 from tokenloom.plans.registry import query, read
@@ -24,21 +22,26 @@ _LEXED = f"{D.SENT}, lexed as (select doc_id, lang, pos, {D.lex_english('sent')}
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-")
-    return f"{base.rstrip('/')}/sink-{os.urandom(8).hex()}"
+    return shared.folder(spark, "sink")
 
 
 def _sents(spark, sf):
     return C.sentences(read(spark, sf, "documents")).select(F.struct("doc_id", "pos").alias("id"), F.col("sent").alias("text"))
 
 
-@query(f"""with {_LEXED}, un as (select doc_id, pos, len(toks) as n, list_filter(toks, lambda t: t not in ('[BOS]', '[EOS]')) as u from lexed), parts as (select doc_id, pos, n, {D.logic_parts('u')} as p from un)
-    select doc_id, pos, n::int as n_standard, '[BOS] ' || array_to_string(list_append({D.logic_collapse('p')}, '[EOS]'), ' ') as tokens from parts""")
+@query(f"""with {D.tokenized(True)}, p as (select doc_id, pos, len(tokens) + 2 as n, {D.logic_parts('tokens')} as p from tok)
+    select doc_id, pos, n::int as n_standard, '[BOS] ' || array_to_string(list_append({D.logic_collapse('p')}, '[EOS]'), ' ') as tokens from p""")
 def api_tokenize(spark, sf):
     made = api.tokenize(_sents(spark, sf), "en", "logic")
     return made.select("id.doc_id", "id.pos", "meta.n_standard", F.array_join("tokens", " ").alias("tokens"))
 
 
+@query(f"""with {D.tokenized(True)} select doc_id, pos, '[BOS] ' || array_to_string(list_append(tokens, '[EOS]'), ' ') as tokens from tok""")
+def api_tokenize_batch(spark, sf):
+    """The facade's standard level for English: the tokenizer itself, roots and roles apart."""
+    return api.tokenize(_sents(spark, sf), "en").select("id.doc_id", "id.pos", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query(f"with {_LEXED} select doc_id, pos, '[BOS] ' || array_to_string(list_append(toks, '[EOS]'), ' ') as doubled, array_to_string(toks[2:len(toks) - 1], ' ') as bare from lexed")
 def add_strip_bos_eos(spark, sf):
     lexed = _sents(spark, sf).select("id.*", K.lex_english(F.col("text")).alias("t"))
@@ -55,12 +58,18 @@ def snk_jsonl(spark, sf):
     return back.agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("tokens"), F.sum(F.length("text")).alias("chars"))
 
 
-@query(f"with {_LEXED}, c as (select t, count(*) as n from (select unnest(toks) as t from lexed) group by t) select count(*) + 0 as n, 499 as last from (select 1 from c limit 500)")
+_SPECIALS = D.items(L.SPECIALS)
+
+
+@query(f"""with {_LEXED}, c as (select t, count(*) as n from (select unnest(toks) as t from lexed) group by t)
+    select t as token, id::bigint as id from (select t, row_number() over (order by n desc, t) + {len(L.SPECIALS) - 1} as id from c where t not in {_SPECIALS}) where id < 500
+    union all select * from ({D.values([(t, i) for i, t in enumerate(L.SPECIALS)])}) s(token, id)""")
 def snk_vocab_json(spark, sf):
+    """A vocabulary written as JSON lines and read again."""
     path = _folder(spark)
     counts = C.token_counts(_sents(spark, sf).select(K.lex_english(F.col("text")).alias("tokens")))
     readers.write_vocabulary(B.top_vocabulary(counts, L.SPECIALS, 500), path)
-    return spark.read.schema("token string, id long").json(path).agg(F.count("*").alias("n"), F.max("id").cast("int").alias("last"))
+    return spark.read.schema("token string, id long").json(path)
 
 
 @query(f"with {D.SENT}, {D.NORM}, {D.WORD} select word as surface, count(*) as n, null::varchar as root from word group by word order by n desc, word limit 40")
@@ -87,21 +96,16 @@ def join_lexicon(spark, sf):
 @query(f"with {D.EN}, hit as (select word, min(prio) - 1 as prio from cand join ({D.values(L.FIELDS.items())}) f(spelling, field) using (spelling) group by word) select word, prio::int as prio from hit")
 def join_priority_fallback(spark, sf):
     """The place of the first spelling that the lexicon has."""
-    words = C.words(C.sentences(read(spark, sf, "documents"))).select("word").distinct().join(F.broadcast(C.lemma_table(spark)), "word", "left").withColumn("lemma", F.coalesce("lemma", "word"))
-    rooted = words.withColumn("root", T.decompose(F.col("word"), F.col("lemma"))["root"])
+    rooted = C.analyse(C.words(C.sentences(read(spark, sf, "documents"))).select("word").distinct()).select("word", "lemma", "root")
     spelled = rooted.select("word", F.posexplode(T.field_candidates(F.col("root"), F.col("lemma"))).alias("prio", "spelling")).filter("spelling is not null")
     return spelled.join(F.broadcast(C.field_table(spark)), "spelling").groupBy("word").agg(F.min("prio").alias("prio"))
 
 
-NAMES = ["Ouwhea", "Licensed", "Th", "Enth", "MIT"]
-
-
-@query(f"with {D.SENT}, w as (select doc_id, pos, unnest(string_split(sent, ' ')) as word from sent) select doc_id, pos, word, count(*) as n from w where word in {D.items(NAMES)} group by all")
+@query(f"""with {D.SENT}, {D.NORM}, {D.WORD} select doc_id, pos, word, count(*) as n from word where word in {D.items(L.ENTITIES)} group by all""")
 def en_ner(spark, sf):
-    """Words of sentences that a gazetteer has: single words only, in the original case."""
-    words = C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", F.explode(F.split("sent", " ")).alias("word"))
-    names = C.table(spark, [(n,) for n in NAMES], "word string")
-    return words.join(F.broadcast(names), "word").groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
+    """Words of sentences that a gazetteer has: single words only, lower-cased, as the emitter meets them."""
+    own = C.words(C.sentences(read(spark, sf, "documents")))
+    return own.join(F.broadcast(C.entity_table(spark)), "word").groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
 
 
 PARSED = [
@@ -152,17 +156,27 @@ def win_adjacent(spark, sf):
     return lexed.select("doc_id", "pos", F.size(F.filter("t", lambda t, i: (i > 0) & (t == F.get("t", i - 1)))).alias("repeats"))
 
 
-@query("select * from (values ('function', 8), ('root_field', 7), ('root_no_field', 2), ('no_root', 6)) v(outcome, n)")
-def agg_missed_roots(spark, sf):
-    """What became of each distinct word of the fixture: a function word, a root with or without a field, or nothing."""
+def _outcomes(spark):
+    """(word, root, outcome): what became of each distinct word of the fixture."""
     sents, analyses, roots = logic._arabic(spark)
     words = sents.select(F.explode(R.split(F.col("text"))).alias("raw")).select(T.strip_arabic(F.col("raw")).alias("word")).filter("word <> ''").distinct()
     found = words.join(analyses, "word", "left").withColumn("root", R.best(F.col("analyses"))["root"])
-    closure = F.broadcast(R.root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"}))
+    closure = shared.broadcastable(R.root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"}))
     fixed = F.col("word").isin([*A.RELATIONS, *A.MARKS, *A.LITERALS, "ما"])
     real = F.col("root").isNotNull() & ~F.col("root").isin(A.NO_ROOTS)
     outcome = F.when(fixed, "function").when(real & F.col("_field").isNotNull(), "root_field").when(real, "root_no_field").otherwise("no_root")
-    return found.join(closure, F.col("root") == F.col("_root"), "left").groupBy(outcome.alias("outcome")).agg(F.count("*").alias("n"))
+    return found.join(closure, F.col("root") == F.col("_root"), "left").select("word", "root", outcome.alias("outcome"))
+
+
+_MISSED = [("function", 8), ("root_field", 7), ("root_no_field", 2), ("no_root", 6)]
+
+
+@query(f"select outcome, n, (n * 100 // sum(n) over ())::bigint as pct from ({D.values(_MISSED)}) v(outcome, n)")
+def agg_missed_roots(spark, sf):
+    """A function word, a root with or without a field, or nothing: counts and whole percents."""
+    by = _outcomes(spark).groupBy("outcome").agg(F.count("*").alias("n"))
+    total = by.agg(F.sum("n").alias("total"))
+    return by.join(F.broadcast(total)).select("outcome", "n", F.floor(F.col("n") * 100 / F.col("total")).alias("pct"))
 
 
 @query(f"with {D.SENT}, {D.REASON}, l as (select lang, avg(len(default_tokens)) as d, avg(len(reasoning_tokens)) as r from proj group by lang) select a.lang as lang, b.lang as other, a.d / b.d as ratio_default, a.r / b.r as ratio_reasoning from l a join l b on a.lang < b.lang")
@@ -228,20 +242,20 @@ def ar_word_tokens(spark, sf):
 def snk_lookup_tables(spark, sf):
     """The most common word of each first token, of equal ones the first by name: the reverse of agg_lookup_w2t."""
     words = C.words(C.sentences(read(spark, sf, "documents"))).groupBy("word").agg(F.count("*").alias("n"))
-    lexicon = C.emit(C.analyse(words.select("word"), C.lemma_table(spark), C.field_table(spark)), atomic=True)
+    lexicon = C.emit(C.analyse(words.select("word")), atomic=True)
     each = words.join(lexicon.select("word", F.get("tokens", F.lit(0)).alias("token")), "word")
     best = each.groupBy("token").agg(F.min(F.struct((-F.col("n")).alias("m"), "word")).alias("x"))
     return best.select("token", "x.word", (-F.col("x.m")).alias("n"))
 
 
-@query("select count(*) as n, sum(n_chars)::bigint as chars from documents")
+@query("select doc_id, n_chars, 1::bigint as made from documents")
 def src_cached_file(spark, sf):
-    """A table is made once and then read."""
+    """A table is made once and then read: the second time nothing is made, so the number of makings stays 1."""
     docs = read(spark, sf, "documents").select("doc_id", "n_chars")
-    path = _folder(spark)
+    path, made = _folder(spark), []
     for _ in range(2):
-        kept = readers.cached(spark, path, lambda: docs)
-    return kept.agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+        kept = readers.cached(spark, path, lambda: made.append(1) or docs)
+    return kept.withColumn("made", F.lit(len(made)).cast("long"))
 
 
 @query("with v as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('a', 2), ('b', 3)) t(token, id)) select token, id::bigint as id from v")
@@ -254,6 +268,5 @@ def vocab_polymorphic_load(spark, sf):
 
 #: Operators that are the same as another one, under their own names.
 SAME = {
-    "agg_manifest": "snk_manifest", "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "join_sample_other": "join_rotate", "gen_pairwise": "join_source_group", "src_gsm8k": "gsm8k_split",
-    "src_xnli": "gen_xnli_record", "src_algebra": "gen_holdout_algebra", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
+    "agg_manifest": "snk_manifest", "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "gen_pairwise": "join_source_group", "gen_xnli_record": "src_xnli", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
 }

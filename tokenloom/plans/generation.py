@@ -12,25 +12,47 @@ from tokenloom.plans.registry import query, read
 from tokenloom.sources import readers
 
 
+def _records(spark, sf):
+    """(id, doc_id, lang, q, cot, a): documents as records; the first four words ask, the last four answer, the rest is a step."""
+    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("w"))
+    return docs.select(F.format_string("d-%010d", "doc_id").alias("id"), "doc_id", "lang", F.slice("w", 1, 4).alias("q"), F.array(F.slice("w", F.lit(5), F.greatest(F.size("w") - 8, F.lit(0)))).alias("cot"), F.slice("w", F.greatest(F.size("w") - 3, F.lit(1)), F.lit(4)).alias("a"))
+
+
 def _rows(spark, sf):
-    """(id, lang, label_name, q, cot, a): documents as records; the first four words ask, the last four answer, the rest is a step."""
+    """Records with a gold label: examples for verifiers are made of those only."""
     labels = read(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "yes").otherwise("no").alias("label_name"))
-    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("w")).join(labels, "doc_id")
-    return docs.select(F.format_string("d-%010d", "doc_id").alias("id"), "lang", "label_name", F.slice("w", 1, 4).alias("q"), F.array(F.slice("w", F.lit(5), F.greatest(F.size("w") - 8, F.lit(0)))).alias("cot"), F.slice("w", F.greatest(F.size("w") - 3, F.lit(1)), F.lit(4)).alias("a"))
+    return _records(spark, sf).join(labels, "doc_id").drop("doc_id")
 
 
-_ROWS = """rows as (select printf('d-%010d', d.doc_id) as id, lang, case when quality = 1 then 'yes' else 'no' end as label_name, w[1:4] as q, w[5:len(w) - 4] as c, w[greatest(len(w) - 3, 1):len(w)] as a
-    from (select doc_id, lang, string_split(text, ' ') as w from documents) d join labels using (doc_id))"""
+_RECORDS = """records as (select doc_id, printf('d-%010d', doc_id) as id, lang, w[1:4] as q, w[5:len(w) - 4] as c, w[greatest(len(w) - 3, 1):len(w)] as a from (select doc_id, lang, string_split(text, ' ') as w from documents))"""
+_ROWS = f"""{_RECORDS}, rows as (select r.*, case when quality = 1 then 'yes' else 'no' end as label_name from records r join labels using (doc_id))"""
 _OTHER = """other as (select *, coalesce(lead(c) over (partition by lang order by id), first_value(c) over (partition by lang order by id)) as c2 from rows),
     pool as (select lang, case label_name when 'yes' then 'no' else 'yes' end as label_name, min(a) as flip from rows group by lang, rows.label_name), both_ as (select * from other left join pool using (lang, label_name))"""
+_NEXT = "coalesce(lead(c) over (partition by lang order by id), first_value(c) over (partition by lang order by id))"
 
 
-@query(f"with {_ROWS}, {_OTHER} select id, lang, array_to_string(c2, ' ') as other from other")
+@query(f"with {_RECORDS} select id, lang, array_to_string({_NEXT}, ' ') as other from records")
 def join_rotate(spark, sf):
-    made = G.next_of_language(_rows(spark, sf).withColumn("c", F.col("cot")[0]), "c")
+    made = G.next_of_language(_records(spark, sf).withColumn("c", F.col("cot")[0]), "c")
     return made.select("id", "lang", F.array_join("other", " ").alias("other"))
 
 
+@query(f"""with {_RECORDS}, t as (select *, row_number() over (order by lang, id) as r, count(*) over (partition by lang) as k, count(*) over () as n from records)
+    select id, lang, array_to_string(case when k > 1 then {_NEXT} else coalesce(lead(c) over (order by r), first_value(c) over (order by r)) end, ' ') as other from t""")
+def join_sample_other(spark, sf):
+    """Another row's steps: of the same language, else of any, else its own. Always the next one, so results repeat."""
+    made = G.next_of_language(_records(spark, sf).withColumn("c", F.col("cot")[0]), "c", fallback=True)
+    return made.select("id", "lang", F.array_join("other", " ").alias("other"))
+
+
+@query(f"""with {_ROWS}, {_OTHER}, v as (select * from both_), x as (
+    select id as source_id, lang, 'positive' as variant, 1 as label from v union all select id, lang, 'neg_question_only', 0 from v union all select id, lang, 'neg_shuffled_cot', 0 from v
+    union all select id, lang, 'neg_answer_flip', 0 from v where flip is not null union all select id, lang, 'neg_shuffled_and_flip', 0 from v where flip is not null)
+    select variant, label, lang, grouping_id(variant, label, lang) as level, count(*) as n, count(distinct source_id) as sources from x group by grouping sets ((variant, label), (lang), ())""")
+def gen_verifier_summary(spark, sf):
+    return G.verifier_summary(G.verifier_examples(_rows(spark, sf)))
+
+
 @query(f"""with {_ROWS}, {_OTHER}, x as (
     select id || ':pos' as id, id as source_id, lang, label_name, 'positive' as variant, 1 as label, list_concat(list_concat(q, c), a) as t from both_ union all
     select id || ':neg_qonly:0', id, lang, label_name, 'neg_question_only', 0, list_concat(q, a) from both_ union all
@@ -55,16 +77,16 @@ def join_by_lang_pool(spark, sf):
     return pool.select("lang", F.when(F.col("label_name") == "yes", "no").otherwise("yes").alias("label_name"), F.array_join("flip", " ").alias("flip"), "n")
 
 
-@query(f"with {_ROWS} select id, array_to_string(list_concat(list_concat(q, c), a), ' ') as tokens from rows")
+@query(f"with {_RECORDS} select id, array_to_string(list_concat(list_concat(q, c), a), ' ') as tokens from records")
 def compose_tokens(spark, sf):
-    return _rows(spark, sf).select("id", F.array_join(K.compose(F.col("q"), F.col("cot"), F.col("a")), " ").alias("tokens"))
+    return _records(spark, sf).select("id", F.array_join(K.compose(F.col("q"), F.col("cot"), F.col("a")), " ").alias("tokens"))
 
 
-@query(f"with {_ROWS} select id, array_to_string(case when len(c) > 0 then c else q end, ' ') as tokens from rows")
+@query(f"with {_RECORDS} select id, array_to_string(case when len(c) > 0 then c else q end, ' ') as tokens from records")
 def view_fallback(spark, sf):
     """The default view, or the reasoning one where that is empty."""
     first = F.col("cot")[0]
-    return _rows(spark, sf).select("id", F.array_join(F.when(F.size(first) > 0, first).otherwise(F.col("q")), " ").alias("tokens"))
+    return _records(spark, sf).select("id", F.array_join(F.when(F.size(first) > 0, first).otherwise(F.col("q")), " ").alias("tokens"))
 
 
 @query(f"with {_ROWS} select id, array_to_string(case when label_name = 'yes' and len(a) > 0 then a else c end, ' ') as tokens from rows")
@@ -74,11 +96,20 @@ def cst_override(spark, sf):
     return _rows(spark, sf).select("id", F.array_join(F.when(F.size(F.coalesce(given, F.array().cast("array<string>"))) > 0, given).otherwise(F.col("cot")[0]), " ").alias("tokens"))
 
 
-@query("select split, count(*) as n from (select case when quality = 1 then 'yes' else 'no' end as split from labels) group by split")
+@query("""select kind, sum(n)::bigint as n from (select 'text' as kind, count(*) as n from documents union all select 'reasoning', count(*) from conversations union all select 'verifier', count(*) from labels
+    union all select 'logic', count(*) from embeddings union all select 'unknown', count(*) from events) group by kind""")
 def record_schema(spark, sf):
-    """The kind of each record by which fields it has."""
-    labels = read(spark, sf, "labels")
-    return labels.groupBy(F.when(F.col("quality") == 1, "yes").otherwise("no").alias("split")).agg(F.count("*").alias("n"))
+    """The kind of each JSON record by which fields it has; tables stand for files of each kind."""
+    c = F.col
+    made = [
+        read(spark, sf, "documents").select(F.to_json(F.struct("doc_id", "text"))), read(spark, sf, "conversations").select(F.to_json(F.struct(c("text").alias("question"), c("role").alias("answer"), "text"))),
+        read(spark, sf, "labels").select(F.to_json(F.struct(F.array("doc_id").alias("input_tokens"), c("quality").alias("label")))), read(spark, sf, "embeddings").select(F.to_json(F.struct(F.array("vec_id").alias("q_ids")))),
+        read(spark, sf, "events").select(F.to_json(F.struct("event_id"))),
+    ]
+    each = made[0].toDF("json")
+    for m in made[1:]:
+        each = each.union(m)
+    return each.groupBy(readers.record_kind(F.col("json")).alias("kind")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -108,11 +139,39 @@ def gen_holdout_algebra(spark, sf):
     return G.algebra(spark, 100, 3)
 
 
-@query("""select printf('nli-%06d', conv_id) as id, case when turn % 3 = 0 then 'yes' else 'no' end as answer, 'Premise: ' || trim(text) || chr(10) || 'Hypothesis: ' || trim(role) || chr(10) || 'Does the hypothesis follow?' as question
-    from conversations where trim(text) <> '' and trim(role) <> ''""")
-def gen_xnli_record(spark, sf):
-    pairs = read(spark, sf, "conversations").select(F.col("conv_id").alias("idx"), F.col("text").alias("premise"), F.col("role").alias("hypothesis"), F.pmod("turn", F.lit(3)).alias("label"))
-    return readers.nli_records(pairs)
+@query("""with p as (select conv_id * 1000 + turn as idx, case when turn % 2 = 0 then 'en' else 'ar' end as lang, trim(text) as p, trim(role) as h, turn % 3 as label from conversations)
+    select printf('xnli-%s-%07d', lang, idx) as id, lang, 1 as category, case when lang = 'en' then 'Premise: ' || p || chr(10) || 'Hypothesis: ' || h || chr(10) || 'Does the premise entail, contradict, or stay neutral to the hypothesis?'
+        else 'المقدمة: ' || p || chr(10) || 'الفرضية: ' || h || chr(10) || 'هل تستلزم المقدمة الفرضية أم تناقضها أم محايدة؟' end as question,
+        case when lang = 'en' then ['entails', 'neutral', 'contradicts'][label + 1] else ['يستلزم', 'محايد', 'يناقض'][label + 1] end as answer, 'xnli' as source, 'cc-by-nc-4.0' as license from p where p <> '' and h <> ''""")
+def src_xnli(spark, sf):
+    """Turns as premises and roles as hypotheses, in the two languages' templates."""
+    label = F.pmod("turn", F.lit(3)).cast("int")
+    pairs = read(spark, sf, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("idx"), F.when(F.col("turn") % 2 == 0, "en").otherwise("ar").alias("lang"), F.col("text").alias("premise"), F.col("role").alias("hypothesis"), label.alias("label"))
+    return readers.nli_records(pairs).select("id", "lang", "category", "question", "answer", "meta.source", "meta.license")
+
+
+_STEPS = "list_filter(list_transform(string_split(regexp_replace(trim(text) || ' ', '([.?!])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> '')"
+
+
+@query(f"""select printf('gsm8k-en-%06d', doc_id) as id, 'en' as lang, 3 as category, array_to_string(string_split(text, ' ')[1:4], ' ') as question, array_to_string({_STEPS}, '|') as cot, n_chars::varchar as answer,
+    'gsm8k' as source, 'medium' as difficulty from documents""")
+def src_gsm8k(spark, sf):
+    """Documents as worked solutions: their sentences are steps, their length is the answer."""
+    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("idx"), F.array_join(F.slice(F.split("text", " "), 1, 4), " ").alias("question"), F.concat("text", F.lit(" #### "), F.col("n_chars")).alias("solution"))
+    return readers.solution_records(docs).select("id", "lang", "category", "question", F.array_join("cot", "|").alias("cot"), "answer", "meta.source", "meta.difficulty")
+
+
+@query("""select 'algebra-' || event_id as id, case when event_id % 2 = 0 then 'en' else 'ar' end as lang, 2 as category, event_type as question, event_type || '|' || user_id as cot, value::varchar as answer,
+    case when event_id % 3 = 0 then 'hard' else 'medium' end as difficulty, case when event_id % 2 = 0 then 'A:SOLVE ' || event_type end as question_cst, 'isc' as license from events""")
+def src_algebra(spark, sf):
+    """An engine's JSON lines as records; fields that a line lacks have defaults."""
+    e = F.col("event_id")
+    line = F.struct(
+        e.cast("string").alias("id"), F.when(e % 2 == 0, "en").otherwise("ar").alias("lang"), F.col("event_type").alias("question"), F.array("event_type", F.col("user_id").cast("string")).alias("cot"), F.col("value").cast("string").alias("answer"),
+        F.when(e % 3 == 0, "hard").alias("difficulty"), F.when(e % 2 == 0, F.struct(F.array(F.lit("A:SOLVE"), F.col("event_type")).alias("question_cst"))).alias("meta"),
+    )
+    made = readers.engine_records(read(spark, sf, "events").select(F.to_json(line).alias("text")))
+    return made.select("id", "lang", "category", "question", F.array_join("cot", "|").alias("cot"), "answer", "meta.difficulty", F.array_join("question_cst", " ").alias("question_cst"), "meta.license")
 
 
 @query(f"with {D.SENT} select lang, count(*) as n, count(distinct sent) as kinds from sent where length(sent) > 20 group by lang")

@@ -81,7 +81,7 @@ def nli_parse(spark, sf):
 
 
 @query("""with t as (select conv_id, string_agg(text, chr(10) order by turn) || ' #### ' || count(*) as s from conversations group by conv_id)
-    select conv_id, trim(regexp_extract(s, '(?s)^(.*)####(.*)$', 2)) as answer, len(list_filter(list_transform(string_split(regexp_extract(s, '(?s)^(.*)####(.*)$', 1), chr(10)), lambda x: trim(x)), lambda x: x <> ''))::int as steps from t""")
+    select conv_id, trim(regexp_extract(s, '(?s)^(.*)####(.*)$', 2)) as answer, len(list_filter(list_transform(string_split(regexp_replace(regexp_extract(s, '(?s)^(.*)####(.*)$', 1), '([.?!])[ \\t\\r\\n]+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''))::int as steps from t""")
 def gsm8k_split(spark, sf):
     turns = read(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"), F.count("*").alias("n"))
     solution = F.concat(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), F.lit(" #### "), F.col("n"))
@@ -164,9 +164,9 @@ def judge_syllogism(spark, sf):
     return G.syllogism_table(spark)
 
 
-@query("select array_to_string(t, ' ') as tokens, case when list_contains(t, 'L:TRUE') then 'true' when list_contains(t, 'L:FALSE') then 'false' else array_to_string(t, ' ') end as answer from (values (['L:TRUE']), (['V:P', 'L:FALSE']), (['N:ONE', 'A:PLUS'])) v(t)")
+@query("select array_to_string(t, ' ') as tokens, case when list_contains(t, 'L:TRUE') then 'true' when list_contains(t, 'L:FALSE') then 'false' when list_contains(t, 'V:Y') then 'yes' when list_contains(t, 'V:N') then 'no' else array_to_string(t, ' ') end as answer from (values (['L:TRUE']), (['V:P', 'L:FALSE']), (['N:ONE', 'A:PLUS']), (['V:Y']), (['V:N'])) v(t)")
 def format_answer(spark, sf):
-    rows = C.table(spark, [(["L:TRUE"],), (["V:P", "L:FALSE"],), (["N:ONE", "A:PLUS"],)], "t array<string>")
+    rows = C.table(spark, [(["L:TRUE"],), (["V:P", "L:FALSE"],), (["N:ONE", "A:PLUS"],), (["V:Y"],), (["V:N"],)], "t array<string>")
     return rows.select(F.array_join("t", " ").alias("tokens"), T.format_answer(F.col("t")).alias("answer"))
 
 

@@ -43,11 +43,3 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["agg_compression"](spark, sf_dir)
-
-
-from tokenloom.plans import english, evaluation, facade, generation, logic, sources, vocabulary  # noqa: E402, F401
-
-for _name, _other in facade.SAME.items():
-    QUERIES[_name] = QUERIES[_other]
-    if _other in ORACLE_SQL:
-        ORACLE_SQL[_name] = ORACLE_SQL[_other]

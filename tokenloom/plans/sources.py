@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 from tokenloom.operators import corpus as C
+from tokenloom.operators import shared
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
 from tokenloom.sources import readers
+from tokenloom.streaming import streams
 
 LIMIT = 200
 
@@ -97,11 +100,15 @@ def set_union_keys(spark, sf):
     return read(spark, sf, "documents").select(F.col("lang").alias("key")).union(read(spark, sf, "conversations").select("role")).distinct()
 
 
-@query("select (select count(*) from ((select doc_id, lang from documents) except all (select doc_id, lang from documents))) as drift")
+@query(f"""with {D.SENT}, {D.NORM}, {D.WORD}, gen as (select distinct word, token from word join ({D.values(L.RELATIONS.items())}) r(word, token) using (word)), src as (select * from ({D.values(L.RELATIONS.items())}) r(word, token))
+    select 'generated' as side, word, token from (select * from gen except all select * from src) union all select 'source', word, token from (select * from src except all select * from gen)""")
 def cat_table_drift(spark, sf):
-    """Rows that only one of two tables has; none where nothing drifted."""
-    a = read(spark, sf, "documents").select("doc_id", "lang")
-    return a.exceptAll(a).unionByName(a.exceptAll(a)).agg(F.count("*").alias("drift"))
+    """Rows that only one of two tables has: the relation table against the one that the corpus's words give back from a file."""
+    source = C.table(spark, list(L.RELATIONS.items()), "word string, token string")
+    path = shared.folder(spark, "relations")
+    C.words(C.sentences(read(spark, sf, "documents"))).select("word").distinct().join(F.broadcast(source), "word").select("word", "token").write.json(path)
+    made = spark.read.schema("word string, token string").json(path)
+    return made.exceptAll(source).select(F.lit("generated").alias("side"), "word", "token").unionByName(source.exceptAll(made).select(F.lit("source").alias("side"), "word", "token"))
 
 
 @query(f"with {D.SENT} select doc_id, pos, sent from sent")
@@ -118,7 +125,7 @@ def sent_quality_filter(spark, sf):
 def split_90_10(spark, sf):
     docs = read(spark, sf, "documents").select("doc_id")
     n = docs.count()
-    ranked = C.ranked(docs, [F.floor(F.col("doc_id") / 1024)], [F.col("doc_id")], "r")
+    ranked = shared.ranked(docs, [F.col("doc_id")], "r")
     return ranked.select("doc_id", F.when(F.col("r") <= int(n * 0.9), "train").otherwise("val").alias("split"))
 
 
@@ -127,41 +134,33 @@ def split_shuffled(spark, sf, fraction=0.1, seed=7):
     """A seeded shuffle: hashes of ids order the rows, the first part validates. Hashes differ between engines."""
     docs = read(spark, sf, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
     n = max(1, int(docs.count() * fraction))
-    ranked = C.ranked(docs, [F.shiftright("h", 48)], [F.col("h"), F.col("doc_id")], "r")
+    ranked = shared.ranked(docs, [F.col("h"), F.col("doc_id")], "r")
     return ranked.select("doc_id", F.when(F.col("r") <= n, "val").otherwise("train").alias("split"))
 
 
 @query("""with t as (select doc_id, quality, row_number() over (partition by quality order by doc_id) as r, count(*) over (partition by quality) as n from labels)
     select doc_id, quality, case when r <= floor(n * 0.1) then 'test' when r <= floor(n * 0.1) + floor(n * 0.1) then 'val' else 'train' end as split from t""")
 def split_stratified(spark, sf):
-    """Test, then validation, then training rows of each label; ranks are made in buckets of ids."""
-    labels = read(spark, sf, "labels").select("doc_id", "quality")
-    sizes = labels.groupBy("quality").agg(F.count("*").alias("n"))
-    ranked = C.ranked(labels, [F.col("quality"), F.floor(F.col("doc_id") / 1024)], [F.col("doc_id")], "r")
-    below = labels.groupBy("quality").count()
-    base = {r["quality"]: 0 for r in below.collect()}
-    total = 0
-    for r in sorted(below.collect(), key=lambda r: r["quality"]):
-        base[r["quality"]] = total
-        total += r["count"]
-    own = F.col("r") - T.any_of([(F.col("quality") == q, F.lit(b)) for q, b in base.items()], F.lit(0))
-    each = ranked.withColumn("r", own).join(F.broadcast(sizes), "quality")
+    """Test, then validation, then training rows of each label: ranks over all labels, less those before the label's own."""
+    each = _by_class(read(spark, sf, "labels").select("doc_id", "quality"))
     tenth = F.floor(F.col("n") * 0.1)
     return each.select("doc_id", "quality", F.when(F.col("r") <= tenth, "test").when(F.col("r") <= 2 * tenth, "val").otherwise("train").alias("split"))
 
 
+def _by_class(labels):
+    """labels with r, the rank within their class, and n, its rows: no class is in one task."""
+    numbered = shared.ranked(labels, [F.col("quality"), F.col("doc_id")], "all")
+    sizes = numbered.groupBy("quality").agg((F.min("all") - 1).alias("before"), F.count("*").alias("n"))  # a row for each class
+    return numbered.join(F.broadcast(sizes), "quality").withColumn("r", F.col("all") - F.col("before"))
+
+
 @query("""with t as (select doc_id, quality, row_number() over (partition by quality order by doc_id) as r from labels), m as (select min(n) as m from (select count(*) as n from labels group by quality))
     select doc_id, quality from t, m where r <= m""")
 def balance_by_answer(spark, sf):
-    """As many rows of each class as the smallest has: each class is cut by a sort with a limit."""
-    labels = read(spark, sf, "labels").select("doc_id", "quality")
-    sizes = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
-    least = min(sizes.values(), default=0)
-    made = None
-    for q in sorted(sizes):
-        part = labels.filter(F.col("quality") == q).orderBy("doc_id").limit(least)
-        made = part if made is None else made.unionByName(part)
-    return labels.limit(0) if made is None else made
+    """As many rows of each class as the smallest has, those with the smallest ids."""
+    each = _by_class(read(spark, sf, "labels").select("doc_id", "quality"))
+    least = each.agg(F.min("n").alias("least"))
+    return each.join(F.broadcast(least)).filter("r <= least").select("doc_id", "quality")
 
 
 @query("select source, lang, count(*) as n, sum(n_chars)::bigint as chars, grouping_id(source, lang) as level from documents group by grouping sets ((source, lang), (source), (lang), ())")
@@ -185,9 +184,28 @@ def src_records(spark, sf):
     return readers.question_answers(read(spark, sf, "conversations"))
 
 
-@query()
-def stream_tokenize(spark, sf):
-    """A directory stream through the stateless lexer, as one batch of what is there."""
-    from tokenloom.streaming import streams
+_WHOLE = f"""lexed as (select doc_id, {D.lex_english('text')} as d from documents), kept as (select *, {D.reasoning_kept('d', L.REASONING_EN)} as k from lexed), tokens as (select doc_id, d, {D.reasoning_collapse('k')} as r from kept)"""
+
 
+@query(f"with {_WHOLE} select doc_id, len(d)::int as n_default, len(r)::int as n_reasoning from tokens")
+def stream_tokenize(spark, sf):
+    """A directory stream through the stateless lexer, as one run over what is there."""
     return streams.tokenize_once(spark, f"{sf}/documents.parquet")
+
+
+@query(f"with {_WHOLE} select token, count(*) as n from (select unnest(d) as token from tokens) group by token")
+def stream_token_counts(spark, sf):
+    """Running token counts of a directory stream: the last complete result."""
+    return streams.count_once(spark, f"{sf}/documents.parquet")
+
+
+@query("select distinct user_id, event_type from events")
+def stream_dedup(spark, sf):
+    """Equal keys of a stream once, within a delay that covers the table."""
+    return streams.dedup_once(spark, f"{sf}/events.parquet", "ts", ["user_id", "event_type"], "3650 days")
+
+
+@query("select date_trunc('hour', ts) as hour, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def stream_windowed_counts(spark, sf):
+    """An extension of this engine: events by hour and type with a watermark, as a stream."""
+    return streams.windows_once(spark, f"{sf}/events.parquet", "ts")

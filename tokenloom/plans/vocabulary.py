@@ -126,7 +126,7 @@ def _cap_sql(literal: str, first: list[str], by_name: bool, cap: int) -> str:
 
 
 def _semantic(spark, sf):
-    return C.token_counts(C.tokenize_english(read(spark, sf, "documents")))
+    return C.token_weights(read(spark, sf, "documents"))
 
 
 @query(_cap_sql("token like 'LIT:%'", ["<PAD>", "<UNK>"], False, 1000))
@@ -134,9 +134,14 @@ def cap_vocab_lit(spark, sf):
     return C.cap_vocabulary(_semantic(spark, sf), 1000, policy="literal")
 
 
-@query(_cap_sql("token like 'SURF:%'", ["<PAD>", "<UNK>"], False, 100_000_000))
+_SURF = "select case when starts_with(token, 'LIT:') then 'SURF:' || substr(token, 5) else token end as token, n from lit"
+
+
+@query(_cap_sql("token like 'SURF:%'", ["<PAD>", "<UNK>"], False, 1000).replace("counts as (", "lit as (", 1).replace(", special as", f", counts as ({_SURF}), special as", 1))
 def cap_vocab_surf(spark, sf):
-    return C.cap_vocabulary(_semantic(spark, sf), 100_000_000, policy="surface")
+    """The older scheme's cap: unknown words are surfaces there."""
+    counts = _semantic(spark, sf).withColumn("token", F.when(F.col("token").startswith("LIT:"), F.concat(F.lit("SURF:"), F.substr("token", F.lit(5)))).otherwise(F.col("token")))
+    return C.cap_vocabulary(counts, 1000, policy="surface")
 
 
 @query(_cap_sql("token like 'LIT:%' or token like 'FOREIGN:%' or token like 'NE:%'", L.SPECIALS, True, 1000))
@@ -188,10 +193,13 @@ def ngram_lm(spark, sf):
 @query(f"""with {_BI}, sc as (select p.doc_id, p.pos, sum(-ln((nab + 1.0) / (na + v))) as nll, count(*) as n_tokens from pair p join bi on bi.a = p.a and bi.b = p.b join uni on uni.a = p.a, size where p.b is not null group by p.doc_id, p.pos)
     select lang, round(sum(nll), 4) as nll, sum(n_tokens)::bigint as n_tokens, sum(length(sent))::bigint as n_chars, round(sum(nll) / sum(length(sent)) / ln(2), 6) as bpc, round(exp(least(sum(nll) / sum(n_tokens), 20)), 4) as perplexity from sc join sent using (doc_id, pos) group by lang""")
 def agg_bpc(spark, sf):
+    """Bits per character under the bigram model of the same sentences: pairs are counted by language, then scored once."""
     from tokenloom.operators import stats as S
 
-    scored = B.score_sentences(_lexed(spark, sf)).join(C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", "lang", F.length("sent").alias("n_chars")), ["doc_id", "pos"])
-    made = S.bits_per_character(scored, ["lang"])
+    lexed = C.sentences(read(spark, sf, "documents")).select("lang", "sent", K.lex_english(F.col("sent")).alias("tokens"))
+    scored = B.score_languages(lexed)
+    chars = lexed.groupBy("lang").agg(F.sum(F.length("sent")).alias("n_chars"))
+    made = S.bits_per_character(scored.join(F.broadcast(chars), "lang"), ["lang"])  # a row for each language
     return made.withColumns({"nll": F.round("nll", 4), "bpc": F.round("bpc", 6), "perplexity": F.round("perplexity", 4)})
 
 
@@ -226,21 +234,19 @@ def vocab_buckets(spark, sf):
     return _vocab(spark, sf).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query(f"""with {D.SENT}, {D.NORM}, {D.WORD}, {D.DISTINCT}, {D.LEMMA}, {D.AFFIX}, {D.DECOMPOSED}, {D.FIELD}, {D.emitted(True)}, o as (select word, array_to_string(em.tokens, ' ') as t, count(*) as n from word join em using (word) group by word, t)
-    select word, arg_max(t, n) as tokens, sum(n)::bigint as n from o group by word""")
+@query(f"""with {D.tokenized(True)}, own as (select w.doc_id, w.pos, w.i, w.word, em.tokens as slice from word w join em using (word)),
+    seq as (select word, array_to_string(slice, ' ') as tokens, count(*) as n from own group by all), best as (select *, row_number() over (partition by word order by n desc, tokens) as k from seq)
+    select word, tokens, n from best where k = 1""")
 def agg_lookup_w2t(spark, sf):
-    """The most common token sequence of each word."""
-    words = C.words(C.sentences(read(spark, sf, "documents")))
-    lexicon = C.emit(C.analyse(words.select("word").distinct(), C.lemma_table(spark), C.field_table(spark)), atomic=True)
-    each = words.groupBy("word").agg(F.count("*").alias("n")).join(lexicon.select("word", F.array_join("tokens", " ").alias("tokens")), "word")
-    return each.groupBy("word").agg(F.max_by("tokens", "n").alias("tokens"), F.sum("n").alias("n"))
+    """The most common token sequence of each word, from the slices that alignment counts cut out of tokenized sentences."""
+    return B.word_sequences(C.aligned(read(spark, sf, "documents"), atomic=True))
 
 
 @query(f"""with {D.tokenized(True)}, c as (select doc_id, pos, i, len(em.tokens) as c from word join em using (word)) select doc_id, pos, i, c::int as c, coalesce(sum(c) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from c""")
 def win_cumulative_cursor(spark, sf):
     """Where each word's tokens start in its sentence: a running sum of the counts before."""
     words = C.words(C.sentences(read(spark, sf, "documents")))
-    lexicon = C.emit(C.analyse(words.select("word").distinct(), C.lemma_table(spark), C.field_table(spark)), atomic=True)
+    lexicon = C.emit(C.analyse(words.select("word").distinct()), atomic=True)
     counted = words.join(lexicon.select("word", F.size("tokens").alias("c")), "word")
     before = Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     return counted.select("doc_id", "pos", "i", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))

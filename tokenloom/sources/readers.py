@@ -50,17 +50,92 @@ def question_answers(turns: DataFrame) -> DataFrame:
     return asked.join(given, ["id", "turn"])
 
 
+def _record(id_, lang, category: int, question, answer, cot=None, **meta):
+    """The columns of a reasoning record."""
+    none = F.lit(None).cast("string")
+    given = {n: meta.get(n, none) for n in ("source", "license", "translated_from", "difficulty")}
+    return [
+        id_.alias("id"), lang.alias("lang"), F.lit(category).alias("category"), question.alias("question"), (F.array().cast("array<string>") if cot is None else cot).alias("cot"), answer.alias("answer"),
+        F.struct(*((F.lit(v) if isinstance(v, str) else v).alias(n) for n, v in given.items())).alias("meta"),
+    ]
+
+
 def nli_records(pairs: DataFrame) -> DataFrame:
-    """Records from premises and hypotheses (idx, premise, hypothesis, label); empty ones go, ids keep the index."""
-    asked = F.format_string("Premise: %s\nHypothesis: %s\nDoes the hypothesis follow?", F.trim("premise"), F.trim("hypothesis"))
-    kept = pairs.filter((F.trim("premise") != "") & (F.trim("hypothesis") != ""))
-    return kept.select(F.format_string("nli-%06d", "idx").alias("id"), asked.alias("question"), F.when(F.col("label") == 0, "yes").otherwise("no").alias("answer"))
+    """Records of category 1 from pairs (idx, lang, premise, hypothesis, label 0 to 2); pairs with an empty part go, ids keep the index.
+
+    English and Arabic have templates and labels of their own.
+    """
+    english = F.col("lang") == "en"
+    premise, hypothesis = F.trim(F.coalesce("premise", F.lit(""))), F.trim(F.coalesce("hypothesis", F.lit("")))
+    asked = F.when(english, F.concat(F.lit("Premise: "), premise, F.lit("\nHypothesis: "), hypothesis, F.lit("\nDoes the premise entail, contradict, or stay neutral to the hypothesis?")))
+    asked = asked.otherwise(F.concat(F.lit("المقدمة: "), premise, F.lit("\nالفرضية: "), hypothesis, F.lit("\nهل تستلزم المقدمة الفرضية أم تناقضها أم محايدة؟")))
+    label = F.when(english, F.element_at(F.array(*map(F.lit, NLI_LABELS["en"])), F.col("label") + 1)).otherwise(F.element_at(F.array(*map(F.lit, NLI_LABELS["ar"])), F.col("label") + 1))
+    kept = pairs.filter((premise != "") & (hypothesis != ""))
+    return kept.select(*_record(F.format_string("xnli-%s-%07d", "lang", "idx"), F.col("lang"), 1, asked, label, source="xnli", license="cc-by-nc-4.0"))
+
+
+# Answers by label.
+NLI_LABELS = {"en": ["entails", "neutral", "contradicts"], "ar": ["يستلزم", "محايد", "يناقض"]}
 
 
 def solution_records(rows: DataFrame) -> DataFrame:
-    """Records from worked solutions (idx, question, solution)."""
-    made = rows.withColumn("s", T.answer_after_hashes(F.col("solution")))
-    return made.select(F.format_string("sol-%06d", "idx").alias("id"), "question", F.col("s.steps").alias("cot"), F.col("s.answer").alias("answer"))
+    """Records of category 3 from worked solutions (idx, question, solution): the answer stands behind the last ####."""
+    made = rows.withColumn("s", T.answer_after_hashes(F.trim("solution")))
+    return made.select(*_record(F.format_string("gsm8k-en-%06d", "idx"), F.lit("en"), 3, F.trim("question"), F.col("s.answer"), F.col("s.steps"), source="gsm8k", license="mit", difficulty="medium"))
+
+
+ENGINE = "id string, lang string, question string, cot array<string>, answer string, difficulty string, meta struct<question_cst: array<string>, cot_cst: array<array<string>>, answer_cst: array<string>>"
+
+
+def engine_records(lines_: DataFrame) -> DataFrame:
+    """Records of category 2 from an algebra engine's JSON lines (text), with the tokens it has made already; empty lines go."""
+    each = lines_.filter(F.trim("text") != "").select(F.from_json("text", ENGINE).alias("x")).select("x.*")
+    own = _record(F.concat(F.lit("algebra-"), F.col("id")), F.col("lang"), 2, F.col("question"), F.col("answer"), F.coalesce("cot", F.array().cast("array<string>")), source="algebra-engine", license="isc", difficulty=F.coalesce("difficulty", F.lit("medium")))
+    return each.select(*own, F.col("meta.question_cst").alias("question_cst"), F.col("meta.cot_cst").alias("cot_cst"), F.col("meta.answer_cst").alias("answer_cst"))
+
+
+def record_kind(json):
+    """What a JSON record is, by which fields it has: encoded for logic, a reasoning record, a verifier's example, or a plain text."""
+    keys = F.json_object_keys(json)
+
+    def has(*names):
+        made = F.array_contains(keys, names[0])
+        for n in names[1:]:
+            made = made & F.array_contains(keys, n)
+        return made
+
+    return F.when(has("q_ids"), "logic").when(has("input_tokens", "label"), "verifier").when(has("question", "answer"), "reasoning").when(has("text"), "text").otherwise("unknown")
+
+
+def read_lexicon(spark: SparkSession, folder: str):
+    """A corpus.Lexicon from a folder of JSON tables; a table that isn't there is the own small one.
+
+    relation_map {word: token}, function_words [word], role_overrides {word: role}, prefix_roles and suffix_roles
+    ({affix: role} or [[affix, role]], in order), lemmas {word: lemma}, semantic_fields {spelling: field}, entities [word].
+    Each closed table is one document and is read whole; lemmas, fields and entities become DataFrames.
+    """
+    import json
+
+    from tokenloom.operators import corpus
+
+    def load(name: str):
+        path = f"{folder.rstrip('/')}/{name}.json"
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+            return None
+        return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+    def pairs(table):
+        return [tuple(x) for x in (table.items() if isinstance(table, dict) else table)]
+
+    made = corpus.Lexicon()
+    for field, name, kind in (("relations", "relation_map", dict), ("functions", "function_words", list), ("overrides", "role_overrides", dict), ("prefixes", "prefix_roles", pairs), ("suffixes", "suffix_roles", pairs)):
+        if (found := load(name)) is not None:
+            setattr(made, field, kind(found))
+    for field, name, schema in (("lemmas", "lemmas", "word string, lemma string"), ("fields", "semantic_fields", "spelling string, field string"), ("entities", "entities", "word string")):
+        if (found := load(name)) is not None:
+            setattr(made, field, spark.createDataFrame([(w,) for w in found] if isinstance(found, list) else list(found.items()), schema))
+    return made
 
 
 def write_examples(df: DataFrame, path: str) -> None:

@@ -5,13 +5,11 @@ windowed_counts is an extension of this engine: the corpora it was made for have
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
+from tokenloom.operators import shared
 
 
 def source(spark: SparkSession, path: str, schema) -> DataFrame:
@@ -34,9 +32,9 @@ def _timed(stream: DataFrame, time_col: str) -> DataFrame:
     return stream.withColumn(time_col, F.col(time_col).cast("timestamp"))
 
 
-def deduplicated(stream: DataFrame, time_col: str, delay: str) -> DataFrame:
-    """Equal texts within the delay once; the watermark bounds the state."""
-    return _timed(stream, time_col).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(["text"])
+def deduplicated(stream: DataFrame, time_col: str, delay: str, keys: list[str] | None = None) -> DataFrame:
+    """Rows with equal keys (texts, if not said otherwise) within the delay once; the watermark bounds the state."""
+    return _timed(stream, time_col).withWatermark(time_col, delay).dropDuplicatesWithinWatermark(keys or ["text"])
 
 
 def windowed_counts(stream: DataFrame, time_col: str, width: str, delay: str) -> DataFrame:
@@ -44,14 +42,38 @@ def windowed_counts(stream: DataFrame, time_col: str, width: str, delay: str) ->
 
 
 def run_once(spark: SparkSession, made: DataFrame, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there into a table in the shared folder, and read that."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tokenloom-")
-    at = f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
-    made.writeStream.outputMode(mode).format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    """Run a stream over what is there into a table in the shared folder, and read that.
+
+    Files have no updates: in complete mode each batch writes the whole result anew, and the last one stands.
+    """
+    at = shared.folder(spark, "stream")
+    writer = made.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", f"{at}/out")
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out"))
+    writer.start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{at}/out")
 
 
-def tokenize_once(spark: SparkSession, path: str) -> DataFrame:
+def _table(spark: SparkSession, path: str) -> DataFrame:
     # a glob finds a table that is one file as well as a folder of files
-    made = tokenized(source(spark, f"{path}*", spark.read.parquet(path).schema))
-    return run_once(spark, made).select("doc_id", F.size("tokens").alias("n_default"), F.size("reasoning").alias("n_reasoning"))
+    return source(spark, f"{path}*", spark.read.parquet(path).schema)
+
+
+def tokenize_once(spark: SparkSession, path: str) -> DataFrame:
+    made = run_once(spark, tokenized(_table(spark, path)))
+    return made.select("doc_id", F.size("tokens").alias("n_default"), F.size("reasoning").alias("n_reasoning"))
+
+
+def count_once(spark: SparkSession, path: str) -> DataFrame:
+    return run_once(spark, token_counts(_table(spark, path)), "complete").select("token", F.col("count").alias("n"))
+
+
+def dedup_once(spark: SparkSession, path: str, time_col: str, keys: list[str], delay: str) -> DataFrame:
+    return run_once(spark, deduplicated(_table(spark, path), time_col, delay, keys).select(*keys))
+
+
+def windows_once(spark: SparkSession, path: str, time_col: str) -> DataFrame:
+    made = run_once(spark, windowed_counts(_table(spark, path), time_col, "1 hour", "2 hours"), "complete")
+    return made.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
