@@ -445,6 +445,26 @@ def test_winnow_places():
     assert len(np.intersect1d(a, b))
 
 
+def test_winnow_first_match():
+    a, b = b"x" * 40 + bytes(range(65, 165)), bytes(range(65, 165)) + b"y" * 30
+    one, two = winnow.winnow(a), winnow.winnow(b)
+    p, q = winnow.first_match(one, two)
+    assert a[p : p + winnow.GRAM] == b[q : q + winnow.GRAM] and p == min(x for x, h in zip(*one) if h in two[1])
+    assert winnow.first_match(one, winnow.winnow(b"q" * 99)) == (None, None)
+
+
+def test_winnow_splits_a_frequent_id(spark):
+    """Rows that share an id are dealt out by their digests; borders agree with plain counting."""
+    rng = random.Random(5)
+    cuts = sorted({(rng.choice([1, 1, 1, 2, 5]), rng.randrange(100)) for _ in range(12)})
+    rows = [(rng.randrange(7), rng.randrange(100)) for _ in range(400)]
+    got = winnow._Ranges(cuts).part(*(np.array(x, np.int64) for x in zip(*rows)))
+    assert got.tolist() == [sum(c < r for c in cuts) for r in rows]
+    same = spark.createDataFrame([(None, f"text {i} " * 9) for i in range(300)] + [(None, None)] * 20, "doc_id long, text string")
+    made = winnow.edited_likeness(same)
+    assert made.count() == 320 and made.filter("doc_id is null").count() == 320
+
+
 def test_winnow_neighbours(docs, empty, spark):
     rows = [(common.NULL_ID if i is None else i, d, t or "") for i, t, d in ((r["doc_id"], r["text"], r["d"]) for r in docs.select("doc_id", "text", common.key_columns()[1].alias("d")).collect())]
     rows.sort(key=lambda r: (r[0], r[1]), reverse=True)
@@ -688,6 +708,96 @@ def test_quality_model(spark, empty):
     assert 0 < quality.score(docs, nothing).first()["score"] < 1
 
 
+def plain_features(t: str) -> list[float]:
+    """The features by plain counting, in the order of quality.NAMES."""
+    import math
+
+    raw = t.encode()
+    n = len(raw)
+    if not n:
+        return [0.0] * len(quality.NAMES)
+    letters, upper = sum(chr(b).isalpha() and b < 128 for b in raw), sum(65 <= b <= 90 for b in raw)
+    counted = [letters, upper, sum(48 <= b <= 57 for b in raw), sum(b in (9, 11, 12, 13, 32) for b in raw), raw.count(10), sum(b in b".,;:?'\"()-" for b in raw), sum(b in b"!#$%&*+/<=>@[\\]^_`{|}~" for b in raw), sum(b >= 128 for b in raw)]
+    words = raw.split()
+    by = {w: words.count(w) for w in set(words)}
+    runs, longest = 1, 1
+    for a, b in zip(words, words[1:]):
+        runs = runs + 1 if a == b else 1
+        longest = max(longest, runs)
+    some = max(1, len(words))
+    lines = raw.split(b"\n") if not raw.endswith(b"\n") else raw[:-1].split(b"\n")
+    whole = [x + b"\n" for x in lines[:-1]] + [lines[-1] + (b"\n" if raw.endswith(b"\n") else b"")]
+    k = raw.count(10) + 1
+    entropy = -sum(c / n * math.log2(c / n) for c in (raw.count(b) for b in set(raw)))
+    return [
+        math.log1p(n), *(c / n for c in counted), raw.count(b"|") / n, math.log1p(len(words)) if words else 0.0, sum(map(len, words)) / some, len(by) / some, sum(a == b for a, b in zip(words, words[1:])) / some,
+        math.log1p(longest) if words else 0.0, max(by.values(), default=0) / some, sum(w[-1] in b"!#$%&*+/<=>@[\\]^_`{|}~" for w in words) / some, n / k, len(set(whole)) / k, entropy,
+    ]
+
+
+def test_quality_against_brute_force(spark):
+    """Features by plain counting and scores by adding the tables up one by one, for the corpus and odd texts."""
+    import math
+
+    texts = [t or "" for _, t in corpus()] + ["\n", "a\n", "a\n\na\n", "x x x y y", "|a| *b* c!", "A1 B2"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(len(t) % 3 > 0)) for i, t in enumerate(texts)], "doc_id long, quality int")
+    x = quality.text_features(*common.flat_text(pa.array(texts)))
+    assert np.allclose(x, np.array([plain_features(t) for t in texts]), rtol=2e-4, atol=2e-5)
+    model = quality.train(df, labels)
+
+    def score(row):
+        bins = [sum(e <= v for e in edges) for edges, v in zip(model.edges, row)]
+        total = model.bias + sum(model.single[j][b] for j, b in enumerate(bins)) + sum(model.double[k][bins[i]][bins[j]] for k, (i, j) in enumerate(model.pairs))
+        return 1 / (1 + math.exp(-total))
+
+    got = {r["doc_id"]: r["score"] for r in quality.score(df, model).collect()}
+    assert all(abs(got[i] - score(x[i])) < 1e-9 for i in got) and len(got) == len(texts) and len({round(s, 6) for s in got.values()}) > 5
+
+
+def test_quality_repeats_and_clashing_names(spark):
+    df = spark.createDataFrame([(1, "a b c", "en"), (1, "a b c", "fr"), (2, "long " * 300_000, "en"), (3, None, "en")], "doc_id long, text string, score string")
+    model = quality.train(df, spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int"))
+    got = [r["score"] for r in quality.score(df, model).orderBy("doc_id").collect()]
+    assert len(got) == 4 and got[0] == got[1]
+    with pytest.raises(ValueError, match="score"):
+        quality.score(df, model, carry=["doc_id", "score"])
+    again = quality.train(df.repartition(3), spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, quality int"))
+    assert (again.single == model.single).all()
+    other = quality.train(df.withColumnRenamed("text", "body"), spark.createDataFrame([(2, 0)], "doc_id long, quality int"), text_col="body")
+    assert other.bias < 0
+
+
+def test_clashing_names_are_errors(spark, docs):
+    for call in (
+        lambda: lines.drop_repeated_lines(docs.withColumnRenamed("lang", "kept"), carry=["kept"]), lambda: suffixes.remove_repeats(docs.withColumnRenamed("lang", "N_SPANS"), carry=["N_SPANS"]),
+        lambda: bpe.encode(docs.withColumnRenamed("doc_id", "ids"), id_col="ids"), lambda: packing.pack(packing.pieces(docs).withColumn("offset", F.lit(1))), lambda: urls.judge(docs.withColumnRenamed("doc_id", "rule"), id_col="rule", url_col="text"),
+        lambda: winnow.fingerprint(docs.withColumnRenamed("doc_id", "places"), id_col="places"), lambda: media.interleave(docs.withColumnRenamed("doc_id", "items"), id_col="items", html_col="text"),
+    ):
+        with pytest.raises(ValueError, match="names of results"):
+            call()
+
+
+def test_lines_filters_grow(spark, monkeypatch):
+    """More heavy lines than a filter was made for: it is made anew from the counts, and results stay those of one build."""
+    monkeypatch.setattr(lines, "SHARD_LINES", 64)
+
+    def table(a, b):
+        rows = [(i, 0, "\n".join(f"line number {j} of a text that is long enough" for j in range(a, b)).encode()) for i in range(a * 10, a * 10 + 4)]
+        return spark.createDataFrame(rows, "id long, digest long, text binary")
+
+    old, new = table(0, 40), table(40, 900)
+    grown, whole = lines.insert(lines.build(old), new), lines.build(old.union(new))
+
+    def dropped(s):
+        return sorted((r["id"], sorted(map(tuple, r["keys"]))) for r in lines.dropped_lines(s).collect())
+
+    assert dropped(grown) == dropped(whole)
+    assert all(len(lines.CuckooFilter.from_bytes(r["filter"]).stash) < 20 for r in grown.filters.collect())
+    back = lines.delete(grown, new)
+    assert dropped(back) == dropped(lines.build(old))
+
+
 def test_quality_features_of_odd_texts():
     import pyarrow as pa
 

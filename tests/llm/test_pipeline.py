@@ -6,6 +6,7 @@ import os
 import random
 import sys
 
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -13,7 +14,7 @@ from compare import duck, rows  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
 import corpus_pipeline as pipeline  # noqa: E402
-from tokenloom.llm import common, queries, simhash, suffixes  # noqa: E402
+from tokenloom.llm import common, quality, queries, simhash, suffixes  # noqa: E402
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -62,14 +63,43 @@ def test_stages(spark, sf):
     assert total[1] <= -(-total[0] // 4096) + 1
 
 
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(None, "a " * 50, "en", "s", 1), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "b\n" * 10, "en", "s", 2), (None, None, "en", None, None), (3, "c d e f g h", "en", "s", 2)]
+
+
+def test_quality_stage_on_odd_rows(spark, sf):
+    """Just the rows go whose score is below the threshold, whatever is null, empty, shared or repeated."""
+    docs = common.stored(common.documents(spark, sf).select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(ODD, COLUMNS)))
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    rows_ = docs.collect()
+    scores = model.score(quality.text_features(*common.flat_text(pa.array([r["text"] for r in rows_]))))
+    want = sorted(repr(tuple(r)) for r, s in zip(rows_, scores) if s >= quality.THRESHOLD)
+    assert sorted(repr(tuple(r)) for r in pipeline.stage_quality(spark, docs, sf).collect()) == want and 0 < len(want) < len(rows_)
+    assert pipeline.stage_quality(spark, docs.limit(0), sf).count() == 0
+
+
 def test_stages_take_odd_rows(spark, sf):
-    rows_ = [(None, "a " * 50, "en", "s", 1), (1, None, None, None, None), (1, None, None, None, None), (2, "", "en", "s", 0), (3, "b\n" * 10, "en", "s", 2)]
-    docs = spark.createDataFrame(rows_, "doc_id long, text string, lang string, source string, n_chars long")
-    for table in (docs, docs.limit(0)):
-        made = table
-        for _, stage in pipeline.STAGES[1:]:
-            made = common.stored(stage(spark, made, sf))
-        assert (made.count() > 0) == (not table.isEmpty())
+    """Each stage's rows for null, empty, shared and repeated rows."""
+    docs = common.stored(spark.createDataFrame(ODD, COLUMNS))
+    kept = {name: sorted(repr((r["doc_id"], r["text"])) for r in stage(spark, docs, sf).collect()) for name, stage in pipeline.STAGES[1:4]}
+    every = [(i, t) for i, t, *_ in ODD]
+    assert kept["line_dedup"] == sorted(map(repr, every))
+    # texts without words are alike: the row without an id comes first
+    assert kept["simhash_near_dedup"] == sorted(map(repr, [(None, "a " * 50), (None, None), (3, "b\n" * 10), (3, "c d e f g h")]))
+    assert kept["suffix_array_dedup"] == sorted(map(repr, every))
+    packed = pipeline.stage_packing(spark, docs, sf).collect()
+    assert len(packed) == len(ODD) and sorted(r["length"] for r in packed)[:4] == [1, 1, 1, 1] and len({r["sequence_id"] for r in packed}) == 1
+    made = docs.limit(0)
+    for _, stage in pipeline.STAGES[1:]:
+        made = common.stored(stage(spark, made, sf))
+        assert made.count() == 0
+
+
+def test_run_keeps_what_it_returns(spark, sf):
+    before = common.mark()
+    made = pipeline.run(spark, sf)
+    assert made.count() > 0 and made.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert len(common.mark() - before) == 1
 
 
 def test_near_stage_links_by_likeness_of_texts(spark, sf):

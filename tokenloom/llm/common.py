@@ -73,14 +73,20 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession, keep: DataFrame) -> None:
-    """Remove the folders made so far, but what keep is read from: only for tables that nothing will read again."""
-    held = {os.path.dirname(f.split("://", 1)[-1].removeprefix("file:")) for f in keep.inputFiles()}
-    for path in list(_made):
-        if path.split("://", 1)[-1].removeprefix("file:") not in held:
-            at = spark._jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-            _made.remove(path)
+def mark() -> set[str]:
+    """The stored folders that there are now."""
+    return set(_made)
+
+
+def sweep(spark: SparkSession, before: set[str], keep: DataFrame) -> None:
+    """Remove the folders made after the mark, but the one that keep is read from: nothing may read the others again."""
+    own = {os.path.basename(os.path.dirname(f)) for f in keep.inputFiles()}
+    if not own:  # it can't be told apart
+        return
+    for path in [p for p in _made if p not in before and os.path.basename(p) not in own]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        _made.remove(path)
 
 
 def key_columns(id_col: str = "doc_id", text_col: str = "text") -> tuple[Column, Column]:

@@ -77,8 +77,13 @@ def digest(hashes: np.ndarray) -> str:
 
 
 def fingerprint(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """(id_col, places array<int>, hashes array<long>) for each row; null and empty texts have empty arrays."""
+    """(id_col, places array<int>, hashes array<long>) for each row; null and empty texts have empty arrays.
+
+    Texts of any length are read whole; repeated rows give repeated rows; ids may be null or shared. Other columns of df
+    are not looked at; an id_col named like a result is an error.
+    """
     common.prepare(df.sparkSession)
+    common.free_names([id_col], ["places", "hashes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -91,6 +96,15 @@ def fingerprint(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     return narrow.mapInArrow(common.lean(run), "id long, places array<int>, hashes array<long>").withColumnRenamed("id", id_col)
 
 
+def first_match(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[int | None, int | None]:
+    """The first place in a of a hash that both have, and its first place in b: where a common string may start."""
+    both = np.isin(a[1], b[1])
+    if not both.any():
+        return None, None
+    i = int(both.argmax())
+    return int(a[0][i]), int(b[0][(b[1] == a[1][i]).argmax()])
+
+
 def _compare(gram: int, window: int):
     """Rows come by descending order within a part; each is compared with the one after it."""
 
@@ -98,15 +112,16 @@ def _compare(gram: int, window: int):
         chars, more = text.decode(), after.decode()
         cut = len(chars) // 3
         edited = (chars[: len(chars) - cut] + more[:cut]).encode()
-        edit = own if edited == text else winnow(edited, gram, window)[1]
-        return (id_, len(chars), hashlib.sha256(edited).hexdigest(), digest(own), digest(edit), likeness(own, edit), likeness(own, other), len(own))
+        edit = own if edited == text else winnow(edited, gram, window)
+        match = first_match(own, other)
+        return (id_, len(chars), hashlib.sha256(edited).hexdigest(), digest(own[1]), digest(edit[1]), likeness(own[1], edit[1]), likeness(own[1], other[1]), len(own[1]), *match)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None
         for batch in batches:
             out = []
             for part, lent, id_, text in zip(*(c.to_pylist() for c in batch.columns)):
-                own = winnow(text, gram, window)[1]
+                own = winnow(text, gram, window)
                 if before is not None and before[0] == part:
                     out.append(row(*before[1:3], text, before[3], own))
                 before = None if lent else (part, id_, text, own)
@@ -116,8 +131,31 @@ def _compare(gram: int, window: int):
     return run
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_hashes", pa.int64())])
-_ROW = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long"
+_SCHEMA = pa.schema([
+    ("id", pa.int64()), ("n_chars", pa.int64()), *((n, pa.string()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("n_hashes", pa.int64()),
+    ("match_place", pa.int64()), ("match_next_place", pa.int64()),
+])
+_ROW = "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_hashes long, match_place long, match_next_place long"
+
+#: Rows sampled for each part to find its borders.
+SAMPLED = 64
+
+
+class _Ranges:
+    """Parts of the order of (id, order) by borders between them."""
+
+    def __init__(self, cuts: list[tuple[int, int]]):
+        self.ids = np.array([c[0] for c in cuts], np.int64)
+        self.orders = np.array([c[1] for c in cuts], np.int64)
+
+    def part(self, id_: np.ndarray, order: np.ndarray) -> np.ndarray:
+        """How many borders lie below each row."""
+        low, high = np.searchsorted(self.ids, id_, side="left"), np.searchsorted(self.ids, id_, side="right")
+        part = low.copy()
+        for a in np.unique(low[high > low]).tolist():  # rows whose id is a border's: the second key decides
+            own = np.flatnonzero((low == a) & (high > low))
+            part[own] += np.searchsorted(self.orders[a : high[own[0]]], order[own], side="left")
+        return part
 
 
 def edited_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", gram: int = GRAM, window: int = WINDOW) -> DataFrame:
@@ -125,24 +163,29 @@ def edited_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     The next row is the one with the next smaller (id, text digest); after the last comes the first. The edited
     text has its last third replaced by as many characters from the next text's start. A single row is its own
-    next one. Null and empty texts have no hashes.
+    next one. Null and empty texts have no hashes. match_place and match_next_place are the first place of a hash that
+    the next text has too, in either. An id_col named like a result is an error; other columns of df are not looked at.
 
-    Rows are dealt to ranges of ids once; of each range's first row a copy goes to the range before it, so
-    neighbours meet in one part without all rows in one. The driver gets one boundary for each part.
+    Rows are dealt to ranges of (id, text digest) once; of each range's first row a copy goes to the range before it, so
+    neighbours meet in one part without all rows in one, however many share an id. The driver gets SAMPLED pairs of
+    numbers for each part, and one border of each.
     """
     spark = df.sparkSession
     common.prepare(spark)
+    common.free_names([id_col], _SCHEMA.names[1:])
     id_, order = common.key_columns(id_col, text_col)
     rows = df.select(id_.alias("id"), order.alias("order"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ids = rows.select("id", "order")
-    cuts = np.array(sorted({int(c) for c in ids.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)}), np.int64)
+    share = min(1.0, SAMPLED * parts / max(1, df.count()))
+    seen = sorted({(r["id"], r["order"]) for r in ids.sample(share, seed=1).collect()})
+    ranges = _Ranges(sorted({seen[len(seen) * i // parts] for i in range(1, parts)}) if seen else [])
 
     def tops_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[int, int]] = {}
         for batch in batches:
             id_, order = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            part = np.searchsorted(cuts, id_)
+            part = ranges.part(id_, order)
             by = np.lexsort((order, id_, part))
             last = by[np.flatnonzero(np.append(part[by][1:] != part[by][:-1], True))]
             for p, i, o in zip(part[last].tolist(), id_[last].tolist(), order[last].tolist()):
@@ -159,7 +202,7 @@ def edited_likeness(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         for batch in batches:
             id_ = batch.column(0).to_numpy()
             names = ["part", "lent", "id", "order", "text"]
-            yield pa.RecordBatch.from_arrays([pa.array(np.searchsorted(cuts, id_).astype(np.int32)), pa.array(np.zeros(len(id_), bool)), *batch.columns], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ranges.part(id_, batch.column(1).to_numpy()).astype(np.int32)), pa.array(np.zeros(len(id_), bool)), *batch.columns], names)
             for n in np.flatnonzero(np.isin(id_, lenders)).tolist():
                 to = lends.get((int(id_[n]), batch.column(1)[n].as_py()))
                 if to is not None:
