@@ -69,10 +69,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each one's rows written and read again as the next one's."""
-    docs = common.documents(spark, sf_dir)
+    """All stages over documents, each one's rows written and read again as the next one's. Folders that are no longer needed go."""
+    docs, before = common.documents(spark, sf_dir), common.mark()
     for _, stage in STAGES:
         docs = common.stored(stage(spark, docs, sf_dir))
+        common.sweep(spark, before, docs)
     return docs
 
 
