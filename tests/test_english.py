@@ -95,7 +95,7 @@ def test_facade(spark):
     assert ["[BOS]", "LIT:the", "ROOT:know", "ROLE:causer", "ROOT:know", "ROLE:plural", "[EOS]"] in [r["tokens"] for r in made]
     vocab = spark.createDataFrame([("[UNK]", 1), ("[BOS]", 2), ("[EOS]", 3), ("LIT:the", 7)], "token string, id long")
     ids = [r["ids"] for r in api.tokenize(df, "en", vocab=vocab).collect()]
-    assert sorted(ids) == sorted([[2, 7, 1, 1, 1, 1, 3], [2, 1, 1, 1, 1, 3], [2, 3]])
+    assert sorted(ids) == sorted([[2, 7, 1, 1, 1, 1, 3], [2, 1, 1, 1, 1, 1, 3], [2, 3]])
     logic = [r["tokens"] for r in api.tokenize(df, "en", "logic", add_bos_eos=False).collect()]
     assert sum("[Q]" in t for t in logic) == 1
     for bad in ({"lang": "ru"}, {"lang": "en", "level": "deep"}, {"lang": "ar"}):

@@ -75,14 +75,17 @@ def normalize(text: Column) -> Column:
 
 def structure(normal: Column) -> Column:
     """The sentence's markers, each once, in fixed order. Words are sought plainly before their borders are looked at."""
-    marks = [F.when(normal.endswith("?"), F.lit("STR:question"))]
-    for name, words in L.STRUCTURE_WORDS.items():
-        there = F.lit(False)
-        for w in words:
-            there = there | normal.contains(w)
-        marks.append(F.when(there & normal.rlike(_EDGE_A + "(?:" + "|".join(words) + ")" + _EDGE_Z), F.lit(name)))
-    marks.append(F.when(normal.endswith("!"), F.lit("STR:emphasis")))
-    return F.array_compact(F.array(*marks))
+
+    def marked(n: Column) -> Column:
+        marks = [F.when(n.endswith("?"), F.lit("STR:question"))]
+        for name, words in L.STRUCTURE_WORDS.items():
+            there = F.lit(False)
+            for w in words:
+                there = there | n.contains(w)
+            marks.append(F.when(there & n.rlike(_EDGE_A + "(?:" + "|".join(words) + ")" + _EDGE_Z), F.lit(name)))
+        return F.array_compact(F.array(*marks, F.when(n.endswith("!"), F.lit("STR:emphasis"))))
+
+    return F.coalesce(let(normal, marked), F.array().cast("array<string>"))
 
 
 def words(normal: Column) -> Column:
