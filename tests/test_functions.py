@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
-from tokenloom.operators import datagen as G
+from tokenloom.operators import generators as N
 from tokenloom.operators import reasoning as R
 from tokenloom.operators import stats as S
 from tokenloom.sources import readers
@@ -142,13 +144,58 @@ def test_syllogisms_have_the_known_valid_moods(spark):
 
 
 def test_generators_are_reproducible(spark):
-    a, b = (sorted(map(tuple, G.prop_logic(spark, 20, 7).select("id", "answer").collect())) for _ in range(2))
+    a, b = (sorted(map(tuple, N.prop_logic(spark, 20, 7).select("id", "answer").collect())) for _ in range(2))
     assert a == b and len(a) == 40
-    answers = [r["answer"] for r in G.syllogisms(spark, 60, 5).collect()]
-    assert answers.count("yes") == 30
-    for r in G.algebra(spark, 20, 1).collect():
-        solved = R.solve(spark.createDataFrame([(r["question"],)], "s string")).first()
-        assert f"x = {int(solved['solution'])}" == r["answer"]
+
+
+def test_generated_formulas(spark):
+    """Questions, read by the parser, have the answers and end in the last step of their traces."""
+    made = N.prop_logic(spark, 60, 3).unionByName(N.holdout_prop(spark, 30, 4)).collect()
+    assert {r["depth"] for r in made if "holdout" in r["id"]} == {5, 6, 7}
+    negated = 0
+    for r in made:
+        if r["lang"] == "en":
+            given, formula = re.split(r", what is the value of |; evaluate: ", r["question"].removeprefix("Given ").removesuffix("?"))
+            assert R.evaluate_text(f"{given}; {formula}") == r["gold"], r
+        assert r["cot"][-1].endswith(" = " + ({"true": "T", "false": "F"}[r["answer"]] if "holdout" in r["id"] else r["answer"]))
+        negated += r["depth"] >= 2 and "value of not " in r["question"]
+    assert negated
+    both = {r["id"].replace("-ar-", "-en-"): r["gold"] for r in made if r["lang"] == "ar"}
+    assert all(both[r["id"]] == r["gold"] for r in made if r["id"] in both)
+
+
+def test_generated_syllogisms(spark):
+    rows = N.syllogisms(spark, 2000, 5).filter("lang = 'en'").collect()
+    assert [len(N.slots(k)[False]) for k in N.SOUND] == [24, 60]
+    share = {k: sum(r["kind"] == k for r in rows) / 2000 for k in ("figure1", "figure2", "chain")}
+    assert abs(share["figure1"] - 0.7) < 0.04 and abs(share["figure2"] - 0.2) < 0.04
+    assert abs(sum(r["answer"] == "yes" for r in rows) / 2000 - 0.5) < 0.04
+    chains = [r for r in rows if r["kind"] == "chain"]
+    for r in chains:
+        links = re.findall(r"All (.+?) are (.+?)\.", r["question"])
+        assert (links[0][1], links[1][1]) == (links[1][0], links[2][0]) if r["answer"] == "yes" else (links[0][1], links[1][0]) == (links[1][1], links[2][0])
+    published = [r["question"] for r in N.syllogisms(spark, 200, 5, as_published=True).filter("lang = 'en' and kind = 'chain' and answer = 'no'").collect()]
+    assert published
+    for q in published:
+        links = re.findall(r"All (.+?) are (.+?)\.", q)
+        assert links[0][1] == links[1][0] and links[1][1] == links[2][0]
+    for lang in N.LANGS:
+        words = [w for t in N.TRIPLES[lang] for w in t]
+        assert len(set(words)) == 75
+
+
+def test_generated_algebra(spark):
+    rows = N.holdout_algebra(spark, 90, 1).collect()
+    assert {r["kind"] for r in rows} == {"solve", "simplify", "evaluate"}
+    equations = spark.createDataFrame([(r["question"].replace("solve:", "solve"), r["answer"]) for r in rows if r["kind"] == "solve"], "s string, answer string")
+    assert all(int(r["solution"]) == int(r["answer"]) for r in R.solve(equations).collect())
+    for r in rows:
+        task = r["question"].split(": ")[1]
+        if r["kind"] == "evaluate":
+            assert eval(task) == int(r["answer"])
+        if r["kind"] == "simplify":
+            task, short = (re.sub(r"(\d)x", r"\1*x", t) for t in (task, r["answer"]))
+            assert all(eval(task, {"x": x}) == eval(short, {"x": x}) for x in (-3, 0, 7))
 
 
 def test_metrics_of_no_rows(spark):

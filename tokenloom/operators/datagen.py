@@ -1,92 +1,13 @@
-"""Generators and verifier data: table-valued functions over spark.range and joins by rank."""
+"""Verifier data: examples, pairs and joins between rows by rank."""
 
 from __future__ import annotations
 
-import random
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
-from tokenloom.operators import reasoning as G
 from tokenloom.operators import shared
 
-MIX = (0.5, 0.3, 0.2)
-TERMS = [
-    ("mammals", "animals", "dogs"), ("birds", "creatures", "sparrows"), ("metals", "elements", "iron bars"), ("triangles", "shapes", "right triangles"), ("planets", "bodies", "giants"),
-    ("poets", "writers", "bards"), ("rivers", "streams", "brooks"), ("roses", "flowers", "wild roses"),
-]
-
-
-def _formula(rng: random.Random, names: list[str], depth: int) -> str:
-    if depth == 0 or rng.random() < 0.25:
-        return rng.choice(names)
-    a, b = _formula(rng, names, depth - 1), _formula(rng, names, depth - 1)
-    made = f"({a} {rng.choice(['∧', '∨', '→'])} {b})"
-    return f"¬{made}" if depth >= 2 and rng.random() < 0.25 else made
-
-
-def prop_logic(spark: SparkSession, n: int, seed: int, mix: tuple[float, float, float] = MIX, depths: tuple[int, int, int] = (1, 2, 3)) -> DataFrame:
-    """(id, lang, difficulty, question, cot, answer): each row has a random state of its own, so rows don't depend on partitions."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for i in frame["id"]:
-                rng = random.Random(seed * 1_000_003 + int(i) // 2)
-                u = rng.random()
-                level = 0 if u < mix[0] else 1 if u < mix[0] + mix[1] else 2
-                names = ["p", "q", "r", "s"][: level + 2]
-                env = {v: rng.random() < 0.5 for v in names}
-                formula = _formula(rng, names, depths[level])
-                text = "; ".join(f"{k}={'true' if v else 'false'}" for k, v in env.items())
-                value = G.evaluate_text(f"{text}; {formula}")
-                english = i % 2 == 0
-                asked = f"Given {text}. What is {formula}?" if english else f"بفرض {text}. ما قيمة {formula}؟"
-                steps = [f"{k} = {'true' if v else 'false'}" for k, v in env.items()] + [formula]
-                answer = ("true" if value else "false") if english else ("صحيح" if value else "خطأ")
-                rows.append((f"prop-{'en' if english else 'ar'}-{int(i) // 2:06d}", "en" if english else "ar", ["easy", "medium", "hard"][level], asked, steps, answer, bool(value)))
-            yield pd.DataFrame(rows, columns=["id", "lang", "difficulty", "question", "cot", "answer", "gold"])
-
-    return spark.range(2 * n).mapInPandas(run, "id string, lang string, difficulty string, question string, cot array<string>, answer string, gold boolean")
-
-
-def syllogisms(spark: SparkSession, n: int, seed: int, *, balanced: bool = True) -> DataFrame:
-    """(id, figure, mood, question, answer): moods drawn by hash from the table of all 256, half of them valid if balanced."""
-    moods = G.syllogism_table(spark).withColumn("mood", F.concat("major", "minor", "conclusion"))
-    ranked = moods.withColumn("k", F.row_number().over(Window.partitionBy("valid").orderBy("figure", "mood")) - 1).withColumn("of", F.count("*").over(Window.partitionBy("valid")))
-    h = F.xxhash64("i", F.lit(seed))
-    rows = spark.range(n).withColumnRenamed("id", "i").withColumn("valid", F.pmod("i", F.lit(2)) == 0 if balanced else F.pmod(F.xxhash64("i", F.lit(seed + 1)), F.lit(256)) < 15)
-    sizes = {r["valid"]: r["of"] for r in ranked.select("valid", "of").distinct().collect()}
-    rows = rows.withColumn("k", F.when(F.col("valid"), F.pmod(h, F.lit(sizes[True]))).otherwise(F.pmod(h, F.lit(sizes[False]))).cast("int"))
-    terms = spark.createDataFrame([(i, *t) for i, t in enumerate(TERMS)], "t int, middle string, predicate string, subject string")
-    rows = rows.withColumn("t", F.pmod(F.xxhash64("i", F.lit(seed + 2)), F.lit(len(TERMS))).cast("int"))
-    made = rows.join(F.broadcast(ranked), ["valid", "k"]).join(F.broadcast(terms), "t")
-
-    def said(form, a, b):
-        return F.when(form == "A", F.concat(F.lit("all "), a, F.lit(" are "), b)).when(form == "E", F.concat(F.lit("no "), a, F.lit(" are "), b)).when(form == "I", F.concat(F.lit("some "), a, F.lit(" are "), b)).otherwise(F.concat(F.lit("some "), a, F.lit(" are not "), b))
-
-    s, m, p = F.col("subject"), F.col("middle"), F.col("predicate")
-    major = F.when(F.col("figure").isin(1, 3), said(F.col("major"), m, p)).otherwise(said(F.col("major"), p, m))
-    minor = F.when(F.col("figure").isin(1, 2), said(F.col("minor"), s, m)).otherwise(said(F.col("minor"), m, s))
-    asked = F.format_string("%s. %s. Therefore, %s. Does it follow?", major, minor, said(F.col("conclusion"), s, p))
-    return made.select(F.format_string("syl-en-%06d", "i").alias("id"), "figure", "mood", asked.alias("question"), F.when(F.col("valid"), "yes").otherwise("no").alias("answer"))
-
-
-def algebra(spark: SparkSession, n: int, seed: int) -> DataFrame:
-    """(id, question, answer): equations whose solutions are whole numbers."""
-
-    def pick(k: int, low: int, high: int):
-        return (F.pmod(F.xxhash64("id", F.lit(seed + k)), F.lit(high - low + 1)) + low).cast("int")
-
-    rows = spark.range(n).select("id", pick(1, 2, 9).alias("a"), pick(2, -20, 20).alias("x"), pick(3, 1, 50).alias("b"))
-    return rows.select(
-        F.format_string("alg-%06d", "id").alias("id"), F.format_string("solve %dx + %d = %d", "a", "b", F.col("a") * F.col("x") + F.col("b")).alias("question"), F.format_string("x = %d", "x").alias("answer"),
-    )
-
-
 def next_of_language(rows: DataFrame, column: str, *, fallback: bool = False) -> DataFrame:
     """rows (id, lang, ...; ids each once) with `other`: column of the next id in the language, of the first after the last.
 

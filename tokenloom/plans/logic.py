@@ -152,13 +152,13 @@ def _figure(f: int) -> tuple[tuple[int, int], tuple[int, int]]:
     return {1: (major, minor), 2: (major[::-1], minor), 3: (major, minor[::-1]), 4: (major[::-1], minor[::-1])}[f]
 
 
-_SYLLOGISM = " union all ".join(
+SYLLOGISMS = " union all ".join(
     f"select {f} as figure, a.f as major, b.f as minor, c.f as conclusion, bool_and(not (({_holds('a.f', *_figure(f)[0])}) and ({_holds('b.f', *_figure(f)[1])})) or ({_holds('c.f', 1, 4)})) as valid from {_FORMS} a(f), {_FORMS} b(f), {_FORMS} c(f), range(128) p(pop) group by a.f, b.f, c.f"
     for f in (1, 2, 3, 4)
 )
 
 
-@query(_SYLLOGISM)
+@query(SYLLOGISMS)
 def judge_syllogism(spark, sf):
     """All 256 moods and figures against all populations of the seven regions: fixed in size."""
     return G.syllogism_table(spark)
