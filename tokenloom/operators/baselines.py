@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
 
@@ -105,6 +106,16 @@ def permuted(vocab: DataFrame, seed: int) -> DataFrame:
     """(token, id, new_id): structured tokens exchange ids by a seeded order, the others keep theirs."""
     structured = vocab.filter(~F.col("token").startswith("LIT:") & ~F.col("token").startswith("["))
     by_id = structured.withColumn("r", F.row_number().over(Window.orderBy("id")))  # at most the cap's rows
-    by_hash = structured.select("token", F.row_number().over(Window.orderBy(F.xxhash64("token", F.lit(seed)), "token")).alias("r"))
+    by_hash = structured.select("token", F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(seed), "token")), "token")).alias("r"))
     moved = by_hash.join(by_id.select("r", F.col("id").alias("new_id")), "r").select("token", "new_id")
     return vocab.join(moved, "token", "left").select("token", "id", F.coalesce("new_id", "id").alias("new_id"))
+
+
+def padded(ids: DataFrame, batch: list[str], value: int = 0) -> DataFrame:
+    """ids (batch keys, ids) with padded and mask, as wide as the longest of the batch, and labels moved by one.
+
+    A batch is a bounded group by its nature: it is one window partition.
+    """
+    width = F.max(F.size("ids")).over(Window.partitionBy(*batch))
+    wide = ids.withColumn("_w", width)
+    return wide.select("*", K.pad(F.col("ids"), F.col("_w"), value).alias("padded"), K.mask(F.col("ids"), F.col("_w")).alias("mask"), K.shifted_labels(F.col("ids")).alias("labels")).drop("_w")

@@ -285,3 +285,20 @@ def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registe
         head.unionByName(core.select("token", (F.col("r") - 1 + len(first)).alias("id")))
         .unionByName(tail.select("token", (F.col("r") - 1 + len(first) + n_core).alias("id")))
     )
+
+
+def cap_report(counts: DataFrame, vocab: DataFrame, dynamic: Column) -> DataFrame:
+    """One row on a capped vocabulary (token, id): its size, kept and all tokens, the coverage of dynamic ones, and the rate
+    of unknown tokens that it will give, all weighted by counts (token, n)."""
+    known = counts.join(vocab.select("token", F.lit(True).alias("known")), "token", "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    n = F.col("n")
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, n)), F.lit(0))
+
+    every, lost = F.coalesce(F.sum("n"), F.lit(0)), total(~F.col("known"))
+    made = known.agg(
+        F.count("*").alias("kinds"), F.count_if("known").alias("kinds_kept"), F.count_if(dynamic & F.col("known")).alias("dynamic_kept"), every.alias("tokens"),
+        (total(dynamic & F.col("known")) / F.greatest(total(dynamic), F.lit(1))).alias("dynamic_coverage"), (lost / F.greatest(every, F.lit(1))).alias("unknown_rate"),
+    )
+    return made.join(F.broadcast(vocab.agg(F.count("*").alias("size"))))  # a row each

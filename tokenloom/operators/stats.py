@@ -163,3 +163,11 @@ def bits_per_character(scored: DataFrame, keys: list[str]) -> DataFrame:
     """From rows (nll, n_tokens, n_chars): bits per character and perplexity with the exponent held at 20."""
     made = scored.groupBy(*keys).agg(F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))
     return made.withColumns({"bpc": F.col("nll") / F.col("n_chars") / F.log(F.lit(2.0)), "perplexity": F.exp(F.least(F.col("nll") / F.col("n_tokens"), F.lit(20.0)))})
+
+
+def examples(rows: DataFrame, bucket: str, first: str, names: list[str], *, seen: int = 200, most: int = 50) -> DataFrame:
+    """rows with k: of the first `seen` rows of each bucket by `first`, the `most` with the largest n, then by name."""
+    early = Window.partitionBy(bucket).orderBy(first)
+    often = Window.partitionBy(bucket).orderBy(F.desc("n"), *names)
+    kept = rows.withColumn("_r", F.row_number().over(early)).filter(F.col("_r") <= seen).drop("_r")
+    return kept.withColumn("k", F.row_number().over(often)).filter(F.col("k") <= most)

@@ -127,10 +127,14 @@ def eval_prop(spark, sf):
     return G.evaluate(C.table(spark, rows, "s string"))
 
 
-@query()
+EQUATIONS = ["solve 3x + 2 = 11", "solve 2*y - 4 = 7", "solve 0x + 1 = 2", "simplify 2x + x", " Solve -4z+-8 = 0 ", "solve 5x = 10"]
+
+
+@query(f"""with e as (select s, regexp_extract(lower(trim(s)), 'solve +(-?[0-9]+) *[*]? *([a-z]) *([+-]) *(-?[0-9]+) *= *(-?[0-9]+)', ['a', 'v', 'sign', 'b', 'c']) as p from ({D.values([(x,) for x in EQUATIONS])}) t(s)),
+    n as (select s, p.v as v, try_cast(p.a as double) as a, try_cast(p.b as double) * case p.sign when '-' then -1 else 1 end as b, try_cast(p.c as double) as c from e)
+    select s, case when a <> 0 then v end as variable, case when a <> 0 then (c - b) / a end as solution from n""")
 def solve_algebra(spark, sf):
-    rows = [("solve 3x + 2 = 11",), ("solve 2*y - 4 = 7",), ("solve 0x + 1 = 2",), ("simplify 2x + x",)]
-    return G.solve(C.table(spark, rows, "s string"))
+    return G.solve(C.table(spark, [(x,) for x in EQUATIONS], "s string"))
 
 
 _FORMS = "(values ('A'), ('E'), ('I'), ('O'))"

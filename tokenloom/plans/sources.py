@@ -9,6 +9,7 @@ from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
+from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
 from tokenloom.sources import readers
@@ -129,10 +130,10 @@ def split_90_10(spark, sf):
     return ranked.select("doc_id", F.when(F.col("r") <= int(n * 0.9), "train").otherwise("val").alias("split"))
 
 
-@query()
+@query("""with t as (select doc_id, row_number() over (order by md5('7:' || doc_id), doc_id) as r, count(*) over () as n from documents) select doc_id, case when r <= greatest(1, floor(n * 0.1)) then 'val' else 'train' end as split from t""")
 def split_shuffled(spark, sf, fraction=0.1, seed=7):
-    """A seeded shuffle: hashes of ids order the rows, the first part validates. Hashes differ between engines."""
-    docs = read(spark, sf, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("h"))
+    """A seeded shuffle: hashes of ids order the rows, the first part validates."""
+    docs = read(spark, sf, "documents").select("doc_id", F.md5(F.concat_ws(":", F.lit(seed), "doc_id")).alias("h"))
     n = max(1, int(docs.count() * fraction))
     ranked = shared.ranked(docs, [F.col("h"), F.col("doc_id")], "r")
     return ranked.select("doc_id", F.when(F.col("r") <= n, "val").otherwise("train").alias("split"))
@@ -177,6 +178,20 @@ def topk_per_bucket(spark, sf):
     return turns.withColumn("r", F.row_number().over(Window.partitionBy("role").orderBy("conv_id", "turn"))).filter("r <= 25").drop("r")
 
 
+_SEEN = f"""w as (select word, count(*) as n, min((doc_id, pos, i)) as first from word group by word), b as (select word, n, first, least(length(word), 4) as bucket from w),
+    s as (select *, row_number() over (partition by bucket order by first) as r from b), t as (select *, row_number() over (partition by bucket order by n desc, word) as k from s where r <= 200)"""
+
+
+@query(f"with {D.SENT}, {D.NORM}, {D.WORD}, {_SEEN} select bucket::int as bucket, word, n, k::int as k from t where k <= 50")
+def topk_first_seen(spark, sf):
+    """Examples of each bucket: of the first 200 words seen the 50 most frequent; buckets are words of one to four and more letters.
+
+    Windows only see a row for each word, and both rank limits are pushed below their shuffles.
+    """
+    words = C.words(C.sentences(read(spark, sf, "documents"))).groupBy("word").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "pos", "i")).alias("first"))
+    return S.examples(words.withColumn("bucket", F.least(F.length("word"), F.lit(4))), "bucket", "first", ["word"], seen=200, most=50).drop("first")
+
+
 @query("""with q as (select conv_id, turn, role, text from conversations where role = 'user'), a as (select conv_id, turn, text from conversations where role = 'assistant')
     select q.conv_id as id, q.turn, q.text as question, a.text as answer from q join a on a.conv_id = q.conv_id and a.turn = q.turn + 1""")
 def src_records(spark, sf):

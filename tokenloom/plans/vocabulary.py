@@ -9,6 +9,7 @@ from tokenloom import lexicon as L
 from tokenloom.functions import tokens as K
 from tokenloom.operators import baselines as B
 from tokenloom.operators import corpus as C
+from tokenloom.operators import shared
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
 
@@ -154,6 +155,34 @@ def cap_vocab_frozen(spark, sf):
     return C.cap_vocabulary(_semantic(spark, sf), 1000, policy="core", registered=[*L.SPECIALS, "REL:and", "REL:or"])
 
 
+def _report_sql(literal: str, first: list[str], by_name: bool, cap: int) -> str:
+    made = _cap_sql(literal, first, by_name, cap)
+    last = made.rindex("select token, id from special union all")
+    return f"""{made[:last].rstrip()}, vocab as ({made[last:]}), k as (select token, n, {literal} as dynamic, token in (select token from vocab) as known from counts)
+    select count(*) as kinds, count(*) filter (where known) as kinds_kept, count(*) filter (where dynamic and known) as dynamic_kept, sum(n)::bigint as tokens, round(coalesce(sum(n) filter (where dynamic and known), 0) / greatest(coalesce(sum(n) filter (where dynamic), 0), 1), 9) as dynamic_coverage,
+        round(coalesce(sum(n) filter (where not known), 0) / greatest(sum(n), 1), 9) as unknown_rate, (select count(*) from vocab) as size from k"""
+
+
+_DYNAMIC = ["LIT:", "FOREIGN:", "NE:", "SURF:"]
+
+
+@query(_report_sql(" or ".join(f"token like '{p}%'" for p in _DYNAMIC), [*L.SPECIALS, "REL:and", "REL:or"], True, 1000))
+def cap_unknown_rate(spark, sf):
+    """What the core policy's cap keeps, the coverage of its dynamic part, and the rate of unknown tokens to expect."""
+    counts = shared.stored(_semantic(spark, sf))
+    vocab = C.cap_vocabulary(counts, 1000, policy="core", registered=[*L.SPECIALS, "REL:and", "REL:or"])
+    made = C.cap_report(counts, vocab, F.col("token").rlike("^(" + "|".join(_DYNAMIC) + ")"))
+    return made.withColumns({c: F.round(c, 9) for c in ("dynamic_coverage", "unknown_rate")})
+
+
+@query(_report_sql("token like 'LIT:%'", ["<PAD>", "<UNK>"], False, 1000))
+def cap_literal_unknown_rate(spark, sf):
+    """The same of the literal policy."""
+    counts = shared.stored(_semantic(spark, sf))
+    made = C.cap_report(counts, C.cap_vocabulary(counts, 1000, policy="literal"), F.col("token").startswith("LIT:"))
+    return made.withColumns({c: F.round(c, 9) for c in ("dynamic_coverage", "unknown_rate")})
+
+
 _TS = "list_filter(string_split_regex(regexp_replace(lower(sent), '([.,!?;:])', ' \\1 ', 'g'), '[ \\t\\r\\n]+'), lambda w: w <> '')"
 
 
@@ -203,11 +232,12 @@ def agg_bpc(spark, sf):
     return made.withColumns({"nll": F.round("nll", 4), "bpc": F.round("bpc", 6), "perplexity": F.round("perplexity", 4)})
 
 
-@query(f"with {_top(CAP)}, e as (select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos) select doc_id, pos, array_to_string(ids || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0), ' ') as padded, array_to_string(list_transform(ids, lambda x: 1) || list_transform(range(greatest(16 - len(ids), 0)), lambda x: 0), ' ') as mask, array_to_string(list_append(ids[2:], -100), ' ') as labels from e")
+@query(f"""with {_top(CAP)}, e as (select doc_id, pos, list(coalesce(v.id, 1)::int order by i) as ids from each left join vocab v using (token) group by doc_id, pos), g as (select *, max(len(ids)) over (partition by doc_id) as w from e)
+    select doc_id, pos, array_to_string(ids || list_transform(range(w - len(ids)), lambda x: 0), ' ') as padded, array_to_string(list_transform(ids, lambda x: 1) || list_transform(range(w - len(ids)), lambda x: 0), ' ') as mask, array_to_string(list_append(ids[2:], -100), ' ') as labels from g""")
 def pad_mask(spark, sf):
+    """Sentences padded to the longest of their batch; a document's sentences are a batch."""
     ids = C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
-    made = ids.select("doc_id", "pos", K.pad(F.col("ids"), 16).alias("padded"), K.mask(F.col("ids"), 16).alias("mask"), K.shifted_labels(F.col("ids")).alias("labels"))
-    return _shown(made, "padded", "mask", "labels")
+    return _shown(B.padded(ids, ["doc_id"]).select("doc_id", "pos", "padded", "mask", "labels"), "padded", "mask", "labels")
 
 
 @query(f"""with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1)::int as id from each left join vocab v using (token)), g as (select doc_id, pos, list(id order by i) as ids from e group by doc_id, pos),
@@ -222,7 +252,8 @@ def lit_cap_zero(spark, sf):
     return _shown(joined.select("doc_id", "pos", K.drop_literals(F.col("ids"), F.col("l"), F.array(F.lit(7), F.lit(8)), CAP).alias("ids")))
 
 
-@query()
+@query(f"""with {_top(CAP)}, s as (select token, id, row_number() over (order by id) as r, row_number() over (order by md5('11:' || token), token) as h from vocab where not starts_with(token, 'LIT:') and not starts_with(token, '['))
+    select v.token, v.id, coalesce(b.id, v.id) as new_id from vocab v left join s a using (token) left join s b on b.r = a.h""")
 def ids_permute(spark, sf):
     """A seeded permutation of the ids of structured tokens; literals and specials keep theirs."""
     return B.permuted(_vocab(spark, sf), seed=11)
