@@ -268,3 +268,53 @@ def test_facade(spark):
             api.tokenize(df, *bad)
     with pytest.raises(ValueError):
         api.encode(standard.select("id", "tokens"), vocab.filter("id > 1"))
+
+
+def test_sampling_from_the_best(spark):
+    rows = [(u / 10, [1.0, 3.0, 3.0, -2.0]) for u in range(10)]
+    df = spark.createDataFrame(rows, "u double, l array<double>")
+    made = df.select(S.sample_top(F.col("l"), F.col("u"), 1.0, 2).alias("two"), S.sample_top(F.col("l"), F.col("u"), 0.0).alias("greedy")).collect()
+    assert [r["two"] for r in made] == [1] * 6 + [2] * 4 and {r["greedy"] for r in made} == {1}
+    same = df.select(S.sample_top(F.col("l"), F.col("u"), 1.0, 1).alias("x")).distinct().collect()
+    assert [r["x"] for r in same] == [1]
+
+
+def test_answer_candidates(spark):
+    counts = spark.createDataFrame([("en", 1, t, n) for n, t in enumerate("f e d c b a".split())] + [("ar", 0, "z", 1), ("ar", 1, "z", 1)], "lang string, label int, token string, n long")
+    vocab = spark.createDataFrame([("c",), ("e",), ("no",), ("[UNK]",)], "token string")
+    made = {(r["lang"], r["label"]): (r["top"], r["chosen"]) for r in S.answer_candidates(counts, vocab, {1: ["[UNK]"], 0: ["maybe", "no"]}).collect()}
+    assert made == {("en", 1): (["a", "b", "c", "d", "e"], "c"), ("ar", 0): (["z"], "no"), ("ar", 1): (["z"], "z")}
+
+
+def test_candidates_are_scored_by_brute_force(spark):
+    from collections import Counter
+    from math import log
+
+    from tokenloom.operators import downstream as W
+
+    texts = ["a b c a b".split(), "b c".split(), ["a"]]
+    rows = [(1, ["x", "a"], [["b", "c"], ["c", "b"]], 0), (2, ["c"], [["q"], ["q"]], 1), (3, [], [["a"], ["b"]], 0), (4, ["a"], [["b"], []], 0), (5, list("abcab"), [["c", "z", "z"], ["c"]], 1)]
+    made = W.candidate_scores(spark.createDataFrame(rows, "id int, context array<string>, candidates array<array<string>>, gold int"), spark.createDataFrame([(t,) for t in texts], "tokens array<string>"), max_len=5)
+    pairs = Counter(p for t in texts for p in zip(t, t[1:]))
+    firsts = Counter(a for p in pairs.elements() for a in p[:1])
+    kinds = len({x for p in pairs for x in p})
+    got = {r["id"]: (r["nlls"], r["pred"]) for r in made.collect()}
+    assert set(got) == {1, 2, 5}
+    for i, context, candidates, _ in rows:
+        if i in got:
+            seqs = [context[-1:] + c[: max(5 - min(len(context), 3), 1)] for c in candidates]
+            want = [round(sum(-log((pairs[p] + 1) / (firsts[p[0]] + kinds)) for p in zip(s, s[1:])), 6) for s in seqs]
+            assert got[i] == (pytest.approx(want, abs=2e-6), want.index(min(want)))
+
+
+def test_runs_compared(spark):
+    streams = spark.createDataFrame([("g", "a", ["x", "x"], 4), ("g", "b", ["x", "y"], 4), ("h", "a", ["x"], 1)], "group string, name string, tokens array<string>, n_chars int")
+    made = S.compare_runs(S.unigram_runs(streams), "a", "b").collect()
+    assert [tuple(r) for r in made] == [("g", 0.0, 0.5, 100.0, 1.0, "a")]
+
+
+def test_caps_report_what_is_lost(spark):
+    counts = spark.createDataFrame([("ROOT:a", 5), ("LIT:b", 3), ("LIT:c", 2)], "token string, n long")
+    vocab = C.cap_vocabulary(counts, 4, policy="literal")
+    r = C.cap_report(counts, vocab, F.col("token").startswith("LIT:")).first()
+    assert (r["kinds"], r["kinds_kept"], r["dynamic_kept"], r["tokens"], r["dynamic_coverage"], r["unknown_rate"], r["size"]) == (3, 2, 1, 10, 0.6, 0.2, 4)

@@ -87,6 +87,16 @@ def score_languages(lexed: DataFrame) -> DataFrame:
     return scored.groupBy("lang").agg(F.sum(F.col("n") * F.col("nll")).alias("nll"), F.sum("n").alias("n_tokens"))
 
 
+def score_pairs(pairs: DataFrame, lexed: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with nll under the add-one bigram model of lexed; pairs that it never saw have one too."""
+    counted = shared.stored(_pairs(lexed, []).groupBy("a", "b").agg(F.count("*").alias("nab")))
+    firsts = counted.groupBy("a").agg(F.sum("nab").alias("na"))
+    size = counted.select("a").union(counted.select("b")).distinct().agg(F.count("*").alias("v"))  # one row
+    joined = pairs.join(counted, ["a", "b"], "left").join(firsts, "a", "left").join(F.broadcast(size))
+    p = (F.coalesce("nab", F.lit(0)) + 1.0) / (F.coalesce("na", F.lit(0)) + F.col("v"))
+    return joined.withColumn("nll", -F.log(p)).drop("nab", "na", "v")
+
+
 def word_sequences(aligned: DataFrame) -> DataFrame:
     """(word, tokens, n): each word's most common token sequence, of equal ones the first by name.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tokenloom.functions import text as T
+from tokenloom.operators import baselines as B
 from tokenloom.operators import shared
 
 
@@ -40,3 +41,20 @@ def summary(made: DataFrame, *, unknown: int = 1) -> DataFrame:
     counts = F.map_from_entries(F.array_sort(F.collect_list(F.struct("label", "n"))))
     rate = F.sum("n_unk") / F.greatest(F.sum("n_ids"), F.lit(1))
     return by.agg(F.lit("lm_scoring" if scored else "classification").alias("task"), F.sum("n").alias("n"), rate.alias("unk_rate"), (F.lit(None).cast("map<int,bigint>") if scored else counts).alias("label_counts"))
+
+
+def candidate_scores(df: DataFrame, lexed: DataFrame, *, max_len: int = 128) -> DataFrame:
+    """(id, gold, nlls, pred) from df (id, context, candidates, gold): the candidate with the least summed nll, of equal ones the first.
+
+    Contexts keep their last max_len - 2 tokens, candidates as many of their first as have room, one at least. The model is
+    the bigram model of lexed, so a candidate's first token is scored by the context's last. Rows with an empty part are left out.
+    """
+    whole = (F.size("context") > 0) & (F.size("candidates") > 0) & ~F.exists("candidates", lambda c: F.size(c) == 0)
+    room = F.greatest(F.lit(max_len) - F.least(F.size("context"), F.lit(max_len - 2)), F.lit(1))
+    last = F.slice("context", -1, 1)
+    each = df.filter(whole).select("id", "gold", room.alias("room"), last.alias("last"), F.posexplode("candidates").alias("k", "c"))
+    each = each.select("id", "gold", "k", F.concat("last", F.slice("c", F.lit(1), F.col("room"))).alias("tokens"))
+    scored = B.score_pairs(B._pairs(each, ["id", "gold", "k"]), lexed)
+    sums = scored.groupBy("id", "gold", "k").agg(F.round(F.sum("nll"), 6).alias("nll"))
+    made = sums.groupBy("id", "gold").agg(F.array_sort(F.collect_list(F.struct("k", "nll"))).alias("x"), F.min(F.struct("nll", "k")).alias("best"))  # a few candidates
+    return made.select("id", "gold", "x.nll", F.col("best.k").alias("pred")).withColumnRenamed("nll", "nlls")

@@ -171,3 +171,58 @@ def examples(rows: DataFrame, bucket: str, first: str, names: list[str], *, seen
     often = Window.partitionBy(bucket).orderBy(F.desc("n"), *names)
     kept = rows.withColumn("_r", F.row_number().over(early)).filter(F.col("_r") <= seen).drop("_r")
     return kept.withColumn("k", F.row_number().over(often)).filter(F.col("k") <= most)
+
+
+def sample_top(scores: Column, u: Column, temperature: float, top: int = 40) -> Column:
+    """The place, from 0, of one of the `top` best scores, drawn by u in [0, 1) from their softmax; at no temperature the best's.
+
+    Of equal scores the first is the better.
+    """
+    best = F.slice(F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("m"), i.alias("i")))), 1, 1 if temperature <= 0 else top)
+    first = F.get(best, F.lit(0))
+    if temperature <= 0:
+        return first["i"]
+    weight = F.transform(best, lambda b: F.exp((first["m"] - b["m"]) / temperature))
+
+    def total(w: Column) -> Column:
+        return F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
+
+    reached = F.transform(weight, lambda _, k: total(F.slice(weight, F.lit(1), k + 1)) >= u * total(weight))
+    return F.get(best, F.greatest(F.array_position(reached, True) - 1, F.lit(0)).cast("int"))["i"]
+
+
+def answer_candidates(counts: DataFrame, vocab: DataFrame, fallback: dict[int, list[str]], *, most: int = 5) -> DataFrame:
+    """(lang, label, top, chosen) from counts (lang, label, token, n): each group's most frequent tokens, and of them and the
+    label's fallbacks the first that the vocabulary (token) has, else the very first."""
+    order = Window.partitionBy("lang", "label").orderBy(F.desc("n"), "token")
+    ranked = counts.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("lang", "label", "token", "r")
+    rest = F.lit(None).cast("array<string>")
+    for label, tokens in fallback.items():
+        rest = F.when(F.col("label") == label, F.array(*map(F.lit, tokens))).otherwise(rest)
+    more = ranked.select("lang", "label").distinct().select("lang", "label", F.posexplode(rest).alias("r", "token")).select("lang", "label", "token", (F.col("r") + most + 1).alias("r"), F.lit(False).alias("seen"))
+    # a few rows for each group
+    each = F.broadcast(ranked.withColumn("seen", F.lit(True)).unionByName(more))
+    known = vocab.filter("token <> '[UNK]'").select("token", F.lit(True).alias("known"))
+    found = each.join(known, "token", "left").groupBy("lang", "label").agg(
+        F.array_sort(F.collect_list(F.when(F.col("seen"), F.struct("r", "token")))).alias("x"), F.min_by("token", F.struct(F.col("known").isNull(), F.col("r"))).alias("chosen"),
+    )
+    return found.select("lang", "label", F.col("x.token").alias("top"), F.when(F.size("x") > 0, F.col("chosen")).alias("chosen"))
+
+
+def unigram_runs(streams: DataFrame) -> DataFrame:
+    """(group, name, n, avg_tokens, bpc) from streams (group, name, tokens, n_chars): what each tokenizer's tokens cost by their own frequencies."""
+    sizes = streams.groupBy("group", "name").agg(F.count("*").alias("n"), F.sum(F.size("tokens")).alias("total"), F.sum("n_chars").alias("chars"))  # a row for each run
+    counts = streams.select("group", "name", F.explode("tokens").alias("token")).groupBy("group", "name", "token").agg(F.count("*").alias("k"))
+    bits = counts.join(F.broadcast(sizes), ["group", "name"]).groupBy("group", "name").agg(F.sum(-F.col("k") * F.log2(F.col("k") / F.col("total"))).alias("bits"))
+    return sizes.join(F.broadcast(bits), ["group", "name"]).select("group", "name", "n", (F.col("total") / F.col("n")).alias("avg_tokens"), (F.col("bits") / F.col("chars")).alias("bpc"))
+
+
+def compare_runs(runs: DataFrame, a: str, b: str) -> DataFrame:
+    """Two names of each group side by side: what a saves of b's bits per character in percent, the ratio of tokens, the winner."""
+    picked = [F.max(F.when(F.col("name") == name, F.struct("bpc", "avg_tokens"))).alias(side) for name, side in ((a, "_a"), (b, "_b"))]
+    both = runs.groupBy("group").agg(*picked).filter("_a is not null and _b is not null")
+    x, y = F.round("_a.bpc", 6), F.round("_b.bpc", 6)
+    return both.select(
+        "group", x.alias("bpc_a"), y.alias("bpc_b"), F.round(100 * (y - x) / y, 1).alias("delta_pct"), F.round(F.col("_a.avg_tokens") / F.col("_b.avg_tokens"), 2).alias("token_ratio"),
+        F.when(x < y, a).when(x > y, b).otherwise("tie").alias("winner"),
+    )

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
@@ -12,7 +13,7 @@ from tokenloom.operators import downstream as W
 from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
-from tokenloom.plans.vocabulary import CAP, _shown, _top, _vocab
+from tokenloom.plans.vocabulary import _BI, CAP, _shown, _top, _vocab
 
 
 def _predicted(spark, sf):
@@ -43,13 +44,20 @@ def agg_majority(spark, sf):
     return counts.groupBy("lang").agg(F.max_by("gold", F.struct("n", -F.col("gold"))).alias("majority"), (F.max("n") / F.sum("n")).alias("share"))
 
 
-@query("""with t as (select lang, quality, unnest(string_split(lower(text), ' ')) as token from documents join labels using (doc_id)), c as (select lang, quality, token, count(*) as n from t group by all)
-    select lang, quality, token, n from (select *, row_number() over (partition by lang, quality order by n desc, token) as r from c) where r <= 5""")
+FALLBACK = {1: ["ROOT:yes", "ROOT:true"], 0: ["REL:neg", "STR:neg:general", "ROOT:false"]}
+ANSWER_CAP = 12
+
+
+@query(f"""with {_top(ANSWER_CAP).replace('lexed', 'lexed_all')}, {D.REASON}, t as (select lang, quality as label, unnest(reasoning_tokens) as token from proj join labels using (doc_id)), c as (select lang, label, token, count(*) as n from t where token not in {D.items(L.SPECIALS)} group by all),
+    o as (select lang, label, token, row_number() over (partition by lang, label order by n desc, token) as r, true as seen from c), fall(label, token, r) as ({' union all '.join(f"select {k}, {D.quote(t)}, {i + 6}" for k, ts in FALLBACK.items() for i, t in enumerate(ts))}),
+    x as (select * from o where r <= 5 union all select distinct lang, o.label, fall.token, fall.r, false from o join fall using (label))
+    select lang, label, string_agg(token, ' ' order by r) filter (where seen) as top, arg_min(token, (token not in (select token from vocab where token <> '[UNK]'), r)) as chosen from x group by lang, label""")
 def agg_top5_answer_tokens(spark, sf):
-    docs = read(spark, sf, "documents").select("doc_id", "lang", F.split(F.lower("text"), " ").alias("t")).join(read(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    counts = docs.select("lang", "quality", F.explode("t").alias("token")).groupBy("lang", "quality", "token").agg(F.count("*").alias("n"))
-    best = Window.partitionBy("lang", "quality").orderBy(F.desc("n"), "token")
-    return counts.withColumn("r", F.row_number().over(best)).filter("r <= 5").drop("r")
+    """The five most common reasoning tokens of each language and label, and the first that a small vocabulary has."""
+    docs = C.sentences(read(spark, sf, "documents")).select("doc_id", "lang", K.reasoning_kept(K.lex_english(F.col("sent")), "en").alias("k")).select("doc_id", "lang", K.reasoning_collapse(F.col("k")).alias("tokens"))
+    labelled = docs.join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    counts = labelled.select("lang", "label", F.explode("tokens").alias("token")).filter(~F.col("token").isin(L.SPECIALS)).groupBy("lang", "label", "token").agg(F.count("*").alias("n"))
+    return _shown(S.answer_candidates(counts, _vocab(spark, sf, ANSWER_CAP), FALLBACK), "top")
 
 
 @query()
@@ -175,12 +183,17 @@ def agg_compare_bpc(spark, sf):
     return made.select("run", "own", "base", F.round("d", 4).alias("delta"), F.round(100 * F.col("d") / F.col("base"), 2).alias("pct"), winner.alias("winner"))
 
 
-@query("""with g as (select source, avg(n_chars) filter (where lang = 'en') as en, avg(n_chars) filter (where lang = 'fr') as fr from documents group by source)
-    select source, en, fr, case when en < fr then 'en' when en > fr then 'fr' when en = fr then 'tie' end as winner from g""")
+@query(f"""with {D.SENT}, {D.REASON}, st as (select lang as "group", 'default' as name, default_tokens as tokens, doc_id, pos from proj union all select lang, 'reasoning', reasoning_tokens, doc_id, pos from proj),
+    z as (select "group", name, count(*) as n, sum(len(tokens)) as total, sum(length(sent)) as chars from st join sent using (doc_id, pos) group by all), c as (select "group", name, token, count(*) as k from (select "group", name, unnest(tokens) as token from st) group by all),
+    b as (select "group", name, sum(-k * log2(k / total)) as bits from c join z using ("group", name) group by all), r as (select "group", name, round((bits / chars)::double, 6) as bpc, total / n as t from b join z using ("group", name)),
+    p as (select x."group" as "group", x.bpc as bpc_a, y.bpc as bpc_b, x.t / y.t as ratio from r x join r y on x."group" = y."group" and x.name = 'reasoning' and y.name = 'default')
+    select "group", bpc_a, bpc_b, round(100 * (bpc_b - bpc_a) / bpc_b, 1) as delta_pct, round(ratio, 2) as token_ratio, case when bpc_a < bpc_b then 'reasoning' when bpc_a > bpc_b then 'default' else 'tie' end as winner from p""")
 def agg_group_compare(spark, sf):
-    """Two groups side by side for each run: a pivot of a fixed list, so one pass."""
-    made = read(spark, sf, "documents").groupBy("source").agg(*(F.avg(F.when(F.col("lang") == x, F.col("n_chars"))).alias(x) for x in ("en", "fr")))
-    return made.withColumn("winner", F.when(F.col("en") < F.col("fr"), "en").when(F.col("en") > F.col("fr"), "fr").when(F.col("en") == F.col("fr"), "tie"))
+    """Two tokenizers side by side for each language: bits per character by their tokens' own frequencies, and token ratios."""
+    sents = C.sentences(read(spark, sf, "documents")).select("lang", F.length("sent").alias("n_chars"), K.lex_english(F.col("sent")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en"))
+    named = F.array(F.struct(F.lit("default").alias("name"), F.col("d").alias("tokens")), F.struct(F.lit("reasoning").alias("name"), K.reasoning_collapse(F.col("k")).alias("tokens")))
+    each = sents.select(F.col("lang").alias("group"), "n_chars", F.explode(named).alias("x")).select("group", "n_chars", "x.*")
+    return S.compare_runs(S.unigram_runs(each), "reasoning", "default")
 
 
 @query("select a.conv_id, a.turn, length(a.text) as own, length(b.text) as other from conversations a join conversations b on a.conv_id = b.conv_id and b.turn = a.turn + 1")
@@ -193,24 +206,22 @@ def join_zip_position(spark, sf):
 
 @query("""with s as (select vec_id, label, list_transform(embedding[1:5], lambda x: x::double) as l from embeddings), m as (select *, list_max(l) as mx from s), z as (select *, mx + ln(list_sum(list_transform(l, lambda x: exp(x - mx)))) as lse from m)
     select vec_id, (list_position(l, mx) - 1)::int as best, round(mx - lse, 6) as logp from z""")
-def score_candidates(spark, sf):
+def log_softmax(spark, sf):
     """Log-softmax of some scores and the best of them; of equal ones the first."""
     scores = read(spark, sf, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 5), lambda x: x.cast("double")).alias("l")).withColumn("m", F.array_max("l"))
     total = F.aggregate(F.transform("l", lambda x: F.exp(x - F.col("m"))), F.lit(0.0), lambda a, b: a + b)
     return scores.select("vec_id", (F.array_position("l", F.col("m")) - 1).cast("int").alias("best"), F.round(-F.log(total), 6).alias("logp"))
 
 
-@query("""with s as (select vec_id, list_reverse_sort(list_transform(embedding, lambda x: x::double))[1:4] as l from embeddings), e as (select vec_id, list_transform(l, lambda x: exp((x - l[1]) / 0.8)) as e from s)
-    select vec_id, round(e[1] / list_sum(e), 6) as p1, round(list_sum(e[1:2]) / list_sum(e), 6) as p12 from e""")
+@query("""with s as (select vec_id, list_transform(embedding, lambda x: x::double) as l from embeddings), o as (select vec_id, l, list_sort(list_transform(range(1, len(l) + 1), lambda i: {'m': -l[i], 'i': i - 1}))[1:40] as b from s),
+    w as (select vec_id, b, list_transform(b, lambda x: exp((b[1].m - x.m) / 0.8)) as w, ('0x' || md5('5:' || vec_id)[1:8])::bigint / 4294967296.0::double as u from o),
+    c as (select vec_id, b, list_position(list_transform(range(1, len(w) + 1), lambda k: list_sum(w[1:k]) >= u * list_sum(w)), true) as k from w)
+    select vec_id, b[1].i::int as greedy, b[greatest(coalesce(k, 1), 1)].i::int as sampled from c""")
 def topk_sampling(spark, sf):
-    """The probabilities of the two best of the top four scores at temperature 0.8."""
-    top = read(spark, sf, "embeddings").select("vec_id", F.slice(F.reverse(F.array_sort(F.transform("embedding", lambda x: x.cast("double")))), 1, 4).alias("l"))
-    e = top.select("vec_id", F.transform("l", lambda x: F.exp((x - F.get("l", F.lit(0))) / 0.8)).alias("e"))
-
-    def total(c):
-        return F.aggregate(c, F.lit(0.0), lambda a, b: a + b)
-
-    return e.select("vec_id", F.round(F.get("e", F.lit(0)) / total("e"), 6).alias("p1"), F.round(total(F.slice("e", 1, 2)) / total("e"), 6).alias("p12"))
+    """A seeded draw from the forty best scores at temperature 0.8, and the greedy choice."""
+    scores = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(5), "vec_id")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return scores.select("vec_id", S.sample_top(F.col("l"), F.lit(0.0), 0).cast("int").alias("greedy"), S.sample_top(F.col("l"), u, 0.8).cast("int").alias("sampled"))
 
 
 @query("""with e as (select user_id % 20 as bucket, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2) select bucket, count(*) as hours, max(n) as most from e group by bucket""")
@@ -258,6 +269,20 @@ def downstream_lm_scoring(spark, sf):
     return _shown(shown, "context_ids", "first", "second")
 
 
+MAX_LEN = 24
+
+
+@query(f"""with {_BI}, {_SCORED[:_SCORED.index(", part as")]}, c as (select id, gold, k, least(len(context), {MAX_LEN - 2}) as n, context[-1] as last, candidates[k + 1] as cand from asked, range(2) r(k) where len(context) > 0 and len(candidates[1]) > 0 and len(candidates[2]) > 0),
+    q as (select id, gold, k, [last] || cand[1:greatest({MAX_LEN} - n, 1)] as seq from c), p as (select id, gold, k, unnest(seq[1:len(seq) - 1]) as a, unnest(seq[2:]) as b from q),
+    s as (select id, gold, k, round(sum(-ln((coalesce(nab, 0) + 1.0) / (coalesce(na, 0) + v))), 6) as nll from p left join bi using (a, b) left join uni using (a), size group by id, gold, k)
+    select id, gold, round(max(case when k = 0 then nll end), 4) as nll_first, round(max(case when k = 1 then nll end), 4) as nll_second, arg_min(k, (nll, k))::int as pred from s group by id, gold""")
+def score_candidates(spark, sf):
+    """Candidates scored behind their contexts by a bigram model of the documents, in place of a neural one; the least nll wins."""
+    lexed = C.sentences(read(spark, sf, "documents")).select(K.lex_english(F.col("sent")).alias("tokens"))
+    made = W.candidate_scores(_asked(spark, sf), lexed, max_len=MAX_LEN)
+    return made.select("id", "gold", *(F.round(F.get("nlls", F.lit(i)), 4).alias(n) for i, n in enumerate(("nll_first", "nll_second"))), "pred")
+
+
 @query(f"""with {_top(CAP)}, {_LABELLED}, e as (select id, label, coalesce(v.id2, 1) as x from (select id, label, unnest(toks) as token from labelled) left join (select token, id as id2 from vocab) v using (token)), {_SCORED},
     f as (select id, coalesce(v.id2, 1) as x from (select id, unnest(toks) as token from part semi join whole using (id)) left join (select token, id as id2 from vocab) v using (token))
     select 'classification' as task, count(distinct id) as n, round(count(*) filter (where x = 1) / count(*), 9) as unk_rate, (select string_agg(label || ':' || n, ' ' order by label) from (select label, count(distinct id) as n from e group by label)) as labels from e
