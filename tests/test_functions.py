@@ -273,10 +273,11 @@ def test_facade(spark):
 def test_sampling_from_the_best(spark):
     rows = [(u / 10, [1.0, 3.0, 3.0, -2.0]) for u in range(10)]
     df = spark.createDataFrame(rows, "u double, l array<double>")
-    made = df.select(S.sample_top(F.col("l"), F.col("u"), 1.0, 2).alias("two"), S.sample_top(F.col("l"), F.col("u"), 0.0).alias("greedy")).collect()
+    u = F.col("u")
+    made = S.sample_top(S.sample_top(df, "l", "two", u, top=2), "l", "greedy", temperature=0).collect()
     assert [r["two"] for r in made] == [1] * 6 + [2] * 4 and {r["greedy"] for r in made} == {1}
-    same = df.select(S.sample_top(F.col("l"), F.col("u"), 1.0, 1).alias("x")).distinct().collect()
-    assert [r["x"] for r in same] == [1]
+    assert {r["x"] for r in S.sample_top(df, "l", "x", u, top=1).collect()} == {1}
+    assert S.sample_top(df.limit(1).withColumn("l", F.array().cast("array<double>")), "l", "x", u).first()["x"] is None
 
 
 def test_answer_candidates(spark):

@@ -173,22 +173,21 @@ def examples(rows: DataFrame, bucket: str, first: str, names: list[str], *, seen
     return kept.withColumn("k", F.row_number().over(often)).filter(F.col("k") <= most)
 
 
-def sample_top(scores: Column, u: Column, temperature: float, top: int = 40) -> Column:
-    """The place, from 0, of one of the `top` best scores, drawn by u in [0, 1) from their softmax; at no temperature the best's.
+def sample_top(df: DataFrame, scores: str, name: str, u: Column | None = None, *, temperature: float = 1.0, top: int = 40) -> DataFrame:
+    """df with `name`: the place, from 0, of one of the `top` best scores, drawn by u in [0, 1) from their softmax; at no temperature the best's.
 
-    Of equal scores the first is the better.
+    Of equal scores the first is the better. Each step is a projection of its own, so that none is evaluated again for every score.
     """
-    best = F.slice(F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("m"), i.alias("i")))), 1, 1 if temperature <= 0 else top)
-    first = F.get(best, F.lit(0))
     if temperature <= 0:
-        return first["i"]
-    weight = F.transform(best, lambda b: F.exp((first["m"] - b["m"]) / temperature))
-
-    def total(w: Column) -> Column:
-        return F.aggregate(w, F.lit(0.0), lambda a, b: a + b)
-
-    reached = F.transform(weight, lambda _, k: total(F.slice(weight, F.lit(1), k + 1)) >= u * total(weight))
-    return F.get(best, F.greatest(F.array_position(reached, True) - 1, F.lit(0)).cast("int"))["i"]
+        return df.withColumn(name, F.array_position(scores, F.array_max(scores)).cast("int") - 1)
+    best = F.slice(F.array_sort(F.transform(scores, lambda x, i: F.struct((-x).alias("m"), i.alias("i")))), 1, top)
+    made = df.withColumn("_b", best).withColumn("_m", F.get("_b", F.lit(0))["m"])
+    made = made.withColumn("_w", F.transform("_b", lambda b: F.exp((F.col("_m") - b["m"]) / temperature))).withColumn("_r", u * F.aggregate("_w", F.lit(0.0), lambda a, b: a + b))
+    # how many sums of the first weights stay below the drawn share
+    below = F.aggregate("_w", F.struct(F.lit(0.0).alias("c"), F.lit(0).alias("n")), lambda a, w: F.struct((a["c"] + w).alias("c"), (a["n"] + (a["c"] + w < F.col("_r")).cast("int")).alias("n")))
+    made = made.withColumn("_n", below["n"])
+    at = F.when(F.col("_n") < F.size("_b"), F.col("_n")).otherwise(0)
+    return made.withColumn(name, F.get("_b", at)["i"].cast("int")).drop("_b", "_m", "_w", "_r", "_n")
 
 
 def answer_candidates(counts: DataFrame, vocab: DataFrame, fallback: dict[int, list[str]], *, most: int = 5) -> DataFrame:

@@ -221,7 +221,8 @@ def topk_sampling(spark, sf):
     """A seeded draw from the forty best scores at temperature 0.8, and the greedy choice."""
     scores = read(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("l"))
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(5), "vec_id")), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return scores.select("vec_id", S.sample_top(F.col("l"), F.lit(0.0), 0).cast("int").alias("greedy"), S.sample_top(F.col("l"), u, 0.8).cast("int").alias("sampled"))
+    made = S.sample_top(S.sample_top(scores, "l", "greedy", temperature=0), "l", "sampled", u, temperature=0.8)
+    return made.select("vec_id", "greedy", "sampled")
 
 
 @query("""with e as (select user_id % 20 as bucket, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2) select bucket, count(*) as hours, max(n) as most from e group by bucket""")
@@ -275,12 +276,12 @@ MAX_LEN = 24
 @query(f"""with {_BI}, {_SCORED[:_SCORED.index(", part as")]}, c as (select id, gold, k, least(len(context), {MAX_LEN - 2}) as n, context[-1] as last, candidates[k + 1] as cand from asked, range(2) r(k) where len(context) > 0 and len(candidates[1]) > 0 and len(candidates[2]) > 0),
     q as (select id, gold, k, [last] || cand[1:greatest({MAX_LEN} - n, 1)] as seq from c), p as (select id, gold, k, unnest(seq[1:len(seq) - 1]) as a, unnest(seq[2:]) as b from q),
     s as (select id, gold, k, round(sum(-ln((coalesce(nab, 0) + 1.0) / (coalesce(na, 0) + v))), 6) as nll from p left join bi using (a, b) left join uni using (a), size group by id, gold, k)
-    select id, gold, round(max(case when k = 0 then nll end), 4) as nll_first, round(max(case when k = 1 then nll end), 4) as nll_second, arg_min(k, (nll, k))::int as pred from s group by id, gold""")
+    select id, gold, max(case when k = 0 then nll end) as nll_first, max(case when k = 1 then nll end) as nll_second, arg_min(k, (nll, k))::int as pred from s group by id, gold""")
 def score_candidates(spark, sf):
     """Candidates scored behind their contexts by a bigram model of the documents, in place of a neural one; the least nll wins."""
     lexed = C.sentences(read(spark, sf, "documents")).select(K.lex_english(F.col("sent")).alias("tokens"))
     made = W.candidate_scores(_asked(spark, sf), lexed, max_len=MAX_LEN)
-    return made.select("id", "gold", *(F.round(F.get("nlls", F.lit(i)), 4).alias(n) for i, n in enumerate(("nll_first", "nll_second"))), "pred")
+    return made.select("id", "gold", *(F.get("nlls", F.lit(i)).alias(n) for i, n in enumerate(("nll_first", "nll_second"))), "pred")
 
 
 @query(f"""with {_top(CAP)}, {_LABELLED}, e as (select id, label, coalesce(v.id2, 1) as x from (select id, label, unnest(toks) as token from labelled) left join (select token, id as id2 from vocab) v using (token)), {_SCORED},
