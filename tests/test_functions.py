@@ -319,3 +319,14 @@ def test_caps_report_what_is_lost(spark):
     vocab = C.cap_vocabulary(counts, 4, policy="literal")
     r = C.cap_report(counts, vocab, F.col("token").startswith("LIT:")).first()
     assert (r["kinds"], r["kinds_kept"], r["dynamic_kept"], r["tokens"], r["dynamic_coverage"], r["unknown_rate"], r["size"]) == (3, 2, 1, 10, 0.6, 0.2, 4)
+
+
+def test_gloss_fields(spark):
+    from tokenloom.operators import arabic as A
+
+    rows = [
+        ("شَرِبَ", "food", "to drink, then open the name", "", [], "ش.ر.ب", "open"), ("كتاب", None, "nothing", "", ["works", "كتاب", "heal"], "ك.ت.ا.ب", "body"), ("مدرسة", "science", "reopened", "", [], None, "science"),
+        (None, "everyday", None, None, None, None, None), ("قل", "home", "", "work", ["write"] * 7, None, "write"), ("بيت", "home", "", "", ["x"] * 6 + ["write"], "ب.ي.ت", "dwell"),
+    ]
+    df = spark.createDataFrame(rows, "arabic string, domain string, covers string, semantic_field string, keywords array<string>, r string, f string")
+    assert all((x["root"], x["field"]) == (x["r"], x["f"]) for x in A.gloss_fields(df, {"heal": "body"}).collect())

@@ -59,3 +59,19 @@ ROOTS = {
     "ف.ت.ح": "open", "ح.ك.م": "govern", "أ.ك.ل": "food", "ب.ي.ت": "dwell", "ط.ل.ب": "want", "ح.ر.ب": "fight", "ك.ب.ر": "size", "و.ق.ت": "time",
 }
 FIELDS = "root pattern pos lex prc0 prc1 prc2 prc3 enc0 asp per gen num".split()
+
+# Fields in the order in which a gloss is searched for their names, and fields of an entry's domain.
+GLOSS_FIELDS = [
+    "write", "know", "speak", "think", "see", "feel", "move", "give", "take",
+    "make", "destroy", "change", "exist", "time", "place", "possess", "trade",
+    "fight", "enable", "govern", "create", "force", "body", "food", "nature",
+    "weather", "animal", "plant", "color", "size", "measure", "connect",
+    "contain", "open", "hold", "hide", "gather", "send", "social", "dwell",
+    "need", "want", "decide", "fix", "rest", "person", "name", "art",
+    "science", "tech", "material", "structure", "quality", "sport", "work",
+]
+DOMAIN_FIELDS = {
+    "communication": "speak", "cognition": "know", "creation": "create", "transformation": "change", "movement": "move", "perception": "see", "possession": "possess", "social": "social",
+    "abstract": "think", "body": "body", "health": "body", "character": "quality", "culture": "art", "economy": "trade", "food": "food", "home": "dwell", "governance": "govern",
+    "nature": "nature", "physical": "material", "relations": "connect", "science": "science",
+}

@@ -195,3 +195,26 @@ def legacy_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame) -> Da
     return words.select("word").distinct().join(first, "word", "left").select(
         "word", F.when(function, F.concat(F.lit("FUNC:"), "word")).when(F.col("field").isNotNull(), F.concat(F.lit("ROOT:"), "field")).otherwise(F.concat(F.lit("SURF:"), "word")).alias("token")
     )
+
+
+def dotted_root(arabic: Column) -> Column:
+    """The three or four letters of a root with dots between them, without vowel marks; null for other numbers of letters."""
+    bare = F.regexp_replace(arabic, r"[\u064B-\u0652\u0670\s]", "")
+    letters = F.regexp_extract_all(bare, F.lit(r"[\u0600-\u06FF]"), F.lit(0))
+    return F.when(F.size(letters).between(3, 4), F.array_join(letters, "."))
+
+
+def gloss_fields(entries: DataFrame, lemmas: dict[str, str]) -> DataFrame:
+    """entries (arabic, domain, covers, semantic_field, keywords) with root, their dotted root, and field.
+
+    The field is the first one, in the order of the list, whose name stands in the gloss; else that of the gloss's first
+    word in lemmas; else that of the domain; else null. Of the keywords the first six count, but for those with Arabic letters.
+    """
+    keywords = F.filter(F.slice("keywords", 1, 6), lambda k: ~k.rlike(r"[\u0600-\u06FF]"))
+    made = entries.withColumn("_text", F.lower(F.concat_ws(" ", F.coalesce("covers", F.lit("")), F.coalesce("semantic_field", F.lit("")), F.coalesce(keywords, F.array().cast("array<string>")))))
+    made = made.withColumns({"_words": F.split("_text", r"[^\p{L}\p{N}_]+"), "_tokens": F.regexp_extract_all("_text", F.lit("[a-z]+"), F.lit(0))})
+    named = F.get(F.filter(F.array(*map(F.lit, A.GLOSS_FIELDS)), lambda f: F.array_contains("_words", f)), F.lit(0))
+    find = T.hashed(lemmas)
+    known = F.get(F.filter(F.transform("_tokens", lambda t: find(t)), lambda x: x.isNotNull()), F.lit(0))
+    domain = F.try_element_at(F.create_map(*(F.lit(x) for kv in A.DOMAIN_FIELDS.items() for x in kv)), F.col("domain"))
+    return made.withColumns({"root": dotted_root(F.col("arabic")), "field": F.coalesce(named, known, domain)}).drop("_text", "_words", "_tokens")

@@ -122,18 +122,24 @@ def en_reason_dep(spark, sf):
     return readers.dependency_tokens(parsed).select("sent", F.array_join("tokens", " ").alias("tokens"))
 
 
-GLOSSES = [("to write or know", "write"), ("a kind of dog", "animal"), ("unheard of", "know"), ("a place of food", "place")]
-_NAMES = sorted(set(L.FIELDS.values()))
+#: root, domain, gloss, field name given, keywords
+GLOSSES = [
+    ("كتب", "communication", "to know or write", "", ["record"]), ("كَلْب", "nature", "a kind of dog", "", ["pet"]), ("علم", "cognition", "unheard of", "", ["تعليم", "wisdom", "x"]), ("طعم", "everyday", "something", "", []),
+    ("سوق", "economy", "a stall", "trading", ["books"]), ("درج", "movement", "a_move stairs", "", ["a", "b", "c", "d", "e", "f", "food"]), ("و", "home", "and", "", ["dwell"]), ("استفعل", "abstract", "", "", []),
+]
+_ENTRIES = "entry as (select * from (values " + ", ".join(f"({D.quote(a)}, {D.quote(d)}, {D.quote(c)}, {D.quote(f)}, [{', '.join(map(D.quote, k))}]::varchar[])" for a, d, c, f, k in GLOSSES) + ") v(arabic, domain, covers, semantic_field, keywords) union all select null, lang, text, source, []::varchar[] from documents)"
 
 
-@query(f"select * from ({D.values(GLOSSES)}) v(gloss, field)")
+@query(f"""with {_ENTRIES}, t as (select *, lower(coalesce(covers, '') || ' ' || semantic_field || ' ' || array_to_string(list_filter(keywords[1:6], lambda k: not regexp_matches(k, '[؀-ۿ]')), ' ')) as x from entry),
+    w as (select *, string_split_regex(x, '[^\\p{{L}}\\p{{N}}_]+') as words, list_transform(regexp_extract_all(x, '[a-z]+'), lambda t: {D.case('t', L.FIELDS, 'null')}) as known, regexp_extract_all(regexp_replace(arabic, '[\\x{{064B}}-\\x{{0652}}\\x{{0670}}\\s]', '', 'g'), '[؀-ۿ]') as letters from t)
+    select case when len(letters) between 3 and 4 then array_to_string(letters, '.') end as root, domain, count(*) as n, coalesce(list_filter([{', '.join(map(D.quote, A.GLOSS_FIELDS))}], lambda f: list_contains(words, f))[1], list_filter(known, lambda k: k is not null)[1], {D.case('domain', A.DOMAIN_FIELDS, 'null')}) as field
+    from w group by all""")
 def aae_root_classify(spark, sf):
-    """Field of a free gloss: a field's own name first, in the order of the text; then a known lemma; else a default."""
-    words = F.split(F.lower("gloss"), " ")
-    named = F.filter(words, lambda w: w.isin(_NAMES))
-    known = F.transform(F.filter(words, lambda w: w.isin(list(L.FIELDS))), lambda w: T.lookup(L.FIELDS, w, w))
-    guess = F.coalesce(F.get(named, F.lit(0)), F.get(known, F.lit(0)), F.lit("know"))
-    return C.table(spark, [(g,) for g, _ in GLOSSES], "gloss string").select("gloss", guess.alias("field"))
+    """Dotted roots and fields of dictionary entries and, as glosses without roots, of whole documents, counted."""
+    entries = C.table(spark, GLOSSES, "arabic string, domain string, covers string, semantic_field string, keywords array<string>")
+    docs = read(spark, sf, "documents").select(F.lit(None).cast("string").alias("arabic"), F.col("lang").alias("domain"), F.col("text").alias("covers"), F.col("source").alias("semantic_field"), F.array().cast("array<string>").alias("keywords"))
+    made = R.gloss_fields(entries.unionByName(docs), L.FIELDS)
+    return made.groupBy("root", "domain", "field").agg(F.count("*").alias("n"))
 
 
 SURFACES = [("12", "num"), ("abc", "foreign"), ("aكتب", "mixed_script"), ("--", "punct_only"), ("ك", "single_char"), ("كتب", "short_arabic"), ("مكتبة", "arabic_4plus"), ("كِتَ", "short_arabic")]
@@ -168,6 +174,7 @@ def _outcomes(spark):
     return found.join(closure, F.col("root") == F.col("_root"), "left").select("word", "root", outcome.alias("outcome"))
 
 
+_MISSED_ROOTS = [("ح.م.د", 1), ("ص.غ.ر", 1)]
 _MISSED = [("function", 8), ("root_field", 7), ("root_no_field", 2), ("no_root", 6)]
 
 
@@ -179,6 +186,13 @@ def agg_missed_roots(spark, sf):
     return by.join(F.broadcast(total)).select("outcome", "n", F.floor(F.col("n") * 100 / F.col("total")).alias("pct"))
 
 
+@query(f"select * from ({D.values(_MISSED_ROOTS)}) v(root, n)")
+def agg_top_missed_roots(spark, sf):
+    """The thirty most frequent roots that no field has."""
+    counts = _outcomes(spark).filter("outcome = 'root_no_field'").groupBy("root").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "root").limit(30)
+
+
 @query(f"with {D.SENT}, {D.REASON}, l as (select lang, avg(len(default_tokens)) as d, avg(len(reasoning_tokens)) as r from proj group by lang) select a.lang as lang, b.lang as other, a.d / b.d as ratio_default, a.r / b.r as ratio_reasoning from l a join l b on a.lang < b.lang")
 def cross_lingual_table(spark, sf):
     lexed = C.sentences(read(spark, sf, "documents")).select("lang", K.lex_english(F.col("sent")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en"))
