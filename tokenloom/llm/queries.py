@@ -17,6 +17,9 @@ _BY_MODULE = {
     "licenses": "op3_license_scan",
     "quality": "op1_quality",
     "packing": "op5_best_fit_packing",
+    "partenum": "op11_jaccard_join",
+    "codes": "op12_vector_codes",
+    "resample": "op13_resampling",
 }
 
 
