@@ -18,12 +18,13 @@ def _checked(lang: str, level: str) -> None:
         raise ValueError(f"level must be one of {LEVELS}, not {level!r}")
 
 
-def _standard(df: DataFrame, lang: str, level: str, analyses: DataFrame | None, roots: DataFrame | None, lexicon: corpus.Lexicon | None) -> DataFrame:
+def _standard(df: DataFrame, lang: str, level: str, analyses: DataFrame | None, roots: DataFrame | None, lexicon: corpus.Lexicon | arabic.Lexicon | None) -> DataFrame:
     """(id, tokens) between [BOS] and [EOS]. The reasoning level of English has a lexer of its own; all else starts from the tokenizer."""
     if lang == "ar":
         if analyses is None:
             raise ValueError("Arabic needs a table of analyses")
-        return arabic.tokenize(df.select("id", "text"), analyses, arabic.root_table(df.sparkSession) if roots is None else roots).select("id", "tokens")
+        own = lexicon if isinstance(lexicon, arabic.Lexicon) else None
+        return arabic.tokenize(df.select("id", "text"), analyses, roots, lexicon=own).select("id", "tokens")
     if level == "reasoning":
         return df.select("id", K.lex_english(F.col("text")).alias("tokens"))
     return corpus.tokenize_texts(df, atomic=True, lexicon=lexicon).select("id", K.wrap(F.col("tokens")).alias("tokens"))
@@ -41,7 +42,7 @@ def project(df: DataFrame, level: str, lang: str = "en") -> DataFrame:
 
 
 def tokenize(
-    df: DataFrame, lang: str, level: str = "standard", *, add_bos_eos: bool = True, analyses: DataFrame | None = None, roots: DataFrame | None = None, lexicon: corpus.Lexicon | None = None, vocab: DataFrame | None = None
+    df: DataFrame, lang: str, level: str = "standard", *, add_bos_eos: bool = True, analyses: DataFrame | None = None, roots: DataFrame | None = None, lexicon: corpus.Lexicon | arabic.Lexicon | None = None, vocab: DataFrame | None = None
 ) -> DataFrame:
     """(id, lang, level, tokens, ids, meta) of sentences (id, text), a row for each; ids are null without a vocabulary (token, id).
 

@@ -10,17 +10,29 @@ MARKS = {
 
 # Words that stand for a relation.
 RELATIONS = {
-    "في": "REL:in", "من": "REL:from", "إلى": "REL:to", "على": "REL:on", "عن": "REL:about", "مع": "REL:with", "بين": "REL:between", "حول": "REL:around", "خلال": "REL:through",
-    "منذ": "REL:since", "حتى": "REL:until", "نحو": "REL:to", "لدى": "REL:at", "عند": "REL:at", "فوق": "REL:above", "تحت": "REL:under", "أمام": "REL:infront", "خلف": "REL:behind",
-    "بعد": "REL:after", "قبل": "REL:before", "دون": "REL:without", "ضد": "REL:against", "عبر": "REL:across", "ضمن": "REL:within", "لأجل": "REL:for", "بما": "REL:with",
-    "أو": "REL:or", "ثم": "REL:then", "لكن": "REL:but", "بل": "REL:instead", "أم": "REL:or", "إذ": "REL:as", "كي": "REL:for", "حيث": "REL:where", "لأن": "REL:causes",
-    "بينما": "REL:contrast", "كما": "REL:like", "مثل": "REL:like", "حين": "REL:when", "عندما": "REL:when", "لما": "REL:when", "إلا": "REL:except", "سوى": "REL:except",
-    "هذا": "REL:this", "هذه": "REL:this", "ذلك": "REL:those", "تلك": "REL:those", "الذي": "REL:which", "التي": "REL:which", "الذين": "REL:who", "هؤلاء": "REL:these",
-    "كل": "REL:all", "بعض": "REL:some", "أي": "REL:any", "غير": "REL:unlike", "جميع": "REL:all", "معظم": "REL:most", "عدة": "REL:several", "كثير": "REL:many", "قليل": "REL:few",
-    "أكثر": "REL:more", "أحد": "REL:some", "أقل": "REL:less", "إنما": "REL:only", "أيضا": "REL:also", "جدا": "REL:emphasis", "فقط": "REL:only", "تقريبا": "REL:almost", "حاليا": "REL:now",
+    "في": "REL:in", "من": "REL:from", "إلى": "REL:to", "على": "REL:on", "عن": "REL:about", "مع": "REL:with", "بين": "REL:between", "حول": "REL:around",
+    "خلال": "REL:through", "منذ": "REL:since", "حتى": "REL:until", "نحو": "REL:to", "لدى": "REL:at", "عند": "REL:at", "فوق": "REL:above", "تحت": "REL:under",
+    "أمام": "REL:infront", "خلف": "REL:behind", "بعد": "REL:after", "قبل": "REL:before", "دون": "REL:without", "ضد": "REL:against", "عبر": "REL:across",
+    "ضمن": "REL:within", "لأجل": "REL:for", "بما": "REL:with", "و": "REL:and", "أو": "REL:or", "ثم": "REL:then", "لكن": "REL:but", "بل": "REL:instead", "أم": "REL:or",
+    "إذ": "REL:as", "كي": "REL:for", "حيث": "REL:where", "لأن": "REL:causes", "بينما": "REL:contrast", "كما": "REL:like", "مثل": "REL:like", "حين": "REL:when",
+    "عندما": "REL:when", "لما": "REL:when", "لكنّ": "REL:but", "لكنه": "REL:but", "لكنها": "REL:but", "كأن": "REL:like", "كأنّ": "REL:like", "كأنه": "REL:like",
+    "كأنها": "REL:like", "لعلّ": "REL:maybe", "لعله": "REL:maybe", "لعلها": "REL:maybe", "إلا": "REL:except", "سوى": "REL:except", "عدا": "REL:except",
+    "خلا": "REL:except", "هذا": "REL:this", "هذه": "REL:this", "ذلك": "REL:those", "تلك": "REL:those", "الذي": "REL:which", "التي": "REL:which", "الذين": "REL:who",
+    "اللذين": "REL:who", "اللاتي": "REL:who", "ما": "REL:what", "هؤلاء": "REL:these", "كل": "REL:all", "بعض": "REL:some", "أي": "REL:any", "غير": "REL:unlike",
+    "كلا": "REL:both", "جميع": "REL:all", "سائر": "REL:all", "معظم": "REL:most", "أغلب": "REL:most", "عدة": "REL:several", "كثير": "REL:many", "قليل": "REL:few",
+    "أكثر": "REL:more", "أحد": "REL:some", "أقل": "REL:less", "إنما": "REL:only", "إنّما": "REL:only", "أيضا": "REL:also", "أيضاً": "REL:also", "جدا": "REL:emphasis",
+    "جداً": "REL:emphasis", "فقط": "REL:only", "تقريبا": "REL:almost", "تقريباً": "REL:almost", "حاليا": "REL:now", "حالياً": "REL:now",
 }
-LITERALS = ["هو", "هي", "هم", "هن", "أنا", "نحن", "أنت", "أنتم", "أنتن", "هما", "نفس", "ذات", "إن", "أن", "لعل", "يا"]
+
+# Words that stay literals.
+LITERALS = [
+    "هو", "هي", "هم", "هن", "أنا", "نحن", "أنت", "أنتم", "أنتِ", "أنتن", "أنتنّ", "هما", "نفس", "ذات", "إن", "أن", "أنّ", "لعل", "يا",
+]
+
+# Numerals.
 NUMERALS = ["واحد", "اثنان", "ثلاثة", "أربعة", "خمسة", "ستة", "سبعة", "ثمانية", "تسعة", "عشرة", "عشر", "مئة", "مائة", "ألف", "مليون", "ثلث"]
+
+# Months.
 MONTHS = {
     "يناير": "jan", "فبراير": "feb", "شباط": "feb", "مارس": "mar", "آذار": "mar", "أبريل": "apr", "نيسان": "apr", "مايو": "may", "أيار": "may", "يونيو": "jun", "حزيران": "jun",
     "يوليو": "jul", "تموز": "jul", "أغسطس": "aug", "آب": "aug", "سبتمبر": "sep", "أيلول": "sep", "أكتوبر": "oct", "نوفمبر": "nov", "ديسمبر": "dec",
@@ -33,8 +45,12 @@ PATTERNS = {
     "ت12ي3": "instance", "ان12ا3": "instance", "ا1ت2ا3": "instance", "است12ا3": "instance", "ت1ا23": "mutual", "م1ا23ة": "process", "م1ا23ه": "process", "م12ّ3": "causer", "مست123": "seeker",
     "12ي3": "quality", "12ي3ة": "quality", "12ي3ه": "quality", "123ان": "quality", "123ى": "quality",
 }
+
+# Roles of parts of speech.
 POS_ROLES = {"adj": "quality", "adj_comp": "quality", "adj_num": "quality"}
+# Roles of a root with a pattern.
 ROOT_PATTERN_ROLES = {("ش.ف.ي", "مست123"): "place"}
+# What stands for no root.
 NO_ROOTS = ["NTWS", "PUNC", "DIGIT", "FOREIGN"]
 
 # Clitics by slot, in reading order.
@@ -48,6 +64,8 @@ CLITICS = {
     "prc0": {"Al_det": ["FEAT:def"], "AlmA_neg": ["FEAT:def", "STR:neg:general"], "mA_neg": ["STR:neg:general"], "ma_neg": ["STR:neg:general"], "lA_neg": ["STR:neg:general"]},
     "prc3": {">a_ques": ["STR:question"]},
 }
+
+# Persons.
 PERSONS = ["1s", "1p", "2d", "2p", "2ms", "2fs", "2mp", "2fp", "3d", "3p", "3ms", "3fs", "3mp", "3fp"]
 
 # Fixed value: letters that a weak place # may stand for, in order.
@@ -60,7 +78,7 @@ ROOTS = {
 }
 FIELDS = "root pattern pos lex prc0 prc1 prc2 prc3 enc0 asp per gen num".split()
 
-# Fields in the order in which a gloss is searched for their names, and fields of an entry's domain.
+# Fields in the order in which a gloss is searched for their names.
 GLOSS_FIELDS = [
     "write", "know", "speak", "think", "see", "feel", "move", "give", "take",
     "make", "destroy", "change", "exist", "time", "place", "possess", "trade",
@@ -70,6 +88,7 @@ GLOSS_FIELDS = [
     "need", "want", "decide", "fix", "rest", "person", "name", "art",
     "science", "tech", "material", "structure", "quality", "sport", "work",
 ]
+# Fields of an entry's domain.
 DOMAIN_FIELDS = {
     "communication": "speak", "cognition": "know", "creation": "create", "transformation": "change", "movement": "move", "perception": "see", "possession": "possess", "social": "social",
     "abstract": "think", "body": "body", "health": "body", "character": "quality", "culture": "art", "economy": "trade", "food": "food", "home": "dwell", "governance": "govern",

@@ -2,18 +2,33 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon_ar as A
 from tokenloom.functions import text as T
-from tokenloom.operators import shared
+from tokenloom.operators import codec, shared
 
 ANALYSES = "word string, analyses array<struct<" + ", ".join(f"{f}: string" for f in A.FIELDS) + ">>"
 SPLIT = "([؀-ۿݐ-ݿ]+|[A-Za-z][A-Za-z\\-']*|[0-9٠-٩۰-۹][0-9٠-٩۰-۹.,٫]*[%٪]?)"
 NUMERAL = "^[0-9٠-٩۰-۹]"
 
 
+@dataclass
+class Lexicon:
+    """What the Arabic tokenizer knows. Closed tables are Python values; roots (root, field) is a DataFrame of any size, None the own small one."""
+
+    marks: dict[str, str] = field(default_factory=lambda: A.MARKS)
+    relations: dict[str, str] = field(default_factory=lambda: A.RELATIONS)
+    literals: list[str] = field(default_factory=lambda: A.LITERALS)
+    numerals: list[str] = field(default_factory=lambda: A.NUMERALS)
+    months: dict[str, str] = field(default_factory=lambda: A.MONTHS)
+    patterns: dict[str, str] = field(default_factory=lambda: A.PATTERNS)
+    roots: DataFrame | None = None
+
+
 def _none() -> Column:
     return F.array().cast("array<string>")
 
@@ -27,9 +42,10 @@ def split(sentence: Column) -> Column:
     return F.regexp_extract_all(sentence, F.lit(SPLIT), F.lit(1))
 
 
-def marks(sentence: Column) -> Column:
+def marks(sentence: Column, lexicon: Lexicon | None = None) -> Column:
     """Sentence marks in the order of their first words, then question and emphasis by the last character."""
-    found = F.transform(F.transform(split(sentence), T.strip_arabic), lambda w: T.any_of([(w == k, v) for k, v in A.MARKS.items()], F.lit(None).cast("string")))
+    known = (lexicon or Lexicon()).marks
+    found = F.transform(F.transform(split(sentence), T.strip_arabic), lambda w: T.any_of([(w == k, v) for k, v in known.items()], F.lit(None).cast("string")))
     end = F.rtrim(sentence)
     asked = F.when(end.endswith("؟") | end.endswith("?"), F.lit("STR:question"))
     return F.array_distinct(F.array_compact(F.concat(found, F.array(asked, F.when(end.endswith("!"), F.lit("STR:emphasis"))))))
@@ -57,10 +73,10 @@ def pattern(a: Column) -> Column:
     return F.translate(T.strip_vowels(F.coalesce(a["pattern"], F.lit(""))), "ٱ", "ا")
 
 
-def role(a: Column) -> Column:
+def role(a: Column, lexicon: Lexicon | None = None) -> Column:
     """By pattern, else by part of speech; some roots with some patterns have a role of their own."""
     shape = pattern(a)
-    made = T.any_of([(shape == k, v) for k, v in A.PATTERNS.items()], T.any_of([(a["pos"] == k, v) for k, v in A.POS_ROLES.items()], F.lit(None).cast("string")))
+    made = T.any_of([(shape == k, v) for k, v in (lexicon or Lexicon()).patterns.items()], T.any_of([(a["pos"] == k, v) for k, v in A.POS_ROLES.items()], F.lit(None).cast("string")))
     return T.any_of([((a["root"] == r) & (shape == p), v) for (r, p), v in A.ROOT_PATTERN_ROLES.items()], made)
 
 
@@ -118,14 +134,15 @@ def root_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(A.ROOTS.items()), "root string, field string")
 
 
-def word_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, *, atomic: bool = True, root_pattern: bool = False, critical_only: bool = True) -> DataFrame:
+def word_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, *, atomic: bool = True, root_pattern: bool = False, critical_only: bool = True, lexicon: Lexicon | None = None) -> DataFrame:
     """(word, tokens) for distinct clean words: fixed words first, then clitics, core, features and enclitic."""
+    lex = lexicon or Lexicon()
     joined = words.select("word").distinct().join(analyses, "word", "left").withColumn("analyses", F.coalesce("analyses", F.array().cast(analyses.schema["analyses"].dataType)))
     picked = joined.withColumn("a", best(F.col("analyses"))).withColumn("lost", rootless(F.col("analyses"))).drop("analyses")
     closure = root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"})
     picked = picked.join(shared.broadcastable(closure), F.col("a.root") == F.col("_root"), "left")
     w, a, r, field = F.col("word"), F.col("a"), F.col("a.root"), F.col("_field")
-    own_role, shape = role(a), pattern(a)
+    own_role, shape = role(a, lex), pattern(a)
     has_root = F.coalesce(r, F.lit("")) != ""
     raw = _one(F.concat(F.lit("ROOT:"), canonical_root(r)))
     if root_pattern:
@@ -148,12 +165,12 @@ def word_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, *, atom
     ma = F.when(a["pos"] == "part_neg", "STR:neg:general").when(a["pos"].isin("pron_rel", "adv_rel"), "REL:which").otherwise("REL:what")
     made = T.any_of(
         [
-            (w.isin(list(A.MARKS)), _none()),
-            (w.isin(list(A.MONTHS)), T.any_of([(w == k, F.array(F.lit(f"TIME:month:{v}"))) for k, v in A.MONTHS.items()], _none())),
+            (w.isin(list(lex.marks)), _none()),
+            (w.isin(list(lex.months)), _one(F.concat(F.lit("TIME:month:"), T.hashed(lex.months)(w)))),
             (w == "ما", _one(ma)),
-            (w.isin(list(A.RELATIONS)), T.any_of([(w == k, F.array(F.lit(v))) for k, v in A.RELATIONS.items()], _none())),
-            (w.isin(A.LITERALS), _one(F.concat(F.lit("LIT:"), w))),
-            (w.isin(A.NUMERALS), _one("ROOT:size")),
+            (w.isin(list(lex.relations)), _one(T.hashed(lex.relations)(w))),
+            (w.isin(lex.literals), _one(F.concat(F.lit("LIT:"), w))),
+            (w.isin(lex.numerals), _one("ROOT:size")),
             (a.isNull() & F.col("lost"), _one(F.concat(F.lit("FOREIGN:"), w))),
             (a.isNull(), _one(F.concat(F.lit("LIT:"), w))),
         ],
@@ -162,28 +179,45 @@ def word_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, *, atom
     return picked.select("word", made.alias("tokens"))
 
 
-def tokenize(sents: DataFrame, analyses: DataFrame, roots: DataFrame, *, space: bool = False, **modes) -> DataFrame:
-    """(id, tokens, words, word_token_counts, prefix_count) of sentences (id, text); 2 + prefix_count + the counts is the length."""
-    each = sents.select("id", F.posexplode(split(F.col("text"))).alias("i", "raw"))
-    each = each.withColumns({"num": T.number_class(F.col("raw")), "latin": F.col("raw").rlike("^[A-Za-z]"), "word": T.strip_arabic(F.col("raw"))})
-    table = word_tokens(each.filter("num is null and not latin and length(word) >= 2"), analyses, roots, **modes)
+def tokenize(sents: DataFrame, analyses: DataFrame, roots: DataFrame | None = None, *, space: bool = False, lexicon: Lexicon | None = None, **modes) -> DataFrame:
+    """(id, tokens, words, word_token_counts, prefix_count) of sentences (id, text); 2 + prefix_count + the counts is the length.
+
+    The distinct words are looked up once, and each sentence's words in what was found: ids are only carried, so they may be
+    shared or null. A null text is an empty sentence.
+    """
+    lex = lexicon or Lexicon()
+    if roots is None:
+        roots = root_table(sents.sparkSession) if lex.roots is None else lex.roots
+    raw = split(F.coalesce("text", F.lit("")))
+    each = sents.select("id", marks(F.coalesce("text", F.lit("")), lex).alias("marks"), raw.alias("raw"), F.transform(raw, T.strip_arabic).alias("bare"))
+
+    def number(x: Column) -> Column:
+        return T.number_class(x)
+
+    def latin(x: Column) -> Column:
+        return x.rlike("^[A-Za-z]")
+
     # numerals with a mark behind them are no numerals: they are looked up like words
-    joined = each.join(table, "word", "left")
-    short = F.length("word") < 2
-    made = F.when(F.col("num").isNotNull(), F.array("num")).when(F.col("latin"), F.array(F.concat(F.lit("FOREIGN:"), F.lower("raw")))).when(short, _none()).otherwise(F.coalesce("tokens", _none()))
-    if space:
-        made = F.when(F.size(made) > 0, F.concat(made, _one("SPACE"))).otherwise(made)
-    shown = F.when(F.col("num").isNotNull() | F.col("latin") | short, F.col("raw")).otherwise(F.col("word"))
-    words = joined.select("id", F.struct("i", made.alias("tokens"), shown.alias("shown")).alias("w")).groupBy("id").agg(F.array_sort(F.collect_list("w")).alias("ws"))
-    found = sents.select("id", marks(F.col("text")).alias("marks")).join(words, "id", "left")
-    parts = F.coalesce(F.flatten(F.transform("ws", lambda x: x["tokens"])), _none())
-    return found.select(
-        "id", F.concat(_one("[BOS]"), F.col("marks"), parts, _one("[EOS]")).alias("tokens"), F.coalesce(F.transform("ws", lambda x: x["shown"]), _none()).alias("words"),
-        F.coalesce(F.transform("ws", lambda x: F.size(x["tokens"])), F.array().cast("array<int>")).alias("word_token_counts"), F.size("marks").alias("prefix_count"),
+    wanted = each.select(F.explode(F.arrays_zip("raw", "bare")).alias("x")).select("x.raw", F.col("x.bare").alias("word"))
+    wanted = wanted.filter(number(F.col("raw")).isNull() & ~latin(F.col("raw")) & (F.length("word") >= 2)).select("word").distinct()
+    table = shared.stored(word_tokens(wanted, analyses, roots, lexicon=lex, **modes))
+    found = codec.mapped(each, "bare", table, "known", missing=[])
+
+    def tokens(x: Column, i: Column) -> Column:
+        own = F.when(number(x).isNotNull(), _one(number(x))).when(latin(x), _one(F.concat(F.lit("FOREIGN:"), F.lower(x)))).when(F.length(F.get("bare", i)) < 2, _none()).otherwise(F.get("known", i))
+        return F.when(F.size(own) > 0, F.concat(own, _one("SPACE"))).otherwise(own) if space else own
+
+    def shown(x: Column, i: Column) -> Column:
+        return F.when(number(x).isNotNull() | latin(x) | (F.length(F.get("bare", i)) < 2), x).otherwise(F.get("bare", i))
+
+    parts = found.select("id", "marks", F.transform("raw", tokens).alias("parts"), F.transform("raw", shown).alias("words"))
+    return parts.select(
+        "id", F.concat(_one("[BOS]"), F.col("marks"), F.flatten("parts"), _one("[EOS]")).alias("tokens"), "words",
+        F.transform("parts", lambda x: F.size(x)).alias("word_token_counts"), F.size("marks").alias("prefix_count"),
     )
 
 
-def legacy_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame) -> DataFrame:
+def legacy_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(word, token) of the older scheme: FUNC, ROOT or SURF, with a second try without the first proclitic that fits."""
     proclitics = ["وال", "وب", "ول", "وك", "فال", "فب", "فل", "ال", "لل", "بال", "كال"]
     tries = F.array(F.struct(F.lit(0).alias("prio"), F.col("word").alias("stem")), *(F.struct(F.lit(i + 1).alias("prio"), F.when(F.col("word").startswith(p) & (F.length("word") > len(p) + 1), F.substr("word", F.lit(len(p) + 1))).alias("stem")) for i, p in enumerate(proclitics)))
@@ -191,7 +225,8 @@ def legacy_tokens(words: DataFrame, analyses: DataFrame, roots: DataFrame) -> Da
     found = each.join(analyses.withColumnRenamed("word", "stem"), "stem").withColumn("a", best(F.col("analyses")))
     named = found.join(shared.broadcastable(root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"})), F.col("a.root") == F.col("_root"))
     first = named.groupBy("word").agg(F.min_by("_field", "prio").alias("field"))
-    function = F.col("word").isin([*A.RELATIONS, *A.MARKS, *A.LITERALS])
+    lex = lexicon or Lexicon()
+    function = F.col("word").isin([*lex.relations, *lex.marks, *lex.literals])
     return words.select("word").distinct().join(first, "word", "left").select(
         "word", F.when(function, F.concat(F.lit("FUNC:"), "word")).when(F.col("field").isNotNull(), F.concat(F.lit("ROOT:"), "field")).otherwise(F.concat(F.lit("SURF:"), "word")).alias("token")
     )

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon as L
 from tokenloom.functions import text as T
-from tokenloom.operators import shared
+from tokenloom.operators import codec, shared
+
+_DIGITS = re.compile("[0-9]+")
 
 
 def table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
@@ -44,19 +47,6 @@ def words(sents: DataFrame) -> DataFrame:
     return split.filter(~T.skipped(F.col("word")))
 
 
-def ranked(df: DataFrame, buckets: list[Column], inside: list[Column], name: str) -> DataFrame:
-    """df with ranks from 1 in the order of buckets and then inside, for few buckets that are known to be small or even.
-
-    Only a count for each bucket goes through one window; rows are numbered within their bucket.
-    """
-    keys = [f"_b{i}" for i in range(len(buckets))]
-    held = df.withColumns({k: c for k, c in zip(keys, buckets)})
-    counts = held.groupBy(*keys).count()
-    before = counts.withColumn("_before", F.sum("count").over(Window.orderBy(*keys)) - F.col("count")).drop("count")
-    numbered = held.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*inside)))
-    return numbered.join(before, keys).withColumn(name, (F.col("_before") + F.col("_n")).cast("long")).drop(*keys, "_before", "_n")
-
-
 def by_frequency(counts: DataFrame, name: str = "rank") -> DataFrame:
     """counts (token, n) ranked by n descending, then token."""
     return shared.ranked(counts, [-F.col("n"), F.col("token")], name)
@@ -152,26 +142,27 @@ def known_words(distinct: DataFrame, *, atomic: bool = False, lexicon: Lexicon |
     return each.filter(F.array_join("tokens", " ") != F.array_join(_own_tokens(F.col("word")), " "))
 
 
-def _tokenized(norm: DataFrame, atomic: bool, lexicon: Lexicon | None) -> DataFrame:
-    """norm (with normalised sentences in norm) with tokens in its place: sentence marks, then the tokens of the words in order.
+def _own_tokens_of(word: str) -> list[str]:
+    """The same for one word."""
+    return ["ROOT:size"] if _DIGITS.fullmatch(word) else ["LIT:" + word]
 
-    The distinct words are analysed first. What the lexicon knows of them is held as a literal if it is small, so
-    sentences are tokenized where they are read, without a shuffle; else their words meet it in a join.
+
+def _parts(norm: DataFrame, atomic: bool, lexicon: Lexicon | None) -> DataFrame:
+    """norm (with normalised sentences in norm) with words, marks and parts (the tokens of each word) in its place.
+
+    The distinct words are analysed once, and the sentences' words are looked up in what the lexicon knows of them.
     """
     rest = [c for c in norm.columns if c != "norm"]
     own = F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w))
-    known = known_words(norm.select(F.explode(own).alias("word")).distinct(), atomic=atomic, lexicon=lexicon)
-    rows = shared.few(known)
-    if rows is not None:
-        find = T.hashed({r["word"]: r["tokens"] for r in rows}, "array<string>")
-        return norm.select(*rest, F.concat(T.structure(F.col("norm")), F.flatten(F.transform(own, lambda w: F.coalesce(find(w), _own_tokens(w))))).alias("tokens"))
-    # rows are told apart by numbers of their own: nothing else has to be a key
-    numbered = shared.stored(norm.withColumn("_row", F.monotonically_increasing_id()))
-    each = numbered.select("_row", F.posexplode(own).alias("i", "word")).join(known, "word", "left").withColumn("tokens", F.coalesce("tokens", _own_tokens(F.col("word"))))
-    ordered = each.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("i", "tokens"))).alias("ws"))
-    none = F.array().cast("array<string>")
-    found = numbered.join(ordered, "_row", "left")
-    return found.select(*rest, F.concat(T.structure(F.col("norm")), F.coalesce(F.flatten(F.transform("ws", lambda w: w["tokens"])), none)).alias("tokens"))
+    known = shared.stored(known_words(norm.select(F.explode(own).alias("word")).distinct(), atomic=atomic, lexicon=lexicon))
+    split = norm.select(*rest, T.structure(F.col("norm")).alias("marks"), own.alias("words"))
+    return codec.mapped(split, "words", known, "parts", missing=_own_tokens_of)
+
+
+def _tokenized(norm: DataFrame, atomic: bool, lexicon: Lexicon | None) -> DataFrame:
+    """norm with tokens in the place of norm: sentence marks, then the tokens of the words in order."""
+    rest = [c for c in norm.columns if c != "norm"]
+    return _parts(norm, atomic, lexicon).select(*rest, F.concat("marks", F.flatten("parts")).alias("tokens"))
 
 
 def tokenize_english(docs: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
@@ -186,15 +177,9 @@ def tokenize_texts(df: DataFrame, *, atomic: bool = False, lexicon: Lexicon | No
 
 def aligned(docs: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """(doc_id, lang, pos, tokens, words, counts, n_marks): tokens are n_marks marks and then counts[i] tokens of words[i]."""
-    sents = sentences(docs)
-    rows = shared.few(known_words(words(sents).select("word").distinct(), atomic=atomic, lexicon=lexicon))
-    if rows is None:
-        raise ValueError("the lexicon's known words don't fit a literal; join known_words instead")
-    find = T.hashed({r["word"]: r["tokens"] for r in rows}, "array<string>")
-    norm = sents.select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm"))
-    own = norm.select("doc_id", "lang", "pos", T.structure(F.col("norm")).alias("marks"), F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w)).alias("words"))
-    own = own.withColumn("parts", F.transform("words", lambda w: F.coalesce(find(w), _own_tokens(w))))
-    return own.select("doc_id", "lang", "pos", F.concat("marks", F.flatten("parts")).alias("tokens"), "words", F.transform("parts", lambda x: F.size(x)).alias("counts"), F.size("marks").alias("n_marks"))
+    made = _parts(sentences(docs).select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm")), atomic, lexicon)
+    counts = F.transform("parts", lambda x: F.size(x)).alias("counts")
+    return made.select("doc_id", "lang", "pos", F.concat("marks", F.flatten("parts")).alias("tokens"), "words", counts, F.size("marks").alias("n_marks"))
 
 
 def token_weights(docs: DataFrame, *, keys: list[str] | None = None, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
@@ -216,42 +201,20 @@ def token_counts(tokens: DataFrame) -> DataFrame:
     return tokens.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 
 
-def encode(df: DataFrame, vocab: DataFrame, keys: list[str], *, unknown: int = 1) -> DataFrame:
-    """(keys, ids): each token's id in vocab (token, id), in order; unknown ones get `unknown`.
-
-    A vocabulary of some thousand tokens is looked up where the arrays are; a larger one is joined.
-    """
-    vocab = vocab.select("token", F.col("id").cast("long").alias("id"))
-    rows = shared.few(vocab)
-    if rows is not None:
-        find = T.hashed({r["token"]: r["id"] for r in rows}, "bigint")
-        return df.select(*keys, F.transform("tokens", lambda t: F.coalesce(find(t), F.lit(unknown)).cast("int")).alias("ids"))
-    each = df.select(*keys, F.posexplode_outer("tokens").alias("i", "token")).join(vocab, "token", "left")
-    each = each.withColumn("id", F.coalesce("id", F.lit(unknown)).cast("int"))
-    held = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "id")))).alias("x"))
-    return held.select(*keys, F.transform("x", lambda x: x["id"]).alias("ids"))
+def with_ids(df: DataFrame, vocab: DataFrame, *, unknown: int = 1) -> DataFrame:
+    """df with ids of its tokens in vocab (token, id) of any size; unknown ones get `unknown`, null arrays stay null."""
+    return codec.mapped(df, "tokens", vocab.select("token", F.col("id").cast("int").alias("id")), "ids", missing=unknown)
 
 
-def with_ids(df: DataFrame, vocab: DataFrame, *, unknown: int = 1) -> DataFrame:
-    """df with ids of its tokens, for a vocabulary that fits a literal."""
-    rows = shared.few(vocab.select("token", F.col("id").cast("long").alias("id")))
-    if rows is None:
-        raise ValueError("the vocabulary doesn't fit a literal; use encode")
-    find = T.hashed({r["token"]: r["id"] for r in rows}, "bigint")
-    return df.withColumn("ids", F.transform("tokens", lambda t: F.coalesce(find(t), F.lit(unknown)).cast("int")))
+def encode(df: DataFrame, vocab: DataFrame, keys: list[str], *, unknown: int = 1) -> DataFrame:
+    """(keys, ids): each token's id in vocab (token, id), in order. Keys are only carried: they may be shared or null."""
+    return with_ids(df.select(*keys, "tokens"), vocab, unknown=unknown).drop("tokens")
 
 
 def decode(df: DataFrame, vocab: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, tokens): each id's token in order, [UNK] for what the vocabulary lacks."""
-    vocab = vocab.select("token", F.col("id").cast("long").alias("id"))
-    rows = shared.few(vocab)
-    if rows is not None:
-        find = T.hashed({str(r["id"]): r["token"] for r in rows})
-        return df.select(*keys, F.transform("ids", lambda x: F.coalesce(find(x.cast("string")), F.lit("[UNK]"))).alias("tokens"))
-    each = df.select(*keys, F.posexplode_outer("ids").alias("i", "id")).join(vocab, "id", "left")
-    each = each.withColumn("token", F.coalesce("token", F.lit("[UNK]")))
-    held = each.groupBy(*keys).agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), F.struct("i", "token")))).alias("x"))
-    return held.select(*keys, F.transform("x", lambda x: x["token"]).alias("tokens"))
+    ids = F.transform("ids", lambda x: x.cast("long")).alias("ids")
+    return codec.mapped(df.select(*keys, ids), "ids", vocab.select(F.col("id").cast("long").alias("id"), "token"), "tokens", missing="[UNK]").drop("ids")
 
 
 def cap_vocabulary(counts: DataFrame, cap: int, *, policy: str = "core", registered: list[str] | None = None) -> DataFrame:

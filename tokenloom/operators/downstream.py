@@ -5,31 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tokenloom.functions import text as T
 from tokenloom.operators import baselines as B
-from tokenloom.operators import shared
-
-
-def _ids(vocab: DataFrame, unknown: int):
-    """A function from token arrays to id arrays; the vocabulary's size is bounded by its cap and checked."""
-    rows = shared.few(vocab.select("token", F.col("id").cast("long").alias("id")))
-    if rows is None:
-        raise ValueError("the vocabulary is too large for a literal; cap it first")
-    find = T.hashed({r["token"]: r["id"] for r in rows}, "bigint")
-    return lambda tokens: F.transform(tokens, lambda t: F.coalesce(find(t), F.lit(unknown)).cast("int"))
+from tokenloom.operators import corpus
 
 
 def classification(df: DataFrame, vocab: DataFrame, *, unknown: int = 1) -> DataFrame:
-    """(id, ids, label) from df (id, tokens, label); rows without tokens are left out."""
-    made = df.filter(F.size("tokens") > 0)
-    return made.select("id", _ids(vocab, unknown)(F.col("tokens")).alias("ids"), "label")
+    """(id, ids, label) from df (id, tokens, label) and vocab (token, id) of any size; rows without tokens are left out."""
+    return corpus.encode(df.filter(F.size("tokens") > 0), vocab, ["id", "label"], unknown=unknown).select("id", "ids", "label")
 
 
 def lm_scoring(df: DataFrame, vocab: DataFrame, *, unknown: int = 1) -> DataFrame:
-    """(id, context_ids, candidates, gold) from df (id, context, candidates, gold); rows with an empty part are left out."""
-    encode = _ids(vocab, unknown)
+    """(id, context_ids, candidates, gold) from df (id, context, candidates, gold); rows with an empty part are left out.
+
+    A row's parts are encoded as one array, and cut again by their sizes.
+    """
     whole = (F.size("context") > 0) & (F.size("candidates") > 0) & ~F.exists("candidates", lambda c: F.size(c) == 0)
-    return df.filter(whole).select("id", encode(F.col("context")).alias("context_ids"), F.transform("candidates", lambda c: encode(c)).alias("candidates"), "gold")
+    sizes = F.transform("candidates", lambda c: F.size(c))
+    flat = df.filter(whole).select("id", "gold", F.size("context").alias("n"), sizes.alias("sizes"), F.concat("context", F.flatten("candidates")).alias("tokens"))
+    made = corpus.encode(flat, vocab, ["id", "gold", "n", "sizes"], unknown=unknown)
+    before = lambda k: F.aggregate(F.slice("sizes", F.lit(1), k), F.lit(0), lambda a, x: a + x)
+    cut = F.transform("sizes", lambda size, k: F.slice("ids", F.col("n") + before(k) + 1, size))
+    return made.select("id", F.slice("ids", F.lit(1), F.col("n")).alias("context_ids"), cut.alias("candidates"), "gold")
 
 
 def summary(made: DataFrame, *, unknown: int = 1) -> DataFrame:

@@ -80,7 +80,8 @@ def en_decompose(spark, sf):
 
 
 @query(f"with {_LEM} select word, lemma from lem")
-def en_lemma(spark, sf):
+def en_lemma_default(spark, sf):
+    """Lemmas by the small table and the rule alone; en_lemma has those of a parsed table."""
     return _distinct(spark, sf)
 
 
@@ -250,7 +251,7 @@ def strip_bos_eos(spark, sf):
     return _lexed(spark, sf).select("doc_id", "pos", F.array_join(K.unwrap(F.col("reasoning_tokens")), " ").alias("inner_tokens"))
 
 
-_CLASSES = [(f"REL:{r}", c) for c, rs in L.RELATION_CLASSES.items() for r in rs]
+_CLASSES = [(f"REL:{r}", c) for r, c in L.RELATION_CLASSES.items()]
 
 
 @query(f"""with {D.SENT}, {D.NORM}, {D.WORD} select class, count(distinct word.word) as words, count(distinct r.token) as kinds, count(*) as n from word join ({D.values(L.RELATIONS.items())}) r(word, token) on r.word = word.word

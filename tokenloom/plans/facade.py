@@ -108,20 +108,6 @@ def en_ner(spark, sf):
     return own.join(F.broadcast(C.entity_table(spark)), "word").groupBy("doc_id", "pos", "word").agg(F.count("*").alias("n"))
 
 
-PARSED = [
-    (1, 0, "The", "the", "DET", "det"), (1, 1, "teacher", "teacher", "NOUN", "nsubj"), (1, 2, "sent", "send", "VERB", "ROOT"), (1, 3, "books", "book", "NOUN", "dobj"), (1, 4, "to", "to", "ADP", "prep"),
-    (1, 5, "students", "student", "NOUN", "pobj"), (1, 6, ".", ".", "PUNCT", "punct"), (2, 0, "Will", "will", "AUX", "aux"), (2, 1, "it", "it", "PRON", "nsubj"), (2, 2, "rain", "rain", "VERB", "ROOT"), (2, 3, "?", "?", "PUNCT", "punct"),
-]
-WANT = [(1, "[BOS] DET:the CMP:teacher:agent ROOT:send CMP:book:patient REL:to CMP:student:oblique STR:clause_end [EOS]"), (2, "[BOS] AUX:will CMP:it:agent ROOT:rain STR:question [EOS]")]
-
-
-@query(f"select * from ({D.values(WANT)}) v(sent, tokens)")
-def en_reason_dep(spark, sf):
-    """Tokens from parsed sentences: roles by dependency."""
-    parsed = C.table(spark, PARSED, "sent int, i int, text string, lemma string, pos string, dep string")
-    return readers.dependency_tokens(parsed).select("sent", F.array_join("tokens", " ").alias("tokens"))
-
-
 #: root, domain, gloss, field name given, keywords
 GLOSSES = [
     ("كتب", "communication", "to know or write", "", ["record"]), ("كَلْب", "nature", "a kind of dog", "", ["pet"]), ("علم", "cognition", "unheard of", "", ["تعليم", "wisdom", "x"]), ("طعم", "everyday", "something", "", []),

@@ -3,30 +3,23 @@
 from __future__ import annotations
 
 import functools
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tokenloom.operators import shared
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers of a local session import this package, wherever the driver was started."""
-    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    env = spark.sparkContext.environment
-    if root not in env.get("PYTHONPATH", "").split(":"):
-        env["PYTHONPATH"] = ":".join(x for x in (root, env.get("PYTHONPATH", "")) if x)
-
-
 def query(sql: str | None = None):
     """Register a query under its function's name, with the SQL that gives the same rows."""
 
     def add(f):
         @functools.wraps(f)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            importable(spark)
+            shared.importable(spark)
             return f(spark, sf_dir)
 
         QUERIES[f.__name__] = run

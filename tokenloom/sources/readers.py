@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
 
-from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 
 RECORD = t.StructType(
@@ -67,13 +66,18 @@ def nli_records(pairs: DataFrame) -> DataFrame:
     """
     english = F.col("lang") == "en"
     premise, hypothesis = F.trim(F.coalesce("premise", F.lit(""))), F.trim(F.coalesce("hypothesis", F.lit("")))
-    asked = F.when(english, F.concat(F.lit("Premise: "), premise, F.lit("\nHypothesis: "), hypothesis, F.lit("\nDoes the premise entail, contradict, or stay neutral to the hypothesis?")))
-    asked = asked.otherwise(F.concat(F.lit("المقدمة: "), premise, F.lit("\nالفرضية: "), hypothesis, F.lit("\nهل تستلزم المقدمة الفرضية أم تناقضها أم محايدة؟")))
+    said = {lang: F.concat(F.lit(p), premise, F.lit(h), hypothesis, F.lit(q)) for lang, (p, h, q) in NLI_QUESTIONS.items()}
+    asked = F.when(english, said["en"]).otherwise(said["ar"])
     label = F.when(english, F.element_at(F.array(*map(F.lit, NLI_LABELS["en"])), F.col("label") + 1)).otherwise(F.element_at(F.array(*map(F.lit, NLI_LABELS["ar"])), F.col("label") + 1))
     kept = pairs.filter((premise != "") & (hypothesis != ""))
     return kept.select(*_record(F.format_string("xnli-%s-%07d", "lang", "idx"), F.col("lang"), 1, asked, label, source="xnli", license="cc-by-nc-4.0"))
 
 
+# What stands before the premise, between it and the hypothesis, and behind that.
+NLI_QUESTIONS = {
+    "en": ("Premise: ", "\nHypothesis: ", "\nDoes the premise entail, contradict, or stay neutral to the hypothesis?"),
+    "ar": ("المقدمة: ", "\nالفرضية: ", "\nهل تستلزم المقدمة الفرضية أم تناقضها أم محايدة؟"),
+}
 # Answers by label.
 NLI_LABELS = {"en": ["entails", "neutral", "contradicts"], "ar": ["يستلزم", "محايد", "يناقض"]}
 
@@ -107,6 +111,17 @@ def record_kind(json):
     return F.when(has("q_ids"), "logic").when(has("input_tokens", "label"), "verifier").when(has("question", "answer"), "reasoning").when(has("text"), "text").otherwise("unknown")
 
 
+def _document(spark: SparkSession, folder: str, name: str):
+    """The JSON document of that name in a folder, or None where there is none."""
+    import json
+
+    path = f"{folder.rstrip('/')}/{name}.json"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return None
+    return json.loads(spark.read.text(path, wholetext=True).first()["value"])
+
+
 def read_lexicon(spark: SparkSession, folder: str):
     """A corpus.Lexicon from a folder of JSON tables; a table that isn't there is the own small one.
 
@@ -114,30 +129,47 @@ def read_lexicon(spark: SparkSession, folder: str):
     ({affix: role} or [[affix, role]], in order), lemmas {word: lemma}, semantic_fields {spelling: field}, entities [word].
     Each closed table is one document and is read whole; lemmas, fields and entities become DataFrames.
     """
-    import json
-
     from tokenloom.operators import corpus
 
-    def load(name: str):
-        path = f"{folder.rstrip('/')}/{name}.json"
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
-            return None
-        return json.loads(spark.read.text(path, wholetext=True).first()["value"])
-
     def pairs(table):
         return [tuple(x) for x in (table.items() if isinstance(table, dict) else table)]
 
     made = corpus.Lexicon()
     for field, name, kind in (("relations", "relation_map", dict), ("functions", "function_words", list), ("overrides", "role_overrides", dict), ("prefixes", "prefix_roles", pairs), ("suffixes", "suffix_roles", pairs)):
-        if (found := load(name)) is not None:
+        if (found := _document(spark, folder, name)) is not None:
             setattr(made, field, kind(found))
     for field, name, schema in (("lemmas", "lemmas", "word string, lemma string"), ("fields", "semantic_fields", "spelling string, field string"), ("entities", "entities", "word string")):
-        if (found := load(name)) is not None:
+        if (found := _document(spark, folder, name)) is not None:
             setattr(made, field, spark.createDataFrame([(w,) for w in found] if isinstance(found, list) else list(found.items()), schema))
     return made
 
 
+def read_arabic_lexicon(spark: SparkSession, folder: str):
+    """An arabic.Lexicon from a folder; a table that isn't there is the own one.
+
+    JSON documents: marks, relations, months and patterns {word: value}, literals and numerals [word]. Roots are rows and may
+    be many: roots.jsonl has {"root": dotted or plain, "field": ...} lines. Their weak spellings are derived by root_closure.
+    """
+    from tokenloom.operators import arabic
+
+    made = arabic.Lexicon()
+    for name, kind in (("marks", dict), ("relations", dict), ("months", dict), ("patterns", dict), ("literals", list), ("numerals", list)):
+        if (found := _document(spark, folder, name)) is not None:
+            setattr(made, name, kind(found))
+    path = f"{folder.rstrip('/')}/roots.jsonl"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        made.roots = dotted_roots(spark.read.schema("root string, field string").json(path))
+    return made
+
+
+def dotted_roots(rows: DataFrame) -> DataFrame:
+    """(root, field) with the letters of each root dotted; comments, blanks and roots of other than three to five letters go."""
+    letters = F.regexp_extract_all(F.coalesce("root", F.lit("")), F.lit("[^. \\t]"), F.lit(0))
+    kept = rows.filter(~F.coalesce("root", F.lit("")).startswith("#") & F.size(letters).between(3, 5))
+    return kept.select(F.array_join(letters, ".").alias("root"), "field").distinct()
+
+
 def write_examples(df: DataFrame, path: str) -> None:
     """(ids, tokens, text) as JSON lines; null fields are left out."""
     df.select("ids", "tokens", "text").write.mode("overwrite").json(path)
@@ -166,22 +198,6 @@ def cached(spark: SparkSession, path: str, make) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def dependency_tokens(parsed: DataFrame) -> DataFrame:
-    """(sent, tokens) of parsed sentences (sent, i, text, lemma, pos, dep): content words carry the role of their dependency."""
-    low = F.lower("lemma")
-    content = F.col("pos").isin("NOUN", "VERB", "ADJ", "ADV", "PROPN", "PRON")
-    role = T.lookup(L.DEPENDENCY_ROLES, F.col("dep"), F.lit(None).cast("string"))
-    relations = {**{p: f"REL:{p}" for p in L.PREPOSITIONS}, **L.QUANTIFIERS, **{n: "REL:neg" for n in L.NEGATIONS}, **L.CONNECTIVES}
-    token = (
-        F.when(low.isin(L.DETERMINERS), F.concat(F.lit("DET:"), low)).when(F.col("pos") == "AUX", F.concat(F.lit("AUX:"), low)).when(low.isin(list(relations)), T.lookup(relations, low, low))
-        .when(F.col("text") == "?", "STR:question").when(F.col("text").isin(".", ";"), "STR:clause_end").when(F.col("pos") == "NUM", F.concat(F.lit("LIT:"), "text"))
-        .when(content & role.isNotNull(), F.concat(F.lit("CMP:"), low, F.lit(":"), role)).when(content, F.concat(F.lit("ROOT:"), low))
-    )
-    each = parsed.select("sent", F.struct("i", token.alias("t")).alias("x")).filter("x.t is not null")
-    ordered = each.groupBy("sent").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return ordered.select("sent", F.concat(F.array(F.lit("[BOS]")), F.transform("xs", lambda x: x["t"]), F.array(F.lit("[EOS]"))).alias("tokens"))
-
-
 def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     """(lang, token, id) from any of the known layouts: {token: id}, {id: token}, {"token_to_id": ...}, [token, ...], [{token, id}, ...] or {lang: {token: id}}.
 
