@@ -19,8 +19,9 @@ SEED, LEAST_WORDS, PERCENT = 2024, 20, 10
 #: Postings that a task holds before it sends them on.
 HELD = 1 << 20
 
-#: Parts that a bucket's postings are dealt to: a frequent bucket is many keys.
-SLICES = 64
+#: Groups of buckets. A group's postings are dealt by slices of the rows, so a row's buckets meet in as many tasks at most,
+#: and a frequent bucket is many keys.
+GROUPS = 8
 
 #: Features whose buckets a worker remembers.
 KNOWN = 300_000
@@ -100,10 +101,9 @@ def _inverted(rows: np.ndarray, buckets: np.ndarray, counts: np.ndarray) -> pa.R
 
 
 def postings(rows: DataFrame) -> DataFrame:
-    """(bucket, first, far, counts, total), stored, dealt by bucket and slice: the inverted form of `counted`.
+    """(bucket, first, far, counts, total), stored, dealt by bucket group and slice of rows: the inverted form of `counted`.
 
-    A task inverts HELD postings at a time, so that a bucket is sent once for many rows; a bucket of many rows is dealt
-    to SLICES keys.
+    A task inverts HELD postings at a time, so that a bucket is sent once for many rows.
     """
     spark = rows.sparkSession
 
@@ -126,8 +126,8 @@ def postings(rows: DataFrame) -> DataFrame:
 
     made = rows.select("row", "buckets", "counts").mapInArrow(common.lean(run), "bucket int, first long, far binary, counts binary, total long")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    piece = F.pmod(F.xxhash64("first"), F.lit(SLICES)).alias("slice")
-    return common.stored(made.select("*", piece).repartition(parts, "bucket", "slice").drop("slice"))
+    dealt = made.select("*", (F.col("bucket") % GROUPS).alias("group"), F.pmod(F.xxhash64("first"), F.lit(parts)).alias("slice"))
+    return common.stored(dealt.repartition(parts, "group", "slice").drop("group", "slice"))
 
 
 def gains(raw: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
