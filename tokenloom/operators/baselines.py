@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
+from tokenloom.operators import codec
 from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
 
@@ -46,23 +44,29 @@ def word_ids(sents: DataFrame, size: int, most: int) -> DataFrame:
     return C.encode(words, vocab, ["doc_id", "pos"]).select("doc_id", "pos", F.slice("ids", 1, most).alias("ids"))
 
 
-def piece_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(lang, docs, pieces, chars) by a given SentencePiece model; each task loads it once."""
-    if path is None:
-        import public_tokenizers
+def demo_words(text):
+    """White-space words of a text."""
+    return F.filter(F.split(F.trim(text), "[ \\t\\r\\n]+"), lambda w: w != "")
+
 
-        path = public_tokenizers.path("piece_bpe_32k.model")
+def demo_clean(word):
+    """A word without its trailing marks."""
+    return F.regexp_replace(word, "[،؛.؟!:]+$", "")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from sentencepiece import SentencePieceProcessor
 
-        model = SentencePieceProcessor(model_file=path)
-        for frame in frames:
-            ids = model.encode(frame["text"].tolist(), num_threads=1)
-            yield pd.DataFrame({"lang": frame["lang"], "n": [len(x) for x in ids], "chars": frame["text"].str.len()})
+def demo_ids(df: DataFrame, known: DataFrame, vocab: DataFrame, *, begin: int, unknown: int) -> DataFrame:
+    """df (text) with ids: begin, then of each word the id of its token in known (word, token).
 
-    each = docs.select("lang", F.coalesce("text", F.lit("")).alias("text")).mapInPandas(run, "lang string, n long, chars long")
-    return each.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("n").alias("pieces"), F.sum("chars").alias("chars"))
+    A word is sought without its trailing marks first, then as it is. One that neither way is known has the id of its
+    surface, again both ways. What vocab (token, id) lacks is unknown.
+    """
+    table = known.join(vocab, "token", "left").select(F.concat(F.lit("W:"), "word").alias("key"), F.coalesce("id", F.lit(unknown)).cast("int").alias("id"))
+    surfaces = vocab.filter(F.col("token").startswith("SURF:")).select(F.concat(F.lit("S:"), F.substr("token", F.lit(6))).alias("key"), F.col("id").cast("int").alias("id"))
+    tries = F.flatten(F.transform("_w", lambda w: F.array(*(F.concat(F.lit(p), x) for p in ("W:", "S:") for x in (demo_clean(w), w)))))
+    asked = df.withColumn("_w", demo_words(F.coalesce("text", F.lit("")))).withColumn("_tries", tries)
+    found = codec.mapped(asked, "_tries", table.unionByName(surfaces), "_ids", missing=None)
+    each = F.transform("_w", lambda w, i: F.coalesce(*(F.get("_ids", 4 * i + k) for k in range(4)), F.lit(unknown)))
+    return found.withColumn("ids", F.concat(F.array(F.lit(begin)), each)).drop("_w", "_tries", "_ids")
 
 
 def _pairs(lexed: DataFrame, keys: list[str]) -> DataFrame:

@@ -136,7 +136,10 @@ def _own_tokens(w: Column) -> Column:
 
 def known_words(distinct: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """(word, tokens) of the distinct words whose tokens are not their own: the lexicon bounds how many there can be."""
-    made = emit(analyse(distinct, lexicon), atomic=atomic, lexicon=lexicon)
+    return _known(emit(analyse(distinct, lexicon), atomic=atomic, lexicon=lexicon))
+
+
+def _known(made: DataFrame) -> DataFrame:
     # through a generator: a filter would be worked into all that stands below
     each = made.select(F.explode(F.array(F.struct("word", "tokens"))).alias("x")).select("x.word", "x.tokens")
     return each.filter(F.array_join("tokens", " ") != F.array_join(_own_tokens(F.col("word")), " "))
@@ -170,6 +173,21 @@ def tokenize_english(docs: DataFrame, *, atomic: bool = False, lexicon: Lexicon
     return _tokenized(sentences(docs).select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm")), atomic, lexicon)
 
 
+def tokenize_both(docs: DataFrame, *, lexicon: Lexicon | None = None) -> DataFrame:
+    """(doc_id, lang, pos, fused, atomic): both forms of the documents' sentences, which are read and split once.
+
+    What a word gives in the atomic form is worked out from the fused one's table beside it.
+    """
+    norm = sentences(docs).select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm"))
+    own = F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w))
+    distinct = shared.stored(analyse(norm.select(F.explode(own).alias("word")).distinct(), lexicon))
+    made = norm.select("doc_id", "lang", "pos", T.structure(F.col("norm")).alias("marks"), own.alias("words"))
+    for name, atomic in (("fused", False), ("atomic", True)):
+        known = shared.stored(_known(emit(distinct, atomic=atomic, lexicon=lexicon)))
+        made = codec.mapped(made, "words", known, name, missing=_own_tokens_of)
+    return made.select("doc_id", "lang", "pos", *(F.concat("marks", F.flatten(n)).alias(n) for n in ("fused", "atomic")))
+
+
 def tokenize_texts(df: DataFrame, *, atomic: bool = False, lexicon: Lexicon | None = None) -> DataFrame:
     """(id, tokens) of sentences (id, text), a row for each; ids may be shared."""
     return _tokenized(df.select("id", T.normalize(F.coalesce("text", F.lit(""))).alias("norm")), atomic, lexicon)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
 from tokenloom.operators import shared
 
+
 def next_of_language(rows: DataFrame, column: str, *, fallback: bool = False) -> DataFrame:
     """rows (id, lang, ...; ids each once) with `other`: column of the next id in the language, of the first after the last.
 
@@ -26,27 +28,99 @@ def next_of_language(rows: DataFrame, column: str, *, fallback: bool = False) ->
     return rows.join(paired, "id").join(rows.select(F.col("id").alias("_other"), F.col(column).alias("other")), "_other").drop("_other")
 
 
-def verifier_examples(rows: DataFrame) -> DataFrame:
-    """Examples from rows (id, lang, label_name, q, cot, a): a positive and the four kinds of negatives.
+#: Primes; of any number of rows some don't divide it.
+PRIMES = [999_983, 1_000_003, 1_000_033, 1_000_037, 1_000_039, 1_000_081, 1_000_099]
+
+
+def _shuffled(place: Column, n: Column, seed: int) -> Column:
+    """A place from 0 to n - 1 in a seeded order of n places: place times a prime that doesn't divide n, and a shift."""
+    primes = PRIMES[seed % len(PRIMES) :] + PRIMES[: seed % len(PRIMES)]
+    factor = F.lit(primes[-1])
+    for p in reversed(primes[:-1]):
+        factor = F.when(n % p != 0, p).otherwise(factor)
+    return (place * factor + seed) % n
+
+
+def _placed(rows: DataFrame, group: list[str], seed: int) -> DataFrame:
+    """rows (group, id) with place, from 0 in a seeded order of the group, and size: ranks are made in ranges."""
+    ranks = shared.ranked(rows.select(*group, "id"), [*(F.col(g) for g in group), F.col("id")], "_r")
+    bounds = ranks.groupBy(*group).agg(F.min("_r").alias("_first"), F.count("*").alias("size"))
+    joined = ranks.join(shared.broadcastable(bounds), group) if group else ranks.join(F.broadcast(bounds))
+    return joined.withColumn("place", _shuffled(F.col("_r") - F.col("_first"), F.col("size"), seed)).drop("_r", "_first")
+
+
+def partners(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, k, other): for each of rows (id, lang; ids each once) k others of its language, without one twice as long as there are others.
+
+    All rows stand in a seeded order of their language, and a row's partners are those behind it, around the end. So they
+    are never the row itself, and each row is as often a partner. With more than the others, they come again. A row that is
+    alone in its language has partners of any; alone at all it has itself.
+    """
+    own = shared.stored(_placed(rows, ["lang"], seed))
+    step = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")
+    wanted = own.filter("size > 1").select("id", "lang", "place", "size", step)
+    wanted = wanted.select("id", "k", "lang", ((F.col("place") + 1 + F.col("k") % (F.col("size") - 1)) % F.col("size")).alias("place"))
+    found = wanted.join(own.select("lang", "place", F.col("id").alias("other")), ["lang", "place"]).select("id", "k", "other")
+    alone = own.filter("size = 1").select("id")
+    every = _placed(rows, [], seed)
+    asked = every.join(alone, "id").select("id", "place", "size", step)
+    asked = asked.select("id", "k", F.when(F.col("size") > 1, (F.col("place") + 1 + F.col("k") % (F.col("size") - 1)) % F.col("size")).otherwise(F.col("place")).alias("place"))
+    return found.unionByName(asked.join(every.select("place", F.col("id").alias("other")), "place").select("id", "k", "other"))
+
+
+def flips(rows: DataFrame, k: int, seed: int) -> DataFrame:
+    """(id, k, other): for each of rows (id, lang, label_name) k rows of the other label in its language, each once as long as there are some."""
+    own = shared.stored(_placed(rows, ["lang", "label_name"], seed))
+    sizes = shared.broadcastable(own.select("lang", F.col("label_name").alias("opposite"), F.col("size").alias("others")).distinct())
+    opposite = F.when(F.col("label_name") == "yes", "no").otherwise("yes").alias("opposite")
+    wanted = own.select("id", "lang", opposite, "place", F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("k")).join(sizes, ["lang", "opposite"])
+    wanted = wanted.select("id", "k", "lang", "opposite", ((F.col("place") + F.col("k")) % F.col("others")).alias("place"))
+    pool = own.select("lang", F.col("label_name").alias("opposite"), "place", F.col("id").alias("other"))
+    return wanted.join(pool, ["lang", "opposite", "place"]).select("id", "k", "other")
+
+
+#: Negatives of each kind for a source, if not said otherwise.
+NEGATIVES = {"neg_question_only": 1, "neg_shuffled_cot": 1, "neg_answer_flip": 1, "neg_shuffled_and_flip": 1}
+_SUFFIXES = {"neg_question_only": "neg_qonly", "neg_shuffled_cot": "neg_shuf", "neg_answer_flip": "neg_flip", "neg_shuffled_and_flip": "neg_both"}
+
+
+def verifier_examples(rows: DataFrame, counts: dict[str, int] | None = None, seed: int = 0) -> DataFrame:
+    """Examples from rows (id, lang, label_name, q, cot, a): a positive and so many negatives of each kind.
 
-    Steps of another row replace a row's own for shuffled ones. A flipped answer is the first of the other label in
-    the language; a language without one has no flips.
+    Steps of other rows replace a row's own in shuffled ones, answers of rows of the other label in flipped ones; those of
+    a source are of different rows. A language without the other label has no flips. Rows meet only ids until the last
+    joins, which bring question, steps and answer once for each negative.
     """
-    other = next_of_language(rows, "cot").withColumnRenamed("other", "cot2")
-    pool = rows.groupBy("lang", "label_name").agg(F.min("a").alias("flip"))
-    pool = pool.select("lang", F.when(F.col("label_name") == "yes", "no").otherwise("yes").alias("label_name"), "flip")
-    both = other.join(F.broadcast(pool), ["lang", "label_name"], "left")
-    q, a, flip = F.col("q"), F.col("a"), F.col("flip")
-
-    def example(variant: str, suffix: str, label: int, tokens):
-        return F.struct(F.lit(variant).alias("variant"), F.concat("id", F.lit(":" + suffix)).alias("id"), F.lit(label).alias("label"), tokens.alias("input_tokens"))
-
-    made = F.array(
-        example("positive", "pos", 1, K.compose(q, F.col("cot"), a)), example("neg_question_only", "neg_qonly:0", 0, F.concat(q, a)), example("neg_shuffled_cot", "neg_shuf:0", 0, K.compose(q, F.col("cot2"), a)),
-        example("neg_answer_flip", "neg_flip:0", 0, K.compose(q, F.col("cot"), flip)), example("neg_shuffled_and_flip", "neg_both:0", 0, K.compose(q, F.col("cot2"), flip)),
-    )
-    each = both.select(F.col("id").alias("source_id"), "lang", F.col("label_name").alias("answer_label"), F.explode(F.filter(made, lambda x: x["input_tokens"].isNotNull())).alias("x"))
-    return each.select("x.id", "source_id", "lang", "answer_label", "x.variant", "x.label", "x.input_tokens")
+    counts = {**NEGATIVES, **(counts or {})}
+    if unknown := set(counts) - set(NEGATIVES):
+        raise ValueError(f"no negatives {sorted(unknown)}")
+    narrow = rows.select("id", "lang", "label_name")
+    own = F.array(*(
+        F.struct(F.lit(v).alias("variant"), F.lit(suffix).alias("suffix"), F.lit(label).alias("label"), tokens.alias("input_tokens"))
+        for v, suffix, label, tokens in [("positive", ":pos", 1, K.compose(F.col("q"), F.col("cot"), F.col("a")))]
+        + [("neg_question_only", f":neg_qonly:{k}", 0, F.concat("q", "a")) for k in range(counts["neg_question_only"])]
+    ))
+    columns = ["id", "source_id", "lang", "answer_label", "variant", "label", "input_tokens"]
+    made = rows.select(F.col("id").alias("source_id"), "lang", F.col("label_name").alias("answer_label"), F.explode(own).alias("x"))
+    made = made.select(F.concat("source_id", "x.suffix").alias("id"), "source_id", "lang", "answer_label", "x.variant", "x.label", "x.input_tokens").select(*columns)
+    links = []
+    if n := counts["neg_shuffled_cot"]:
+        links.append(partners(narrow, n, seed).select("id", F.lit("neg_shuffled_cot").alias("variant"), "k", F.col("other").alias("cot_of"), F.col("id").alias("a_of")))
+    if n := counts["neg_answer_flip"]:
+        links.append(flips(narrow, n, seed).select("id", F.lit("neg_answer_flip").alias("variant"), "k", F.col("id").alias("cot_of"), F.col("other").alias("a_of")))
+    if n := counts["neg_shuffled_and_flip"]:
+        both = partners(narrow, n, seed + 1).withColumnRenamed("other", "cot_of").join(flips(narrow, n, seed + 1).withColumnRenamed("other", "a_of"), ["id", "k"])
+        links.append(both.select("id", F.lit("neg_shuffled_and_flip").alias("variant"), "k", "cot_of", "a_of"))
+    if not links:
+        return made
+    linked = links[0]
+    for more in links[1:]:
+        linked = linked.unionByName(more)
+    steps, answers = rows.select(F.col("id").alias("cot_of"), F.col("cot").alias("cot2")), rows.select(F.col("id").alias("a_of"), F.col("a").alias("a2"))
+    each = linked.join(rows.select("id", "lang", F.col("label_name").alias("answer_label"), "q"), "id").join(steps, "cot_of").join(answers, "a_of")
+    suffix = T.any_of([(F.col("variant") == v, s) for v, s in _SUFFIXES.items()], F.lit(None).cast("string"))
+    wrong = each.select(F.concat_ws(":", "id", suffix, "k").alias("id"), F.col("id").alias("source_id"), "lang", "answer_label", "variant", F.lit(0).alias("label"), K.compose(F.col("q"), F.col("cot2"), F.col("a2")).alias("input_tokens"))
+    return made.unionByName(wrong.select(*columns))
 
 
 def pairwise(examples: DataFrame, variants: list[str]) -> DataFrame:

@@ -73,3 +73,46 @@ def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     # a row for each range
     sizes = own.groupBy("_part").count().withColumn("_before", F.sum("count").over(Window.orderBy("_part")) - F.col("count")).drop("count")
     return own.join(F.broadcast(sizes), "_part").withColumn(name, F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
+
+
+def prefixes(df: DataFrame, order: list[Column], sizes: list[int], name: str = "scale") -> DataFrame:
+    """The rows of each prefix of df in the order given, with its size as `name`: rows of small prefixes come once for each.
+
+    Rows are dealt to ranges of the order and stored. Ranges that a prefix has whole stay as they are; only those where one
+    ends are ranked, so no task has more than a range, whatever the sizes are. A size beyond the table takes all rows; rows
+    that are equal in the order are cut anywhere.
+    """
+    spark = df.sparkSession
+    keys = [f"_p{i}" for i in range(len(order))]
+    dealt = df.withColumns(dict(zip(keys, order))).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *keys)
+    dealt = stored(dealt.withColumn("_range", F.spark_partition_id()))
+    counts = sorted((r["_range"], r["count"]) for r in dealt.groupBy("_range").count().collect())  # a row for each range
+    size = F.array(*(F.lit(s).cast("long") for s in sorted(sizes)))
+    # ranges as (number, rows before, rows before and in it), and those in which a prefix ends
+    ranges, at = [], 0
+    for part, n in counts:
+        ranges.append((part, at, at + n))
+        at += n
+    cut = [r for r in ranges if any(r[1] < s < r[2] for s in sizes)]
+
+    def of(values: dict[int, int]) -> Column:
+        made = F.lit(None).cast("long")
+        for part, v in values.items():
+            made = F.when(F.col("_range") == part, F.lit(v).cast("long")).otherwise(made)
+        return made
+
+    made = dealt.withColumn("_in", F.filter(size, lambda s: s >= of({p: b for p, _, b in ranges})))
+    if cut:
+        # a rank over all ranges that are cut, moved up by the rows before its own range that are not ranked
+        missing, seen = {}, 0
+        for part, first, last in cut:
+            missing[part], seen = first - seen, seen + last - first
+        place = ranked(dealt.filter(F.col("_range").isin([p for p, _, _ in cut])), [F.col(k) for k in keys], "_r")
+        upto = F.filter(size, lambda s: (s >= F.col("_r") + of(missing)) & (s < of({p: b for p, _, b in cut})))
+        made = made.unionByName(place.withColumn("_in", upto).drop("_r"))
+    return made.withColumn(name, F.explode("_in")).drop("_in", "_range", *keys)
+
+
+def prefix(df: DataFrame, order: list[Column], n: int) -> DataFrame:
+    """The first n rows of df in the order given, for any n."""
+    return prefixes(df, order, [n], "_scale").drop("_scale")

@@ -10,9 +10,11 @@ from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
 from tokenloom.operators import downstream as W
+from tokenloom.operators import shared
 from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
+from tokenloom.streaming import streams
 from tokenloom.plans.vocabulary import _BI, CAP, _shown, _top, _vocab
 
 
@@ -99,10 +101,8 @@ _TYPES = "list_transform({}, lambda t: string_split(t, ':')[1])"
     union all select 'type', type, null, null, null, null, l, r, round(100 * abs(l - r) / greatest(l, r, 1), 4) from c""")
 def agg_parity(spark, sf):
     """How far the fused and the atomic tokenizer agree: rows paired by their ids, and tokens of each type on both sides."""
-    docs = read(spark, sf, "documents")
-    a = C.tokenize_english(docs).select("doc_id", "pos", F.col("tokens").alias("a"))
-    b = C.tokenize_english(docs, atomic=True).select("doc_id", "pos", F.col("tokens").alias("b"))
-    return S.parity(a.join(b, ["doc_id", "pos"]), "a", "b")
+    made = C.tokenize_both(read(spark, sf, "documents"))
+    return S.parity(shared.stored(made), "fused", "atomic")
 
 
 _SCORES = "scores as (select event_id, 0.5 + (event_id % 7) / 14.0 as p_full, 0.4 + (event_id % 5) / 10.0 as p_qonly, 0.3 + (event_id % 3) / 10.0 as p_shuf from events)"
@@ -226,12 +226,38 @@ def topk_sampling(spark, sf):
 
 
 @query("""with e as (select user_id % 20 as bucket, date_trunc('hour', ts) as hour, count(*) as n from events group by 1, 2) select bucket, count(*) as hours, max(n) as most from e group by bucket""")
-def stream_windowed_coverage(spark, sf):
-    """An extension of this engine: events by hour; the streaming form is in tokenloom.streaming."""
+def agg_event_hours(spark, sf):
+    """Events by hour, as a batch."""
     hours = read(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("bucket"), F.date_trunc("hour", "ts").alias("hour")).agg(F.count("*").alias("n"))
     return hours.groupBy("bucket").agg(F.count("*").alias("hours"), F.max("n").alias("most"))
 
 
+_LATE = "event_id % 10 = 0 and ts >= timestamp '2024-01-03' and ts < timestamp '2024-01-05'"
+_PAIRS = f"""d as (select doc_id % 8 as key, timestamp '2024-01-01' + to_minutes((doc_id * 7919 % 43200)::int) as born, list_filter({D.lex_english('text')}, lambda t: t not in ('[BOS]', '[EOS]')) as t from documents),
+    pair as (select e.ts, event_type, len(d.t) as n, len(list_filter(d.t, lambda x: not starts_with(x, 'ROOT:') and not starts_with(x, 'LIT:'))) as s from events e join d on e.event_id % 8 = d.key and e.ts >= d.born and e.ts <= d.born + interval 1 hour where not ({_LATE})),
+    closed as (select least((select max(ts) from events), (select max(born) from d)) - interval 3 hour as w)"""
+
+
+@query(f"""with {_PAIRS} select date_trunc('day', ts) as day, event_type, count(*) as n, sum(n)::bigint as tokens, sum(s)::bigint as structured from pair, closed where date_trunc('day', ts) + interval 1 day <= w group by 1, 2""")
+def stream_windowed_coverage(spark, sf):
+    """Events joined with the texts of the hour before them under two watermarks, by day and type, as three arrivals.
+
+    Some events of the third and fourth day only come with the last arrival: they are late, and dropped.
+    """
+    start = F.lit("2024-01-01").cast("timestamp_ntz")
+    minutes = (F.col("doc_id") * 7919 % 43200).cast("int")
+    at = F.timestamp_add("MINUTE", minutes, start) if hasattr(F, "timestamp_add") else start + F.make_dt_interval(mins=minutes)
+
+    def step(ts):
+        return F.least(F.floor(F.datediff(ts, start) / 10), F.lit(2)).cast("int")
+
+    docs = read(spark, sf, "documents").select((F.col("doc_id") % 8).alias("key"), at.alias("ts"), "text").withColumn("step", step(F.col("ts")))
+    late = F.expr("event_id % 10 = 0 and ts >= timestamp_ntz '2024-01-03' and ts < timestamp_ntz '2024-01-05'")
+    events = read(spark, sf, "events").select((F.col("event_id") % 8).alias("key"), F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", F.when(late, 2).otherwise(step(F.col("ts"))).alias("step"))
+    made = streams.coverage_in_steps(spark, docs, events, 3)
+    return made.select(F.col("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n", "tokens", "structured")
+
+
 _LABELLED = f"labelled as (select doc_id as id, list_filter({D.lex_english('text')}, lambda t: t not in ('[BOS]', '[EOS]')) as toks, quality as label from documents join labels using (doc_id))"
 
 

@@ -268,5 +268,5 @@ def vocab_polymorphic_load(spark, sf):
 
 #: Operators that are the same as another one, under their own names.
 SAME = {
-    "agg_manifest": "snk_manifest", "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "gen_pairwise": "join_source_group", "gen_xnli_record": "src_xnli", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
+    "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "gen_pairwise": "join_source_group", "gen_xnli_record": "src_xnli", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
 }

@@ -28,8 +28,6 @@ def _rows(spark, sf):
 
 _RECORDS = """records as (select doc_id, printf('d-%010d', doc_id) as id, lang, w[1:4] as q, w[5:len(w) - 4] as c, w[greatest(len(w) - 3, 1):len(w)] as a from (select doc_id, lang, string_split(text, ' ') as w from documents))"""
 _ROWS = f"""{_RECORDS}, rows as (select r.*, case when quality = 1 then 'yes' else 'no' end as label_name from records r join labels using (doc_id))"""
-_OTHER = """other as (select *, coalesce(lead(c) over (partition by lang order by id), first_value(c) over (partition by lang order by id)) as c2 from rows),
-    pool as (select lang, case label_name when 'yes' then 'no' else 'yes' end as label_name, min(a) as flip from rows group by lang, rows.label_name), both_ as (select * from other left join pool using (lang, label_name))"""
 _NEXT = "coalesce(lead(c) over (partition by lang order by id), first_value(c) over (partition by lang order by id))"
 
 
@@ -47,27 +45,58 @@ def join_sample_other(spark, sf):
     return made.select("id", "lang", F.array_join("other", " ").alias("other"))
 
 
-@query(f"""with {_ROWS}, {_OTHER}, v as (select * from both_), x as (
-    select id as source_id, lang, 'positive' as variant, 1 as label from v union all select id, lang, 'neg_question_only', 0 from v union all select id, lang, 'neg_shuffled_cot', 0 from v
-    union all select id, lang, 'neg_answer_flip', 0 from v where flip is not null union all select id, lang, 'neg_shuffled_and_flip', 0 from v where flip is not null)
-    select variant, label, lang, grouping_id(variant, label, lang) as level, count(*) as n, count(distinct source_id) as sources from x group by grouping sets ((variant, label), (lang), ())""")
+def _place(rank: str, n: str, seed: int) -> str:
+    """A rank's place in the seeded order of n rows."""
+    primes = G.PRIMES[seed % len(G.PRIMES) :] + G.PRIMES[: seed % len(G.PRIMES)]
+    factor = "case " + " ".join(f"when {n} % {p} <> 0 then {p}" for p in primes[:-1]) + f" else {primes[-1]} end"
+    return f"({rank} * ({factor}) + {seed}) % {n}"
+
+
+_GROUPS = """g as (select *, row_number() over (partition by lang order by id) - 1 as r, count(*) over (partition by lang) as n, row_number() over (order by id) - 1 as r_all, count(*) over () as n_all,
+    row_number() over (partition by lang, label_name order by id) - 1 as r_label, count(*) over (partition by lang, label_name) as n_label from rows)"""
+
+
+def _seeded(seed: int, k: int) -> str:
+    """partner{seed} and flip{seed}: k others of the language, and k of the other label, for each row."""
+    return f"""p{seed} as (select *, {_place('r', 'n', seed)} as s, {_place('r_all', 'n_all', seed)} as s_all, {_place('r_label', 'n_label', seed)} as s_label from g),
+    partner{seed} as (select x.id, k, y.id as other from p{seed} x join range({k}) t(k) on x.n > 1 join p{seed} y on y.lang = x.lang and y.s = (x.s + 1 + k % (x.n - 1)) % x.n
+        union all select x.id, k, y.id from p{seed} x join range({k}) t(k) on x.n = 1 join p{seed} y on y.s_all = case when x.n_all > 1 then (x.s_all + 1 + k % (x.n_all - 1)) % x.n_all else x.s_all end),
+    flip{seed} as (select x.id, k, y.id as other from p{seed} x, range({k}) t(k), p{seed} y where y.lang = x.lang and y.label_name = case x.label_name when 'yes' then 'no' else 'yes' end and y.s_label = (x.s_label + k) % y.n_label)"""
+
+
+def _examples(counts: dict[str, int]) -> str:
+    most = max(counts.values())
+    qonly, shuffled, flipped, both = (counts[v] for v in G.NEGATIVES)
+    return f"""{_ROWS}, {_GROUPS}, {_seeded(0, most)}, {_seeded(1, most)}, x as (
+    select id || ':pos' as id, id as source_id, lang, label_name, 'positive' as variant, 1 as label, list_concat(list_concat(q, c), a) as t from rows union all
+    select id || ':neg_qonly:' || k, id, lang, label_name, 'neg_question_only', 0, list_concat(q, a) from rows, range({qonly}) t(k) union all
+    select r.id || ':neg_shuf:' || k, r.id, r.lang, r.label_name, 'neg_shuffled_cot', 0, list_concat(list_concat(r.q, o.c), r.a) from rows r join partner0 p on p.id = r.id and k < {shuffled} join rows o on o.id = p.other union all
+    select r.id || ':neg_flip:' || k, r.id, r.lang, r.label_name, 'neg_answer_flip', 0, list_concat(list_concat(r.q, r.c), o.a) from rows r join flip0 p on p.id = r.id and k < {flipped} join rows o on o.id = p.other union all
+    select r.id || ':neg_both:' || p.k, r.id, r.lang, r.label_name, 'neg_shuffled_and_flip', 0, list_concat(list_concat(r.q, o.c), f.a) from rows r join partner1 p on p.id = r.id and p.k < {both} join rows o on o.id = p.other
+        join flip1 l on l.id = r.id and l.k = p.k join rows f on f.id = l.other)"""
+
+
+@query(f"""with {_examples(G.NEGATIVES)} select variant, label, lang, grouping_id(variant, label, lang) as level, count(*) as n, count(distinct source_id) as sources from x group by grouping sets ((variant, label), (lang), ())""")
 def gen_verifier_summary(spark, sf):
     return G.verifier_summary(G.verifier_examples(_rows(spark, sf)))
 
 
-@query(f"""with {_ROWS}, {_OTHER}, x as (
-    select id || ':pos' as id, id as source_id, lang, label_name, 'positive' as variant, 1 as label, list_concat(list_concat(q, c), a) as t from both_ union all
-    select id || ':neg_qonly:0', id, lang, label_name, 'neg_question_only', 0, list_concat(q, a) from both_ union all
-    select id || ':neg_shuf:0', id, lang, label_name, 'neg_shuffled_cot', 0, list_concat(list_concat(q, c2), a) from both_ union all
-    select id || ':neg_flip:0', id, lang, label_name, 'neg_answer_flip', 0, list_concat(list_concat(q, c), flip) from both_ where flip is not null union all
-    select id || ':neg_both:0', id, lang, label_name, 'neg_shuffled_and_flip', 0, list_concat(list_concat(q, c2), flip) from both_ where flip is not null)
-    select id, source_id, lang, label_name as answer_label, variant, label, array_to_string(t, ' ') as input_tokens from x""")
+COUNTS = {"neg_question_only": 2, "neg_shuffled_cot": 3, "neg_answer_flip": 2, "neg_shuffled_and_flip": 2}
+
+
+@query(f"with {_examples(COUNTS)} select id, source_id, lang, label_name as answer_label, variant, label, array_to_string(t, ' ') as input_tokens from x")
 def gen_verifier_dataset(spark, sf):
-    return G.verifier_examples(_rows(spark, sf)).withColumn("input_tokens", F.array_join("input_tokens", " "))
+    """Positives with several negatives of each kind, whose steps and answers come from different rows."""
+    return G.verifier_examples(_rows(spark, sf), COUNTS).withColumn("input_tokens", F.array_join("input_tokens", " "))
+
+
+@query(f"""with {_RECORDS}, rows as (select *, '' as label_name from records), {_GROUPS}, {_seeded(5, 4)} select id, k, other from partner5""")
+def join_sample_partners(spark, sf):
+    """Four partners of each record in its language, none twice and never itself where there are others."""
+    return G.partners(_records(spark, sf).select("id", "lang"), 4, 5)
 
 
-@query(f"""with {_ROWS}, {_OTHER} select id as source_id, variant, array_to_string(list_concat(list_concat(q, c), a), ' ') as positive, array_to_string(n, ' ') as negative from (
-    select *, 'neg_question_only' as variant, list_concat(q, a) as n from both_ union all select *, 'neg_shuffled_cot', list_concat(list_concat(q, c2), a) from both_)""")
+@query(f"""with {_examples(G.NEGATIVES)} select p.source_id, n.variant, array_to_string(p.t, ' ') as positive, array_to_string(n.t, ' ') as negative from x p join x n on n.source_id = p.source_id and n.variant in ('neg_question_only', 'neg_shuffled_cot') where p.variant = 'positive'""")
 def join_source_group(spark, sf):
     pairs = G.pairwise(G.verifier_examples(_rows(spark, sf)), ["neg_question_only", "neg_shuffled_cot"])
     return pairs.select("source_id", "variant", F.array_join("positive", " ").alias("positive"), F.array_join("negative", " ").alias("negative"))

@@ -12,7 +12,7 @@ from tokenloom.operators import shared
 from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
-from tokenloom.sources import readers
+from tokenloom.sources import manifest, readers
 from tokenloom.streaming import streams
 
 LIMIT = 200
@@ -20,8 +20,9 @@ LIMIT = 200
 
 @query(f"select doc_id, trim(text) as text from documents where length(trim(text)) > 10 order by doc_id limit {LIMIT}")
 def src_parquet_text(spark, sf):
-    """First rows in id order of the texts over ten characters; sorting with a limit keeps only those in each task."""
-    return read(spark, sf, "documents").select("doc_id", F.trim("text").alias("text")).filter(F.length("text") > 10).orderBy("doc_id").limit(LIMIT)
+    """First rows in id order of the texts over ten characters, for any number of rows."""
+    texts = read(spark, sf, "documents").select("doc_id", F.trim("text").alias("text")).filter(F.length("text") > 10)
+    return shared.prefix(texts, [F.col("doc_id")], LIMIT)
 
 
 @query("select doc_id, trim(line) as text from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where trim(line) <> ''")
@@ -47,7 +48,8 @@ def src_json_array(spark, sf):
 def src_multi_priority(spark, sf):
     """Sources in a fixed order; the next one is used where the one before ends."""
     rank = F.when(F.col("source") == "src1", 0).when(F.col("source") == "src2", 1).when(F.col("source") == "src3", 2)
-    return read(spark, sf, "documents").select("doc_id", "source", rank.alias("src_rank")).filter("src_rank is not null").orderBy("src_rank", "doc_id").limit(LIMIT)
+    ordered = read(spark, sf, "documents").select("doc_id", "source", rank.alias("src_rank")).filter("src_rank is not null")
+    return shared.prefix(ordered, [F.col("src_rank"), F.col("doc_id")], LIMIT)
 
 
 SCALES = (50, 100, 150)
@@ -55,16 +57,14 @@ SCALES = (50, 100, 150)
 
 @query("select scale, count(*) as n, max(doc_id) as last, sum(n_chars)::bigint as chars from (select doc_id, n_chars, row_number() over (order by doc_id) as r from documents) join (" + D.values([(s,) for s in SCALES]) + ") t(scale) on r <= scale group by scale")
 def src_checkpoint_scales(spark, sf):
-    """Nested first parts of one ordered corpus: ranks only exist for the largest part's rows."""
-    most = read(spark, sf, "documents").select("doc_id", "n_chars").orderBy("doc_id").limit(max(SCALES))
-    numbered = most.withColumn("r", F.row_number().over(Window.orderBy("doc_id")))
-    scales = F.explode(F.filter(F.array(*(F.lit(s) for s in SCALES)), lambda s: F.col("r") <= s)).alias("scale")
-    return numbered.select("doc_id", "n_chars", scales).groupBy("scale").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.sum("n_chars").alias("chars"))
+    """Nested first parts of one ordered corpus, cut by the counts of its ranges."""
+    parts = shared.prefixes(read(spark, sf, "documents").select("doc_id", "n_chars"), [F.col("doc_id")], list(SCALES))
+    return parts.groupBy(F.col("scale").cast("int").alias("scale")).agg(F.count("*").alias("n"), F.max("doc_id").alias("last"), F.sum("n_chars").alias("chars"))
 
 
 @query(f"select doc_id, source, lang from documents order by doc_id limit {LIMIT}")
 def limit_first_n(spark, sf):
-    return read(spark, sf, "documents").select("doc_id", "source", "lang").orderBy("doc_id").limit(LIMIT)
+    return shared.prefix(read(spark, sf, "documents").select("doc_id", "source", "lang"), [F.col("doc_id")], LIMIT)
 
 
 @query("select count(*) as n, count(distinct kind) as kinds, sum(length(text))::bigint as chars from (select 'doc' as kind, text from documents union all select 'turn', text from conversations union all select 'item', text from benchmark)")
@@ -165,12 +165,31 @@ def balance_by_answer(spark, sf):
 
 
 @query("select source, lang, count(*) as n, sum(n_chars)::bigint as chars, grouping_id(source, lang) as level from documents group by grouping sets ((source, lang), (source), (lang), ())")
-def snk_manifest(spark, sf):
-    """Counts for each file, language and over all, in one pass."""
+def agg_manifest(spark, sf):
+    """Counts for each source, language and over all, in one pass; snk_manifest counts written files."""
     docs = read(spark, sf, "documents").select("source", "lang", "n_chars")
     return docs.groupingSets([["source", "lang"], ["source"], ["lang"], []], "source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.grouping_id("source", "lang").alias("level"))
 
 
+@query("""with r as (select 'stage-' || source as file, lang, (n_chars % 3 + 1)::varchar as category, case when doc_id % 4 = 0 then 'mit' else 'cc-by-4.0' end as license from documents),
+    k as (select file, unnest([{'kind': 'total', 'key': ''}, {'kind': 'lang', 'key': lang}, {'kind': 'license', 'key': license}, {'kind': 'category', 'key': category}]) as x from r)
+    select file, x.kind as kind, x.key as key, count(*) as n from k group by all""")
+def snk_manifest(spark, sf):
+    """Records written as JSON lines in two runs, each followed by a manifest that only reads the files it lacks."""
+    none = F.lit(None).cast("string")
+    meta = F.struct(F.col("source"), F.when(F.col("doc_id") % 4 == 0, "mit").otherwise("cc-by-4.0").alias("license"), none.alias("translated_from"), none.alias("difficulty"))
+    docs = read(spark, sf, "documents")
+    records = docs.select(
+        F.concat(F.lit("stage-"), "source").alias("file"), F.col("doc_id").cast("string").alias("id"), "lang", (F.col("n_chars") % 3 + 1).cast("int").alias("category"), F.col("text").alias("question"),
+        F.array().cast("array<string>").alias("cot"), F.lit("").alias("answer"), meta.alias("meta"),
+    )
+    folder, at = shared.folder(spark, "records"), shared.folder(spark, "manifest")
+    for part in (F.col("id").cast("long") % 2 == 0, F.col("id").cast("long") % 2 != 0):
+        manifest.write_records(records.filter(part), folder)
+        manifest.update(spark, folder, at)
+    return manifest.summary(spark, at)
+
+
 @query("select role, conv_id, turn from (select role, conv_id, turn, row_number() over (partition by role order by conv_id, turn) as r from conversations) where r <= 25")
 def topk_per_bucket(spark, sf):
     """The first 25 of each bucket; the window's rank limit is pushed below the shuffle."""

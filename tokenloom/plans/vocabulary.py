@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon as L
@@ -10,6 +9,8 @@ from tokenloom.functions import tokens as K
 from tokenloom.operators import baselines as B
 from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
+from tokenloom.operators import sketches as H
+from tokenloom.operators import subword as U
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
 
@@ -108,6 +109,36 @@ def agg_distinct_per_lang(spark, sf):
     return _lexed(spark, sf).select("lang", F.explode("tokens").alias("token")).groupBy("lang").agg(F.countDistinct("token").alias("kinds"))
 
 
+_STAGED = f"""{_LEX}, turns as (select role as lang, unnest({D.lex_english('text')}) as token from conversations), items as (select 'none' as lang, unnest({D.lex_english('text')}) as token from benchmark),
+    staged as (select 'documents' as stage, lang, token from each union all select 'turns', lang, token from turns union all select 'items', lang, token from items)"""
+
+
+@query(f"with {_STAGED} select stage, lang, grouping_id(stage, lang) as level, count(*) as n, count(distinct token) as kinds, true as close from staged group by grouping sets ((stage, lang), (stage), ())")
+def agg_distinct_sketches(spark, sf):
+    """Kinds of tokens by stage and language from stored sketches that merge, held against the exact counts: within 3 % of each."""
+    lexed = K.lex_english(F.col("text"))
+    stages = {
+        "documents": _lexed(spark, sf).select("lang", F.explode("tokens").alias("token")), "turns": read(spark, sf, "conversations").select(F.col("role").alias("lang"), F.explode(lexed).alias("token")),
+        "items": read(spark, sf, "benchmark").select(F.lit("none").alias("lang"), F.explode(lexed).alias("token")),
+    }
+    path, each = shared.folder(spark, "sketches"), None
+    for stage, tokens in stages.items():
+        H.add_stage(path, stage, tokens)
+        own = tokens.select(F.lit(stage).alias("stage"), "lang", "token")
+        each = own if each is None else each.unionByName(own)
+    sketches = H.stages(spark, path)
+    keys = {0: ["stage", "lang"], 1: ["stage"], 3: []}
+    guess = None
+    for level, k in keys.items():
+        made = H.estimated(H.merged(sketches, k)).select(*(F.col(c) if c in k else F.lit(None).cast("string").alias(c) for c in ("stage", "lang")), F.lit(level).alias("level"), "estimate")
+        guess = made if guess is None else guess.unionByName(made)
+    exact = each.groupingSets([["stage", "lang"], ["stage"], []], "stage", "lang").agg(F.grouping_id("stage", "lang").alias("level"), F.count("*").alias("n"), F.countDistinct("token").alias("kinds"))
+    on = exact["stage"].eqNullSafe(guess["stage"]) & exact["lang"].eqNullSafe(guess["lang"]) & (exact["level"] == guess["level"])
+    # a row for each stage and language on both sides
+    both = exact.join(F.broadcast(guess), on).select(exact["stage"], exact["lang"], exact["level"], "n", "kinds", "estimate")
+    return both.select("stage", "lang", "level", "n", "kinds", (F.abs(F.col("estimate") - F.col("kinds")) <= 0.03 * F.col("kinds")).alias("close"))
+
+
 @query(f"with {D.SENT}, {D.REASON} select 1 - (select count(distinct t) from (select unnest(reasoning_tokens) as t from proj)) / count(distinct w) as reduction from (select unnest(string_split(lower(sent), ' ')) as w from sent)")
 def agg_vocab_reduction(spark, sf):
     sents = C.sentences(read(spark, sf, "documents"))
@@ -204,10 +235,16 @@ def base_word_py(spark, sf):
     return _shown(B.word_ids(C.sentences(read(spark, sf, "documents")), 1000, 128))
 
 
+def _two_codecs(spark, sf):
+    """(doc_id, lang, pos, sent, tokens, pieces): the lexer's tokens and the given SentencePiece model's ids of each sentence."""
+    sents = C.sentences(read(spark, sf, "documents")).select("doc_id", "lang", "pos", "sent", K.lex_english(F.col("sent")).alias("tokens"))
+    return U.with_pieces(sents, "sent")
+
+
 @query()
 def base_spm(spark, sf):
-    """Pieces of a given SentencePiece model: subword counts by language."""
-    return B.piece_counts(read(spark, sf, "documents"))
+    """Pieces of a given SentencePiece model by language, of sentences with three or more, and the lexer's tokens against them."""
+    return U.compression(_two_codecs(spark, sf), ["lang"])
 
 
 _BI = f"{_COUNT}, pair as (select doc_id, pos, token as a, lead(token) over (partition by doc_id, pos order by i) as b from each), bi as (select a, b, count(*) as nab from pair where b is not null group by a, b), uni as (select a, sum(nab) as na from bi group by a), size as (select count(*) as v from counts)"
@@ -240,16 +277,25 @@ def pad_mask(spark, sf):
     return _shown(B.padded(ids, ["doc_id"]).select("doc_id", "pos", "padded", "mask", "labels"), "padded", "mask", "labels")
 
 
-@query(f"""with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1)::int as id from each left join vocab v using (token)), g as (select doc_id, pos, list(id order by i) as ids from e group by doc_id, pos),
-    lit as (select list(id) as l from vocab where token like 'LIT:%')
-    select doc_id, pos, array_to_string(case when len(list_filter(ids, lambda x: list_contains(l, x))) > 0 then list_filter(ids, lambda x: not list_contains(l, x)) || [{CAP} + 7, {CAP} + 8] else ids end, ' ') as ids from g, lit""")
+@query()
 def lit_cap_zero(spark, sf):
-    """Literal ids go; where any was there, subword ids follow, moved up by the vocabulary's size."""
-    vocab = _vocab(spark, sf)
-    ids = C.encode(_lexed(spark, sf), vocab, ["doc_id", "pos"])
-    literal = vocab.filter("token like 'LIT:%'").agg(F.collect_list(F.col("id").cast("int")).alias("l"))  # at most the cap
-    joined = ids.join(F.broadcast(literal))
-    return _shown(joined.select("doc_id", "pos", K.drop_literals(F.col("ids"), F.col("l"), F.array(F.lit(7), F.lit(8)), CAP).alias("ids")))
+    """Literal ids go; where any was there, the sentence's own SentencePiece ids follow, moved up by the vocabulary's size."""
+    return _shown(U.literal_free(_two_codecs(spark, sf), _vocab(spark, sf)).select("doc_id", "pos", "ids"))
+
+
+@query(f"""with {_top(CAP)}, ws as (select doc_id, pos, {_TS} as w from sent), wv as (select w, row_number() over (order by n desc, w) as wid from (select w, count(*) as n from (select unnest(w) as w from ws) group by w)),
+    piece as (select doc_id, pos, list(wid::int order by i) as pieces from (select doc_id, pos, unnest(w) as w, generate_subscripts(w, 1) as i from ws) join wv using (w) group by doc_id, pos),
+    own as (select doc_id, pos, list(case when starts_with(e.token, 'LIT:') and v.id is not null then -1 else coalesce(v.id, 1)::int end order by i) as ids from each e left join vocab v using (token) group by doc_id, pos), size as (select max(id) + 1 as n from vocab)
+    select doc_id, pos, array_to_string(list_concat(list_filter(ids, lambda x: x >= 0), case when list_contains(ids, -1) then list_transform(coalesce(pieces, []), lambda x: x + n) else [] end), ' ') as ids from own left join piece using (doc_id, pos), size""")
+def lit_cap_zero_words(spark, sf):
+    """The same with white-space words by frequency as the second codec, stored apart and aligned on the sentence's id."""
+    sents = C.sentences(read(spark, sf, "documents"))
+    spaced = F.split(F.regexp_replace(F.lower("sent"), "([.,!?;:])", " $1 "), "[ \\t\\r\\n]+")
+    words = sents.select("doc_id", "pos", F.filter(spaced, lambda w: w != "").alias("tokens"))
+    vocab = C.by_frequency(C.token_counts(words), "id").select("token", "id")
+    second = shared.stored(C.encode(words, vocab, ["doc_id", "pos"]).withColumnRenamed("ids", "pieces"))
+    both = U.aligned(_lexed(spark, sf), second, ["doc_id", "pos"])
+    return _shown(U.literal_free(both, _vocab(spark, sf)).select("doc_id", "pos", "ids"))
 
 
 @query(f"""with {_top(CAP)}, s as (select token, id, row_number() over (order by id) as r, row_number() over (order by md5('11:' || token), token) as h from vocab where not starts_with(token, 'LIT:') and not starts_with(token, '['))
@@ -273,19 +319,31 @@ def agg_lookup_w2t(spark, sf):
     return B.word_sequences(C.aligned(read(spark, sf, "documents"), atomic=True))
 
 
-@query(f"""with {D.tokenized(True)}, c as (select doc_id, pos, i, len(em.tokens) as c from word join em using (word)) select doc_id, pos, i, c::int as c, coalesce(sum(c) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from c""")
+@query(f"""with {D.tokenized(True)}, c as (select doc_id, pos, row_number() over (partition by doc_id, pos order by i) - 1 as i, len(em.tokens) as c from word join em using (word))
+    select doc_id, pos, i::int as i, c::int as c, coalesce(sum(c) over (partition by doc_id, pos order by i rows between unbounded preceding and 1 preceding), 0)::bigint as start from c""")
 def win_cumulative_cursor(spark, sf):
-    """Where each word's tokens start in its sentence: a running sum of the counts before."""
-    words = C.words(C.sentences(read(spark, sf, "documents")))
-    lexicon = C.emit(C.analyse(words.select("word").distinct()), atomic=True)
-    counted = words.join(lexicon.select("word", F.size("tokens").alias("c")), "word")
-    before = Window.partitionBy("doc_id", "pos").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-    return counted.select("doc_id", "pos", "i", "c", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("start"))
+    """Where each word's tokens start in its sentence: the counts before it, summed inside the row."""
+    made = C.aligned(read(spark, sf, "documents"), atomic=True)
+    starts = F.transform("counts", lambda c, i: F.struct(c.alias("c"), F.aggregate(F.slice("counts", F.lit(1), i), F.lit(0).cast("long"), lambda a, x: a + x).alias("start")))
+    return made.select("doc_id", "pos", F.posexplode(starts).alias("i", "x")).select("doc_id", "pos", "i", "x.c", "x.start")
+
+
+_CLEAN = "regexp_replace(w, '[،؛.؟!:]+$', '')"
 
 
-@query(f"""with {D.SENT}, {D.NORM}, {D.WORD} select word, coalesce(t, case when length(word) > 3 then 'SURF:' || word else '[UNK]' end) as token, count(*) as n from word left join ({D.values(L.RELATIONS.items())}) r(word, t) using (word) group by word, t""")
+@query(f"""with {D.SENT}, rel as ({D.values(L.RELATIONS.items())}), r(word, token) as (select * from rel), ws as (select doc_id, pos, list_filter(string_split_regex(trim(sent), '[ \\t\\r\\n]+'), lambda w: w <> '') as ws from sent),
+    each as (select doc_id, pos, unnest(ws) as w, generate_subscripts(ws, 1) as i from ws), bare as (select *, {_CLEAN} as c from each),
+    surf as (select c, count(*) as n from bare where c not in (select word from r) and length(c) > 3 group by c order by n desc, c limit 500),
+    vocab as (select token, row_number() over (order by token) + 3 as id from (select distinct token from r union all select 'SURF:' || c from surf)),
+    m as (select doc_id, pos, i, coalesce(r1.token, r2.token) as t, 'SURF:' || c as s1, 'SURF:' || w as s2 from bare left join r r1 on r1.word = c left join r r2 on r2.word = w)
+    select doc_id, pos, '2 ' || string_agg(case when t is not null then coalesce(v.id, 1) else coalesce(x.id, y.id, 1) end::varchar, ' ' order by i) as ids from m left join vocab v on v.token = t left join vocab x on x.token = s1 left join vocab y on y.token = s2 group by doc_id, pos""")
 def demo_encode(spark, sf):
-    words = C.words(C.sentences(read(spark, sf, "documents"))).groupBy("word").agg(F.count("*").alias("n"))
-    table = C.table(spark, list(L.RELATIONS.items()), "word string, t string")
-    token = F.coalesce("t", F.when(F.length("word") > 3, F.concat(F.lit("SURF:"), "word")).otherwise("[UNK]"))
-    return words.join(F.broadcast(table), "word", "left").select("word", token.alias("token"), "n")
+    """Ids of white-space words as the small encoder gives them: without trailing marks first, then as they are, then as surfaces."""
+    sents = C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", F.col("sent").alias("text"))
+    known = C.table(spark, list(L.RELATIONS.items()), "word string, token string")
+    bare = sents.select(F.explode(B.demo_words(F.col("text"))).alias("w")).select(B.demo_clean(F.col("w")).alias("c"))
+    counts = bare.join(F.broadcast(known), F.col("c") == F.col("word"), "left_anti").filter(F.length("c") > 3).groupBy("c").agg(F.count("*").alias("n"))
+    surfaces = counts.orderBy(F.desc("n"), "c").limit(500).select(F.concat(F.lit("SURF:"), "c").alias("token"))
+    tokens = known.select("token").distinct().unionByName(surfaces)
+    vocab = shared.ranked(tokens, [F.col("token")], "id").select("token", (F.col("id") + 3).alias("id"))
+    return _shown(B.demo_ids(sents, known, vocab, begin=2, unknown=1).select("doc_id", "pos", "ids"))

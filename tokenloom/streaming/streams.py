@@ -41,6 +41,33 @@ def windowed_counts(stream: DataFrame, time_col: str, width: str, delay: str) ->
     return _timed(stream, time_col).withWatermark(time_col, delay).groupBy(F.window(time_col, width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
+def windowed_coverage(texts: DataFrame, events: DataFrame, *, width: str, within: str, delay: str) -> DataFrame:
+    """(window, event_type, n, tokens, structured): events that fall on texts, by window and type, and how much of the texts is structured.
+
+    texts (key, ts, text) and events (key, ts, event_type) are streams with watermarks of their own. An event belongs to each
+    text of its key that came within the interval before it; so state is kept for that long, behind the slower stream. Windows
+    come out once they are closed, and rows that are later than the delay are dropped.
+    """
+    tokens = K.unmark(K.lex_english(F.col("text")))
+    shown = _timed(texts, "ts").select("key", F.col("ts").alias("at"), tokens.alias("t")).select(
+        "key", "at", F.size("t").cast("long").alias("tokens"), F.size(F.filter("t", lambda t: ~t.startswith("ROOT:") & ~t.startswith("LIT:"))).cast("long").alias("structured")
+    )
+    left = _timed(events, "ts").select(F.col("key").alias("of"), "ts", "event_type").withWatermark("ts", delay)
+    right = shown.withWatermark("at", delay)
+    joined = left.join(right, (F.col("of") == F.col("key")) & (F.col("ts") >= F.col("at")) & (F.col("ts") <= F.col("at") + F.expr(f"interval {within}")))
+    return joined.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("structured").alias("structured"))
+
+
+def run_steps(spark: SparkSession, made: DataFrame, feeds) -> DataFrame:
+    """Run a stream once after each of the feeds, functions that add to its sources, from one checkpoint; all rows it appended."""
+    at = shared.folder(spark, "stream")
+    for feed in feeds:
+        feed()
+        writer = made.writeStream.outputMode("append").option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+        writer.format("parquet").option("path", f"{at}/out").start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{at}/out")
+
+
 def run_once(spark: SparkSession, made: DataFrame, mode: str = "append") -> DataFrame:
     """Run a stream over what is there into a table in the shared folder, and read that.
 
@@ -57,8 +84,12 @@ def run_once(spark: SparkSession, made: DataFrame, mode: str = "append") -> Data
 
 
 def _table(spark: SparkSession, path: str) -> DataFrame:
-    # a glob finds a table that is one file as well as a folder of files
-    return source(spark, f"{path}*", spark.read.parquet(path).schema)
+    """A stream over the table at path, a folder of files or one file: of a file's folder nothing else is read."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    schema = spark.read.parquet(path).schema
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return source(spark, path, schema)
+    return spark.readStream.schema(schema).option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
 
 
 def tokenize_once(spark: SparkSession, path: str) -> DataFrame:
@@ -77,3 +108,19 @@ def dedup_once(spark: SparkSession, path: str, time_col: str, keys: list[str], d
 def windows_once(spark: SparkSession, path: str, time_col: str) -> DataFrame:
     made = run_once(spark, windowed_counts(_table(spark, path), time_col, "1 hour", "2 hours"), "complete")
     return made.select(F.col("window.start").cast("timestamp_ntz").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def coverage_in_steps(spark: SparkSession, texts: DataFrame, events: DataFrame, steps: int, *, width: str = "1 day", within: str = "1 hour", delay: str = "2 hours") -> DataFrame:
+    """windowed_coverage of texts (step, key, ts, text) and events (step, key, ts, event_type) that arrive in so many steps."""
+    at = shared.folder(spark, "feed")
+    given = {"texts": texts, "events": events}
+
+    def feed(n: int):
+        for name, df in given.items():
+            df.filter(F.col("step") == n).drop("step").write.mode("append").parquet(f"{at}/{name}")
+
+    for name, df in given.items():  # the folders have to be there before the streams are
+        df.limit(0).drop("step").write.parquet(f"{at}/{name}")
+    left, right = (source(spark, f"{at}/{name}", df.drop("step").schema) for name, df in given.items())
+    made = windowed_coverage(left, right, width=width, within=within, delay=delay)
+    return run_steps(spark, made, [lambda n=n: feed(n) for n in range(steps)])
