@@ -21,13 +21,19 @@ BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Least containment of a licence's text; a notice of a few words has to stand in a block whole.
 THRESHOLD = 0.8
 
-#: Words that a template may have; blocks are twice as long.
+#: Blocks have twice as many words; a template goes to the smallest that has its words, a longer one to the next power of two.
 STEPS = (8, 32, 128, 256)
 
+#: Other words that may stand between two words of a notice.
+GAP = 3
+
+#: Share of the score that a licence's text can reach: that its words are in a block says nothing of their order.
+SET_SCORE = 0.99
+
 # Phrases and their labels, as the contract of op3 lists them.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Notices (label, words, words that tell the block of another licence) and licence texts as their licences
+# Notices (label, words in order, words that make it another licence's where they stand between) and licence texts as their licences
 # word them (label, text, words that must be there, words that must not).
 NOTICES = [
     ("notice-mit", "under the MIT License", ""),
@@ -117,7 +123,10 @@ TEXTS = [
 
 @dataclass(frozen=True)
 class Template:
-    """A label, the words of a text (each once), how many of them a block must have, and words that it must or must not have."""
+    """A label, the words of a text (each once), how many of them a block must have, and words that it must or must not have.
+
+    A notice has order, its words one after the other, and between, the words that must not stand among them.
+    """
 
     label: str
     words: tuple[str, ...]
@@ -125,19 +134,38 @@ class Template:
     step: int
     must: tuple[str, ...] = ()
     must_not: tuple[str, ...] = ()
+    order: tuple[str, ...] = ()
+    between: tuple[str, ...] = ()
 
 
-def template(label: str, text: str, threshold: float, must: str = "", must_not: str = "") -> Template:
+def _split(text: str) -> list[str]:
     own = re.findall(WORD, text.lower())
-    if not own or len(own) > STEPS[-1]:
-        raise ValueError(f"the template {label} has {len(own)} words")
+    if not own:
+        raise ValueError("a template without words")
+    return own
+
+
+def _step(n: int) -> int:
+    return next((s for s in STEPS if n <= s), 1 << (n - 1).bit_length())
+
+
+def template(label: str, text: str, threshold: float, must: str = "", must_not: str = "") -> Template:
+    """A licence's text, of any length."""
+    own = _split(text)
     words = tuple(sorted(set(own)))
-    return Template(label, words, math.ceil(threshold * len(words) - 1e-9), next(s for s in STEPS if len(own) <= s), tuple(must.split()), tuple(must_not.split()))
+    return Template(label, words, math.ceil(threshold * len(words) - 1e-9), _step(len(own)), tuple(must.split()), tuple(must_not.split()))
+
+
+def notice(label: str, text: str, between: str = "") -> Template:
+    """A short notice, whose words have to stand in order."""
+    own = _split(text)
+    words = tuple(sorted(set(own)))
+    return Template(label, words, len(words), _step(len(own)), order=tuple(own), between=tuple(between.split()))
 
 
 def templates(threshold: float = THRESHOLD) -> list[Template]:
     """The known notices and texts; threshold is for the texts."""
-    return [template(label, text, 1.0, must_not=bars) for label, text, bars in NOTICES] + [template(label, text, threshold, must, bars) for label, text, must, bars in TEXTS]
+    return [notice(label, text, bars) for label, text, bars in NOTICES] + [template(label, text, threshold, must, bars) for label, text, must, bars in TEXTS]
 
 
 def lower_ascii(text: Column) -> Column:
@@ -179,9 +207,30 @@ def may_hold(own: Column, known: list[Template]) -> Column:
     return made
 
 
+def in_order(words: Column, order: Column, between: Column, gap: int = GAP) -> Column:
+    """Whether words has those of order one after the other, with up to gap others between two and none of between among these.
+
+    All places that the words so far can end at are carried along, so a wrong start hides no right one.
+    """
+    starts = F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == F.get(order, F.lit(0)))
+
+    def follow(places: Column, w: Column) -> Column:
+        def after(i: Column) -> Column:
+            ends = F.filter(F.sequence(i + 1, i + 1 + gap), lambda j: F.get(words, j) == w)
+            return F.filter(ends, lambda j: ~F.arrays_overlap(F.slice(words, i + 2, j - i - 1), between))
+
+        return F.array_distinct(F.flatten(F.transform(places, after)))
+
+    ends = F.aggregate(F.slice(order, F.lit(2), F.size(order)), starts, follow)
+    return (F.size(words) > 0) & (F.size(ends) > 0)
+
+
 def containment(texts: DataFrame, counts: DataFrame, known: list[Template]) -> DataFrame:
     """(id, digest, label, score): texts (id, digest, words; stored) with a block that holds enough of a template's words.
 
+    A notice's words must stand in order as well, which is looked up in the texts that have them all in a block; then its
+    score is 1. A licence's text is a set of words, and scores its containment times SET_SCORE.
+
     Exact set-similarity join on distinct words. Words of the templates are ordered by the number of texts they are in
     (counts), rarest first; they number as many as the templates have, whatever the input. A block can reach a
     template's overlap only if it has one of the template's first words (prefix filter), has words enough (length
@@ -200,7 +249,7 @@ def containment(texts: DataFrame, counts: DataFrame, known: list[Template]) -> D
     # both grow with the templates only
     index_df = F.broadcast(spark.createDataFrame(index, "word string, step int, template int, i int, size int, need int"))
     table_df = F.broadcast(spark.createDataFrame(tables, "template int, label string, ranked array<string>, least int, must array<string>, must_not array<string>"))
-    steps = F.array(*(F.lit(s) for s in STEPS if any(t.step == s for t in known)))
+    steps = F.array(*(F.lit(s) for s in sorted({t.step for t in known})))
     last = F.greatest(F.ceil(F.size("words") / F.col("step")) - 2, F.lit(0)).cast("int")
     blocks = (
         texts.select("id", "digest", "words", F.explode(steps).alias("step"))
@@ -215,19 +264,27 @@ def containment(texts: DataFrame, counts: DataFrame, known: list[Template]) -> D
     )
     overlap = F.size(F.array_intersect("own", "ranked"))
     none = F.size(F.array_intersect("own", "must_not")) == 0
-    return (
+    held = (
         candidates.select("id", "digest", "own", "template")
         .join(table_df, "template")
         .filter((overlap >= F.col("least")) & (F.size(F.array_except("must", "own")) == 0) & none)
-        .groupBy("id", "digest", "label")
+        .groupBy("id", "digest", "template")
         .agg(F.max(overlap / F.size("ranked")).alias("score"))
     )
+    ordered = [(n, t.label, list(t.order), list(t.between)) for n, t in enumerate(known)]
+    held = held.join(F.broadcast(spark.createDataFrame(ordered, "template int, label string, order array<string>, between array<string>")), "template")
+    # texts that have a notice's words, each once: repeated rows have the same words
+    once = texts.select("id", "digest", "words").join(held.filter(F.size("order") > 0).select("id", "digest").distinct(), ["id", "digest"]).dropDuplicates(["id", "digest"])
+    sure = once.join(held.filter(F.size("order") > 0), ["id", "digest"]).filter(in_order(F.col("words"), F.col("order"), F.col("between"))).select("id", "digest", "label", F.lit(1.0).alias("score"))
+    both = sure.unionByName(held.filter(F.size("order") == 0).select("id", "digest", "label", (F.col("score") * SET_SCORE).alias("score")))
+    return both.groupBy("id", "digest", "label").agg(F.max("score").alias("score"))
 
 
 def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, known: list[Template] | None = None) -> DataFrame:
     """(id_col, n_words, n_base, first_word, last_word, base_labels, labels, score) for each row of df.
 
-    score is the greatest containment of a template that a block meets, else 0; 1 where a base phrase stands. Texts of
+    score is 1 where a base phrase or a notice stands, SET_SCORE times the greatest containment of a licence's text that a
+    block meets, else 0. Texts of
     any length are scanned whole, once: what later steps need of a text goes to the shared folder. Null and empty texts
     have no words. Repeated rows give repeated rows; ids may be null or shared. Ties of templates all count. Other
     columns of df are not looked at; an id_col named like a result is an error. An empty table gives an empty one.
@@ -246,7 +303,7 @@ def scan(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", thres
         F.array_max(every).cast("long").alias("last_word"), base_labels.alias("base"), "own", F.when(may_hold(F.col("own"), known), F.col("words")).alias("words"),
     ))
     counts = seen.select(F.explode("own").alias("word")).groupBy("word").count()
-    more = containment(seen.filter("words is not null").select("id", "digest", "words"), counts, known)
+    more = common.stored(containment(seen.filter("words is not null").select("id", "digest", "words"), counts, known))
     more = more.groupBy("id", "digest").agg(F.collect_set("label").alias("more"), F.max("score").alias("best"))
     joined = seen.drop("own", "words").join(more, ["id", "digest"], "left")
     labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>")))))

@@ -255,7 +255,10 @@ def _probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def dropped_lines(state: LineState) -> DataFrame:
-    """(id, digest, keys array<struct<k1,k2>>): for each document the lines it loses, being in a later one as well."""
+    """(id, digest, keys array<struct<k1,k2>>): for each document the lines it loses, being in a later one as well.
+
+    Rows that are equal in id and digest have the same lines; the set has each once, however many rows there are.
+    """
     parts = int(state.references.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = ["k1", "k2", "id", "digest"]
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")
@@ -265,7 +268,7 @@ def dropped_lines(state: LineState) -> DataFrame:
     maybe = rows.mapInArrow(common.lean(_probe), "k1 long, k2 long, id long, digest long")
     heavy = state.counts.filter(F.col("n") >= state.least_docs).select("k1", "k2", "last")
     sure = maybe.join(heavy, ["k1", "k2"]).filter("id < last")
-    return sure.groupBy("id", "digest").agg(F.collect_list(F.struct("k1", "k2")).alias("keys"))
+    return sure.groupBy("id", "digest").agg(F.collect_set(F.struct("k1", "k2")).alias("keys"))
 
 
 def _drop(least_chars: int):

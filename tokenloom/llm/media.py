@@ -19,15 +19,20 @@ ROW = 64
 
 _ITEMS = "array<struct<position: int, kind: string, text: string, digest: string, caption: string>>"
 _MEDIA = {"img", "video", "audio", "source", "embed"}
-_SILENT = {"script", "style", "noscript", "template", "head"}
+_SILENT = {"script", "style", "template", "head", "title"}
+_HEAD = {"title", "meta", "link", "base", "style", "script", "noscript", "template", "head"}
 _BLOCKS = {"p", "div", "br", "li", "ul", "ol", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "tr", "td", "th", "blockquote", "figure", "figcaption", "nav", "footer", "header"}
 
 
 class _Sequence(HTMLParser):
-    """Texts and media references in document order; a figure's caption belongs to the media in it, else the alt text does."""
+    """Texts and media references in document order; a figure's caption belongs to the media in it, else the alt text does.
 
-    def __init__(self) -> None:
+    A head without an end tag ends at the first tag or text that can't be in one. With inert=False templates are read too.
+    """
+
+    def __init__(self, inert: bool = True) -> None:
         super().__init__(convert_charrefs=True)
+        self.quiet = _SILENT if inert else _SILENT - {"template"}
         self.items: list[dict] = []
         self.words: list[str] = []
         self.silent: list[str] = []
@@ -40,8 +45,14 @@ class _Sequence(HTMLParser):
         if text:
             self.items.append({"kind": "text", "text": text, "digest": None, "caption": None})
 
+    def end_head(self) -> None:
+        if self.silent == ["head"]:
+            self.silent = []
+
     def handle_starttag(self, tag, attrs):
-        if tag in _SILENT:
+        if tag not in _HEAD:
+            self.end_head()
+        if tag in self.quiet:
             self.silent.append(tag)
         elif self.silent:
             return
@@ -61,11 +72,11 @@ class _Sequence(HTMLParser):
             self.flush()
 
     def handle_startendtag(self, tag, attrs):
-        if tag not in _SILENT:  # <script/> opens nothing
+        if tag not in self.quiet:  # <script/> opens nothing
             self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
-        if tag in _SILENT:
+        if tag in self.quiet:
             if tag in self.silent:
                 self.silent.remove(tag)
         elif tag == "figcaption" and self.caption is not None:
@@ -86,6 +97,8 @@ class _Sequence(HTMLParser):
             self.items[i]["caption"] = text
 
     def handle_data(self, data):
+        if data.strip():
+            self.end_head()
         if not self.silent:
             (self.words if self.caption is None else self.caption).append(data)
 
@@ -95,6 +108,10 @@ def parse(html: str | None) -> list[dict]:
     reader = _Sequence()
     reader.feed(html or "")
     reader.close()
+    if "template" in reader.silent:  # it never ends: what follows is the page
+        reader = _Sequence(inert=False)
+        reader.feed(html or "")
+        reader.close()
     if reader.caption is not None:
         reader.close_caption()
     reader.flush()

@@ -18,7 +18,7 @@ def _list(words) -> str:
 
 _KNOWN = licenses.templates()
 _WORDS = _values([(n, w) for n, t in enumerate(_KNOWN) for w in t.words])
-_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.step}, {len(t.words)}, {t.least}, {_list(t.must)}, {_list(t.must_not)})" for n, t in enumerate(_KNOWN))
+_TEMPLATES = ", ".join(f"({n}, '{t.label}', {t.step}, {len(t.words)}, {t.least}, {_list(t.must)}, {_list(t.must_not)}, {_list(t.order)}, {_list(t.between)})" for n, t in enumerate(_KNOWN))
 _STEPS = ", ".join(f"({s})" for s in licenses.STEPS)
 _PHRASES = " union all ".join(
     f"select doc_id, '{label}' as label, i - 1 as place from placed where "
@@ -97,13 +97,18 @@ words as (select doc_id, t, regexp_extract_all(t, '{licenses.WORD}') as ws from
 placed as (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from words where list_contains(ws, 'license')),
 base as ({_PHRASES}),
 base_doc as (select doc_id, count(*) as n_base, min(place) as first_word, max(place) as last_word, list_sort(list(distinct label)) as labels from base group by doc_id),
-template(template, label, step, n, least, must, must_not) as (values {_TEMPLATES}),
+template(template, label, step, n, least, must, must_not, seq, bars) as (values {_TEMPLATES}),
 template_word(template, w) as (values {_WORDS}),
 start as (select doc_id, ws, step, unnest(range(0, greatest(ceil(len(ws) / step) - 2, 0)::bigint + 1)) as k from words, (values {_STEPS}) s(step)),
 block as materialized (select row_number() over () as b, doc_id, step, list_distinct(ws[k * step + 1 : k * step + 2 * step]) as own from start),
 word as materialized (select b, doc_id, step, unnest(own) as w from block),
 hit as (select doc_id, b, template, count(*) as c from word join template_word using (w) join template using (template, step) group by doc_id, b, template having count(*) >= any_value(least)),
-found as (select doc_id, label, c / n as c from hit join template using (template) join block using (doc_id, b) where list_has_all(own, must) and not list_has_any(own, must_not)),
+held as materialized (select doc_id, template, label, max(c / n) as c, any_value(seq) as seq, any_value(bars) as bars from hit join template using (template) join block using (doc_id, b) where list_has_all(own, must) and not list_has_any(own, must_not) group by doc_id, template, label),
+walked as (with recursive walk(doc_id, template, k, i) as (
+    select doc_id, template, 1, i from (select doc_id, template, seq, ws, unnest(range(1, len(ws) + 1)) as i from held join words using (doc_id) where len(seq) > 0) where ws[i] = seq[1]
+    union select w.doc_id, w.template, k + 1, j from (select w.*, h.seq, h.bars, d.ws, unnest(range(w.i + 1, w.i + {licenses.GAP} + 2)) as j from walk w join held h using (doc_id, template) join words d using (doc_id) where k < len(seq)) w
+        where ws[j] = seq[k + 1] and not list_has_any(ws[w.i + 1 : j - 1], bars)) select doc_id, template, max(k) as k from walk group by doc_id, template),
+found as (select doc_id, label, c * {licenses.SET_SCORE} as c from held where len(seq) = 0 union all select doc_id, label, 1.0 from held join walked using (doc_id, template) where k = len(seq)),
 more as (select doc_id, list(distinct label) as labels, max(c) as score from found group by doc_id)
 select w.doc_id, len(ws)::bigint as n_words, coalesce(n_base, 0) as n_base, first_word, last_word, coalesce(array_to_string(b.labels, ','), '') as base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(m.labels, [])))), ',') as labels,

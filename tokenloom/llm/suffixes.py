@@ -391,11 +391,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     each = docs.mapInArrow(common.lean(_occurrences), "id long, digest long, anchor long, first long, count long, shift long, known boolean").join(found, "anchor", "left")
     hits = common.stored(each.withColumn("kind", F.when(F.col("known"), 0).otherwise(F.col("kind"))).filter("kind is not null").drop("known"))
     spans = hits.filter("kind = 0").select("id", "digest", F.col("first").alias("lo"), (F.col("first") + F.col("count") - 1 + WINDOW).alias("hi"))
+    # a row that is there more than once repeats all its strings; below it stands for itself once
+    copies = docs.select("id", "digest", F.octet_length("text").cast("long").alias("hi")).filter(F.col("hi") >= WINDOW).groupBy("id", "digest").agg(F.count("*").alias("n"), F.max("hi").alias("hi"))
+    spans = spans.union(copies.filter("n > 1").select("id", "digest", F.lit(0).cast("long").alias("lo"), "hi"))
     sizes = {r["kind"]: r["count"] for r in hits.groupBy("kind").count().collect()}
 
     def contexts(k: int) -> DataFrame:
-        own = hits.filter(F.col("kind") == k).groupBy("id", "digest").agg(F.collect_list(F.struct("anchor", "first", "count", "shift")).alias("hits"))
-        # equal rows have equal hits, once for each row: one row's texts serve all of them
+        # equal rows have equal hits, of which the set has one: one row's text serves all of them
+        own = hits.filter(F.col("kind") == k).groupBy("id", "digest").agg(F.collect_set(F.struct("anchor", "first", "count", "shift")).alias("hits"))
         return docs.dropDuplicates(["id", "digest"]).join(own, ["id", "digest"]).select("id", "digest", F.col("text").cast("binary").alias("text"), "hits")
 
     if sizes.get(1):
@@ -455,7 +458,7 @@ def remove_repeats(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     id_, digest = common.key_columns(id_col, text_col)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     keyed = df.select(id_.alias("id"), digest.alias("digest"), text.alias("text"), F.struct(*(F.col(c) for c in carry)).alias("row"))
-    spans = repeated_spans(keyed).groupBy("id", "digest").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = repeated_spans(keyed).groupBy("id", "digest").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     joined = keyed.join(spans, ["id", "digest"], "left").select(F.col("text").cast("binary").alias("text"), "spans", "row")
     fields = joined.schema["row"].dataType.simpleString()
     kind = "string" if as_text else "binary"
