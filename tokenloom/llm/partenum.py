@@ -76,7 +76,7 @@ class Bands:
             raise ValueError("likeness must be a fraction above 0 and up to 1")
         self.likeness, self.ends, self.parts = likeness, [], []
         start = 1
-        while start < 1 << 40:
+        while num < den and start < 1 << 40:  # sets that have to be equal need no bands
             end = start * den // num
             k = 2 * end * (den - num) // (den + num)
             self.ends.append(end)
@@ -103,7 +103,7 @@ def signatures(features: np.ndarray, bands: Bands) -> np.ndarray:
     with np.errstate(over="ignore"):
         value = _mix(features + _EVEN)
         for band in bands.of(len(features)):
-            n = bands.parts[band]
+            n = bands.parts[band] if band < len(bands.parts) else 0
             if not n:
                 continue
             part = (features >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)
