@@ -7,7 +7,7 @@ import pytest
 from tokenloom import api
 from tokenloom.operators import arabic as R
 from tokenloom.operators import codec, corpus as C, downstream as W, shared
-from tokenloom.plans import logic
+from tokenloom.plans import arabic as fixtures
 
 
 @pytest.fixture(params=["whole", "by chunks"])
@@ -72,7 +72,7 @@ def test_tokenizers_and_tasks_of_any_vocabulary(spark, bound):
 
 
 def test_arabic_rows_may_share_ids(spark, bound):
-    sents, analyses, roots = logic._arabic(spark)
+    sents, analyses, roots = fixtures.fixture(spark)
     rows = [(1, "كتب الطالب"), (1, "لم يذهب محمد"), (None, "كتب الطالب"), (None, None), (2, "كتب الطالب"), (2, "كتب الطالب")]
     made = R.tokenize(spark.createDataFrame(rows, "id int, text string"), analyses, roots).collect()
     wrote = ["[BOS]", "ROOT:write", "FEAT:asp:p", "FEAT:3ms", "ROOT:want", "ROLE:agent", "[EOS]"]

@@ -194,19 +194,24 @@ def number_class(raw: Column) -> Column:
     )
 
 
+#: Vowel marks and tatweel; with Arabic punctuation. The ranges are spelled by code points: marks may be reordered in source.
+VOWEL_MARKS = r"\x{064B}-\x{065F}\x{0670}\x{0640}"
+ARABIC_MARKS = VOWEL_MARKS + r"\x{060C}\x{060D}\x{061B}\x{061E}\x{061F}\x{066A}-\x{066D}\x{06D4}\x{06DD}\x{06DE}"
+
+
 def strip_arabic(word: Column) -> Column:
     """Without diacritics, tatweel and Arabic punctuation."""
-    return F.regexp_replace(word, "[ً-ٰٟـ،؍؛؞؟٪-٭۔۝۞]", "")
+    return F.regexp_replace(word, f"[{ARABIC_MARKS}]", "")
 
 
 def strip_vowels(pattern: Column) -> Column:
     """Without short vowels; the doubling mark stays."""
-    return F.regexp_replace(pattern, "[ً-ِْٰ]", "")
+    return F.regexp_replace(pattern, r"[\x{064B}-\x{0650}\x{0652}\x{0670}]", "")
 
 
 def literal_bucket(surface: Column) -> Column:
     """num, foreign, mixed_script, punct_only, single_char, short_arabic or arabic_4plus."""
-    bare = F.regexp_replace(surface, "[ً-ٰٟـ]", "")
+    bare = F.regexp_replace(surface, f"[{VOWEL_MARKS}]", "")
     arabic, latin = bare.rlike("[ء-ي]"), bare.rlike("[A-Za-z]")
     return (
         F.when(bare.rlike("[0-9٠-٩۰-۹]"), F.lit("num"))

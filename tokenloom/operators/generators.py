@@ -58,6 +58,11 @@ CHAIN_STEPS = {
 }
 
 
+def numbered(spark: SparkSession, n: int | DataFrame) -> DataFrame:
+    """(i): the numbers that rows are made for, 0 to n - 1 or those of a table (i)."""
+    return n.select(F.col("i").cast("long").alias("i")) if isinstance(n, DataFrame) else spark.range(n).withColumnRenamed("id", "i")
+
+
 def pick(seed: int, draw: int, n: int | Column, key: str = "i") -> Column:
     """A number from 0 to n - 1 of row `key` and draw."""
     hashed = F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.lit(draw)))
@@ -105,7 +110,7 @@ def _premises(figure: Column, major: Column, minor: Column, s: Column, m: Column
     return first, second
 
 
-def syllogisms(spark: SparkSession, n: int, seed: int, *, as_published: bool = False) -> DataFrame:
+def syllogisms(spark: SparkSession, n: int | DataFrame, seed: int, *, as_published: bool = False) -> DataFrame:
     """(id, lang, kind, mood, difficulty, question, cot, answer): n syllogisms in both languages.
 
     70 of 100 have figure1 moods and controls, 20 figure2 ones, 10 are chains of three premises; half of each follow.
@@ -113,7 +118,7 @@ def syllogisms(spark: SparkSession, n: int, seed: int, *, as_published: bool = F
     premises instead, which leaves a chain that follows, still labelled as if it didn't.
     """
     u = pick(seed, 0, 10_000)
-    base = spark.range(n).withColumnRenamed("id", "i")
+    base = numbered(spark, n)
     kind = F.when(u < 7_000, "figure1").when(u < 9_000, "figure2").otherwise("chain")
     drawn = base.select("i", kind.alias("kind"), (pick(seed, 1, 2) == 1).alias("follows"), pick(seed, 3, len(TRIPLES["en"])).alias("t"), F.pmod(pick(seed, 3, 25) + 1 + pick(seed, 4, 24), F.lit(25)).alias("t2"))
     mood = F.lit(None).cast("string")
@@ -149,10 +154,10 @@ def syllogisms(spark: SparkSession, n: int, seed: int, *, as_published: bool = F
     return made
 
 
-def holdout_syllogisms(spark: SparkSession, n: int, seed: int) -> DataFrame:
+def holdout_syllogisms(spark: SparkSession, n: int | DataFrame, seed: int) -> DataFrame:
     """(id, mood, question, cot, answer): figure 1, any of the 64 moods alike, labelled by the table of all moods."""
     forms = F.array(*map(F.lit, "AEIO"))
-    rows = spark.range(n).withColumnRenamed("id", "i")
+    rows = numbered(spark, n)
     rows = rows.select("i", *(F.get(forms, pick(seed, k, 4)).alias(c) for k, c in enumerate(("major", "minor", "conclusion"))), _terms("en", pick(seed, 3, 25)).alias("t"))
     table = G.syllogism_table(spark).filter("figure = 1").select("major", "minor", "conclusion", "valid")
     s, m, p = (F.get("t", F.lit(k)) for k in range(3))
@@ -170,13 +175,13 @@ def _signed(x: Column) -> Column:
     return F.concat(F.when(x >= 0, "+ ").otherwise("- "), F.abs(x).cast("string"))
 
 
-def holdout_algebra(spark: SparkSession, n: int, seed: int) -> DataFrame:
+def holdout_algebra(spark: SparkSession, n: int | DataFrame, seed: int) -> DataFrame:
     """(id, kind, question, cot, answer): equations to solve, sums to simplify and terms to evaluate, in whole numbers."""
 
     def between(draw: int, low: int, high: int) -> Column:
         return pick(seed, draw, high - low + 1) + low
 
-    rows = spark.range(n).withColumnRenamed("id", "i").select("i", F.get(F.array(*map(F.lit, ("solve", "simplify", "evaluate"))), pick(seed, 0, 3)).alias("kind"))
+    rows = numbered(spark, n).select("i", F.get(F.array(*map(F.lit, ("solve", "simplify", "evaluate"))), pick(seed, 0, 3)).alias("kind"))
     a, b, x = between(1, 2, 9), between(2, -20, 20), between(3, -10, 10)
     solve = F.struct(
         F.format_string("solve: %dx %s = %d", a, _signed(b), a * x + b).alias("question"), F.array(F.format_string("%dx = %d", a, a * x), F.format_string("x = %d", x)).alias("cot"), x.cast("string").alias("answer"),
@@ -245,16 +250,16 @@ def _row(id_: str, lang: str, style: str, level: str, depth: int, tree: tuple, e
     return id_, lang, level, depth, question, steps, ("true" if gold else "false") if style == "symbols" else values[gold], gold
 
 
-def _mapped(spark: SparkSession, n: int, rows_of) -> DataFrame:
+def _mapped(spark: SparkSession, n: int | DataFrame, rows_of) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [x.split()[0] for x in _PROPOSITION.split(", ")]
         for frame in frames:
-            yield pd.DataFrame([row for i in frame["id"] for row in rows_of(int(i))], columns=names)
+            yield pd.DataFrame([row for i in frame["i"] for row in rows_of(int(i))], columns=names)
 
-    return spark.range(n).mapInPandas(run, _PROPOSITION)
+    return numbered(spark, n).mapInPandas(run, _PROPOSITION)
 
 
-def prop_logic(spark: SparkSession, n: int, seed: int, mix: tuple[float, float, float] = MIX) -> DataFrame:
+def prop_logic(spark: SparkSession, n: int | DataFrame, seed: int, mix: tuple[float, float, float] = MIX) -> DataFrame:
     """n formulas in both languages, with the steps of their evaluation: two to four variables, depth one to three.
 
     A quarter of the nodes above the ground are leaves, and a quarter of the deeper formulas are negated as a whole.
@@ -272,7 +277,7 @@ def prop_logic(spark: SparkSession, n: int, seed: int, mix: tuple[float, float,
     return _mapped(spark, n, rows_of)
 
 
-def holdout_prop(spark: SparkSession, n: int, seed: int) -> DataFrame:
+def holdout_prop(spark: SparkSession, n: int | DataFrame, seed: int) -> DataFrame:
     """n formulas in symbols only, five to seven deep on every branch, over two to four of eight variables."""
 
     def rows_of(i: int) -> list[tuple]:

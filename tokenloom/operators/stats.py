@@ -159,6 +159,13 @@ def parity(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return totals.unionByName(by.select(F.lit("type").alias("kind"), "type", *(none.alias(c) for c in ("n", "exact", "same_set", "same_types")), "left", "right", "diff_pct"))
 
 
+def compared(runs: DataFrame) -> DataFrame:
+    """runs (run, own, base; less is better) with their difference, its share of base in percent, and the winner."""
+    delta = F.col("own") - F.col("base")
+    winner = F.when(delta < 0, "own").when(delta > 0, "base").otherwise("tie")
+    return runs.select("run", "own", "base", F.round(delta, 4).alias("delta"), F.round(100 * delta / F.col("base"), 2).alias("pct"), winner.alias("winner"))
+
+
 def bits_per_character(scored: DataFrame, keys: list[str]) -> DataFrame:
     """From rows (nll, n_tokens, n_chars): bits per character and perplexity with the exponent held at 20."""
     made = scored.groupBy(*keys).agg(F.sum("nll").alias("nll"), F.sum("n_tokens").alias("n_tokens"), F.sum("n_chars").alias("n_chars"))

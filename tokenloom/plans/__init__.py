@@ -1,6 +1,6 @@
 """Registered queries: importing this package imports every module that has some."""
 
-from tokenloom.plans import english, evaluation, facade, generation, logic, parsed, sources, vocabulary  # noqa: F401
+from tokenloom.plans import arabic, english, evaluation, facade, generation, logic, parsed, sources, vocabulary  # noqa: F401
 from tokenloom.plans import registry
 
 for _name, _other in facade.SAME.items():

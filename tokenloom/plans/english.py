@@ -10,6 +10,7 @@ from tokenloom.functions import tokens as K
 from tokenloom.operators import corpus as C
 from tokenloom.operators import stats as S
 from tokenloom.plans import dialect as D
+from tokenloom.plans import derived as X
 from tokenloom.plans.registry import query, read
 
 
@@ -102,18 +103,19 @@ def en_emit_atomic(spark, sf):
 
 
 _OVER = D.case("lemma", L.ROLE_OVERRIDES, D.case("word", L.ROLE_OVERRIDES, "null"))
-#: Real words beside the corpus's own, so that overrides meet some: (sentence, text).
-SCHOOL = [(1, "The teacher wrote to the students."), (2, "A student went to the hospital!"), (3, "Teachers know hospitals.")]
+#: Words that stand for the corpus's own by their hashes, so that overrides meet some.
+SCHOOL = ["the", "teacher", "teachers", "wrote", "to", "student", "students", "hospital", "hospitals", "went", "library", "libraries", "knows", "read", "reading", "books"]
 
 
-@query(f"""with own as (select distinct word from (select unnest({D.words(D.normalize('x'))}) as word from ({D.values(SCHOOL)}) v(i, x)) where not {D.skipped('word')}), dw as (select word from own), {D.LEMMA}
-    select word, lemma, {_OVER} as override from lem""")
+@query(f"""with {D.SENT}, each as (select unnest({X.pooled_sql("list_filter(string_split(sent, ' '), lambda w: w <> '')", SCHOOL)}) as word from sent), dw as (select word, count(*) as n from each group by word), {D.LEMMA}
+    select word, lemma, {_OVER} as override, n from lem join dw using (word)""")
 def en_role_override(spark, sf):
     """Roles that single words have whatever their affixes say: the lemma's before the word's own."""
-    sents = C.table(spark, [(i, "en", 0, x) for i, x in SCHOOL], "doc_id int, lang string, pos int, sent string")
-    own = C.analyse(C.words(sents).select("word").distinct())
+    words = X.pooled(F.filter(F.split("sent", " "), lambda w: w != ""), SCHOOL)
+    counts = _sents(spark, sf).select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     find = T.hashed(L.ROLE_OVERRIDES)
-    return own.select("word", "lemma", F.coalesce(find(F.col("lemma")), find(F.col("word"))).alias("override"))
+    own = C.analyse(counts.select("word")).join(counts, "word")
+    return own.select("word", "lemma", F.coalesce(find(F.col("lemma")), find(F.col("word"))).alias("override"), "n")
 
 
 @query(f"with {D.tokenized()} select doc_id, pos, array_to_string(tokens, ' ') as tokens from tok")
@@ -182,7 +184,7 @@ def agg_type_counts(spark, sf):
     return _weights(spark, sf).groupBy(F.substring_index("token", ":", 1).alias("type")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds"))
 
 
-_BARE = "regexp_replace(s, '[ً-ٰٟـ]', '', 'g')"
+_BARE = f"regexp_replace(s, '[{T.VOWEL_MARKS}]', '', 'g')"
 
 
 @query(f"""with {D.tokenized()}, c as (select substr(t, 5) as s, count(*) as n from (select unnest(tokens) as t from tok) where t like 'LIT:%' group by s),

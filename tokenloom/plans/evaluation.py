@@ -140,25 +140,27 @@ def agg_hard_logic_gate(spark, sf):
     return S.hard_logic_gate(rows)
 
 
-#: case; of own and base: passed, accuracy, two gaps, width of the model (null: no summary), training rows
-_RUNS = [
-    ("supported", True, 0.81, 0.12, 0.2, "256", 1000, False, 0.7, 0.05, 0.1, "256", 1000), ("both, stronger", True, 0.81, 0.12, 0.2, "256", 1000, True, 0.7, 0.05, 0.1, "256", 1000),
-    ("both, alike", True, 0.71, 0.06, 0.11, "256", 1000, True, 0.7, 0.05, 0.1, "512", 1000), ("loses", False, 0.5, 0.0, 0.0, "256", 900, True, 0.7, 0.05, 0.1, "256", 1000),
-    ("better, not ready", False, 0.6, 0.08, 0.13, None, None, False, 0.55, 0.05, 0.1, "256", 1000), ("nothing", False, 0.5, 0.01, 0.1, "256", 900, False, 0.5, 0.0, 0.1, "512", 1000),
-    ("on the edge", False, 0.53, 0.02, 0.02, "256", 1000, False, 0.5, 0.0, 0.0, "256", 1000),
-]
+_SIDE = """avg(value) >= 20 as p, round(avg(value) / 20, 4) as f, round(avg(event_id % 7) / 50, 4) as q, round(avg(event_id % 11) / 80, 4) as s, case when count(*) % 5 = 0 then null when count(*) % 3 = 0 then '512' else '256' end as c, case when count(*) % 2 = 0 then 1000 else 900 end as t"""
 
 
-@query(f"""with v as (select * from ({D.values(_RUNS)}) v(run, op, of_, oq, os, oc, ot, bp, bf, bq, bs, bc, bt)),
-    d as (select *, round((of_ - bf)::double, 4) as delta_full, round((oq - bq)::double, 4) as delta_gap_q, round((os - bs)::double, 4) as delta_gap_s, oc is not null and bc is not null as both_ from v),
+@query(f"""with e as (select event_type || '-' || user_id % 10 as run, event_id % 2 as side, value, event_id from events), o as (select run, {_SIDE} from e where side = 0 group by run), b as (select run, {_SIDE} from e where side = 1 group by run),
+    d as (select run, o.p as op, b.p as bp, o.c as oc, b.c as bc, o.t as ot, b.t as bt, round(o.f - b.f, 4) as delta_full, round(o.q - b.q, 4) as delta_gap_q, round(o.s - b.s, 4) as delta_gap_s, o.c is not null and b.c is not null as both_ from o join b using (run)),
     x as (select *, delta_full >= 0.03 and delta_gap_q >= 0.02 and delta_gap_s >= 0.02 as stronger, list_filter([case when not both_ then 'partial' end, case when both_ and oc <> bc then 'architecture' end, case when both_ and ot <> bt then 'train' end], lambda w: w is not null) as w from d)
     select run, delta_full, delta_gap_q, delta_gap_s, stronger, array_to_string(w, ' ') as warnings, len(w) = 0 as fair, case when op and not bp then 'advantage_supported' when op and stronger then 'advantage_supported' when op then 'inconclusive_both_pass'
         when bp then 'disadvantage_baseline_wins' when stronger then 'better_but_not_ready' else 'no_evidence_of_advantage' end as verdict from x""")
 def agg_verdict(spark, sf):
-    """Decisions from pairs of evaluations: thresholded deltas, and whether the comparison was fair."""
-    side = "struct<passed: boolean, full: double, gap_q: double, gap_s: double, config: map<string, string>, sizes: map<string, int>>"
-    rows = [(r[0], *((p, f, q, s, None if c is None else {"d_model": c}, None if c is None else {"train": t}) for p, f, q, s, c, t in (r[1:7], r[7:]))) for r in _RUNS]
-    made = S.verdict(C.table(spark, rows, f"run string, own {side}, base {side}"))
+    """Decisions from pairs of evaluations: thresholded deltas, and whether the comparison was fair. Runs are kinds of events of
+    some users, evaluated over even events against odd ones."""
+    events = read(spark, sf, "events").select(F.concat("event_type", F.lit("-"), (F.col("user_id") % 10).cast("string")).alias("run"), (F.col("event_id") % 2).alias("side"), "value", "event_id")
+    n = F.count("*")
+    config = F.when(n % 5 == 0, F.lit(None).cast("map<string,string>")).otherwise(F.create_map(F.lit("d_model"), F.when(n % 3 == 0, "512").otherwise("256")))
+    sizes = F.create_map(F.lit("train"), F.when(n % 2 == 0, 1000).otherwise(900))
+    side = F.struct(
+        (F.avg("value") >= 20).alias("passed"), F.round(F.avg("value") / 20, 4).alias("full"), F.round(F.avg(F.col("event_id") % 7) / 50, 4).alias("gap_q"), F.round(F.avg(F.col("event_id") % 11) / 80, 4).alias("gap_s"),
+        config.alias("config"), sizes.alias("sizes"),
+    )
+    own, base = (events.filter(F.col("side") == k).groupBy("run").agg(side.alias(c)) for k, c in enumerate(("own", "base")))
+    made = S.verdict(own.join(base, "run"))
     return made.select("run", "delta_full", "delta_gap_q", "delta_gap_s", "stronger", F.array_join("warnings", " ").alias("warnings"), "fair", "verdict")
 
 
@@ -173,14 +175,14 @@ def agg_paired_delta(spark, sf):
     return a.join(b, "lang").select("lang", (F.col("a.acc") - F.col("b.acc")).alias("delta"), (F.col("a.n") == F.col("b.n")).alias("same_n"))
 
 
-RUNS = [("en_8k", 1.13, 1.75), ("en_32k", 1.23, 1.65), ("ar_8k", 1.15, 2.12), ("tie", 1.5, 1.5)]
-
-
-@query(f"select run, own::double as own, base::double as base, round((own - base)::double, 4) as delta, round((100 * (own - base) / base)::double, 2) as pct, case when own < base then 'own' when own > base then 'base' else 'tie' end as winner from ({D.values(RUNS)}) v(run, own, base)")
+@query(f"""with {D.SENT}, {D.REASON}, r as (select source as run, round(sum(len(reasoning_tokens)) / sum(length(sent)), 6) as own, round(sum(len(string_split(sent, ' '))) / sum(length(sent)), 6) as base from proj join sent using (doc_id, pos) group by source)
+    select run, own, base, round(own - base, 4) as delta, round(100 * (own - base) / base, 2) as pct, case when own < base then 'own' when own > base then 'base' else 'tie' end as winner from r""")
 def agg_compare_bpc(spark, sf):
-    made = C.table(spark, RUNS, "run string, own double, base double").withColumn("d", F.col("own") - F.col("base"))
-    winner = F.when(F.col("own") < F.col("base"), "own").when(F.col("own") > F.col("base"), "base").otherwise("tie")
-    return made.select("run", "own", "base", F.round("d", 4).alias("delta"), F.round(100 * F.col("d") / F.col("base"), 2).alias("pct"), winner.alias("winner"))
+    """Two codecs' tokens a character, by source: the difference, its percentage, and which needs fewer."""
+    sents = C.sentences(read(spark, sf, "documents")).select("source", "sent", K.reasoning_kept(K.lex_english(F.col("sent")), "en").alias("k"))
+    sizes = sents.select("source", F.length("sent").alias("chars"), F.size(K.reasoning_collapse(F.col("k"))).alias("own"), F.size(F.split("sent", " ")).alias("base"))
+    runs = sizes.groupBy(F.col("source").alias("run")).agg(*(F.round(F.sum(c) / F.sum("chars"), 6).alias(c) for c in ("own", "base")))
+    return S.compared(runs)
 
 
 @query(f"""with {D.SENT}, {D.REASON}, st as (select lang as "group", 'default' as name, default_tokens as tokens, doc_id, pos from proj union all select lang, 'reasoning', reasoning_tokens, doc_id, pos from proj),

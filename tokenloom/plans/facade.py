@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tokenloom import api
@@ -14,8 +15,8 @@ from tokenloom.operators import baselines as B
 from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
 from tokenloom.plans import dialect as D
-from tokenloom.plans import logic
 from tokenloom.plans.registry import query, read
+from tokenloom.plans.vocabulary import CAP, _top, _vocab
 from tokenloom.sources import readers
 
 _LEXED = f"{D.SENT}, lexed as (select doc_id, lang, pos, {D.lex_english('sent')} as toks from sent)"
@@ -128,18 +129,14 @@ def aae_root_classify(spark, sf):
     return made.groupBy("root", "domain", "field").agg(F.count("*").alias("n"))
 
 
-SURFACES = [("12", "num"), ("abc", "foreign"), ("aكتب", "mixed_script"), ("--", "punct_only"), ("ك", "single_char"), ("كتب", "short_arabic"), ("مكتبة", "arabic_4plus"), ("كِتَ", "short_arabic")]
-
-
-@query(f"select * from ({D.values(SURFACES)}) v(surface, bucket)")
-def lit_audit_classify(spark, sf):
-    return C.table(spark, [(s,) for s, _ in SURFACES], "surface string").select("surface", T.literal_bucket(F.col("surface")).alias("bucket"))
-
-
-@query("select * from (values (0, '5 6'), (1, '7')) v(i, ids)")
+@query(f"""with {_top(CAP)}, s as (select doc_id, pos, coalesce(string_agg(coalesce(v.id, 1)::varchar, ' ' order by i) filter (where e.token not in ('[BOS]', '[EOS]')), '') as ids from each e left join vocab v using (token) group by doc_id, pos)
+    select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as i, ids from s""")
 def greedy_decode_segments(spark, sf):
-    """The parts of a decoded row of ids between begin and end."""
-    return C.table(spark, [([2, 5, 6, 3, 2, 7, 3],)], "ids array<int>").select(F.posexplode(K.segments(F.col("ids"), 2, 3)).alias("i", "ids"))
+    """The parts of each document's row of ids between begin and end: its sentences again."""
+    ids = C.encode(_sents(spark, sf).select("id.*", K.lex_english(F.col("text")).alias("tokens")), _vocab(spark, sf), ["doc_id", "pos"])
+    whole = ids.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))  # a document's sentences
+    rows = whole.select("doc_id", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
+    return rows.select("doc_id", F.posexplode(K.segments(F.col("ids"), L.SPECIALS.index("[BOS]"), L.SPECIALS.index("[EOS]"))).alias("i", "ids"))
 
 
 @query(f"with {_LEXED} select doc_id, pos, len(list_filter(toks, lambda t, i: i > 1 and t = toks[i - 1]))::int as repeats from lexed")
@@ -148,37 +145,6 @@ def win_adjacent(spark, sf):
     return lexed.select("doc_id", "pos", F.size(F.filter("t", lambda t, i: (i > 0) & (t == F.get("t", i - 1)))).alias("repeats"))
 
 
-def _outcomes(spark):
-    """(word, root, outcome): what became of each distinct word of the fixture."""
-    sents, analyses, roots = logic._arabic(spark)
-    words = sents.select(F.explode(R.split(F.col("text"))).alias("raw")).select(T.strip_arabic(F.col("raw")).alias("word")).filter("word <> ''").distinct()
-    found = words.join(analyses, "word", "left").withColumn("root", R.best(F.col("analyses"))["root"])
-    closure = shared.broadcastable(R.root_closure(roots).withColumnsRenamed({"root": "_root", "field": "_field"}))
-    fixed = F.col("word").isin([*A.RELATIONS, *A.MARKS, *A.LITERALS, "ما"])
-    real = F.col("root").isNotNull() & ~F.col("root").isin(A.NO_ROOTS)
-    outcome = F.when(fixed, "function").when(real & F.col("_field").isNotNull(), "root_field").when(real, "root_no_field").otherwise("no_root")
-    return found.join(closure, F.col("root") == F.col("_root"), "left").select("word", "root", outcome.alias("outcome"))
-
-
-_MISSED_ROOTS = [("ح.م.د", 1), ("ص.غ.ر", 1)]
-_MISSED = [("function", 8), ("root_field", 7), ("root_no_field", 2), ("no_root", 6)]
-
-
-@query(f"select outcome, n, (n * 100 // sum(n) over ())::bigint as pct from ({D.values(_MISSED)}) v(outcome, n)")
-def agg_missed_roots(spark, sf):
-    """A function word, a root with or without a field, or nothing: counts and whole percents."""
-    by = _outcomes(spark).groupBy("outcome").agg(F.count("*").alias("n"))
-    total = by.agg(F.sum("n").alias("total"))
-    return by.join(F.broadcast(total)).select("outcome", "n", F.floor(F.col("n") * 100 / F.col("total")).alias("pct"))
-
-
-@query(f"select * from ({D.values(_MISSED_ROOTS)}) v(root, n)")
-def agg_top_missed_roots(spark, sf):
-    """The thirty most frequent roots that no field has."""
-    counts = _outcomes(spark).filter("outcome = 'root_no_field'").groupBy("root").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "root").limit(30)
-
-
 @query(f"with {D.SENT}, {D.REASON}, l as (select lang, avg(len(default_tokens)) as d, avg(len(reasoning_tokens)) as r from proj group by lang) select a.lang as lang, b.lang as other, a.d / b.d as ratio_default, a.r / b.r as ratio_reasoning from l a join l b on a.lang < b.lang")
 def cross_lingual_table(spark, sf):
     lexed = C.sentences(read(spark, sf, "documents")).select("lang", K.lex_english(F.col("sent")).alias("d")).withColumn("k", K.reasoning_kept(F.col("d"), "en"))
@@ -211,33 +177,6 @@ def truncate_head_tail(spark, sf):
     return _cut(spark, sf, lambda t: K.head_tail(t, 7))
 
 
-@query(f"select * from ({D.values([('كتب', '3ms', None), ('وبكتابه', None, 'FEAT:pron:3ms'), ('يذهب', '3ms', None), ('الطالب', None, None)])}) v(word, pgn, enclitic)")
-def ar_pgn(spark, sf):
-    rows = logic._arabic(spark)[1].filter(F.col("word").isin("كتب", "وبكتابه", "يذهب", "الطالب")).select("word", R.best(F.col("analyses")).alias("a"))
-    return rows.select("word", R.person(F.col("a")).alias("pgn"), F.get(R.enclitic(F.col("a")), F.lit(0)).alias("enclitic"))
-
-
-@query(f"select * from ({D.values([('الطالب', '1ا23'), ('الكتاب', '12ا3'), ('المكتبة', 'م123ة'), ('صغير', '12ي3')])}) v(word, pattern)")
-def ar_pattern(spark, sf):
-    rows = logic._arabic(spark)[1].filter(F.col("word").isin("الطالب", "الكتاب", "المكتبة", "صغير"))
-    return rows.select("word", R.best(F.col("analyses")).alias("a")).select("word", R.pattern(F.col("a")).alias("pattern"))
-
-
-@query(f"select r, replace(r, '#', 'و') as canonical from ({D.values([('ك.#.ن',), ('#.#.ل',), ('ك.ت.ب',)])}) v(r)")
-def ar_canonical_root(spark, sf):
-    return C.table(spark, [("ك.#.ن",), ("#.#.ل",), ("ك.ت.ب",)], "r string").select("r", R.canonical_root(F.col("r")).alias("canonical"))
-
-
-FAST = [("لا", ""), ("يناير", "TIME:month:jan"), ("ما", "REL:what"), ("في", "REL:in"), ("هو", "LIT:هو"), ("عشرة", "ROOT:size"), ("زززز", "FOREIGN:زززز"), ("كتب", "ROOT:write FEAT:asp:p FEAT:3ms"), ("محمد", "NE:محمد")]
-
-
-@query(f"select * from ({D.values(FAST)}) v(word, tokens)")
-def ar_word_tokens(spark, sf):
-    """Fixed words before morphology, then analyses, then what has none."""
-    _, analyses, roots = logic._arabic(spark)
-    return R.word_tokens(C.table(spark, [(w,) for w, _ in FAST], "word string"), analyses, roots).select("word", F.array_join("tokens", " ").alias("tokens"))
-
-
 @query(f"with {D.SENT}, {D.NORM}, {D.WORD}, {D.DISTINCT}, {D.LEMMA}, {D.AFFIX}, {D.DECOMPOSED}, {D.FIELD}, {D.emitted(True)}, o as (select em.tokens[1] as token, word, count(*) as n from word join em using (word) group by all), r as (select *, row_number() over (partition by token order by n desc, word) as k from o) select token, word, n from r where k = 1")
 def snk_lookup_tables(spark, sf):
     """The most common word of each first token, of equal ones the first by name: the reverse of agg_lookup_w2t."""
@@ -258,15 +197,27 @@ def src_cached_file(spark, sf):
     return kept.withColumn("made", F.lit(len(made)).cast("long"))
 
 
-@query("with v as (select * from (values ('[PAD]', 0), ('[UNK]', 1), ('a', 2), ('b', 3)) t(token, id)) select token, id::bigint as id from v")
+_FIRST = [t for t in ("[PAD]", "[UNK]", "[BOS]", "[EOS]", "[SEP]", "[Q]")]
+
+
+@query(f"""with {_LEXED}, c as (select lang, t, count(*) as n from (select lang, unnest(toks) as t from lexed) group by all), k as (select lang, t, row_number() over (partition by lang order by n desc, t) as r from c),
+    m as (select distinct t from k where r <= 100 union select '[PAD]' union select '[UNK]')
+    select t as token, (row_number() over (order by coalesce(list_position({_FIRST}, t), 1000), t) - 1)::bigint as id from m where t in {D.items(_FIRST)} and t not in ('[PAD]', '[UNK]') or t not in {D.items(_FIRST)}
+    union all select t, (select count(*) from m) - 2 + case t when '[PAD]' then 0 else 1 end from m where t in ('[PAD]', '[UNK]')""")
 def vocab_polymorphic_load(spark, sf):
-    """A vocabulary by languages, merged with the specials first, then by name."""
+    """Vocabularies by language, written as one document and read as one: specials first, then by name; what is missing is added."""
+    counts = _sents(spark, sf).select("id.doc_id", K.lex_english(F.col("text")).alias("t")).join(read(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
+    each = counts.select("lang", F.explode("t").alias("token")).groupBy("lang", "token").agg(F.count("*").alias("n"))
+    # the rank limit is pushed below the shuffle; a hundred tokens of each language
+    best = each.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "token"))).filter("r <= 100")
+    by = best.groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("token", "r"))).alias("ids"))
+    whole = by.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("lang", "ids")))).alias("value"))
     path = _folder(spark)
-    C.table(spark, [('{"en": {"b": 0, "[PAD]": 1}, "ar": {"a": 0, "[UNK]": 1}}',)], "value string").write.text(path)
+    whole.write.text(path)
     return readers.read_vocabulary(spark, path)
 
 
 #: Operators that are the same as another one, under their own names.
 SAME = {
-    "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "gen_pairwise": "join_source_group", "gen_xnli_record": "src_xnli", "ar_fastpath": "ar_word_tokens", "ar_enclitic": "ar_pgn",
+    "join_vocab": "encode", "win_prefix_rotation": "join_rotate", "gen_pairwise": "join_source_group", "gen_xnli_record": "src_xnli",
 }

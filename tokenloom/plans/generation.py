@@ -143,16 +143,24 @@ def record_schema(spark, sf):
     return each.groupBy(readers.record_kind(F.col("json")).alias("kind")).agg(F.count("*").alias("n"))
 
 
+def _numbers(spark, sf):
+    """Rows to make data for: the documents' numbers."""
+    return read(spark, sf, "documents").select(F.col("doc_id").alias("i"))
+
+
+_NUMBERS = "r as (select doc_id as i from documents)"
+
+
 @query()
 def gen_prop_logic(spark, sf):
-    """Formulas with the steps of their evaluation; a test evaluates them by the parser."""
-    return N.prop_logic(spark, 200, 7)
+    """Formulas with the steps of their evaluation, one for each document; a test evaluates them by the parser."""
+    return N.prop_logic(spark, _numbers(spark, sf), 7)
 
 
 @query()
 def gen_holdout_prop(spark, sf):
-    """Formulas in symbols, five to seven deep; a test evaluates them by the parser."""
-    return N.holdout_prop(spark, 50, 11)
+    """Formulas in symbols, five to seven deep, one for each document; a test evaluates them by the parser."""
+    return N.holdout_prop(spark, _numbers(spark, sf), 11)
 
 
 def _pick(seed: int, draw: int, n: int) -> str:
@@ -167,7 +175,7 @@ def _said(form: str, a: str, b: str, lang: str) -> str:
     return f"replace(replace(case {form} " + " ".join(f"when '{f}' then {D.quote(t)}" for f, t in N.SAID[lang].items()) + f" end, '{{a}}', {a}), '{{b}}', {b})"
 
 
-def _syllogism_sql(n: int, seed: int) -> str:
+def _syllogism_sql(seed: int) -> str:
     """Moods are judged by the table of all moods here, so that labels are checked too."""
     mood = " ".join(f"when kind = '{k}' and {'' if f else 'not '}follows then {_list(ms)}[{_pick(seed, 2, len(ms))} + 1]" for k in N.SOUND for f, ms in N.slots(k).items())
     parts = []
@@ -188,27 +196,27 @@ def _syllogism_sql(n: int, seed: int) -> str:
             case when valid then {q(yes)} else {q(no)} end as answer
             from (select *, case when follows then m else p end as m2, case when follows then p else m end as p2 from (
                 select *, t[1] as s, t[2] as m, t[3] as p from (select *, {_list(N.TRIPLES[lang])}[a + 1] as t, {_list(N.TRIPLES[lang])}[b + 1][3] as last from w)))""")
-    return f"""with r as (select range as i from range({n})), d as (select i, {_pick(seed, 0, 10000)} as u, {_pick(seed, 1, 2)} = 1 as follows, {_pick(seed, 3, 25)} as a, ({_pick(seed, 3, 25)} + 1 + {_pick(seed, 4, 24)}) % 25 as b from r),
+    return f"""with {_NUMBERS}, d as (select i, {_pick(seed, 0, 10000)} as u, {_pick(seed, 1, 2)} = 1 as follows, {_pick(seed, 3, 25)} as a, ({_pick(seed, 3, 25)} + 1 + {_pick(seed, 4, 24)}) % 25 as b from r),
         k as (select *, case when u < 7000 then 'figure1' when u < 9000 then 'figure2' else 'chain' end as kind from d), m0 as (select *, case {mood} end as mood from k),
         m1 as (select *, mood[1:1] as major, mood[2:2] as minor, mood[3:3] as conclusion, mood[5:5]::int as figure from m0), j as ({SYLLOGISMS}),
         w as (select m1.*, case when kind = 'chain' then follows else j.valid end as valid from m1 left join j on j.figure = m1.figure and j.major = m1.major and j.minor = m1.minor and j.conclusion = m1.conclusion)
         {' union all '.join(parts)}"""
 
 
-@query(_syllogism_sql(300, 5))
+@query(_syllogism_sql(5))
 def gen_syllogism(spark, sf):
     """Syllogisms of two premises and chains of three, in two languages, half of them sound."""
-    return N.syllogisms(spark, 300, 5).withColumn("cot", F.array_join("cot", "|"))
+    return N.syllogisms(spark, _numbers(spark, sf), 5).withColumn("cot", F.array_join("cot", "|"))
 
 
-@query(f"""with r as (select range as i from range(100)), d as (select i, ['A', 'E', 'I', 'O'] as f, {_list(N.TRIPLES['en'])}[{_pick(13, 3, 25)} + 1] as t from r),
+@query(f"""with {_NUMBERS}, d as (select i, ['A', 'E', 'I', 'O'] as f, {_list(N.TRIPLES['en'])}[{_pick(13, 3, 25)} + 1] as t from r),
     e as (select i, f[{_pick(13, 0, 4)} + 1] as major, f[{_pick(13, 1, 4)} + 1] as minor, f[{_pick(13, 2, 4)} + 1] as conclusion, t[1] as s, t[2] as m, t[3] as p from d), j as ({SYLLOGISMS}),
     x as (select i, major || minor || conclusion as mood, {_said('major', 'm', 'p', 'en')} as a, {_said('minor', 's', 'm', 'en')} as b, {_said('conclusion', 's', 'p', 'en')} as c, case when valid then 'valid' else 'invalid' end as answer
         from e join (select * from j where figure = 1) j using (major, minor, conclusion))
     select printf('syllogism-holdout-%06d', i) as id, mood, 'Premise 1: ' || a || ' Premise 2: ' || b || ' Conclusion: ' || c || ' Is that valid?' as question, a || '|' || b || '|therefore: ' || c || '|' || answer as cot, answer from x""")
 def gen_holdout_syllogism(spark, sf):
     """All 64 moods of the first figure alike, so few are valid."""
-    return N.holdout_syllogisms(spark, 100, 13).withColumn("cot", F.array_join("cot", "|"))
+    return N.holdout_syllogisms(spark, _numbers(spark, sf), 13).withColumn("cot", F.array_join("cot", "|"))
 
 
 _BETWEEN = {c: f"({_pick(3, k, high - low + 1)} + {low})" for c, k, low, high in (("a", 1, 2, 9), ("b", 2, -20, 20), ("x", 3, -10, 10), ("c", 4, 1, 5), ("d", 5, 1, 5), ("e", 6, -10, 10), ("f", 7, -10, 10), ("g", 8, 2, 20), ("h", 9, 2, 20))}
@@ -218,14 +226,14 @@ def _signed(x: str, space: str = " ") -> str:
     return f"case when {x} >= 0 then '+{space}' else '-{space}' end || abs({x})"
 
 
-@query(f"""with r as (select range as i from range(100)), d as (select i, ['solve', 'simplify', 'evaluate'][{_pick(3, 0, 3)} + 1] as kind, ['+', '-', '*'][{_pick(3, 10, 3)} + 1] as op, {', '.join(f'{v} as {k}' for k, v in _BETWEEN.items())} from r),
+@query(f"""with {_NUMBERS}, d as (select i, ['solve', 'simplify', 'evaluate'][{_pick(3, 0, 3)} + 1] as kind, ['+', '-', '*'][{_pick(3, 10, 3)} + 1] as op, {', '.join(f'{v} as {k}' for k, v in _BETWEEN.items())} from r),
     v as (select *, case op when '+' then g + h when '-' then g - h else g * h end as y, (c + d) || 'x' || case when e + f = 0 then '' else {_signed('(e + f)', '')} end as z from d)
     select printf('algebra-holdout-%06d', i) as id, kind,
         case kind when 'solve' then 'solve: ' || a || 'x ' || {_signed('b')} || ' = ' || (a * x + b) when 'simplify' then 'simplify: (' || c || 'x ' || {_signed('e')} || ') + (' || d || 'x ' || {_signed('f')} || ')' else 'evaluate: ' || g || ' ' || op || ' ' || h end as question,
         case kind when 'solve' then a || 'x = ' || (a * x) || '|x = ' || x when 'simplify' then 'of x: ' || c || '+' || d || '=' || (c + d) || '|others: ' || e || '+' || f || '=' || (e + f) || '|' || z else g || ' ' || op || ' ' || h || ' = ' || y end as cot,
         case kind when 'solve' then x::varchar when 'simplify' then z else y::varchar end as answer from v""")
 def gen_holdout_algebra(spark, sf):
-    return N.holdout_algebra(spark, 100, 3).withColumn("cot", F.array_join("cot", "|"))
+    return N.holdout_algebra(spark, _numbers(spark, sf), 3).withColumn("cot", F.array_join("cot", "|"))
 
 
 @query("""with p as (select conv_id * 1000 + turn as idx, case when turn % 2 = 0 then 'en' else 'ar' end as lang, trim(text) as p, trim(role) as h, turn % 3 as label from conversations)

@@ -1,17 +1,16 @@
-"""Logic tokens, the formal lexer, small parsers, and the Arabic tokenizer over fixtures."""
+"""Logic tokens, the formal lexer, and small parsers."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from tokenloom import lexicon as L
-from tokenloom import lexicon_ar as A
 from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
-from tokenloom.operators import arabic as R
 from tokenloom.operators import corpus as C
 from tokenloom.operators import reasoning as G
 from tokenloom.plans import dialect as D
+from tokenloom.plans import derived as X
 from tokenloom.plans.registry import query, read
 
 FORMULAS = [
@@ -19,10 +18,21 @@ FORMULAS = [
 ]
 
 
-@query(f"with f as (select i, {D.lex_formal('x')} as toks from ({D.values(list(enumerate(FORMULAS)))}) v(i, x)) select i, array_to_string({D.logic_collapse('toks')}, ' ') as tokens from f")
+def _events(spark, sf):
+    return read(spark, sf, "events").select("event_id", "user_id")
+
+
+def _counted(df, *columns: str):
+    """The distinct rows, with how often each is there."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n"))
+
+
+@query(f"with f as (select {X.chosen_sql('event_id', FORMULAS)} || ' ; x = ' || (user_id % 150 - 20) as x from events), l as (select x, count(*) as n, any_value({D.lex_formal('x')}) as toks from f group by x) select x, array_to_string({D.logic_collapse('toks')}, ' ') as tokens, n from l")
 def logic_formal(spark, sf):
-    rows = C.table(spark, list(enumerate(FORMULAS)), "i int, x string").withColumn("t", K.lex_formal(F.col("x")))
-    return rows.select("i", F.array_join(K.logic_collapse(F.col("t")), " ").alias("tokens"))
+    """Formulas that events choose, with numbers of theirs."""
+    made = _events(spark, sf).select(F.concat(X.chosen(F.col("event_id"), FORMULAS), F.lit(" ; x = "), (F.col("user_id") % 150 - 20).cast("string")).alias("x"))
+    rows = _counted(made, "x").withColumn("t", K.lex_formal(F.col("x")))
+    return rows.select("x", F.array_join(K.logic_collapse(F.col("t")), " ").alias("tokens"), "n")
 
 
 @query(f"with {D.SENT}, f as (select doc_id, pos, {D.lex_formal('sent')} as toks from sent) select doc_id, pos, array_to_string({D.logic_collapse('toks')}, ' ') as tokens from f")
@@ -53,9 +63,12 @@ def logic_int_bucket(spark, sf):
 _BUCKETS = [(b, i, t, j) for i, (b, ts) in enumerate(L.LOGIC_BUCKETS.items()) for j, t in enumerate(ts)]
 
 
-@query(f"select token, bucket, row_number() over (order by b, case when b = 0 then j else 0 end, token) - 1 as id from ({D.values(_BUCKETS)}) v(bucket, b, token, j)")
+@query(f"""with {D.SENT}, u as (select t as token, count(*) as n from (select unnest({D.lex_formal('sent')}) as t from sent) group by t)
+    select v.token, bucket, row_number() over (order by b, case when b = 0 then j else 0 end, v.token) - 1 as id, coalesce(n, 0) as n from ({D.values(_BUCKETS)}) v(bucket, b, token, j) left join u on u.token = v.token""")
 def vocab_closed(spark, sf):
-    return G.closed_vocabulary(spark)
+    """The closed vocabulary with the uses of its tokens in the documents, none for most."""
+    used = C.token_counts(C.sentences(read(spark, sf, "documents")).select(K.lex_formal(F.col("sent")).alias("tokens")))
+    return G.closed_vocabulary(spark).join(used, "token", "left").select("token", "bucket", "id", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 @query("select doc_id, pos, array_to_string(list_filter(w, lambda x, i: i = 1 or x <> w[i - 1]), ' ') as words from (select doc_id, pos, string_split(sent, ' ') as w from (with " + D.SENT + " select * from sent))")
@@ -67,17 +80,24 @@ def collapse_adjacent(spark, sf):
 ANSWERS = ["yes", " No ", "TRUE", "invalid", "maybe", "نعم", "لا", "", "Valid"]
 
 
-@query(f"select a, case when lower(trim(a)) in ('yes', 'نعم', 'valid', 'true') then 'yes' when lower(trim(a)) in ('no', 'لا', 'invalid', 'false') then 'no' end as label from ({D.values([(a,) for a in ANSWERS])}) v(a)")
+@query(f"""with a as (select {X.chosen_sql('event_id', ANSWERS)} as a from events union all select text from conversations)
+    select a, case when lower(trim(a)) in ('yes', 'نعم', 'valid', 'true') then 'yes' when lower(trim(a)) in ('no', 'لا', 'invalid', 'false') then 'no' end as label, count(*) as n from a group by a""")
 def gold_label(spark, sf):
-    return C.table(spark, [(a,) for a in ANSWERS], "a string").select("a", T.gold_label(F.col("a")).alias("label"))
+    """Labels of the answers that events choose, and of turns, which have none."""
+    answers = _events(spark, sf).select(X.chosen(F.col("event_id"), ANSWERS).alias("a")).union(read(spark, sf, "conversations").select("text"))
+    return _counted(answers, "a").select("a", T.gold_label(F.col("a")).alias("label"), "n")
 
 
-QUESTIONS = ["Premise: all men walk\nHypothesis: some men walk\nyes?", "no marks", "المقدمة: كل\nالفرضية: بعض\n"]
+_NLI = "(?:Premise|المقدمة): *([^\\n]*)\\n(?:Hypothesis|الفرضية): *([^\\n]*)"
 
 
-@query(f"select q, regexp_extract(q, '(?:Premise|المقدمة): *([^\\n]*)\\n(?:Hypothesis|الفرضية): *([^\\n]*)', 1) as premise, regexp_extract(q, '(?:Premise|المقدمة): *([^\\n]*)\\n(?:Hypothesis|الفرضية): *([^\\n]*)', 2) as hypothesis from ({D.values([(q,) for q in QUESTIONS])}) v(q)")
+@query(f"""with q as (select conv_id, turn, case turn % 3 when 0 then 'Premise: ' || trim(text) || chr(10) || 'Hypothesis: ' || role || chr(10) || 'So?' when 1 then 'المقدمة: ' || trim(text) || chr(10) || 'الفرضية: ' || role else text end as q from conversations)
+    select conv_id, turn, regexp_extract(q, '{_NLI}', 1) as premise, regexp_extract(q, '{_NLI}', 2) as hypothesis from q""")
 def nli_parse(spark, sf):
-    return C.table(spark, [(q,) for q in QUESTIONS], "q string").withColumn("x", T.nli(F.col("q"))).select("q", "x.premise", "x.hypothesis")
+    """Premises and hypotheses of questions made of turns, in both languages; every third turn asks nothing."""
+    text, role = F.trim("text"), F.col("role")
+    asked = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Premise: "), text, F.lit("\nHypothesis: "), role, F.lit("\nSo?"))).when(F.col("turn") % 3 == 1, F.concat(F.lit("المقدمة: "), text, F.lit("\nالفرضية: "), role)).otherwise(F.col("text"))
+    return read(spark, sf, "conversations").select("conv_id", "turn", T.nli(asked).alias("x")).select("conv_id", "turn", "x.premise", "x.hypothesis")
 
 
 @query("""with t as (select conv_id, string_agg(text, chr(10) order by turn) || ' #### ' || count(*) as s from conversations group by conv_id)
@@ -89,52 +109,78 @@ def gsm8k_split(spark, sf):
     return made.select("conv_id", F.col("s.answer").alias("answer"), F.size("s.steps").alias("steps"))
 
 
-POLYNOMIALS = [("2x + x - 3x", 0), ("x", 1), ("-x + 4x", 3), ("10x-x", 9), ("7", 0)]
+@query("with p as (select (event_id % 9) || 'x + ' || (user_id % 5) || 'x - ' || (event_id % 4) || 'x' || case when event_id % 3 = 0 then ' - x' else '' end as p, event_id % 9 + user_id % 5 - event_id % 4 - (event_id % 3 = 0)::int as s from events) select p, any_value(s)::int as sum_x, count(*) as n from p group by p")
+def poly_simplify(spark, sf):
+    """Sums of terms that events choose."""
+    e, u = F.col("event_id"), F.col("user_id")
+    made = _events(spark, sf).select(F.concat((e % 9).cast("string"), F.lit("x + "), (u % 5).cast("string"), F.lit("x - "), (e % 4).cast("string"), F.lit("x"), F.when(e % 3 == 0, " - x").otherwise("")).alias("p"))
+    return _counted(made, "p").select("p", T.sum_of_terms(F.col("p")).alias("sum_x"), "n")
 
 
-@query(f"select * from ({D.values(POLYNOMIALS)}) v(p, sum_x)")
-def poly_simplify(spark, sf):
-    return C.table(spark, [(p,) for p, _ in POLYNOMIALS], "p string").select("p", T.sum_of_terms(F.col("p")).alias("sum_x"))
+SHAPES = ["All {a} are {b}.", "therefore, no {a} are {b}", "Some {a} are not {b}", "some {a} are {b}", "{a} {b}", " Therefore all {a} are {b} "]
+_SAID = f"said as (select doc_id, replace(replace({X.chosen_sql('doc_id', SHAPES)}, '{{a}}', coalesce(w[1], 'x')), '{{b}}', coalesce(w[2], 'y')) as s from (select doc_id, regexp_extract_all(lower(text), '[a-z]+')[1:2] as w from documents)), low as (select *, regexp_replace(lower(trim(s)), '[.]$', '') as x from said)"
 
 
-PROPOSITIONS = [("All men are mortal.", "A", "men", "mortal"), ("therefore, no cats are dogs", "E", "cats", "dogs"), ("Some birds are not black", "O", "birds", "black"), ("some cats are black", "I", "cats", "black"), ("cats purr", None, None, None)]
+def _first(of) -> str:
+    return "case " + " ".join(f"when regexp_matches(x, {D.quote(p)}) then {of(form, p)}" for form, p in T.CATEGORICAL) + " end"
 
 
-@query(f"select * from ({D.values(PROPOSITIONS)}) v(s, form, subject, predicate)")
-def parse_categorical(spark, sf):
-    return C.table(spark, [(p[0],) for p in PROPOSITIONS], "s string").withColumn("c", T.categorical(F.col("s"))).select("s", "c.form", "c.subject", "c.predicate")
+_PARTS = f"form as (select doc_id, s, {_first(lambda f, p: D.quote(f))} as form, {_first(lambda f, p: f'regexp_extract(x, {D.quote(p)}, 1)')} as subject, {_first(lambda f, p: f'regexp_extract(x, {D.quote(p)}, 2)')} as predicate from low)"
 
 
-@query(f"select s, case form when 'A' then 'Q:ALL C:CONCEPT R:IS C:CONCEPT' when 'E' then 'Q:NO C:CONCEPT R:IS C:CONCEPT' when 'I' then 'Q:SOME C:CONCEPT R:IS C:CONCEPT' when 'O' then 'Q:SOME C:CONCEPT R:IS L:NOT C:CONCEPT' end as tokens from ({D.values(PROPOSITIONS)}) v(s, form, subject, predicate)")
-def cat_to_logic(spark, sf):
-    rows = C.table(spark, [(p[0],) for p in PROPOSITIONS], "s string").withColumn("c", T.categorical(F.col("s")))
-    return rows.select("s", F.array_join(T.categorical_logic(F.col("c.form")), " ").alias("tokens"))
+def _propositions(spark, sf):
+    """(doc_id, s, c): a sentence about the first two words of each document, and its parts."""
+    words = F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)), 1, 2)
+    shape = X.chosen(F.col("doc_id"), SHAPES)
+    said = read(spark, sf, "documents").select("doc_id", shape.alias("s"), words.alias("w"))
+    for k, (name, default) in enumerate((("{a}", "x"), ("{b}", "y"))):
+        said = said.withColumn("s", F.replace("s", F.lit(name), F.coalesce(F.get("w", F.lit(k)), F.lit(default))))
+    return said.select("doc_id", "s", T.categorical(F.col("s")).alias("c"))
+
 
+@query(f"with {_SAID}, {_PARTS} select doc_id, s, form, subject, predicate from form")
+def parse_categorical(spark, sf):
+    return _propositions(spark, sf).select("doc_id", "s", "c.form", "c.subject", "c.predicate")
 
-ASSIGNED = [("p=true, q = f then p and q", "p", True), ("p=1; p=0; p", "p", False), ("x = t", "x", True)]
 
+@query(f"with {_SAID}, {_PARTS} select doc_id, case form when 'A' then 'Q:ALL C:CONCEPT R:IS C:CONCEPT' when 'E' then 'Q:NO C:CONCEPT R:IS C:CONCEPT' when 'I' then 'Q:SOME C:CONCEPT R:IS C:CONCEPT' when 'O' then 'Q:SOME C:CONCEPT R:IS L:NOT C:CONCEPT' end as tokens from form")
+def cat_to_logic(spark, sf):
+    return _propositions(spark, sf).select("doc_id", F.array_join(T.categorical_logic(F.col("c.form")), " ").alias("tokens"))
 
-@query(f"select * from ({D.values(ASSIGNED)}) v(s, name, value)")
+
+@query("""with s as (select 'p=' || case when event_id % 2 = 0 then 'true' else '0' end || ', q = ' || case when event_id % 3 = 0 then 'f' else 't' end || case when event_id % 5 = 0 then '; p=false' else '' end || case when event_id % 7 = 0 then ' then p and q' else '' end as s,
+    case when event_id % 5 = 0 then false else event_id % 2 = 0 end as p, event_id % 3 <> 0 as q from events) select s, any_value(p) as p, any_value(q) as q, count(*) as n from s group by s""")
 def parse_assignments(spark, sf):
-    rows = C.table(spark, ASSIGNED, "s string, name string, w boolean").withColumn("m", T.assignments(F.col("s")))
-    return rows.select("s", "name", F.try_element_at("m", F.col("name")).alias("value"))
+    """Values of two variables in texts that events choose; of a repeated name the last counts."""
+    e = F.col("event_id")
+    text = F.concat(F.lit("p="), F.when(e % 2 == 0, "true").otherwise("0"), F.lit(", q = "), F.when(e % 3 == 0, "f").otherwise("t"), F.when(e % 5 == 0, "; p=false").otherwise(""), F.when(e % 7 == 0, " then p and q").otherwise(""))
+    rows = _counted(_events(spark, sf).select(text.alias("s")), "s").withColumn("m", T.assignments(F.col("s")))
+    return rows.select("s", *(F.try_element_at("m", F.lit(v)).alias(v) for v in "pq"), "n")
 
 
-@query()
-def eval_prop(spark, sf):
-    """Formulas under assignments, by a parser in Arrow batches; an unknown variable makes the value unknown."""
-    rows = [("p=true; q=false; p ∧ q",), ("p=true; q=false; p ∨ q → r",), ("p=1; ¬p",), ("p=t; q=t; (p ↔ q) ∧ ¬false",), ("p=f; p → q",)]
-    return G.evaluate(C.table(spark, rows, "s string"))
+PROPOSITIONS = ["p ∧ q", "p ∨ q → r", "¬p", "(p ↔ q) ∧ ¬false", "p → s", "p or q and r"]
 
 
-EQUATIONS = ["solve 3x + 2 = 11", "solve 2*y - 4 = 7", "solve 0x + 1 = 2", "simplify 2x + x", " Solve -4z+-8 = 0 ", "solve 5x = 10"]
+@query(f"""with b as (select event_id % 2 = 0 as p, event_id // 2 % 2 = 0 as q, event_id // 4 % 2 = 0 as r, event_id // 8 % 6 as k from events),
+    f as (select 'p=' || p || '; q=' || q || '; r=' || r || '; ' || {X.chosen_sql('k', PROPOSITIONS)} as s, case k when 0 then p and q when 1 then not (p or q) or r when 2 then not p when 3 then p = q when 5 then (p or q) and r end as v from b)
+    select s, case any_value(v) when true then 'true' when false then 'false' else 'unknown' end as answer, count(*) as n from f group by s""")
+def eval_prop(spark, sf):
+    """Formulas under assignments that events choose, by a parser in Arrow batches; an unknown variable makes the value unknown."""
+    e = F.col("event_id")
+    given = [F.concat(F.lit(f"{v}="), (F.floor(e / d) % 2 == 0).cast("string"), F.lit("; ")) for v, d in (("p", 1), ("q", 2), ("r", 4))]
+    rows = _counted(_events(spark, sf).select(F.concat(*given, X.chosen(F.floor(e / 8) % 6, PROPOSITIONS)).alias("s")), "s")
+    return G.evaluate(rows)
 
 
-@query(f"""with e as (select s, regexp_extract(lower(trim(s)), 'solve +(-?[0-9]+) *[*]? *([a-z]) *([+-]) *(-?[0-9]+) *= *(-?[0-9]+)', ['a', 'v', 'sign', 'b', 'c']) as p from ({D.values([(x,) for x in EQUATIONS])}) t(s)),
-    n as (select s, p.v as v, try_cast(p.a as double) as a, try_cast(p.b as double) * case p.sign when '-' then -1 else 1 end as b, try_cast(p.c as double) as c from e)
-    select s, case when a <> 0 then v end as variable, case when a <> 0 then (c - b) / a end as solution from n""")
+@query("""with e as (select event_id % 7 - 3 as a, user_id % 10 as b, event_id % 23 - 11 as c, event_id % 2 = 0 as plus from events),
+    s as (select 'solve ' || a || case when a % 2 = 0 then '*' else '' end || 'x ' || case when plus then '+ ' else '-' end || b || ' = ' || c as s, case when a <> 0 then 'x' end as variable, case when a <> 0 then (c - case when plus then b else -b end) / a::double end as solution from e)
+    select s, any_value(variable) as variable, any_value(solution) as solution, count(*) as n from s group by s""")
 def solve_algebra(spark, sf):
-    return G.solve(C.table(spark, [(x,) for x in EQUATIONS], "s string"))
+    """Equations whose numbers events choose; those without the unknown have no solution."""
+    e = F.col("event_id")
+    a, b, c = e % 7 - 3, F.col("user_id") % 10, e % 23 - 11
+    text = F.concat(F.lit("solve "), a.cast("string"), F.when(a % 2 == 0, "*").otherwise(""), F.lit("x "), F.when(e % 2 == 0, "+ ").otherwise("-"), b.cast("string"), F.lit(" = "), c.cast("string"))
+    return G.solve(_counted(_events(spark, sf).select(text.alias("s")), "s")).select("s", "variable", "solution", "n")
 
 
 _FORMS = "(values ('A'), ('E'), ('I'), ('O'))"
@@ -162,125 +208,29 @@ SYLLOGISMS = " union all ".join(
 )
 
 
-@query(SYLLOGISMS)
+@query(f"""with j as ({SYLLOGISMS}), d as (select (doc_id // 64 % 4 + 1)::int as figure, ['A', 'E', 'I', 'O'][doc_id % 4 + 1] as major, ['A', 'E', 'I', 'O'][doc_id // 4 % 4 + 1] as minor, ['A', 'E', 'I', 'O'][doc_id // 16 % 4 + 1] as conclusion from documents),
+    n as (select figure, major, minor, conclusion, count(*) as n from d group by all) select j.figure, j.major, j.minor, j.conclusion, valid, coalesce(n, 0) as n from j left join n on n.figure = j.figure and n.major = j.major and n.minor = j.minor and n.conclusion = j.conclusion""")
 def judge_syllogism(spark, sf):
-    """All 256 moods and figures against all populations of the seven regions: fixed in size."""
-    return G.syllogism_table(spark)
+    """All 256 moods and figures against all populations of the seven regions, with the documents whose number stands for each."""
+    i = F.col("doc_id")
+    forms = [X.chosen(F.floor(i / d), list("AEIO")).alias(c) for c, d in (("major", 1), ("minor", 4), ("conclusion", 16))]
+    keys = ["figure", "major", "minor", "conclusion"]
+    drawn = _counted(read(spark, sf, "documents").select((F.floor(i / 64) % 4 + 1).cast("int").alias("figure"), *forms), *keys)
+    return G.syllogism_table(spark).join(drawn, keys, "left").select(*keys, "valid", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-@query("select array_to_string(t, ' ') as tokens, case when list_contains(t, 'L:TRUE') then 'true' when list_contains(t, 'L:FALSE') then 'false' when list_contains(t, 'V:Y') then 'yes' when list_contains(t, 'V:N') then 'no' else array_to_string(t, ' ') end as answer from (values (['L:TRUE']), (['V:P', 'L:FALSE']), (['N:ONE', 'A:PLUS']), (['V:Y']), (['V:N'])) v(t)")
+@query(f"with t as (select conv_id, turn, {D.lex_formal('text')} as t from conversations) select conv_id, turn, case when list_contains(t, 'L:TRUE') then 'true' when list_contains(t, 'L:FALSE') then 'false' when list_contains(t, 'V:Y') then 'yes' when list_contains(t, 'V:N') then 'no' else array_to_string(t, ' ') end as answer from t")
 def format_answer(spark, sf):
-    rows = C.table(spark, [(["L:TRUE"],), (["V:P", "L:FALSE"],), (["N:ONE", "A:PLUS"],), (["V:Y"],), (["V:N"],)], "t array<string>")
-    return rows.select(F.array_join("t", " ").alias("tokens"), T.format_answer(F.col("t")).alias("answer"))
-
-
-@query("select * from (values ('(p and q) implies r'), ('all concept is concept')) v(phrase)")
-def humanize(spark, sf):
-    rows = C.table(spark, [("L:LPAREN V:P L:AND V:Q L:RPAREN L:IMPL V:R".split(),), ("Q:ALL C:CONCEPT R:IS C:CONCEPT".split(),)], "t array<string>")
-    return rows.select(T.humanize(F.col("t")).alias("phrase"))
-
-
-SENTENCES_AR = [(1, "هل كتب الطالب الكتاب في 1995؟"), (2, "لم يذهب محمد إلى المكتبة"), (3, "وبكتابه قال: إن 50% من 5000 صغير!"), (4, "كتب Ali-Baba في يناير 3.5"), (5, "ما ذلك؟"), (6, "")]
-
-
-def _a(**x):
-    return tuple(x.get(f) for f in A.FIELDS)
-
-
-ANALYSES_AR = [
-    ("كتب", [_a(root="ك.ت.ب", pattern="1َ2َ3", pos="verb", lex="katab", asp="p", per="3", gen="m", num="s")]),
-    ("الطالب", [_a(root="ط.ل.ب", pattern="1ا2ِ3", pos="noun", lex="TAlib", prc0="Al_det", gen="m", num="s")]),
-    ("الكتاب", [_a(root="ك.ت.ب", pattern="1ِ2ا3", pos="noun", lex="kitAb", prc0="Al_det")]),
-    ("يذهب", [_a(root="ذ.ه.ب", pos="verb", lex="*ahab", asp="i", per="3", gen="m", num="s")]),
-    ("محمد", [_a(root="ح.م.د", pos="noun_prop", lex="muHam~ad")]),
-    ("المكتبة", [_a(root="ك.ت.ب", pattern="مَ1ْ2َ3َة", pos="noun", lex="maktabap", prc0="Al_det", gen="f"), _a(root="NTWS", pos="noun_prop", lex="maktabap")]),
-    ("وبكتابه", [_a(root="ك.ت.ب", pattern="1ِ2ا3", pos="noun", lex="kitAb", prc2="wa_conj", prc1="bi_prep", enc0="3ms_poss")]),
-    ("قال", [_a(root="ق.#.ل", pos="verb", lex="qAl", asp="p", per="3", gen="m", num="s")]),
-    ("صغير", [_a(root="ص.غ.ر", pattern="1َ2ي3", pos="adj", lex="Sagiyr")]),
-    ("ما", [_a(root="NTWS", pos="part_neg", lex="mA")]),
-]
-
-
-def _arabic(spark):
-    return C.table(spark, SENTENCES_AR, "id int, text string"), spark.createDataFrame(ANALYSES_AR, R.ANALYSES), R.root_table(spark)
-
-
-@query(f"select id, array_to_string(regexp_extract_all(text, {D.quote(R.SPLIT)}), '|') as words from ({D.values(SENTENCES_AR)}) v(id, text)")
-def ar_split(spark, sf):
-    return _arabic(spark)[0].select("id", F.array_join(R.split(F.col("text")), "|").alias("words"))
+    """What the logic tokens of each turn answer."""
+    return read(spark, sf, "conversations").select("conv_id", "turn", K.lex_formal(F.col("text")).alias("t")).select("conv_id", "turn", T.format_answer(F.col("t")).alias("answer"))
 
 
-VOWELLED = ["كِتَابٌ", "مُعَلِّم،", "ـكتـب", "ذلك؟"]
+_ATOMS = {"L:AND": "and", "L:OR": "or", "L:NOT": "not", "L:IMPL": "implies", "L:IFF": "iff", "L:LPAREN": "(", "L:RPAREN": ")", "L:THEREFORE": "therefore", "Q:ALL": "all", "Q:SOME": "some", "Q:NO": "no", "R:IS": "is", "R:EQUALS": "="}
 
 
-@query(f"select w, regexp_replace(w, '[ً-ٰٟـ،؍؛؞؟٪-٭۔۝۞]', '', 'g') as bare from ({D.values([(w,) for w in VOWELLED])}) v(w)")
-def ar_strip(spark, sf):
-    return C.table(spark, [(w,) for w in VOWELLED], "w string").select("w", T.strip_arabic(F.col("w")).alias("bare"))
-
-
-NUMBERS = [("1995", "NUM:year"), ("12", "NUM:small"), ("5000", "NUM:measure"), ("3.5", "NUM:decimal"), ("50%", "NUM:percent"), ("2020.", None), ("١٩٩٥", "NUM:year"), ("99999999999", "NUM:measure"), ("٥٠٪", "NUM:percent"), ("0007", "NUM:small")]
-
-
-@query(f"select * from ({D.values(NUMBERS)}) v(raw, kind)")
-def ar_num_class(spark, sf):
-    return C.table(spark, [(n,) for n, _ in NUMBERS], "raw string").select("raw", T.number_class(F.col("raw")).alias("kind"))
-
-
-@query(f"select * from ({D.values([(1, 'STR:question'), (2, 'STR:neg:past'), (3, 'STR:emphasis'), (4, ''), (5, 'STR:question'), (6, '')])}) v(id, marks)")
-def ar_str_markers(spark, sf):
-    return _arabic(spark)[0].select("id", F.array_join(R.marks(F.col("text")), " ").alias("marks"))
-
-
-@query(f"select * from ({D.values([(w, None if w in ('محمد',) else a[0][0]) for w, a in ANALYSES_AR if w not in ('محمد', 'ما')] + [('محمد', 'ح.م.د'), ('ما', None)])}) v(word, root)")
-def ar_best_analysis(spark, sf):
-    return _arabic(spark)[1].select("word", R.best(F.col("analyses")).alias("a")).select("word", "a.root")
-
-
-@query(f"select * from ({D.values([('كتب', None), ('الطالب', 'agent'), ('الكتاب', 'instance'), ('يذهب', None), ('محمد', None), ('المكتبة', 'place'), ('وبكتابه', 'instance'), ('قال', None), ('صغير', 'quality'), ('ما', None)])}) v(word, role)")
-def ar_role(spark, sf):
-    return _arabic(spark)[1].select("word", R.best(F.col("analyses")).alias("a")).select("word", R.role(F.col("a")).alias("role"))
-
-
-@query(f"select * from ({D.values([('وبكتابه', 'REL:and REL:with', 'FEAT:pron:3ms', None), ('كتب', '', '', '3ms'), ('الطالب', '', '', None)])}) v(word, clitics, enclitic, person)")
-def ar_clitics(spark, sf):
-    rows = _arabic(spark)[1].filter(F.col("word").isin("وبكتابه", "كتب", "الطالب")).select("word", R.best(F.col("analyses")).alias("a"))
-    return rows.select("word", F.array_join(R.clitics(F.col("a")), " ").alias("clitics"), F.array_join(R.enclitic(F.col("a")), " ").alias("enclitic"), R.person(F.col("a")).alias("person"))
-
-
-@query(f"select * from ({D.values([('ق.#.ل', 'speak', 'ق.و.ل'), ('ك.ت.ب', 'write', 'ك.ت.ب'), ('#.ق.ت', 'time', 'و.ق.ت')])}) v(root, field, canonical)")
-def ar_weak_root(spark, sf):
-    wanted = C.table(spark, [("ق.#.ل",), ("ك.ت.ب",), ("#.ق.ت",)], "root string")
-    return wanted.join(R.root_closure(R.root_table(spark)), "root").select("root", "field", R.canonical_root(F.col("root")).alias("canonical"))
-
-
-TOKENS_AR = [
-    (1, "[BOS] STR:question ROOT:write FEAT:asp:p FEAT:3ms ROOT:want ROLE:agent ROOT:write ROLE:instance REL:in NUM:year [EOS]"),
-    (2, "[BOS] STR:neg:past ROOT:move FEAT:asp:i FEAT:3ms NE:محمد REL:to ROOT:write ROLE:place [EOS]"),
-    (3, "[BOS] STR:emphasis REL:and REL:with ROOT:write ROLE:instance FEAT:pron:3ms ROOT:speak FEAT:asp:p FEAT:3ms LIT:إن NUM:percent REL:from NUM:measure ROOT:ص.غ.ر [EOS]"),
-    (4, "[BOS] ROOT:write FEAT:asp:p FEAT:3ms FOREIGN:ali-baba REL:in TIME:month:jan NUM:decimal [EOS]"),
-    (5, "[BOS] STR:question REL:what REL:those [EOS]"),
-    (6, "[BOS] [EOS]"),
-]
-
-
-@query(f"select * from ({D.values(TOKENS_AR)}) v(id, tokens)")
-def ar_tokenize(spark, sf):
-    return R.tokenize(*_arabic(spark)).select("id", F.array_join("tokens", " ").alias("tokens"))
-
-
-@query(f"select id, true as aligned from ({D.values(TOKENS_AR)}) v(id, tokens)")
-def ar_alignment(spark, sf):
-    made = R.tokenize(*_arabic(spark), space=True)
-    total = F.aggregate("word_token_counts", F.lit(0), lambda a, b: a + b)
-    return made.select("id", (F.size("tokens") == 2 + F.col("prefix_count") + total).alias("aligned"))
-
-
-@query()
-def ar_root_pattern(spark, sf):
-    return R.tokenize(*_arabic(spark), root_pattern=True).select("id", F.array_join("tokens", " ").alias("tokens"))
-
-
-@query()
-def ar_legacy_tokenize(spark, sf):
-    sents, analyses, roots = _arabic(spark)
-    return R.legacy_tokens(sents.select(F.explode(R.split(F.col("text"))).alias("word")), analyses, roots)
+@query(f"""with {D.SENT}, f as (select doc_id, pos, {D.lex_formal('sent')} as toks from sent), c as (select doc_id, pos, {D.logic_collapse('toks')} as t from f),
+    p as (select doc_id, pos, array_to_string(list_transform(t, lambda t: {D.case('t', _ATOMS, "lower(regexp_replace(t, '^[A-Z]+:', ''))")}), ' ') as x from c) select doc_id, pos, replace(replace(x, '( ', '('), ' )', ')') as phrase from p""")
+def humanize(spark, sf):
+    """The logic tokens of each sentence as a phrase."""
+    rows = C.sentences(read(spark, sf, "documents")).select("doc_id", "pos", K.lex_formal(F.col("sent")).alias("t"))
+    return rows.select("doc_id", "pos", K.logic_collapse(F.col("t")).alias("t")).select("doc_id", "pos", T.humanize(F.col("t")).alias("phrase"))
