@@ -140,7 +140,7 @@ def agg_hard_logic_gate(spark, sf):
     return S.hard_logic_gate(rows)
 
 
-_SIDE = """avg(value) >= 20 as p, round(avg(value) / 20, 4) as f, round(avg(event_id % 7) / 50, 4) as q, round(avg(event_id % 11) / 80, 4) as s, case when count(*) % 5 = 0 then null when count(*) % 3 = 0 then '512' else '256' end as c, case when count(*) % 2 = 0 then 1000 else 900 end as t"""
+_SIDE = """avg(value) >= 20 as p, floor(avg(value) * 50) / 1000 as f, floor(avg(event_id % 7) * 20) / 1000 as q, floor(avg(event_id % 11) * 12.5) / 1000 as s, case when count(*) % 5 = 0 then null when count(*) % 3 = 0 then '512' else '256' end as c, case when count(*) % 2 = 0 then 1000 else 900 end as t"""
 
 
 @query(f"""with e as (select event_type || '-' || user_id % 10 as run, event_id % 2 as side, value, event_id from events), o as (select run, {_SIDE} from e where side = 0 group by run), b as (select run, {_SIDE} from e where side = 1 group by run),
@@ -156,7 +156,7 @@ def agg_verdict(spark, sf):
     config = F.when(n % 5 == 0, F.lit(None).cast("map<string,string>")).otherwise(F.create_map(F.lit("d_model"), F.when(n % 3 == 0, "512").otherwise("256")))
     sizes = F.create_map(F.lit("train"), F.when(n % 2 == 0, 1000).otherwise(900))
     side = F.struct(
-        (F.avg("value") >= 20).alias("passed"), F.round(F.avg("value") / 20, 4).alias("full"), F.round(F.avg(F.col("event_id") % 7) / 50, 4).alias("gap_q"), F.round(F.avg(F.col("event_id") % 11) / 80, 4).alias("gap_s"),
+        (F.avg("value") >= 20).alias("passed"), (F.floor(F.avg("value") * 50) / 1000).alias("full"), (F.floor(F.avg(F.col("event_id") % 7) * 20) / 1000).alias("gap_q"), (F.floor(F.avg(F.col("event_id") % 11) * 12.5) / 1000).alias("gap_s"),
         config.alias("config"), sizes.alias("sizes"),
     )
     own, base = (events.filter(F.col("side") == k).groupBy("run").agg(side.alias(c)) for k, c in enumerate(("own", "base")))
