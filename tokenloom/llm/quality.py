@@ -223,15 +223,15 @@ def train(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     """A model from at most `sample` labelled rows that are not held out, those with the smallest hashes of their ids.
 
     Rows without a label or a document don't count, nor labels but 0 and 1; of several labels of an id the least counts.
-    Rows that share an id are examples each, as long as they are among the first `sample` rows by hash, id and text digest:
+    Rows that share an id are examples each, as long as they are among the first `sample` rows by hash, id and features:
     the bound is one of rows, whatever ids they have. Without examples, the model gives one score to all.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter(F.col("_y").isin(0, 1) & F.col("_id").isNotNull() & ~held_out(F.col("_id")))
     known = known.groupBy("_id").agg(F.min("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample)
     # `sample` rows of two numbers: the bound is what makes the broadcast safe
     found = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(known), "_id")
-    found = found.orderBy(F.xxhash64("_id"), "_id", F.xxhash64("text")).limit(sample)
-    rows = features(found, carry=["_id", "_y"]).select("_id", "_y", "x").toPandas()
+    # features are made where the texts are; only numbers are ordered and cut
+    rows = features(found, carry=["_id", "_y"]).select("_id", "_y", "x").orderBy(F.xxhash64("_id"), "_id", "x").limit(sample).toPandas()
     x = np.array(rows["x"].tolist(), np.float32).reshape(-1, len(NAMES))
     # one order, also of rows that share an id: sums come out the same
     order = np.lexsort((*x.T, rows["_id"].to_numpy()))
