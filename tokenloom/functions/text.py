@@ -70,7 +70,8 @@ _SINGLE, _DOUBLE = "‘’‚‹›", "“”„«»"
 def normalize(text: Column) -> Column:
     """Lower case, straight quotes, single spaces, none at the ends."""
     plain = F.translate(F.lower(text), _SINGLE + _DOUBLE + _SPACES, "'" * len(_SINGLE) + '"' * len(_DOUBLE) + " " * len(_SPACES))
-    return F.trim(F.when(plain.contains("  "), F.regexp_replace(plain, " +", " ")).otherwise(plain))
+    # one expression, so that the text is lowered and translated once
+    return F.trim(F.regexp_replace(plain, "  +", " "))
 
 
 def structure(normal: Column) -> Column:

@@ -157,8 +157,9 @@ def _parts(norm: DataFrame, atomic: bool, lexicon: Lexicon | None) -> DataFrame:
     """
     rest = [c for c in norm.columns if c != "norm"]
     own = F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w))
-    known = shared.stored(known_words(norm.select(F.explode(own).alias("word")).distinct(), atomic=atomic, lexicon=lexicon))
-    split = norm.select(*rest, T.structure(F.col("norm")).alias("marks"), own.alias("words"))
+    # stored, so that texts are normalised and split once for the distinct words and for the sentences
+    split = shared.stored(norm.select(*rest, T.structure(F.col("norm")).alias("marks"), own.alias("words")))
+    known = shared.stored(known_words(split.select(F.explode("words").alias("word")).distinct(), atomic=atomic, lexicon=lexicon))
     return codec.mapped(split, "words", known, "parts", missing=_own_tokens_of)
 
 
@@ -180,8 +181,8 @@ def tokenize_both(docs: DataFrame, *, lexicon: Lexicon | None = None) -> DataFra
     """
     norm = sentences(docs).select("doc_id", "lang", "pos", T.normalize(F.col("sent")).alias("norm"))
     own = F.filter(T.words(F.col("norm")), lambda w: ~T.skipped(w))
-    distinct = shared.stored(analyse(norm.select(F.explode(own).alias("word")).distinct(), lexicon))
-    made = norm.select("doc_id", "lang", "pos", T.structure(F.col("norm")).alias("marks"), own.alias("words"))
+    made = shared.stored(norm.select("doc_id", "lang", "pos", T.structure(F.col("norm")).alias("marks"), own.alias("words")))
+    distinct = shared.stored(analyse(made.select(F.explode("words").alias("word")).distinct(), lexicon))
     for name, atomic in (("fused", False), ("atomic", True)):
         known = shared.stored(_known(emit(distinct, atomic=atomic, lexicon=lexicon)))
         made = codec.mapped(made, "words", known, name, missing=_own_tokens_of)
@@ -206,12 +207,16 @@ def token_weights(docs: DataFrame, *, keys: list[str] | None = None, atomic: boo
     Words are counted first, each distinct word is analysed once, and its tokens have its count: tokens are never shuffled.
     """
     keys = keys or []
-    sents = sentences(docs)
-    counted = shared.stored(words(sents).groupBy(*keys, "word").agg(F.count("*").alias("n")))
-    known = known_words(counted.select("word").distinct(), atomic=atomic, lexicon=lexicon)
-    each = counted.join(known, "word", "left").select(*keys, F.explode(F.coalesce("tokens", _own_tokens(F.col("word")))).alias("token"), "n")
-    marks = sents.select(*keys, F.explode(T.structure(T.normalize(F.col("sent")))).alias("token")).groupBy(*keys, "token").agg(F.count("*").alias("n"))
-    return each.unionByName(marks).groupBy(*keys, "token").agg(F.sum("n").alias("n"))
+    norm = sentences(docs).select(*keys, T.normalize(F.col("sent")).alias("norm"))
+    # words and sentence marks in one pass, told apart by their first letter
+    found = F.concat(F.transform(T.words(F.col("norm")), lambda w: F.concat(F.lit("w"), w)), F.transform(T.structure(F.col("norm")), lambda m: F.concat(F.lit("m"), m)))
+    each = norm.select(*keys, F.explode(found).alias("x")).select(*keys, F.col("x").startswith("m").alias("mark"), F.substr("x", F.lit(2)).alias("word"))
+    counted = shared.stored(each.filter(F.col("mark") | ~T.skipped(F.col("word"))).groupBy(*keys, "mark", "word").agg(F.count("*").alias("n")))
+    words_ = counted.filter(~F.col("mark")).drop("mark")
+    known = shared.stored(known_words(words_.select("word").distinct(), atomic=atomic, lexicon=lexicon))
+    tokens = words_.join(known, "word", "left").select(*keys, F.explode(F.coalesce("tokens", _own_tokens(F.col("word")))).alias("token"), "n")
+    marks = counted.filter("mark").select(*keys, F.col("word").alias("token"), "n")
+    return tokens.unionByName(marks).groupBy(*keys, "token").agg(F.sum("n").alias("n"))
 
 
 def token_counts(tokens: DataFrame) -> DataFrame:

@@ -22,6 +22,12 @@ def _lexed(spark, sf):
     return sents.select("doc_id", "lang", "pos", K.lex_english(F.col("sent")).alias("tokens"))
 
 
+def _lexed_once(spark, sf, cap=CAP):
+    """The lexed sentences, stored, and the vocabulary of their tokens: texts are lexed once for both."""
+    lexed = shared.stored(_lexed(spark, sf))
+    return lexed, B.top_vocabulary(C.token_counts(lexed), L.SPECIALS, cap)
+
+
 def _shown(df, *columns):
     """Array columns as texts of numbers."""
     return df.withColumns({c: F.array_join(F.col(c).cast("array<string>"), " ") for c in columns or ("ids",)})
@@ -74,27 +80,29 @@ def agg_vocab_top(spark, sf):
 
 @query(f"with {_top(CAP)} select 1 - sum(case when v.token is not null then n else 0 end) / sum(n) as oov from counts left join vocab v using (token)")
 def agg_oov_fraction(spark, sf):
-    counts, vocab = _counts(spark, sf), _vocab(spark, sf)
+    counts = shared.stored(_counts(spark, sf))
+    vocab = B.top_vocabulary(counts, L.SPECIALS, CAP)
     joined = counts.join(vocab.select("token", F.lit(1).alias("known")), "token", "left")
     return joined.agg((1 - F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("oov"))
 
 
 @query(f"with {_top(CAP)} select doc_id, pos, string_agg(coalesce(v.id, 1)::varchar, ' ' order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
 def encode(spark, sf):
-    return _shown(C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"]))
+    return _shown(C.encode(*_lexed_once(spark, sf), ["doc_id", "pos"]))
 
 
 @query(f"with {_top(CAP)}, e as (select doc_id, pos, i, coalesce(v.id, 1) as id from each left join vocab v using (token)) select doc_id, pos, string_agg(coalesce(v.token, '[UNK]'), ' ' order by i) as tokens from e left join vocab v using (id) group by doc_id, pos")
 def decode(spark, sf):
-    vocab = _vocab(spark, sf)
-    ids = C.encode(_lexed(spark, sf), vocab, ["doc_id", "pos"])
+    lexed, vocab = _lexed_once(spark, sf)
+    ids = C.encode(lexed, vocab, ["doc_id", "pos"])
     return C.decode(ids, vocab, ["doc_id", "pos"]).select("doc_id", "pos", F.array_join("tokens", " ").alias("tokens"))
 
 
 @query(f"with {_top(CAP)} select doc_id, pos, string_agg((case when v.id < 500 then v.id else 1 end)::varchar, ' ' order by i) as ids from each left join vocab v using (token) group by doc_id, pos")
 def vocab_frozen(spark, sf):
     """Ids of a given vocabulary cut at an id; what lies above is unknown."""
-    return _shown(C.encode(_lexed(spark, sf), _vocab(spark, sf).filter("id < 500"), ["doc_id", "pos"]))
+    lexed, vocab = _lexed_once(spark, sf)
+    return _shown(C.encode(lexed, vocab.filter("id < 500"), ["doc_id", "pos"]))
 
 
 @query(f"with {_top(CAP)} select max(id) + 1 as size, count(*) as n, max(case when token = '[UNK]' then id end) as unk, max(case when token = '[BOS]' then id end) as bos from vocab")
@@ -262,9 +270,10 @@ def agg_bpc(spark, sf):
     """Bits per character under the bigram model of the same sentences: pairs are counted by language, then scored once."""
     from tokenloom.operators import stats as S
 
-    lexed = C.sentences(read(spark, sf, "documents")).select("lang", "sent", K.lex_english(F.col("sent")).alias("tokens"))
+    lexed = C.sentences(read(spark, sf, "documents")).select("lang", F.length("sent").alias("size"), K.lex_english(F.col("sent")).alias("tokens"))
+    lexed = shared.stored(lexed)  # read for the pairs and for the lengths
     scored = B.score_languages(lexed)
-    chars = lexed.groupBy("lang").agg(F.sum(F.length("sent")).alias("n_chars"))
+    chars = lexed.groupBy("lang").agg(F.sum("size").alias("n_chars"))
     made = S.bits_per_character(scored.join(F.broadcast(chars), "lang"), ["lang"])  # a row for each language
     return made.withColumns({"nll": F.round("nll", 4), "bpc": F.round("bpc", 6), "perplexity": F.round("perplexity", 4)})
 
@@ -273,7 +282,7 @@ def agg_bpc(spark, sf):
     select doc_id, pos, array_to_string(ids || list_transform(range(w - len(ids)), lambda x: 0), ' ') as padded, array_to_string(list_transform(ids, lambda x: 1) || list_transform(range(w - len(ids)), lambda x: 0), ' ') as mask, array_to_string(list_append(ids[2:], -100), ' ') as labels from g""")
 def pad_mask(spark, sf):
     """Sentences padded to the longest of their batch; a document's sentences are a batch."""
-    ids = C.encode(_lexed(spark, sf), _vocab(spark, sf), ["doc_id", "pos"])
+    ids = C.encode(*_lexed_once(spark, sf), ["doc_id", "pos"])
     return _shown(B.padded(ids, ["doc_id"]).select("doc_id", "pos", "padded", "mask", "labels"), "padded", "mask", "labels")
 
 
