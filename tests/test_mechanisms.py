@@ -179,3 +179,30 @@ def test_queries_without_sql(spark, sf):
     spm = registry.QUERIES["base_spm"](spark, sf).collect()
     assert {r["lang"] for r in spm} == {r["lang"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("lang").distinct().collect()}
     assert all(r["pieces"] >= 3 * r["sentences"] and r["chars"] > r["pieces"] for r in spm)
+
+
+def test_streams_meet_as_sums(spark):
+    """Rows of a key and an instant are one row of the join's state, and each event still counts with each text."""
+    at = shared.folder(spark, "sums")
+    minute = "timestamp_seconds(1704067200 + {} * 60)"
+    texts = spark.range(600).selectExpr("id % 2 as key", f"{minute.format('(id % 10) * 7')} as ts", "concat('All men walk. ', if(id % 3 = 0, 'No dogs.', '')) as text")
+    events = spark.range(900).selectExpr("id % 2 as key", f"{minute.format('60 + (id % 6) * 5')} as ts", "if(id % 4 < 2, 'a', 'b') as event_type")
+    last = "timestamp '2024-01-09'"
+    texts.unionByName(spark.sql(f"select 9L as key, {last} as ts, '' as text")).coalesce(1).write.parquet(f"{at}/texts")
+    events.unionByName(spark.sql(f"select 9L as key, {last} as ts, 'a' as event_type")).coalesce(1).write.parquet(f"{at}/events")
+    left, right = (streams.source(spark, f"{at}/{n}", df.schema) for n, df in (("texts", texts), ("events", events)))
+    made = streams.windowed_coverage(left, right, width="1 day", within="1 hour", delay="2 hours")
+    running = made.writeStream.format("memory").queryName("sums").trigger(availableNow=True).start()
+    running.awaitTermination()
+    updated = [o["numRowsUpdated"] for p in running.recentProgress for o in p["stateOperators"] if o["operatorName"] == "symmetricHashJoin"]
+    assert 0 < sum(updated) <= 2 * 2 * 10 + 2 * 2 * 6 + 3  # texts are in two slots
+    want = collections.Counter()
+    minutes = collections.Counter((r["key"], r["ts"], r["text"]) for r in texts.collect())
+    for e, n in collections.Counter((r["key"], r["ts"], r["event_type"]) for r in events.collect()).items():
+        for t, m in minutes.items():
+            if t[0] == e[0] and 0 <= (e[1] - t[1]).total_seconds() <= 3600:
+                want[e[2], "n"] += n * m
+                want[e[2], "tokens"] += n * m * (7 if "dogs" in t[2] else 4)
+    got = {r["event_type"]: r for r in spark.table("sums").collect()}
+    assert set(got) == {"a", "b"}
+    assert all(got[t][c] == v for (t, c), v in want.items())

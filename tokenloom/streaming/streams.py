@@ -5,7 +5,7 @@ windowed_counts is an extension of this engine: the corpora it was made for have
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tokenloom.functions import tokens as K
@@ -47,15 +47,26 @@ def windowed_coverage(texts: DataFrame, events: DataFrame, *, width: str, within
     texts (key, ts, text) and events (key, ts, event_type) are streams with watermarks of their own. An event belongs to each
     text of its key that came within the interval before it; so state is kept for that long, behind the slower stream. Windows
     come out once they are closed, and rows that are later than the delay are dropped.
+
+    Rows of a key and an instant are added up on both sides before they meet, and sums meet by key and slot of time: a slot
+    is as long as the interval, so a text's events are in its own or in the next one.
     """
     tokens = K.unmark(K.lex_english(F.col("text")))
     shown = _timed(texts, "ts").select("key", F.col("ts").alias("at"), tokens.alias("t")).select(
         "key", "at", F.size("t").cast("long").alias("tokens"), F.size(F.filter("t", lambda t: ~t.startswith("ROOT:") & ~t.startswith("LIT:"))).cast("long").alias("structured")
     )
     left = _timed(events, "ts").select(F.col("key").alias("of"), "ts", "event_type").withWatermark("ts", delay)
-    right = shown.withWatermark("at", delay)
-    joined = left.join(right, (F.col("of") == F.col("key")) & (F.col("ts") >= F.col("at")) & (F.col("ts") <= F.col("at") + F.expr(f"interval {within}")))
-    return joined.groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.sum("structured").alias("structured"))
+    left = left.groupBy("of", "ts", "event_type").agg(F.count("*").alias("n_events"))
+    right = shown.withWatermark("at", delay).groupBy("key", "at").agg(F.count("*").alias("n_texts"), F.sum("tokens").alias("tokens"), F.sum("structured").alias("structured"))
+
+    def slot(ts: str) -> Column:
+        return F.floor(F.unix_micros(ts) / F.expr(f"unix_micros(timestamp_seconds(0) + interval {within})"))
+
+    left = left.withColumn("slot_of", slot("ts"))
+    right = right.withColumn("slot", F.explode(F.array(slot("at"), slot("at") + 1)))
+    on = (F.col("of") == F.col("key")) & (F.col("slot_of") == F.col("slot")) & (F.col("ts") >= F.col("at")) & (F.col("ts") <= F.col("at") + F.expr(f"interval {within}"))
+    sums = {"n": F.col("n_events") * F.col("n_texts"), "tokens": F.col("n_events") * F.col("tokens"), "structured": F.col("n_events") * F.col("structured")}
+    return left.join(right, on).groupBy(F.window("ts", width), "event_type").agg(*(F.sum(x).alias(c) for c, x in sums.items()))
 
 
 def run_steps(spark: SparkSession, made: DataFrame, feeds) -> DataFrame:
