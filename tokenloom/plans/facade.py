@@ -16,7 +16,7 @@ from tokenloom.operators import corpus as C
 from tokenloom.operators import shared
 from tokenloom.plans import dialect as D
 from tokenloom.plans.registry import query, read
-from tokenloom.plans.vocabulary import CAP, _top, _vocab
+from tokenloom.plans.vocabulary import CAP, _lexed_once, _top
 from tokenloom.sources import readers
 
 _LEXED = f"{D.SENT}, lexed as (select doc_id, lang, pos, {D.lex_english('sent')} as toks from sent)"
@@ -133,7 +133,7 @@ def aae_root_classify(spark, sf):
     select doc_id, (row_number() over (partition by doc_id order by pos) - 1)::int as i, ids from s""")
 def greedy_decode_segments(spark, sf):
     """The parts of each document's row of ids between begin and end: its sentences again."""
-    ids = C.encode(_sents(spark, sf).select("id.*", K.lex_english(F.col("text")).alias("tokens")), _vocab(spark, sf), ["doc_id", "pos"])
+    ids = C.encode(*_lexed_once(spark, sf), ["doc_id", "pos"])
     whole = ids.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("x"))  # a document's sentences
     rows = whole.select("doc_id", F.flatten(F.transform("x", lambda x: x["ids"])).alias("ids"))
     return rows.select("doc_id", F.posexplode(K.segments(F.col("ids"), L.SPECIALS.index("[BOS]"), L.SPECIALS.index("[EOS]"))).alias("i", "ids"))
