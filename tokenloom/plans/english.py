@@ -20,7 +20,7 @@ def _sents(spark, sf):
 
 def _distinct(spark, sf):
     """(word, lemma) of each distinct word."""
-    return C.analyse(C.words(_sents(spark, sf)).select("word").distinct()).select("word", "lemma")
+    return C.lemmas(C.words(_sents(spark, sf)).select("word").distinct())
 
 
 def _analysed(spark, sf):
