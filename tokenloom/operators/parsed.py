@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tokenloom import lexicon as L
 from tokenloom.functions import text as T
 from tokenloom.functions import tokens as K
-from tokenloom.operators import corpus
+from tokenloom.operators import corpus, shared
 
 KEYS = ["doc_id", "pos"]
 
@@ -88,7 +88,8 @@ def tokenize(sents: DataFrame, parsed: DataFrame, *, atomic: bool = False, lexic
     """
     given = lexicon or corpus.Lexicon()
     nobody = corpus.entity_table(sents.sparkSession).limit(0)
-    own = corpus.Lexicon(given.relations, given.functions, given.overrides, given.prefixes, given.suffixes, lemmas=first_context(parsed), fields=given.fields, entities=nobody)
+    cache = shared.stored(first_context(parsed))  # counted before it is joined
+    own = corpus.Lexicon(given.relations, given.functions, given.overrides, given.prefixes, given.suffixes, lemmas=cache, fields=given.fields, entities=nobody)
     named = sents.join(entity_words(parsed), KEYS, "left").select(*KEYS, "entities", T.normalize(F.col("sent")).alias("norm"))
     made = corpus._parts(named, atomic, own)
     parts = F.transform("words", lambda w, i: F.when(F.array_contains("entities", w), F.array(F.concat(F.lit("LIT:"), w))).otherwise(F.get("parts", i)))
