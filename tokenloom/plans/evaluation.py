@@ -59,6 +59,7 @@ def agg_top5_answer_tokens(spark, sf):
     docs = C.sentences(read(spark, sf, "documents")).select("doc_id", "lang", K.reasoning_kept(K.lex_english(F.col("sent")), "en").alias("k")).select("doc_id", "lang", K.reasoning_collapse(F.col("k")).alias("tokens"))
     labelled = docs.join(read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     counts = labelled.select("lang", "label", F.explode("tokens").alias("token")).filter(~F.col("token").isin(L.SPECIALS)).groupBy("lang", "label", "token").agg(F.count("*").alias("n"))
+    counts = shared.stored(counts)  # read for the answers and for their fallbacks
     return _shown(S.answer_candidates(counts, _vocab(spark, sf, ANSWER_CAP), FALLBACK), "top")
 
 
@@ -277,7 +278,7 @@ _SCORED = f"""turns as (select conv_id, turn, {_PART.format(D.lex_english('text'
 
 def _asked(spark, sf):
     """Turns as contexts; the next turn and the turn itself are the candidates."""
-    turns = read(spark, sf, "conversations").select("conv_id", "turn", K.unmark(K.lex_english(F.col("text"))).alias("toks"))
+    turns = shared.stored(read(spark, sf, "conversations").select("conv_id", "turn", K.unmark(K.lex_english(F.col("text"))).alias("toks")))
     pairs = turns.join(turns.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("toks").alias("after")), ["conv_id", "turn"])
     first = F.col("turn") % 4 == 0
     return pairs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.col("toks").alias("context"), F.when(first, F.array("after", "toks")).otherwise(F.array("toks", "after")).alias("candidates"), F.when(first, 0).otherwise(1).alias("gold"))
