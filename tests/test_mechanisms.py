@@ -181,6 +181,16 @@ def test_queries_without_sql(spark, sf):
     assert all(r["pieces"] >= 3 * r["sentences"] and r["chars"] > r["pieces"] for r in spm)
 
 
+def test_texts_of_one_row_group_are_dealt_out(spark):
+    at = shared.folder(spark, "large")
+    spark.range(2_000).selectExpr("id as doc_id", "'All men walk.' as text").coalesce(1).write.parquet(f"{at}/documents.parquet")
+    made = registry.read(spark, at, "documents")
+    sizes = [r["count"] for r in made.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2_000 == made.select("doc_id").distinct().count() and max(sizes) < 1_000
+    few = spark.range(20).selectExpr("id as doc_id").coalesce(1)
+    assert shared.spread(few, "doc_id") is few
+
+
 def test_streams_meet_as_sums(spark):
     """Rows of a key and an instant are one row of the join's state, and each event still counts with each text."""
     at = shared.folder(spark, "sums")
@@ -206,3 +216,9 @@ def test_streams_meet_as_sums(spark):
     got = {r["event_type"]: r for r in spark.table("sums").collect()}
     assert set(got) == {"a", "b"}
     assert all(got[t][c] == v for (t, c), v in want.items())
+
+
+@pytest.mark.parametrize("name", ["ids_permute", "ngram_lm", "greedy_decode_segments", "lit_cap_zero_words", "agg_distinct_sketches"])
+def test_texts_are_lexed_once(spark, sf, name):
+    """What is read several times is stored, so that no plan lexes texts again for each reader."""
+    assert "[A-Za-z][A-Za-z'" not in registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
