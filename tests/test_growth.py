@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 from tokenloom.operators import datagen as G
+from tokenloom.plans import registry
+
+
+def _plan(made) -> str:
+    return made._jdf.queryExecution().optimizedPlan().toString()
 
 
 def test_steps_come_with_the_last_join(spark):
@@ -10,6 +15,14 @@ def test_steps_come_with_the_last_join(spark):
     rows = [(f"en{i}", "en", "yes" if i % 3 else "no", [f"q{i}"], [[f"s{i}"]], [f"a{i}"]) for i in range(6)]
     df = spark.createDataFrame(rows, "id string, lang string, label_name string, q array<string>, cot array<array<string>>, a array<string>")
     made = G.verifier_examples(df)
-    joins = [x for x in made._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join Inner" in x]
+    joins = [x for x in _plan(made).splitlines() if "Join Inner" in x]
     assert "cot_of#" in joins[0]
     assert {(r["id"], tuple(r["input_tokens"])) for r in made.collect() if r["source_id"] == "en0" and r["label"] == 1} == {("en0:pos", ("q0", "s0", "a0"))}
+
+
+def test_fields_are_sought_once_a_word(spark, sf):
+    """No filter on a word's field stands below the distinct words, where it would run for each token."""
+    for name in ("en_resolve_field", "en_prefix_role", "en_suffix_role"):
+        plan = _plan(registry.QUERIES[name](spark, sf))
+        below = plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
+        assert not any(x in below for x in ("EndsWith", "StartsWith", "ies"))

@@ -20,11 +20,11 @@ def _sents(spark, sf):
 
 def _distinct(spark, sf):
     """(word, lemma) of each distinct word."""
-    return C.lemmas(C.words(_sents(spark, sf)).select("word").distinct())
+    return C.lemmas(C.distinct_words(_sents(spark, sf)))
 
 
 def _analysed(spark, sf):
-    return C.analyse(C.words(_sents(spark, sf)).select("word").distinct())
+    return C.analyse(C.distinct_words(_sents(spark, sf)))
 
 
 def _weights(spark, sf, **options):

@@ -97,7 +97,7 @@ def join_lexicon(spark, sf):
 @query(f"with {D.EN}, hit as (select word, min(prio) - 1 as prio from cand join ({D.values(L.FIELDS.items())}) f(spelling, field) using (spelling) group by word) select word, prio::int as prio from hit")
 def join_priority_fallback(spark, sf):
     """The place of the first spelling that the lexicon has."""
-    rooted = C.analyse(C.words(C.sentences(read(spark, sf, "documents"))).select("word").distinct()).select("word", "lemma", "root")
+    rooted = C.analyse(C.distinct_words(C.sentences(read(spark, sf, "documents")))).select("word", "lemma", "root")
     spelled = rooted.select("word", F.posexplode(T.field_candidates(F.col("root"), F.col("lemma"))).alias("prio", "spelling")).filter("spelling is not null")
     return spelled.join(F.broadcast(C.field_table(spark)), "spelling").groupBy("word").agg(F.min("prio").alias("prio"))
 
