@@ -26,3 +26,8 @@ def test_fields_are_sought_once_a_word(spark, sf):
         plan = _plan(registry.QUERIES[name](spark, sf))
         below = plan[plan.rindex("Aggregate") :].split("\n", 1)[1]
         assert not any(x in below for x in ("EndsWith", "StartsWith", "ies"))
+
+
+def test_words_are_counted_before_they_are_pooled(spark, sf):
+    plan = _plan(registry.QUERIES["agg_missed_roots"](spark, sf))
+    assert "md5" in plan and "md5" not in plan[plan.rindex("Aggregate") :]
