@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenloom.operators import codec
 from tokenloom.operators import datagen as G
 from tokenloom.plans import registry
 
@@ -31,3 +32,9 @@ def test_fields_are_sought_once_a_word(spark, sf):
 def test_words_are_counted_before_they_are_pooled(spark, sf):
     plan = _plan(registry.QUERIES["agg_missed_roots"](spark, sf))
     assert "md5" in plan and "md5" not in plan[plan.rindex("Aggregate") :]
+
+
+def test_running_sums_are_one_pass(spark, sf):
+    df = spark.createDataFrame([([2, 1, None, 3],), ([],), (None,), ([5],)], "x array<int>").coalesce(1)
+    assert [r["s"] for r in codec.running(df, "x", "s").collect()] == [[0, 2, 3, 3], [], None, [0]]
+    assert "slice(" not in _plan(registry.QUERIES["win_cumulative_cursor"](spark, sf))
