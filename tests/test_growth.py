@@ -38,3 +38,7 @@ def test_running_sums_are_one_pass(spark, sf):
     df = spark.createDataFrame([([2, 1, None, 3],), ([],), (None,), ([5],)], "x array<int>").coalesce(1)
     assert [r["s"] for r in codec.running(df, "x", "s").collect()] == [[0, 2, 3, 3], [], None, [0]]
     assert "slice(" not in _plan(registry.QUERIES["win_cumulative_cursor"](spark, sf))
+
+
+def test_slices_are_cut_without_going_over_the_sentence(spark, sf):
+    assert "slice(" not in _plan(registry.QUERIES["agg_lookup_w2t"](spark, sf))
