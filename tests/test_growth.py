@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tokenloom.operators import arabic as R
 from tokenloom.operators import codec
 from tokenloom.operators import datagen as G
 from tokenloom.plans import registry
@@ -42,3 +43,14 @@ def test_running_sums_are_one_pass(spark, sf):
 
 def test_slices_are_cut_without_going_over_the_sentence(spark, sf):
     assert "slice(" not in _plan(registry.QUERIES["agg_lookup_w2t"](spark, sf))
+
+
+def test_glosses_are_searched_once(spark, sf):
+    """Not once for each field: what a lambda names only once is put into it as a whole. Half a letter borders no name."""
+    plan = _plan(registry.QUERIES["aae_root_classify"](spark, sf))
+    assert not any("lambdafunction(array_contains" in x for x in plan.splitlines())
+    rows = [(1, "an 😀write", "write"), (2, "an 𝒳write", None), (3, "écrit knowé to know", "know"), (4, "art open", "open"), (5, "tréad read", "know")]
+    df = spark.createDataFrame([(i, None, "x", t, "", [], f) for i, t, f in rows], "id int, arabic string, domain string, covers string, semantic_field string, keywords array<string>, want string")
+    assert all(r["field"] == r["want"] for r in R.gloss_fields(df, {"read": "know"}).collect())
+
+
