@@ -54,3 +54,7 @@ def test_glosses_are_searched_once(spark, sf):
     assert all(r["field"] == r["want"] for r in R.gloss_fields(df, {"read": "know"}).collect())
 
 
+def test_parsed_sentences_stay_in_their_rows(spark, sf):
+    for name in ("en_reason_dep", "en_reason_dep_composed"):
+        plan = _plan(registry.QUERIES[name](spark, sf))
+        assert "Window" not in plan and "Aggregate" not in plan

@@ -25,23 +25,33 @@ AUXILIARY_FORMS = {"is": "be", "are": "be", "was": "be", "were": "be", "has": "h
 
 
 def _upos(piece: Column, i: Column) -> Column:
-    low = F.lower(piece)
-    return T.any_of(
-        [
-            (piece == "'s", "PART"), (piece.rlike("^[.,!?;:'\"()]$"), "PUNCT"), (piece.rlike("^[0-9]+$"), "NUM"), (low.isin(L.DETERMINERS), "DET"), (low.isin(list(AUXILIARY_FORMS)), "AUX"),
-            (low.isin(L.PREPOSITIONS), "ADP"), (low.isin(list(L.CONNECTIVES)), "CCONJ"), (piece.rlike("^[A-Z]") & (i > 0), "PROPN"), (low.endswith("ly"), "ADV"), (low.rlike("(ed|ing)$"), "VERB"),
-        ],
-        F.lit("NOUN"),
-    )
+    """No regular expressions: a piece is told by its characters at the ends wherever that is enough."""
+    initial = F.substring(piece, 1, 1)
+
+    def of(low: Column) -> Column:
+        return T.any_of(
+            [
+                (piece == "'s", "PART"), (piece.isin(*".,!?;:'\"()"), "PUNCT"), (initial.between("0", "9") & piece.rlike("^[0-9]+\\z"), "NUM"), (low.isin(L.DETERMINERS), "DET"), (low.isin(list(AUXILIARY_FORMS)), "AUX"),
+                (low.isin(L.PREPOSITIONS), "ADP"), (low.isin(list(L.CONNECTIVES)), "CCONJ"), (initial.between("A", "Z") & (i > 0), "PROPN"), (low.endswith("ly"), "ADV"), (low.endswith("ed") | low.endswith("ing"), "VERB"),
+            ],
+            F.lit("NOUN"),
+        )
+
+    return T.let(F.lower(piece), of)
 
 
 def rule_parsed(sents: DataFrame) -> DataFrame:
-    """(doc_id, pos, i, text, lemma, upos, tag, dep, iob, label) of sentences (doc_id, pos, sent), all inside the row.
+    """(doc_id, pos, i, text, lemma, upos, tag, dep, iob, label) of sentences (doc_id, pos, sent), all inside the row."""
+    return parsed_sentences(sents).select(*KEYS, F.explode("tokens").alias("t")).select(*KEYS, "t.*")
+
+
+def parsed_sentences(sents: DataFrame) -> DataFrame:
+    """(doc_id, pos, tokens): the same with a sentence's tokens in one array, in order.
 
     Capitalised words behind the first are names, and runs of them one entity. A noun behind a preposition (and an article)
     is its object, the first other one the subject, all others objects.
     """
-    pieces = sents.select(*KEYS, F.regexp_extract_all("sent", F.lit(PIECE), F.lit(0)).alias("p"))
+    pieces = sents.filter(F.col("sent").rlike("[^ \\t\\r\\n]")).select(*KEYS, F.regexp_extract_all("sent", F.lit(PIECE), F.lit(0)).alias("p"))
     tagged = pieces.withColumn("u", F.transform("p", _upos))
     nominal = F.transform("u", lambda u: u.isin("NOUN", "PROPN"))
     first = F.array_position(nominal, True) - 1
@@ -49,19 +59,26 @@ def rule_parsed(sents: DataFrame) -> DataFrame:
     def before(i: Column, k: int) -> Column:
         return F.when(i >= k, F.get("u", i - k)).otherwise("")
 
-    def parsed(x: Column, i: Column) -> Column:
-        u, low = F.get("u", i), F.lower(x)
-        lemma = T.any_of([(low == k, v) for k, v in AUXILIARY_FORMS.items() if k != v], F.when(u.isin("PROPN", "AUX", "PUNCT", "PART"), low).otherwise(T.default_lemma(low)))
-        under = (before(i, 1) == "ADP") | ((before(i, 1) == "DET") & (before(i, 2) == "ADP"))
-        dep = T.any_of([(low == "not", "neg"), (u == "ADV", "advmod"), (u.isin("NOUN", "PROPN") & under, "pobj"), (u.isin("NOUN", "PROPN") & (i == F.col("first")), "nsubj"), (u.isin("NOUN", "PROPN"), "dobj")], F.lit(""))
+    forms = {k: v for k, v in AUXILIARY_FORMS.items() if k != v}
+
+    def parsed(x: Column, i: Column, first: Column) -> Column:
+        # what is used more than once is worked out once
+        return T.let(F.struct(F.get("u", i).alias("u"), F.lower(x).alias("low"), before(i, 1).alias("u1")), lambda own: token(x, i, own["u"], own["low"], own["u1"], first))
+
+    def token(x: Column, i: Column, u: Column, low: Column, u1: Column, first: Column) -> Column:
+        plain = F.when(u.isin("PROPN", "AUX", "PUNCT", "PART"), low).otherwise(T.default_lemma(low))
+        lemma = F.when(low.isin(list(forms)), T.lookup(forms, low, low)).otherwise(plain)
+        under = (u1 == "ADP") | ((u1 == "DET") & (before(i, 2) == "ADP"))
+        named = F.when(under, "pobj").when(i == first, "nsubj").otherwise("dobj")
+        dep = F.when(low == "not", "neg").when(u == "ADV", "advmod").when(u.isin("NOUN", "PROPN"), named).otherwise("")
         name = u == "PROPN"
         return F.struct(
-            x.alias("text"), lemma.alias("lemma"), u.alias("upos"), F.when(x == "'s", "POS").otherwise("").alias("tag"), dep.alias("dep"),
-            F.when(~name, "O").when(before(i, 1) == "PROPN", "I").otherwise("B").alias("iob"), F.when(name, "ORG").alias("label"),
+            i.alias("i"), x.alias("text"), lemma.alias("lemma"), u.alias("upos"), F.when(x == "'s", "POS").otherwise("").alias("tag"), dep.alias("dep"),
+            F.when(~name, "O").when(u1 == "PROPN", "I").otherwise("B").alias("iob"), F.when(name, "ORG").alias("label"),
         )
 
-    each = tagged.withColumn("first", first).select(*KEYS, F.posexplode(F.transform("p", parsed)).alias("i", "t"))
-    return each.select(*KEYS, "i", "t.*")
+    # the first noun by let: as a column that the lambda names once it would be put into it, and sought for each token
+    return tagged.select(*KEYS, T.let(first, lambda at: F.transform("p", lambda x, i: parsed(x, i, at))).alias("tokens"))
 
 
 def first_context(parsed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
@@ -96,33 +113,37 @@ def tokenize(sents: DataFrame, parsed: DataFrame, *, atomic: bool = False, lexic
     return made.select(*KEYS, F.concat("marks", F.flatten(parts)).alias("tokens"))
 
 
-def _by_rule(atomic: bool) -> Column:
+def _by_rule(x: Column, atomic: bool) -> Column:
     """The tokens of a token that is in no entity, by the first rule that fits."""
-    lemma, low, upos = F.lower("lemma"), F.lower("text"), F.col("upos")
+    return T.let(F.struct(F.lower(x["lemma"]).alias("lemma"), F.lower(x["text"]).alias("low")), lambda own: _ruled(x, own["lemma"], own["low"], atomic))
+
+
+def _ruled(x: Column, lemma: Column, low: Column, atomic: bool) -> Column:
+    text, upos = x["text"], x["upos"]
     none = F.array().cast("array<string>")
 
-    def one(x: Column | str) -> Column:
-        return F.array(F.lit(x) if isinstance(x, str) else x)
+    def one(t: Column | str) -> Column:
+        return F.array(F.lit(t) if isinstance(t, str) else t)
 
     prepositions = {p: f"REL:{p}" for p in L.PREPOSITIONS}
-    role = T.lookup(L.DEPENDENCY_ROLES, F.col("dep"), F.lit(None).cast("string"))
+    role = T.lookup(L.DEPENDENCY_ROLES, x["dep"], F.lit(None).cast("string"))
     composed = F.array(F.concat(F.lit("ROOT:"), lemma), F.concat(F.lit("ROLE:"), role)) if atomic else one(F.concat(F.lit("CMP:"), lemma, F.lit(":"), role))
     return T.any_of(
         [
-            (F.trim("text") == "", none),
-            ((upos == "PUNCT") & F.col("text").isin(".", ";"), one("STR:clause_end")), ((upos == "PUNCT") & F.col("text").isin(L.QUOTES), one("STR:quote")), (upos == "PUNCT", none),
+            (F.trim(text) == "", none),
+            ((upos == "PUNCT") & text.isin(".", ";"), one("STR:clause_end")), ((upos == "PUNCT") & text.isin(L.QUOTES), one("STR:quote")), (upos == "PUNCT", none),
             (lemma.isin(list(L.QUANTIFIERS)), one(T.lookup(L.QUANTIFIERS, lemma, lemma))),
             ((upos == "DET") | low.isin(L.DETERMINERS), one(F.concat(F.lit("DET:"), lemma))),
             ((upos == "AUX") | lemma.isin(L.AUXILIARIES), one(F.concat(F.lit("AUX:"), lemma))),
-            (lemma.isin(L.NEGATIONS) | (F.col("dep") == "neg"), one("REL:neg")),
+            (lemma.isin(L.NEGATIONS) | (x["dep"] == "neg"), one("REL:neg")),
             (lemma.isin(list(L.CONNECTIVES)), one(T.lookup(L.CONNECTIVES, lemma, lemma))),
             ((upos == "ADP") | lemma.isin(L.PREPOSITIONS), one(T.lookup(prepositions, lemma, F.concat(F.lit("REL:"), lemma)))),
-            ((F.col("tag") == "POS") | (low == "'s"), one("POSS:'s")),
-            ((upos == "NUM") | F.col("text").rlike("^[0-9][0-9.,]*$"), one(F.concat(F.lit("LIT:"), "text"))),
+            ((x["tag"] == "POS") | (low == "'s"), one("POSS:'s")),
+            ((upos == "NUM") | text.rlike("^[0-9][0-9.,]*$"), one(F.concat(F.lit("LIT:"), text))),
             (upos.isin("NOUN", "VERB", "ADJ", "ADV", "PROPN", "PRON") & role.isNotNull(), composed),
             (upos.isin("NOUN", "VERB", "ADJ", "ADV", "PROPN", "PRON"), one(F.concat(F.lit("ROOT:"), lemma))),
         ],
-        one(F.concat(F.lit("LIT:"), "text")),
+        one(F.concat(F.lit("LIT:"), text)),
     )
 
 
@@ -143,19 +164,49 @@ def entity_spans(parsed: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 def dependency_tokens(parsed: DataFrame, keys: list[str] = KEYS, *, atomic: bool = True) -> DataFrame:
     """(keys, tokens) between [BOS] and [EOS]: marks of the sentence, then its entities as literals and its other tokens by rule.
 
-    A sentence is one group; its window, spans and tokens share one shuffle by the keys. A token's trailing space can be
-    given in a column `space`; without it words of an entity stand one space apart.
+    A sentence's tokens are one array, gathered by one shuffle. A token's trailing space can be given in a column `space`;
+    without it words of an entity stand one space apart.
     """
-    space = F.col("space") if "space" in parsed.columns else F.lit(" ")
-    spans = entity_spans(parsed.withColumns({"_space": F.coalesce(space, F.lit("")), "_own": _by_rule(atomic)}), keys)
-    inside = F.col("iob") != "O"
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.concat("text", "_space").alias("t")))), lambda x: x["t"]), "")
-    each = spans.groupBy(*keys, "slot").agg(
-        F.bool_or(inside).alias("named"), text.alias("t"), F.max("_own").alias("own"), F.bool_or(F.lower("lemma").isin(L.CONDITIONALS)).alias("conditional"), F.max(F.struct("i", "text")).alias("last"),
-    )
-    tokens = F.when(F.col("named"), F.array(F.concat(F.lit("LIT:"), F.trim("t")))).otherwise(F.col("own"))
-    whole = each.withColumn("x", F.struct("slot", tokens.alias("tokens"))).groupBy(*keys).agg(
-        F.array_sort(F.collect_list("x")).alias("xs"), F.bool_or("conditional").alias("conditional"), F.max(F.when(F.trim("last.text") != "", F.col("last"))).alias("last")
-    )
-    marks = F.array_compact(F.array(F.when(F.rtrim("last.text").endswith("?"), F.lit("STR:question")), F.when(F.col("conditional"), F.lit("STR:conditional"))))
-    return whole.select(*keys, K.wrap(F.concat(marks, F.flatten(F.transform("xs", lambda x: x["tokens"])))).alias("tokens"))
+    columns = ["i", "text", "lemma", "upos", "tag", "dep", "iob", "label", *(["space"] if "space" in parsed.columns else [])]
+    gathered = parsed.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("tokens"))
+    return dependency_of(gathered, keys, atomic=atomic, space="space" in columns)
+
+
+def dependency_of(sentences: DataFrame, keys: list[str] = KEYS, *, atomic: bool = True, space: bool = False) -> DataFrame:
+    """The same of sentences (keys, tokens) as parsed_sentences gives them: all inside the row.
+
+    A token begins a part unless it goes on with an entity's run; a run goes on while tokens are inside and neither begin an
+    entity nor change its label. Each token is looked at once, however long a sentence is.
+    """
+
+    def inside(x: Column) -> Column:
+        return F.coalesce(x["iob"] != "O", F.lit(False))
+
+    def label(x: Column) -> Column:
+        return F.coalesce(x["label"], F.lit(""))
+
+    def begins(x: Column, i: Column) -> Column:
+        last = F.get("tokens", i - 1)
+        return ~inside(x) | (x["iob"] == "B") | (i == 0) | ~inside(last) | (label(last) != label(x))
+
+    def said(j: Column) -> Column:
+        x = F.get("tokens", j)
+        return F.concat(x["text"], F.coalesce(x["space"], F.lit("")) if space else F.lit(" "))
+
+    starts = F.array_compact(F.transform("tokens", lambda x, i: F.when(begins(x, i), i)))
+    marked = sentences.select(*keys, "tokens", starts.alias("starts"), F.exists("tokens", lambda x: F.coalesce(F.lower(x["lemma"]).isin(L.CONDITIONALS), F.lit(False))).alias("conditional"))
+
+    def end(k: Column) -> Column:
+        return F.coalesce(F.get("starts", k + 1), F.size("tokens")) - 1
+
+    def part(at: Column, k: Column) -> Column:
+        def of(x: Column) -> Column:
+            text = F.array_join(F.transform(F.sequence(at, end(k)), said), "")
+            return F.when(inside(x), F.array(F.concat(F.lit("LIT:"), F.trim(text)))).otherwise(_by_rule(x, atomic))
+
+        return T.let(F.get("tokens", at), of)
+
+    ends = F.filter(F.transform("starts", lambda at, k: F.get("tokens", end(k))["text"]), lambda t: F.trim(t) != "")
+    whole = marked.select(*keys, "conditional", F.element_at(F.concat(F.array(F.lit("")), ends), -1).alias("last"), F.flatten(F.transform("starts", part)).alias("parts"))
+    marks = F.array_compact(F.array(F.when(F.rtrim("last").endswith("?"), F.lit("STR:question")), F.when(F.col("conditional"), F.lit("STR:conditional"))))
+    return whole.select(*keys, K.wrap(F.concat(marks, "parts")).alias("tokens"))
