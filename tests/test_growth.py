@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from tokenloom import lexicon as L
+from tokenloom.functions import tokens as K
 from tokenloom.operators import arabic as R
 from tokenloom.operators import codec
+from tokenloom.operators import corpus as C
 from tokenloom.operators import datagen as G
 from tokenloom.plans import registry
 
@@ -58,3 +63,43 @@ def test_parsed_sentences_stay_in_their_rows(spark, sf):
     for name in ("en_reason_dep", "en_reason_dep_composed"):
         plan = _plan(registry.QUERIES[name](spark, sf))
         assert "Window" not in plan and "Aggregate" not in plan
+
+
+def test_logic_tokens_are_counted_where_words_are_looked_up(spark, sf):
+    """Only counts leave the tasks: no token is projected, collapsed or exploded behind the look-up."""
+    plan = _plan(registry.QUERIES["agg_logic_bucket"](spark, sf))
+    behind = plan[: plan.index("MapInArrow")]
+    assert "lambda" not in behind and "Generate" not in behind
+
+
+LOGIC_TEXTS = [
+    "I will not, not never and and or go. Was it not?", "No no NO! Won't you? Didn't. And – and / and", "12 and 7; s t x … (and)", "and", "–", "...", "", None, "?", "!", "Writers and  readers rewrote libraries. If if unless",
+    "was was had. Will shall gonna!", "não_not ñnot not_ not1 1not", "mit 12mit Paris teacher students. Teacher? all some Some", "don't\u00a0and\tand «and» and—and", "flies 0 ٣ 3.5 co-op",
+]
+
+
+def test_logic_counts_equal_the_collapsed_tokens(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "en", "x", t) for i, t in enumerate(LOGIC_TEXTS * 3)], "doc_id long, lang string, source string, text string").coalesce(1)
+    for atomic in (True, False):
+        parts = C.tokenize_english(docs, atomic=atomic).select("doc_id", "pos", K.logic_parts(F.col("tokens")).alias("p"))
+        want = {(r["t"], r["count"]) for r in parts.select(F.explode(K.logic_collapse(F.col("p"))).alias("t")).groupBy("t").count().collect()}
+        assert len(want) > 8
+        assert {(r["token"], r["n"]) for r in C.logic_counts(docs, atomic=atomic).collect()} == want
+        sentences = {(r["doc_id"], r["pos"], tuple(r["tokens"])) for r in C.logic_sentences(docs, atomic=atomic).collect()}
+        assert sentences == {(r["doc_id"], r["pos"], tuple(r["p"])) for r in parts.collect()}
+    with monkeypatch.context() as m:  # a table that is too large to go to the tasks
+        m.setattr(codec.shared, "few", lambda df, rows=0: None)
+        assert {(r["token"], r["n"]) for r in C.logic_counts(docs).collect()} == want
+    assert C.logic_counts(docs.limit(0)).collect() == []
+
+
+def test_only_words_that_may_be_known_are_analysed(spark):
+    """All that analysis knows passes the filter in front of it, whatever stands about a spelling; few other words do."""
+    stems = {*L.FIELDS, *L.LEMMAS, *L.ENTITIES, *(x[:-1] for x in L.FIELDS), *(x[:-1] + "i" for x in L.FIELDS)}
+    ends = ["", "es", "ies", "x", *(s for s, _ in L.SUFFIXES), *(s + "s" for s in L.FIELD_SUFFIXES), "ersment"]
+    words = {p + x + s for p in ("", "x", *(p for p, _ in L.PREFIXES)) for x in stems for s in ends} | {*L.RELATIONS, *L.FUNCTION_WORDS, "12"}
+    distinct = spark.createDataFrame([(w,) for w in sorted(words)], "word string")
+    full = C._known(C.emit(C.analyse(distinct), atomic=True))
+    assert sorted(map(str, C.known_words(distinct, atomic=True).collect())) == sorted(map(str, full.collect()))
+    other = spark.createDataFrame([(w,) for w in ("zebra", "table", "begin", "gnu", "orange", "lovely", "12")], "word string")
+    assert other.filter(C._possible(F.col("word"), C.Lexicon())).count() == 1
