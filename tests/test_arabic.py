@@ -12,6 +12,7 @@ from tokenloom.operators import arabic as R
 from tokenloom.operators import shared
 from tokenloom.operators import stats as S
 from tokenloom.plans import arabic as fixtures
+from tokenloom.plans import registry
 from tokenloom.sources import readers
 
 
@@ -70,3 +71,25 @@ def test_verdicts(spark):
     made = S.verdict(spark.createDataFrame(rows, f"want string, own {side}, base {side}")).collect()
     assert all(r["verdict"] == r["want"] for r in made)
     assert [r["warnings"] for r in made] == [[], [], ["architecture"], ["train"], ["partial"], [], ["architecture", "train"]]
+
+
+def test_missed_roots_are_sought_without_proclitics(spark):
+    """Any reading's root counts, then that of what a proclitic leaves, if two letters stay; words count as often as they stand there."""
+    rows = [("كتب", "ك.ت.ب"), ("محمد", "ح.م.د"), ("لكتاب", None), ("كتاب", "ك.ت.ب"), ("قال", "ق.#.ل"), ("وز", "NTWS")]
+    analyses = spark.createDataFrame([(w, [fixtures._a(root="ص.غ.ر", pos="adj"), fixtures._a(root=r)] if w == "كتاب" else [fixtures._a(root=r)]) for w, r in rows], R.ANALYSES)
+    want = {
+        "كتب": "root_field", "كتاب": "root_field", "والكتب": "root_field", "والكتاب": "root_field", "بالكتاب": "root_field", "وبكتاب": "root_field", "فالكتب": "root_field", "محمد": "root_no_field", "المحمد": "no_root",
+        "لقال": "no_root", "للقال": "root_field", "وز": "no_root", "لكتاب": "no_root", "في": "function", "عشرة": "function", "": "no_root",
+    }
+    words = spark.createDataFrame([(w, i + 1) for i, w in enumerate(want)], "word string, n long")
+    made = R.root_outcomes(words, analyses, R.root_table(spark)).collect()
+    assert {r["word"]: r["outcome"] for r in made} == want
+    assert sorted(r["n"] for r in made) == list(range(1, len(want) + 1))
+
+
+def test_missed_roots_cover_the_corpus(spark, sf):
+    made = {r["outcome"]: r for r in registry.QUERIES["agg_missed_roots"](spark, sf).collect()}
+    n = sum(r["n"] for r in made.values())
+    assert n > 10_000  # occurrences, where the distinct words of the pool are some 150
+    assert {r["coverage"] for r in made.values()} == {(made["function"]["n"] + made["root_field"]["n"]) * 100 // n}
+    assert {o: r["pct"] for o, r in made.items()} == {o: r["n"] * 100 // n for o, r in made.items()}
