@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tokenloom.operators import corpus as C
 from tokenloom.operators import parsed as P
+from tokenloom.plans import registry
 
 SCHEMA = "doc_id int, pos int, i int, text string, lemma string, upos string, tag string, dep string, iob string, label string"
 
@@ -58,3 +61,42 @@ def test_entities_only_in_their_sentences(spark):
     assert made[2] == []
     odd = parsed.withColumn("label", P.F.when(P.F.col("label") == "PERSON", "DATE"))
     assert P.entity_words(odd).count() == 0
+
+
+ODD = [
+    "The New York's dogs is not in the Paris office, and A Dog's wishes were quickly boxed.", "İstanbul saw ΑΣ and Ali-Baba was here", "", None, " \t ", "Not NOT not", "'s 's’s don't (in) \"the\" Big Apple!", "0٣ 12 3.5 ties axes boxes buses dies",
+    "Dies Dies dies in of the in the Reed Teams", "dogs\nCats\rCats Cats", "T A I'll Don't", "x" * 50 + " " + "Y" * 50, "Reed has had has Has", "In In The In A Reed",
+]
+
+
+def _odd(spark):
+    rows = [(d, p, s) for d in (None, 3, 1) for p, s in enumerate(reversed(ODD) if d == 1 else ODD)]
+    return spark.createDataFrame(rows, "doc_id int, pos int, sent string").repartition(2)
+
+
+def test_rules_in_batches_are_the_expressions(spark, monkeypatch):
+    """All columns agree with the expressions', whatever the slices are; what is left out has no first context or entity."""
+    sents = _odd(spark)
+    want = P.parsed_sentences(sents).select(*P.KEYS, F.explode("tokens").alias("t")).select(*P.KEYS, "t.*")
+    assert P.rule_parsed(sents).schema.simpleString() == want.schema.simpleString()
+    asked = [tuple(r) for r in want.collect()]
+    assert sorted(map(tuple, P.rule_parsed(sents).collect()), key=repr) == sorted(asked, key=repr)
+    assert sorted(map(tuple, P.rule_entities(sents).collect()), key=repr) == sorted((r for r in asked if r[8] != "O"), key=repr)
+    assert sorted(map(tuple, P.first_context(P.rule_contexts(sents)).collect())) == sorted(map(tuple, P.first_context(want).collect()))
+    assert P.rule_contexts(sents).count() < want.count()
+    tokens = {(r["doc_id"], r["pos"]): r["tokens"] for r in P.rule_tokenize(sents.filter("doc_id is not null"), atomic=True).collect()}
+    assert tokens == {(r["doc_id"], r["pos"]): r["tokens"] for r in P.tokenize(sents.filter("doc_id is not null"), want.filter("doc_id is not null"), atomic=True).collect()}
+    texts = P.pa.array(ODD * 2)
+    for size in (1, 40, 1 << 20):
+        monkeypatch.setattr(P, "SLICE", size)
+        parts = list(P._slices(texts))
+        assert [x for a, n in parts for x in range(a, a + n)] == list(range(len(texts)))
+    assert list(P._slices(texts[:0])) == []
+
+
+def test_parsed_tokens_are_made_once(spark, sf):
+    """Not once for each field, as where a generator's fields are asked for one by one; a sentence stays in its row."""
+    for name in ("parsed_tokens",):
+        plan = registry.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert "regexp_extract_all" not in plan
+        assert name != "en_tokenize_parsed" or "Join" not in plan

@@ -7,8 +7,16 @@ from the text by a few rules of our own, so that everything here runs without a
 
 from __future__ import annotations
 
+import re
+from array import array
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from tokenloom import lexicon as L
 from tokenloom.functions import text as T
@@ -40,9 +48,170 @@ def _upos(piece: Column, i: Column) -> Column:
     return T.let(F.lower(piece), of)
 
 
+#: What the rules give, by number.
+UPOS = ["PART", "PUNCT", "NUM", "DET", "AUX", "ADP", "CCONJ", "PROPN", "ADV", "VERB", "NOUN"]
+DEPS = ["", "neg", "advmod", "pobj", "nsubj", "dobj"]
+IOB = ["O", "B", "I"]
+
+#: Bytes of text whose tokens are in memory at once, and pieces that a task keeps what it knows of.
+SLICE, KEPT = 2 << 20, 200_000
+
+_FIELDS = [StructField(n, t) for n, t in (("i", IntegerType()), *((n, StringType()) for n in ("text", "lemma", "upos", "tag", "dep", "iob", "label")))]
+
+
+def _plain_lemma(low: str) -> str:
+    """T.default_lemma of one word."""
+    if low.endswith("ies") and len(low) > 4:
+        return low[:-3] + "y"
+    if low.endswith(("sses", "shes", "ches", "xes")) and len(low) > 4:
+        return low[:-2]
+    return low[:-1] if low.endswith("s") and not low.endswith(("ss", "us", "is")) and len(low) > 3 else low
+
+
+def _piece(text: str) -> tuple[int, int, str, str, bool]:
+    """Of a piece: its part of speech and lemma inside a sentence and as its first token, and whether it is a `not`."""
+    low = text.lower()
+
+    def upos(capital: bool) -> str:
+        if text == "'s":
+            return "PART"
+        if text in ".,!?;:'\"()":
+            return "PUNCT"
+        if text.isascii() and text.isdigit():
+            return "NUM"
+        for words, name in ((L.DETERMINERS, "DET"), (AUXILIARY_FORMS, "AUX"), (L.PREPOSITIONS, "ADP"), (L.CONNECTIVES, "CCONJ")):
+            if low in words:
+                return name
+        if capital and "A" <= text[0] <= "Z":
+            return "PROPN"
+        return "ADV" if low.endswith("ly") else "VERB" if low.endswith(("ed", "ing")) else "NOUN"
+
+    def lemma(upos: str) -> str:
+        form = AUXILIARY_FORMS.get(low, low)
+        return form if form != low or upos in ("PROPN", "AUX", "PUNCT", "PART") else _plain_lemma(low)
+
+    inside, first = upos(True), upos(False)
+    return UPOS.index(inside), UPOS.index(first), lemma(inside), lemma(first), low == "not"
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of slices of about SLICE bytes; a longer text is one by itself."""
+    part = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return ((a, b - a) for a, b in zip(cuts, cuts[1:]) if a < b)
+
+
+class _Tokens:
+    """The tokens of some sentences, as numbers in flat arrays: what parsed_sentences gives, for all at once."""
+
+    def __init__(self, texts: list[str | None], known: dict[str, tuple]):
+        find, codes, index = re.compile(PIECE).findall, array("i"), _Numbers()
+        sizes = np.zeros(len(texts), np.int64)
+        for k, text in enumerate(texts):
+            if text:
+                found = find(text)
+                sizes[k] = len(found)
+                codes.extend(map(index.__getitem__, found))
+        self.pieces = list(index)
+        for x in self.pieces:
+            if x not in known:
+                if len(known) >= KEPT:
+                    known.clear()
+                known[x] = _piece(x)
+        own = [known.get(x) or _piece(x) for x in self.pieces]
+        self.codes = codes = np.frombuffer(codes, np.int32) if codes else np.zeros(0, np.int32)
+        self.sizes, n = sizes, len(codes)
+        self.ends = np.cumsum(sizes)
+        starts = self.ends - sizes
+        self.sentence = np.repeat(np.arange(len(sizes)), sizes)
+        self.i = np.arange(n) - np.repeat(starts, sizes)
+        initial = self.i == 0
+        self.lemmas, self.lemma = [x[2] for x in own] + [x[3] for x in own], codes + np.where(initial, len(own), 0)
+        self.upos = np.array([x[0] for x in own] + [x[1] for x in own], np.int8)[self.lemma]
+        noun, name, adposition, determiner, adverb = (UPOS.index(x) for x in ("NOUN", "PROPN", "ADP", "DET", "ADV"))
+        before = [np.where(self.i >= k, np.concatenate([np.full(min(k, n), -1, np.int8), self.upos[: max(n - k, 0)]]), -1) for k in (1, 2)]
+        nominal = (self.upos == noun) | (self.upos == name)
+        at = np.flatnonzero(nominal)
+        head = np.zeros(n, bool)
+        head[at[np.diff(self.sentence[at], prepend=-1) != 0]] = True
+        under = (before[0] == adposition) | ((before[0] == determiner) & (before[1] == adposition))
+        dep = np.where(nominal, np.where(under, 3, np.where(head, 4, 5)), np.where(self.upos == adverb, 2, 0))
+        self.dep = np.where(np.array([x[4] for x in own], bool)[codes], 1, dep)
+        self.iob = np.where(self.upos == name, np.where(before[0] == name, 2, 1), 0)
+
+    def columns(self, at: np.ndarray | None = None) -> list[pa.Array]:
+        """The fields of all tokens, or of those at some places."""
+
+        def of(values: list, numbers: np.ndarray) -> pa.Array:
+            return pa.array(values, pa.string()).take(pa.array(numbers if at is None else numbers[at]))
+
+        tags = np.array([x == "'s" for x in self.pieces], np.int8)[self.codes]
+        i = pa.array(self.i if at is None else self.i[at], pa.int32())
+        return [i, of(self.pieces, self.codes), of(self.lemmas, self.lemma), of(UPOS, self.upos), of(["", "POS"], tags), of(DEPS, self.dep), of(IOB, self.iob), of([None, "ORG", "ORG"], self.iob)]
+
+    def named(self) -> np.ndarray:
+        """The places of tokens that are part of an entity."""
+        return np.flatnonzero(self.iob)
+
+    def firsts(self, order: np.ndarray) -> np.ndarray:
+        """The places, ascending, of each piece's first token, where sentences stand in an order (their numbers, first to last)."""
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        of = rank[self.sentence]
+        places = np.arange(len(of)) if np.all(np.diff(of) >= 0) else np.argsort(of, kind="stable")
+        first = np.zeros(len(self.pieces), np.int64)
+        first[self.codes[places[::-1]]] = places[::-1]  # the last one written stays
+        return np.sort(first)
+
+
+class _Numbers(dict):
+    """A number for each key, in the order in which they come."""
+
+    def __missing__(self, key):
+        self[key] = n = len(self)
+        return n
+
+
+def _order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """The rows' numbers in the order of their keys, nulls first."""
+    table = pa.Table.from_batches([batch.select(keys)])
+    return pc.sort_indices(table, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start").to_numpy()
+
+
+def _by_rules(sents: DataFrame, which: Callable[[_Tokens, pa.RecordBatch], np.ndarray | None]) -> DataFrame:
+    """The parsed table of sentences, or of it the tokens at the places that `which` gives."""
+    shared.importable(sents.sparkSession)
+    own = sents.select(*KEYS, "sent")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            for first, rows in _slices(batch.column("sent")):
+                part = batch.slice(first, rows)
+                tokens = _Tokens(part.column("sent").to_pylist(), known)
+                at = which(tokens, part)
+                row = pa.array(tokens.sentence if at is None else tokens.sentence[at])
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in KEYS), *tokens.columns(at)], [*KEYS, *(f.name for f in _FIELDS)])
+
+    return own.mapInArrow(run, StructType([*(own.schema[k] for k in KEYS), *_FIELDS]))
+
+
 def rule_parsed(sents: DataFrame) -> DataFrame:
-    """(doc_id, pos, i, text, lemma, upos, tag, dep, iob, label) of sentences (doc_id, pos, sent), all inside the row."""
-    return parsed_sentences(sents).select(*KEYS, F.explode("tokens").alias("t")).select(*KEYS, "t.*")
+    """(doc_id, pos, i, text, lemma, upos, tag, dep, iob, label) of sentences (doc_id, pos, sent), made in one pass over each batch.
+
+    What the rules say of a piece by itself is worked out once a piece. The rules are those of parsed_sentences.
+    """
+    return _by_rules(sents, lambda tokens, _: None)
+
+
+def rule_entities(sents: DataFrame) -> DataFrame:
+    """The rows of rule_parsed that are part of an entity."""
+    return _by_rules(sents, lambda tokens, _: tokens.named())
+
+
+def rule_contexts(sents: DataFrame) -> DataFrame:
+    """The rows of rule_parsed that first_context needs: of each batch the first token of each text."""
+    return _by_rules(sents, lambda tokens, part: tokens.firsts(_order(part, KEYS)))
 
 
 def parsed_sentences(sents: DataFrame) -> DataFrame:
@@ -103,14 +272,48 @@ def tokenize(sents: DataFrame, parsed: DataFrame, *, atomic: bool = False, lexic
 
     A word is an entity only in the sentences that say so; there it is a literal. parsed has each sentence's keys once.
     """
+    named = sents.join(entity_words(parsed), KEYS, "left").select(*KEYS, "entities", T.normalize(F.col("sent")).alias("norm"))
+    return _tokenized(shared.stored(named), first_context(parsed), atomic, lexicon)
+
+
+def rule_tokenize(sents: DataFrame, *, atomic: bool = False, lexicon: corpus.Lexicon | None = None) -> DataFrame:
+    """The same over what the rules give: sentences are parsed once, for their entities and first contexts, and stay in their rows."""
+    shared.importable(sents.sparkSession)
+    own = sents.select(*KEYS, "sent")
+    first = StructType([f for f in _FIELDS if f.name in ("i", "text", "lemma")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple] = {}
+        for batch in batches:
+            for start, rows in _slices(batch.column("sent")):
+                part = batch.slice(start, rows)
+                tokens = _Tokens(part.column("sent").to_pylist(), known)
+
+                def lists(at: np.ndarray, values: pa.Array) -> pa.Array:
+                    sizes = np.bincount(tokens.sentence[at], minlength=rows)
+                    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+                named, firsts = tokens.named(), tokens.firsts(_order(part, KEYS))
+                made = [lists(named, tokens.columns(named)[1]), lists(firsts, pa.StructArray.from_arrays(tokens.columns(firsts)[:3], first.names))]
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*KEYS, "sent", "entities", "firsts"])
+
+    made = own.mapInArrow(run, StructType([*own.schema.fields, StructField("entities", ArrayType(StringType())), StructField("firsts", ArrayType(first))]))
+    made = shared.stored(made.select(*KEYS, F.transform("entities", F.lower).alias("entities"), T.normalize(F.col("sent")).alias("norm"), "firsts"))
+    firsts = made.select(*KEYS, F.explode("firsts").alias("x")).select(*KEYS, "x.*")
+    return _tokenized(made.drop("firsts"), first_context(firsts), atomic, lexicon)
+
+
+def _tokenized(norm: DataFrame, cache: DataFrame, atomic: bool, lexicon: corpus.Lexicon | None) -> DataFrame:
+    """(keys, tokens) of normalised sentences (keys, entities, norm), stored, with the lemmas of cache (word, lemma)."""
     given = lexicon or corpus.Lexicon()
-    nobody = corpus.entity_table(sents.sparkSession).limit(0)
-    cache = shared.stored(first_context(parsed))  # counted before it is joined
+    nobody = corpus.entity_table(norm.sparkSession).limit(0)
+    cache = shared.stored(cache)  # counted before it is joined
     own = corpus.Lexicon(given.relations, given.functions, given.overrides, given.prefixes, given.suffixes, lemmas=cache, fields=given.fields, entities=nobody)
-    named = sents.join(entity_words(parsed), KEYS, "left").select(*KEYS, "entities", T.normalize(F.col("sent")).alias("norm"))
-    made = corpus._parts(named, atomic, own)
-    parts = F.transform("words", lambda w, i: F.when(F.array_contains("entities", w), F.array(F.concat(F.lit("LIT:"), w))).otherwise(F.get("parts", i)))
-    return made.select(*KEYS, F.concat("marks", F.flatten(parts)).alias("tokens"))
+    made = corpus.looked_up(norm, atomic, own)
+    # a skipped piece has no tokens, whatever it is part of
+    literal = F.transform(F.split("norm", T.BREAKS), lambda w, i: F.when(F.array_contains("entities", w) & (F.size(F.get("parts", i)) > 0), F.array(F.concat(F.lit("LIT:"), w))).otherwise(F.get("parts", i)))
+    parts = F.when(F.size("entities") > 0, literal).otherwise(F.col("parts"))
+    return made.select(*KEYS, F.concat(T.structure(F.col("norm")), F.flatten(parts)).alias("tokens"))
 
 
 def _by_rule(x: Column, atomic: bool) -> Column:
