@@ -164,6 +164,29 @@ class _Tokens:
         return np.sort(first)
 
 
+class _Seen:
+    """Which first tokens of a slice are before those that a task has had of their texts: only they can be first of all."""
+
+    def __init__(self) -> None:
+        self.least: dict[str, tuple] = {}
+
+    def firsts(self, tokens: _Tokens, part: pa.RecordBatch) -> np.ndarray:
+        at = tokens.firsts(_order(part, KEYS))
+        row = pa.array(tokens.sentence[at])
+        own = [part.column(k).take(row).to_pylist() for k in KEYS]
+        keys = ((*((x is not None, x) for x in key), i) for *key, i in zip(*own, tokens.i[at].tolist()))
+        if len(self.least) >= KEPT:
+            self.least.clear()
+        kept = []
+        for place, code, key in zip(at.tolist(), tokens.codes[at].tolist(), keys):
+            text = tokens.pieces[code]
+            before = self.least.get(text)
+            if before is None or key < before:
+                self.least[text] = key
+                kept.append(place)
+        return np.array(kept, np.int64)
+
+
 class _Numbers(dict):
     """A number for each key, in the order in which they come."""
 
@@ -178,18 +201,19 @@ def _order(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
     return pc.sort_indices(table, sort_keys=[(k, "ascending") for k in keys], null_placement="at_start").to_numpy()
 
 
-def _by_rules(sents: DataFrame, which: Callable[[_Tokens, pa.RecordBatch], np.ndarray | None]) -> DataFrame:
+def _by_rules(sents: DataFrame, which: Callable[[_Tokens, pa.RecordBatch, _Seen], np.ndarray | None]) -> DataFrame:
     """The parsed table of sentences, or of it the tokens at the places that `which` gives."""
     shared.importable(sents.sparkSession)
     own = sents.select(*KEYS, "sent")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
+        seen = _Seen()
         for batch in batches:
             for first, rows in _slices(batch.column("sent")):
                 part = batch.slice(first, rows)
                 tokens = _Tokens(part.column("sent").to_pylist(), known)
-                at = which(tokens, part)
+                at = which(tokens, part, seen)
                 row = pa.array(tokens.sentence if at is None else tokens.sentence[at])
                 yield pa.RecordBatch.from_arrays([*(part.column(k).take(row) for k in KEYS), *tokens.columns(at)], [*KEYS, *(f.name for f in _FIELDS)])
 
@@ -201,17 +225,17 @@ def rule_parsed(sents: DataFrame) -> DataFrame:
 
     What the rules say of a piece by itself is worked out once a piece. The rules are those of parsed_sentences.
     """
-    return _by_rules(sents, lambda tokens, _: None)
+    return _by_rules(sents, lambda *_: None)
 
 
 def rule_entities(sents: DataFrame) -> DataFrame:
     """The rows of rule_parsed that are part of an entity."""
-    return _by_rules(sents, lambda tokens, _: tokens.named())
+    return _by_rules(sents, lambda tokens, *_: tokens.named())
 
 
 def rule_contexts(sents: DataFrame) -> DataFrame:
-    """The rows of rule_parsed that first_context needs: of each batch the first token of each text."""
-    return _by_rules(sents, lambda tokens, part: tokens.firsts(_order(part, KEYS)))
+    """The rows of rule_parsed that first_context needs: of each text a token of each task, where no earlier one had come."""
+    return _by_rules(sents, lambda tokens, part, seen: seen.firsts(tokens, part))
 
 
 def parsed_sentences(sents: DataFrame) -> DataFrame:
@@ -284,6 +308,7 @@ def rule_tokenize(sents: DataFrame, *, atomic: bool = False, lexicon: corpus.Lex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, tuple] = {}
+        seen = _Seen()
         for batch in batches:
             for start, rows in _slices(batch.column("sent")):
                 part = batch.slice(start, rows)
@@ -293,7 +318,7 @@ def rule_tokenize(sents: DataFrame, *, atomic: bool = False, lexicon: corpus.Lex
                     sizes = np.bincount(tokens.sentence[at], minlength=rows)
                     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
-                named, firsts = tokens.named(), tokens.firsts(_order(part, KEYS))
+                named, firsts = tokens.named(), seen.firsts(tokens, part)
                 made = [lists(named, tokens.columns(named)[1]), lists(firsts, pa.StructArray.from_arrays(tokens.columns(firsts)[:3], first.names))]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], [*KEYS, "sent", "entities", "firsts"])
 
