@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tokenloom import lexicon as L
 from tokenloom.functions import tokens as K
 from tokenloom.operators import arabic as R
+from tokenloom.operators import baselines as B
 from tokenloom.operators import codec
 from tokenloom.operators import corpus as C
 from tokenloom.operators import datagen as G
@@ -35,6 +36,19 @@ def test_fields_are_sought_once_a_word(spark, sf):
         assert not any(x in below for x in ("EndsWith", "StartsWith", "ies"))
 
 
+def test_demo_words_are_tried_once(spark, sf, monkeypatch):
+    """Neither way makes four keys of each word before it is looked up, where the table is small; both ways give the same ids."""
+    known = spark.createDataFrame([("go", "REL:go"), ("stop!", "REL:stop"), ("far", "REL:far")], "word string, token string")
+    vocab = spark.createDataFrame([("REL:go", 5), ("REL:stop", 6), ("SURF:hi", 7), ("SURF:go", 8), ("SURF:ho!", 9), ("SURF:hi", 4)], "token string, id int")
+    df = spark.createDataFrame([(1, "go!: stop! far hi! ho! xyz؟ !"), (2, ""), (3, None), (4, " hi\u2028 hi!\u2028 go. go.")], "id int, text string")
+    small = B.demo_ids(df, known, vocab, begin=2, unknown=1)
+    assert "W:" not in _plan(small)
+    got = {r["id"]: r["ids"] for r in small.collect()}
+    assert got == {1: [2, 5, 6, 1, 4, 9, 1, 1], 2: [2], 3: [2], 4: [2, 1, 1, 5, 5]}
+    monkeypatch.setattr(B.shared, "few", lambda df, rows=0: None)
+    assert {r["id"]: r["ids"] for r in B.demo_ids(df, known, vocab, begin=2, unknown=1).collect()} == got
+
+
 def test_words_are_counted_before_they_are_pooled(spark, sf):
     plan = _plan(registry.QUERIES["agg_missed_roots"](spark, sf))
     assert "md5" in plan and "md5" not in plan[plan.rindex("Aggregate") :]
